@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .terms import (
     BOOLEAN, DATETIME, DECIMAL, DECIMAL_RANK, DOUBLE_RANK, FLOAT_RANK, INTEGER_RANK, LANG_STRING, RANK_DT, RX_DATETIME,
-    RX_INTEGER, RX_OFFSET, STRING, TEXT, XSD, Term, bnode_term, decimal_text, double_text, dt_class, exact_num,
-    instant, iri_term, literal_term, lookup, num, numeric_rank, parse_decimal, parse_double, parse_instant, rank_dt,
+    RX_INTEGER, RX_OFFSET, STRING, TEXT, XSD, Number, Term, as_number, bnode_term, decimal_text, double_text, dt_class, exact_num,
+    instant, iri_term, is_nan, literal_term, lookup, num, numeric_rank, parse_decimal, parse_double, parse_instant, rank_dt,
     same_term, short_dt, term, when_bound,
 )
 
@@ -50,13 +50,12 @@ def _number_const(x):
 
 def _number_test(t: Column, k, op) -> Column:
     """Comparison of a term with a Python number; NaN compares false."""
-    return F.when(t["value"] == "NaN", F.lit(False)).otherwise(op(num(t), F.lit(k)))
+    return F.when(is_nan(t), F.lit(False)).otherwise(op(num(t), F.lit(k)))
 
 
 def _numbers(ta: Column, tb: Column, ca: Column, cb: Column, op) -> Column:
-    nan = (ta["value"] == "NaN") | (tb["value"] == "NaN")
     return (F.when((ca <= DECIMAL_RANK) & (cb <= DECIMAL_RANK), op(exact_num(ta), exact_num(tb)))
-            .when(nan, F.lit(False)).otherwise(op(num(ta), num(tb))))
+            .when(is_nan(ta) | is_nan(tb), F.lit(False)).otherwise(op(num(ta), num(tb))))
 
 
 def _compare(a, b, op) -> Column:
@@ -148,10 +147,12 @@ def _arith(a, b, exact, approx, least_rank: int = INTEGER_RANK) -> Column:
     ranks = {100 * x + y: max(x, y, least_rank) for x in RANK_DT for y in RANK_DT}
     pair = 100 * numeric_rank(ta) + numeric_rank(tb)  # NULL unless both are numbers
     of_rank = lambda *wanted: pair.isin([p for p, r in ranks.items() if r in wanted])
-    value = (F.when(of_rank(INTEGER_RANK, DECIMAL_RANK), decimal_text(exact(exact_num(ta), exact_num(tb))))
-             .when(of_rank(FLOAT_RANK), double_text(approx(num(ta), num(tb)).cast("float")))
-             .otherwise(double_text(approx(num(ta), num(tb)))))
-    return literal_term(value, lookup({p: RANK_DT[r] for p, r in ranks.items()}, pair))
+    is_exact, is_float = of_rank(INTEGER_RANK, DECIMAL_RANK), of_rank(FLOAT_RANK)
+    whole, real = exact(exact_num(ta), exact_num(tb)), approx(num(ta), num(tb))
+    rank = lookup(ranks, pair)
+    value = (F.when(is_exact, decimal_text(whole)).when(is_float, double_text(real.cast("float")))
+             .otherwise(double_text(real)))
+    return as_number(literal_term(value, rank_dt(rank)), Number(rank, F.when(is_exact, whole), real))
 
 
 def add(a, b) -> Column:
@@ -184,10 +185,10 @@ def negate(a) -> Column:
 def _keep_type(x, exact, approx) -> Column:
     t = term(x)
     rank = numeric_rank(t)
-    value = (F.when(rank <= DECIMAL_RANK, decimal_text(exact(exact_num(t)).cast(DECIMAL)))
-             .when(rank == FLOAT_RANK, double_text(approx(num(t)).cast("float")))
-             .when(rank == DOUBLE_RANK, double_text(approx(num(t)))))
-    return literal_term(value, rank_dt(rank))
+    whole, real = exact(exact_num(t)).cast(DECIMAL), approx(num(t))
+    value = (F.when(rank <= DECIMAL_RANK, decimal_text(whole)).when(rank == FLOAT_RANK, double_text(real.cast("float")))
+             .when(rank == DOUBLE_RANK, double_text(real)))
+    return as_number(literal_term(value, rank_dt(rank)), Number(rank, whole, real))
 
 
 def abs_(x) -> Column:

@@ -197,6 +197,24 @@ def quoted_triple(s: Column, p: Column, o: Column) -> Column:
     return when_bound(text, make(F.lit("triple"), text, F.lit(""), F.lit("")))
 
 
+@dataclass(frozen=True)
+class Number:
+    """The numeric views of a computed term, kept beside its Column so that nested arithmetic skips its text form."""
+
+    rank: Column
+    exact: Column
+    approx: Column
+
+
+def as_number(c: Column, views: Number) -> Column:
+    vars(c)["number"] = views
+    return c
+
+
+def number_views(c: Column) -> Number | None:
+    return vars(c).get("number")
+
+
 # --- typed views of a term ----------------------------------------------------------------------------
 # These expressions mention each costly part once: Spark does not share repeated parts of CASE branches.
 
@@ -216,12 +234,19 @@ def lookup(table: dict, key: Column) -> Column:
 
 def dt_class(t: Column) -> Column:
     """Class of a term's datatype; NULL for unbound terms and unknown datatypes."""
-    return lookup(DT_CLASS, t["dt"])
+    views = number_views(t)
+    return views.rank if views else lookup(DT_CLASS, t["dt"])
 
 
 def numeric_rank(t: Column) -> Column:
     """10 integer, 11 decimal, 12 float, 13 double; NULL when the datatype is not numeric."""
-    return lookup({dt: c for dt, c in DT_CLASS.items() if c >= INTEGER_RANK}, t["dt"])
+    views = number_views(t)
+    return views.rank if views else lookup({dt: c for dt, c in DT_CLASS.items() if c >= INTEGER_RANK}, t["dt"])
+
+
+def is_nan(t: Column) -> Column:
+    views = number_views(t)
+    return F.isnan(views.approx) if views else t["value"] == "NaN"
 
 
 # The datatype a numeric rank stands for.
@@ -245,6 +270,8 @@ def parse_double(v: Column) -> Column:
 def num(x) -> Column:
     """Numeric value as double, NULL unless the datatype is numeric and the text is valid for it."""
     t = term(x)
+    if number_views(t):
+        return number_views(t).approx
     v, dt = t["value"], t["dt"]
     valid = (F.when(dt.isin("xsd:double", "xsd:float"), v.rlike(RX_DOUBLE)).when(dt == "xsd:decimal", v.rlike(RX_DECIMAL))
              .when(dt.isin(*INTEGER_TYPES), v.rlike(RX_INTEGER)))
@@ -254,6 +281,8 @@ def num(x) -> Column:
 def exact_num(x) -> Column:
     """Integer and decimal terms as decimal(38,18), everything else NULL."""
     t = term(x)
+    if number_views(t):
+        return number_views(t).exact
     v, dt = t["value"], t["dt"]
     valid = F.when(dt == "xsd:decimal", v.rlike(RX_DECIMAL)).when(dt.isin(*INTEGER_TYPES), v.rlike(RX_INTEGER))
     return F.when(valid, v.try_cast(DECIMAL))

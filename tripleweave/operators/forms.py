@@ -45,14 +45,14 @@ def construct_triples(a: Solutions, template: Sequence[tuple]) -> DataFrame:
     df = _with_occurrence(a) if labels else a.df
     row = F.to_json(F.struct(*[F.col(v) for v in a.vars])) if a.vars else F.lit("")
 
-    def slot(x, position: str) -> Column:
+    def slot(x) -> Column:
         if _is_var(x):
             return native_term(F.col(var(x)), a.types[var(x)])
         if isinstance(x, str) and x.startswith("_:"):
             return bnode_term(F.sha1(F.concat_ws("\u0001", row, F.col("_i").cast("string"), F.lit(x))))
-        return _constant(x, position).col
+        return _constant(x).col
 
-    triples = [F.struct(slot(s, "s").alias("s"), slot(p, "p").alias("p"), slot(o, "o").alias("o"))
+    triples = [F.struct(slot(s).alias("s"), slot(p).alias("p"), slot(o).alias("o"))
                for s, p, o in template]
     rows = df.select(F.explode(F.array(*triples)).alias("t")).select("t.s", "t.p", "t.o")
     fit = F.col("s").isNotNull() & (F.col("s.kind") != "lit") & (F.col("p.kind") == "iri") & F.col("o").isNotNull()

@@ -6,8 +6,8 @@ triples are best kept as parquet partitioned by ``p``: a constant predicate then
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from functools import reduce
+from collections.abc import Callable, Mapping, Sequence
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +27,8 @@ class Graph:
     def spark(self):
         return self.triples.sparkSession
 
-    def scan(self, p: str | None = None) -> DataFrame:
-        """All triples, or those of one predicate."""
+    def scan(self, p: str | None = None, s: Term | None = None, o: Term | None = None) -> DataFrame:
+        """All triples, or those of one predicate.  Known ends may narrow what is read; the caller still filters."""
         return self.triples if p is None else self.triples.where(F.col("p") == p)
 
     def in_star(self, p: str) -> bool:
@@ -73,23 +73,29 @@ class TableMap:
     equal rows are one subject, as equal triples are one triple.
     """
 
-    def __init__(self, df: DataFrame, cls: str, key: str | None,
-                 literals: Mapping[str, tuple[str | Column, str]] = (), refs: Mapping[str, tuple[str, str]] = ()):
-        self.cls = cls
-        if key is None:
-            names = df.columns
-            df = df.dropDuplicates().withColumn(
-                "_key", F.md5(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in names])))
-            key = "_key"
-        self.df = df
-        self.subject = iri_term(F.concat(F.lit(f"urn:{cls}/"), F.col(key).cast("string")), nullable=False)
+    def __init__(self, source: DataFrame | Callable[[], DataFrame], cls: str, key: str | None,
+                 literals: Mapping[str, tuple[str | Column, str]] = {}, refs: Mapping[str, tuple[str, str]] = {}):
+        self.cls, self._source, self._keyless = cls, source, key is None
+        self.subject = iri_term(F.concat(F.lit(f"urn:{cls}/"), F.col(key or "_key").cast("string")), nullable=False)
         self.objects: dict[str, tuple[Column, Column]] = {}
-        for p, (c, dt) in dict(literals).items():
+        self.ranges: dict[str, tuple[str, str]] = {RDF_TYPE: ("iri", self.class_iri)}
+        for p, (c, dt) in literals.items():
             value = F.col(c) if isinstance(c, str) else c
             self.objects[p] = (value.isNotNull(), literal_term(value.cast("string"), dt, nullable=False))
-        for p, (c, target) in dict(refs).items():
+            self.ranges[p] = ("lit", dt)
+        for p, (c, target) in refs.items():
             value = F.concat(F.lit(f"urn:{target}/"), F.col(c).cast("string"))
             self.objects[p] = (F.col(c).isNotNull(), iri_term(value, nullable=False))
+            self.ranges[p] = ("iri", f"urn:{target}/")
+
+    @cached_property
+    def df(self) -> DataFrame:
+        """The table, opened when a pattern first needs it."""
+        df = self._source() if callable(self._source) else self._source
+        if self._keyless:
+            cells = [F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in df.columns]
+            df = df.dropDuplicates().withColumn("_key", F.md5(F.concat_ws("\u0001", *cells)))
+        return df
 
     @property
     def class_iri(self) -> str:
@@ -98,6 +104,13 @@ class TableMap:
     def predicates(self) -> list[str]:
         return [RDF_TYPE, *self.objects]
 
+    def can_hold(self, p: str, s: Term | None, o: Term | None) -> bool:
+        """Whether a triple of ``p`` with these ends can come from this table."""
+        if s is not None and not (s.kind == "iri" and s.value.startswith(f"urn:{self.cls}/")):
+            return False
+        kind, of = self.ranges[p]
+        return o is None or o.kind == kind and (o.dt == of if kind == "lit" else o.value.startswith(of))
+
     def triples(self, p: str) -> DataFrame:
         if p == RDF_TYPE:
             present, obj = F.lit(True), iri_term(F.lit(self.class_iri), nullable=False)
@@ -125,8 +138,8 @@ class TableGraph(Graph):
     def triples(self) -> DataFrame:
         return self.scan()
 
-    def scan(self, p: str | None = None) -> DataFrame:
-        parts = [m.triples(q) for m in self.maps for q in m.predicates() if p is None or p == q]
+    def scan(self, p=None, s=None, o=None) -> DataFrame:
+        parts = [m.triples(q) for m in self.maps for q in m.predicates() if p in (None, q) and m.can_hold(q, s, o)]
         if not parts:
             return self.maps[0].triples(RDF_TYPE).where(F.lit(False))
         return reduce(DataFrame.unionByName, parts)

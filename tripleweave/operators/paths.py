@@ -75,8 +75,8 @@ def path(graph: Graph | DataFrame, s, expr, o, g: str = "") -> Solutions:
     A constant end starts closures from that node, and a sequence from that end, so only its neighbourhood is read.
     """
     graph = as_graph(graph)
-    s_const = None if _is_var(s) else _constant(s, "s")
-    o_const = None if _is_var(o) else _constant(o, "o")
+    s_const = None if _is_var(s) else _constant(s)
+    o_const = None if _is_var(o) else _constant(o)
     df = _pairs(graph, expr, g, s_const, o_const)
     if s_const is not None:
         df = df.where(_equals(F.col("s"), s_const))

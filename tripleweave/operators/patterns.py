@@ -54,7 +54,7 @@ def _is_var(x) -> bool:
     return isinstance(x, str) and x.startswith("?")
 
 
-def _constant(x, position: str) -> Term:
+def _constant(x) -> Term:
     """Plain strings are IRIs in patterns; other Python values are literals."""
     if isinstance(x, Term):
         return x
@@ -71,7 +71,8 @@ def _equals(c: Column, k: Term) -> Column:
 def triple_pattern(graph: Graph | DataFrame, s, p, o, g: str = "") -> Solutions:
     """Match one pattern; ``"?x"`` is a variable, anything else a constant.  ``g``: '' default graph, an IRI, or ``"?g"``."""
     graph = as_graph(graph)
-    df = graph.scan(None if _is_var(p) else (p.value if isinstance(p, Term) else p))
+    ends = [None if _is_var(x) else _constant(x) for x in (s, o)]
+    df = graph.scan(None if _is_var(p) else (p.value if isinstance(p, Term) else p), *ends)
     if _is_var(g):
         df = df.where(F.col("g") != "")
     else:
@@ -82,7 +83,7 @@ def triple_pattern(graph: Graph | DataFrame, s, p, o, g: str = "") -> Solutions:
                            ("o", o, F.col("o")), ("g", g, iri_term(F.col("g"), nullable=False))):
         if not _is_var(x):
             if position in "so":
-                df = df.where(_equals(c, _constant(x, position)))
+                df = df.where(_equals(c, _constant(x)))
             continue
         name = var(x)
         if name in cells:  # a repeated variable is an equality
@@ -115,11 +116,11 @@ def _star(graph: Graph, rows: Sequence[tuple]) -> Solutions:
     if _is_var(subject):
         cells[var(subject)] = F.col("s")
     else:
-        df = df.where(_equals(F.col("s"), _constant(subject, "s")))
+        df = df.where(_equals(F.col("s"), _constant(subject)))
     for i, (_, _, o) in enumerate(rows):
         c = F.col(f"o{i}")
         if not _is_var(o):
-            df = df.where(_equals(c, _constant(o, "o")))
+            df = df.where(_equals(c, _constant(o)))
         elif var(o) in cells:
             df = df.where(same_term(cells[var(o)], c))
         else:

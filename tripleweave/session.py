@@ -50,3 +50,10 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the bytes of the Arrow batches that carry file contents to Python, unless the session already does."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, TUNING[key])
