@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .terms import (
     BOOLEAN, DATETIME, DECIMAL, DECIMAL_RANK, DOUBLE_RANK, FLOAT_RANK, INTEGER_RANK, LANG_STRING, RANK_DT, RX_DATETIME,
     RX_INTEGER, RX_OFFSET, STRING, TEXT, XSD, Number, Term, as_number, bnode_term, decimal_text, double_text, dt_class, exact_num,
-    instant, iri_term, is_nan, literal_term, lookup, num, numeric_rank, parse_decimal, parse_double, parse_instant, rank_dt,
+    instant, iri_term, is_nan, literal_term, lookup, num, number_views, numeric_rank, parse_decimal, parse_double, parse_instant, rank_dt,
     same_term, short_dt, term, when_bound,
 )
 
@@ -65,6 +65,8 @@ def _compare(a, b, op) -> Column:
         return F.when(numeric_rank(ta).isNotNull(), _number_test(ta, b, op))
     tb = term(b)
     ca, cb = dt_class(ta), dt_class(tb)
+    if number_views(ta) or number_views(tb):  # a computed number compares with numbers only
+        return F.when((ca >= INTEGER_RANK) & (cb >= INTEGER_RANK), _numbers(ta, tb, ca, cb, op))
     return (F.when((ca >= INTEGER_RANK) & (cb >= INTEGER_RANK), _numbers(ta, tb, ca, cb, op))
             .when((ca == TEXT) & (cb == TEXT), F.when(ta["lang"] == tb["lang"], op(ta["value"], tb["value"])))
             .when((ca == DATETIME) & (cb == DATETIME), op(instant(ta), instant(tb)))
@@ -104,6 +106,9 @@ def eq(a, b) -> Column:
         return F.when(ca >= INTEGER_RANK, _number_test(ta, b, same)).when(ca.isNotNull(), F.lit(False))
     tb = term(b)
     cb = dt_class(tb)
+    if number_views(ta) or number_views(tb):
+        return (F.when((ca >= INTEGER_RANK) & (cb >= INTEGER_RANK), _numbers(ta, tb, ca, cb, same))
+                .when(ca.isNotNull() & cb.isNotNull(), F.lit(False)))
     return (F.when((ca >= INTEGER_RANK) & (cb >= INTEGER_RANK), _numbers(ta, tb, ca, cb, same))
             .when((ca == DATETIME) & (cb == DATETIME), instant(ta) == instant(tb))
             .when((ca == BOOLEAN) & (cb == BOOLEAN), boolean_value(ta) == boolean_value(tb))

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from ..functions.terms import IRI, RDF_TYPE, Lit, lex, literal_term, num
+from ..functions.terms import IRI, RDF_TYPE, bnode_term, lex, num, quoted_triple
 from ..operators import aggregates as agg
 from ..operators.diff import assign_graph, diff_added, diff_changed, diff_removed, graph_stats, merge_tagged
 from ..operators.forms import (
-    ask_form, construct_form, construct_triples, count_results, default_query, describe_form, graph_form, select_form,
+    ask_form, construct_form, construct_triples, count_results, default_query, describe_form, select_form,
 )
-from ..operators.modifiers import desc, distinct, order_by, project, reduced, select_star, slice_, subselect
+from ..operators.modifiers import desc, distinct, order_by, project, reduced, select_star, slice_
 from ..operators.patterns import Solutions, bgp, bind, filter_, join, optional, triple_pattern, union
 from .catalog_patterns import show
 from .model import C, P, graph
@@ -70,17 +70,17 @@ def _positions(ordered: DataFrame) -> DataFrame:
     step = 1 << 33
     rows = ordered.withColumn("id", F.monotonically_increasing_id())
     rows = rows.select(F.col("x").alias("name"), F.expr(f"id div {step}").alias("part"), F.expr(f"id % {step}").alias("at"))
-    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.part") < F.col("a.part"), "left")
-    before = before.groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("skip"))
-    return rows.join(F.broadcast(before), "part").select("name", (F.col("at") + F.col("skip") + 1).alias("pos"))
+    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # one row per partition
+    earlier = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    before = sizes.select("part", F.coalesce(earlier, F.lit(0)).alias("skip"))
+    return rows.join(before, "part").select("name", (F.col("at") + F.col("skip") + 1).alias("pos"))
 
 
 @query("order_by_expr", """
-    SELECT c_name AS name, c_acctbal AS bal FROM customer ORDER BY lower(c_name) DESC LIMIT 100""")
+    SELECT c_name AS name, c_acctbal AS bal FROM customer ORDER BY lower(c_name) DESC""")
 def _(t: Tables):
     a = bgp(graph(t), ("?c", RDF_TYPE, C["customer"]), ("?c", P["name"], "?name"), ("?c", P["acctbal"], "?bal"))
-    a = slice_(order_by(a, desc(X.lcase(X.str_("?name")))), limit=100)
+    a = order_by(a, desc(X.lcase(X.str_("?name"))))
     return a.df.select(lex(F.col("name")).alias("name"), num("?bal").alias("bal"))
 
 
@@ -262,7 +262,6 @@ def _(t: Tables):
 @query("format_term", """
     SELECT '<<urn:nation/' || n_nationkey || ' urn:p/name ' || n_name || '>>' AS t, n_name AS lit, '_:n' || n_nationkey AS b FROM nation""")
 def _(t: Tables):
-    from ..functions.terms import bnode_term, quoted_triple
     rows = graph(t).scan("urn:p/name").where(F.col("s.value").startswith("urn:nation/"))
     label = F.concat(F.lit("n"), F.substring(F.col("s.value"), 12, 20))
     return rows.select(lex(quoted_triple(F.col("s"), F.col("p"), F.col("o"))).alias("t"), lex(F.col("o")).alias("lit"),
