@@ -98,7 +98,8 @@ def order_xml() -> Column:
 
 
 def documents_of(df: DataFrame, key: str, ext: str, text: Column) -> DataFrame:
-    """A files DataFrame with one document per row."""
+    """A files DataFrame with one document per row, spread like files of a scan would be."""
+    df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
     name = F.concat(F.col(key).cast("string"), F.lit("." + ext))
     return df.select(F.concat(F.lit("mem:/"), name).alias("path"), name.alias("filename"), text.cast("binary").alias("content"),
                      F.lit("tables").alias("source"))

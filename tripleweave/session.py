@@ -15,7 +15,6 @@ TUNING = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # file contents travel to the Python parsers in batches of bounded size
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "64",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
     "spark.sql.session.timeZone": "UTC",
 }

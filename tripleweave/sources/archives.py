@@ -23,6 +23,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no
 EXPANDED_DDL = FILES_DDL + ", error string"
 ARROW_SCHEMA = pa.schema([("path", pa.string()), ("filename", pa.string()), ("content", pa.binary()),
                           ("source", pa.string()), ("error", pa.string())])
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 READ_ERRORS = (zipfile.BadZipFile, zlib.error, OSError, EOFError, RuntimeError, NotImplementedError, ValueError)
 
 
@@ -61,33 +62,46 @@ def _expander(archives: Sequence[str], gzips: Sequence[str], wanted: Sequence[st
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_zip, in_gzips, keep = matcher(archives), matcher(gzips), matcher(wanted)
         is_gzip = lambda name: in_gzips(name) or name.endswith((".gz", ".gzip"))
-
-        def row(path, name, content, source, error=None):
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(
-                (path, name, content, source, error), ARROW_SCHEMA.types)], schema=ARROW_SCHEMA)
-
+        rows, held = [], 0
         for batch in batches:
-            for path, name, content, source in zip(*[batch.column(i) for i in range(4)]):
-                path, name, source = path.as_py(), name.as_py(), source.as_py()
-                if is_zip(name):
-                    try:
-                        for at, member, data in _zip_members(path, content.as_py(), keep, is_gzip):
-                            yield row(at, member, data, source)
-                    except READ_ERRORS as e:
-                        yield row(path, name, None, source, f"zip: {e}")
-                elif is_gzip(name):
-                    try:
-                        data = gzip.decompress(content.as_py())
-                    except READ_ERRORS as e:
-                        yield row(path, name, None, source, f"gzip: {e}")
-                        continue
-                    if keep(_inflated_name(name)):
-                        yield row(path + ":decompressed", _inflated_name(name), data, source)
-                else:
-                    yield row(path, name, content.as_py(), source)
+            for path, name, content, source in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+                for row in _expand_one(path, name, content, source, is_zip, is_gzip, keep):
+                    rows.append(row)
+                    held += len(row[2] or b"")
+                    if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
+                        yield _as_batch(rows)
+                        held = 0
+        if rows:
+            yield _as_batch(rows)
     return expand
 
 
+def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows), ARROW_SCHEMA.types)]
+    rows.clear()
+    return pa.RecordBatch.from_arrays(columns, schema=ARROW_SCHEMA)
+
+
+def _expand_one(path, name, content, source, is_zip, is_gzip, keep) -> Iterator[tuple]:
+    """Rows of one file; what cannot be read is one row with an error."""
+    if is_zip(name):
+        try:
+            for at, member, data in _zip_members(path, content, keep, is_gzip):
+                yield at, member, data, source, None
+        except READ_ERRORS as e:
+            yield path, name, None, source, f"zip: {e}"
+    elif is_gzip(name):
+        try:
+            data = gzip.decompress(content)
+        except READ_ERRORS as e:
+            yield path, name, None, source, f"gzip: {e}"
+            return
+        if keep(_inflated_name(name)):
+            yield path + ":decompressed", _inflated_name(name), data, source, None
+    else:
+        yield path, name, content, source, None
+
+
 def expand_archives(files: DataFrame, archive_patterns: Sequence[str] = ("*.zip",),
                     gzip_patterns: Sequence[str] = ("*.gz", "*.gzip"),
                     patterns: Sequence[str] = DEFAULT_PATTERNS, rebalance: bool = True) -> DataFrame:

@@ -47,74 +47,74 @@ def resolve_base(filename: Column, base_iri: str = BASE_IRI, base_mode: str = "p
 
 
 class _Rows:
-    """Column lists of one document, handed on as Arrow batches."""
-
-    def __init__(self, file: str):
-        self.file, self.cells = file, [[] for _ in range(8)]
-        self.sk, self.sv, self.p, self.ok, self.ov, self.od, self.ol, self.g = self.cells
-
-    def add(self, s, p, o, g=""):
-        self.sk.append(s[0])
-        self.sv.append(s[1])
-        self.p.append(p)
-        self.ok.append(o[0])
-        self.ov.append(o[1])
-        literal = len(o) == 4
-        self.od.append(o[2] if literal else "")
-        self.ol.append(o[3] if literal else "")
-        self.g.append(g)
-
-    def batch(self) -> pa.RecordBatch:
-        n, none = len(self.p), pa.scalar(None, pa.string())
-        columns = [pa.array(c, pa.string()) for c in self.cells] + [pa.repeat(pa.scalar(self.file), n)]
-        columns += [pa.repeat(none, n)] * 3
-        for c in self.cells:
-            c.clear()
-        return pa.RecordBatch.from_arrays(columns, schema=ARROW_SCHEMA)
-
-
-def _single(file: str, **known) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist([{"file": file, **known}], schema=ARROW_SCHEMA)
-
-
-def _lines(file: str, data: bytes, fmt: str) -> pa.RecordBatch:
-    lines = data.decode("utf-8").replace("\r\n", "\n").replace("\r", "\n").split("\n")
-    n = len(lines)
-    columns = {"file": pa.repeat(pa.scalar(file), n), "line": pa.array(lines), "format": pa.repeat(pa.scalar(fmt), n)}
-    none = pa.repeat(pa.scalar(None, pa.string()), n)
-    return pa.RecordBatch.from_arrays([columns.get(c, none) for c in FLAT_NAMES], schema=ARROW_SCHEMA)
-
-
-def _document(file: str, data: bytes, fmt: str, base: str, scope: str) -> Iterator[pa.RecordBatch]:
+    """What the documents of a task gave so far: triples, and lines that Catalyst still has to parse (or errors)."""
+
+    def __init__(self):
+        self.triples: list[tuple] = []  # (subject, predicate, object, graph); terms are (kind, value, datatype, language)
+        self.ends: list[tuple[str, int]] = []  # file and number of triples up to its end
+        self.lines: list[tuple] = []  # (file, line, format, error)
+
+    def end_file(self, file: str):
+        if len(self.triples) > (self.ends[-1][1] if self.ends else 0):
+            self.ends.append((file, len(self.triples)))
+
+    def batches(self, file: str | None = None, least: int = 1) -> Iterator[pa.RecordBatch]:
+        """Hand over what is there, if it is worth a batch; ``file`` is the one being read."""
+        if len(self.triples) >= least:
+            if file is not None:
+                self.end_file(file)
+            sk, sv, _, _ = zip(*[t[0] for t in self.triples])
+            ok, ov, od, ol = zip(*[t[2] for t in self.triples])
+            files, start = [], 0
+            for name, end in self.ends:
+                files.extend([name] * (end - start))
+                start = end
+            known = dict(sk=sk, sv=sv, p=[t[1] for t in self.triples], ok=ok, ov=ov, od=od, ol=ol,
+                         g=[t[3] for t in self.triples], file=files)
+            yield _batch(len(files), known)
+            self.triples.clear()
+            self.ends.clear()
+        if len(self.lines) >= least:
+            yield _batch(len(self.lines), dict(zip(("file", "line", "format", "error"), zip(*self.lines))))
+            self.lines.clear()
+
+
+def _batch(n: int, known: dict) -> pa.RecordBatch:
+    none = pa.nulls(n, pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(known[c], pa.string()) if c in known else none for c in FLAT_NAMES],
+                                      schema=ARROW_SCHEMA)
+
+
+def _document(rows: _Rows, file: str, data: bytes, fmt: str, base: str, scope: str):
+    """Read one document into ``rows``; pauses often enough for the caller to empty them."""
     if fmt in ("ntriples", "nquads"):
-        yield _lines(file, data, fmt)
-        return
-    rows = _Rows(file)
-    parser = (rdfxml.parse(data, base, scope, rows.add) if fmt == "rdfxml"
-              else turtle.parse(data, base, scope, rows.add, graphs=fmt == "trig"))
-    for _ in parser:
-        if len(rows.p) >= BATCH_TRIPLES:
-            yield rows.batch()
-    if rows.p:
-        yield rows.batch()
+        text = data.decode("utf-8").replace("\r\n", "\n").replace("\r", "\n")
+        rows.lines.extend((file, line, fmt, None) for line in text.split("\n"))
+    elif fmt == "rdfxml":
+        yield from rdfxml.parse(data, base, scope, rows.triples.append)
+    else:
+        yield from turtle.parse(data, base, scope, rows.triples.append, graphs=fmt == "trig")
 
 
 def _parser(failfast: bool):
     def parse_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _Rows()
         for batch in batches:
             for file, data, fmt, base in zip(*[batch.column(i) for i in range(4)]):
                 file = file.as_py()
-                scope = hashlib.sha1(file.encode()).hexdigest()[:20]
-                parts = _document(file, data.as_py(), fmt.as_py(), base.as_py(), scope)
+                scope, before = hashlib.sha1(file.encode()).hexdigest()[:20], len(rows.triples)
                 try:
-                    if failfast:
-                        yield from parts
-                    else:  # all of a document or none of it
-                        yield from list(parts)
+                    for _ in _document(rows, file, data.as_py(), fmt.as_py(), base.as_py(), scope):
+                        if failfast and len(rows.triples) >= BATCH_TRIPLES:
+                            yield from rows.batches(file)
                 except (ExpatError, RdfError, UnicodeDecodeError, RecursionError) as e:
                     if failfast:
                         raise ValueError(f"{file}: {e}") from e
-                    yield _single(file, error=str(e))
+                    del rows.triples[before:]  # all of a document or none of it
+                    rows.lines.append((file, None, None, str(e)))
+                rows.end_file(file)
+                yield from rows.batches(least=BATCH_TRIPLES)
+        yield from rows.batches()
     return parse_files
 
 
@@ -131,12 +131,13 @@ def ingest(files: DataFrame, base_iri: str = BASE_IRI, base_mode: str = "per_fil
                         resolve_base(F.col("filename"), base_iri, base_mode).alias("base"))
     flat = jobs.mapInArrow(_parser(mode == "failfast"), FLAT_DDL)
     flat = flat.where(F.col("line").isNull() | ~F.col("line").rlike(RX_BLANK))
-    parsed = parse_line(F.col("line"), F.col("format") == "nquads", F.substring(F.sha1("file"), 1, 20))
-    rows = flat.withColumn("q", F.when(F.col("line").isNotNull(), parsed))
-    pick = lambda name: F.when(F.col("line").isNotNull(), F.col(f"q.{name}")).otherwise(F.col(name))
-    error = F.coalesce(F.col("error"), F.when(F.col("line").isNotNull() & F.col("q.p").isNull(), F.concat(F.lit("bad line: "), "line")))
-    rows = rows.select(*[pick(c).alias(c) for c in FLAT_NAMES[:8]], "file", error.alias("error"))
-    return _finish(rows, mode)
+    quads, is_line = F.col("format") == "nquads", F.col("line").isNotNull()
+    rows = flat.withColumn("cut", F.when(is_line, cut_line(F.col("line"), True)))
+    fields = line_fields(F.col("cut"), F.substring(F.sha1("file"), 1, 20))
+    picked = [F.when(is_line, f).otherwise(F.col(n)).alias(n) for n, f in fields.items()]
+    valid = F.when(quads, line_ok(F.col("line"), True)).otherwise(line_ok(F.col("line"), False))
+    error = F.coalesce(F.col("error"), F.when(is_line & ~valid, F.concat(F.lit("bad line: "), "line")))
+    return _finish(rows.select(*picked, "file", error.alias("error")), mode)
 
 
 def _finish(rows: DataFrame, mode: str) -> DataFrame:
@@ -146,16 +147,19 @@ def _finish(rows: DataFrame, mode: str) -> DataFrame:
     if mode == "failfast":  # as a filter, so that no column pruning can lose the check
         stop = F.raise_error(F.concat(F.col("file"), F.lit(": "), F.col("error"))).cast("boolean")
         return rows.where(F.when(good, True).otherwise(stop)).select(s.alias("s"), "p", o.alias("o"), "g", "file")
-    return rows.select(F.when(good, s).alias("s"), "p", F.when(good, o).alias("o"), "g", "file", "error")
+    return rows.select(F.when(good, s).alias("s"), F.when(good, F.col("p")).alias("p"), F.when(good, o).alias("o"),
+                       F.when(good, F.col("g")).alias("g"), "file", "error")
 
 
 # --- line formats, in Catalyst ------------------------------------------------------------------------
 
 # The grammar of a line, as one pattern.  Possessive loops keep long literals off the Java stack.
 RX_BLANK = r"^\s*(#.*)?$"
-RX_LINE = (r'^\s*(?:<([^<>"{}|^`\s]*+)>|_:([^\s<>"]+?))\s*<([^<>"{}|^`\s]*+)>\s*'
-           r'(?:<([^<>"{}|^`\s]*+)>|_:([^\s<>"]+?)|"([^"\\]*+(?:\\.[^"\\]*+)*+)"(?:\^\^<([^<>"\s]*+)>|@([A-Za-z]+(?:-[A-Za-z0-9]+)*+))?+)'
-           r'\s*(?:<([^<>"{}|^`\s]*+)>|_:([^\s<>"]+?))?\s*\.\s*(?:#.*)?$')
+RX_NODE = r'(?:<([^<>"{}|^`\s]*+)>|_:([^\s<>"]+?))'
+RX_TRIPLE = (r'^\s*' + RX_NODE + r'\s*<([^<>"{}|^`\s]*+)>\s*(?:<([^<>"{}|^`\s]*+)>|_:([^\s<>"]+?)|'
+             r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"(?:\^\^<([^<>"\s]*+)>|@([A-Za-z]+(?:-[A-Za-z0-9]+)*+))?+)')
+RX_END = r'\s*\.\s*(?:#.*)?$'
+RX_LINE = {False: RX_TRIPLE + RX_END, True: RX_TRIPLE + r'\s*' + RX_NODE + "?" + RX_END}
 SEP = "\u0001"
 
 
@@ -169,37 +173,47 @@ def _unescape(s: Column) -> Column:
     return F.when(s.contains("\\"), F.from_json(body, "v string")["v"]).otherwise(s)
 
 
-def parse_line(line: Column, quads: Column, scope: Column) -> Column:
-    """Flat fields of one N-Triples or N-Quads line as a struct; all NULL if the line is malformed.
+def line_ok(line: Column, quads: bool) -> Column:
+    return line.rlike(RX_LINE[quads])
+
 
-    The pattern runs once per line; its groups are cut apart at a control character, the literal text last.
+def cut_line(line: Column, quads: bool) -> Column:
+    """The groups of a valid line as an array: matched once, cut apart at a control character, the literal text last.
+
+    Keep the result in a column of its own: all fields are read from it.
     """
-    groups = [1, 2, 3, 4, 5, 7, 8, 9, 10, 6]
-    cut = F.split(F.regexp_replace(line, RX_LINE, "=" + SEP + SEP.join(f"${g}" for g in groups)), SEP, 11)
-    # an unchanged line is no match: the marker in front tells, as no line of these formats starts with '='
-    ok = (F.size(cut) == 11) & (cut[0] == "=") & (quads | ((cut[8] == "") & (cut[9] == "")))
-    s_iri, s_blank, p, o_iri, o_blank, dt, tag, g_iri, g_blank, text = [cut[i] for i in range(1, 11)]
+    groups = [1, 2, 3, 4, 5, 7, 8, *([9, 10] if quads else []), 6]
+    return F.split(F.regexp_replace(line, RX_LINE[quads], SEP.join(f"${g}" for g in groups)), SEP, len(groups))
+
+
+def line_fields(cut: Column, scope: Column, quads: bool = True) -> dict[str, Column]:
+    """Flat term fields of a cut N-Triples or N-Quads line."""
+    s_iri, s_blank, p, o_iri, o_blank, dt, tag = [F.get(cut, F.lit(i)) for i in range(7)]
+    text = F.get(cut, F.lit(9 if quads else 7))
+    g_iri, g_blank = F.get(cut, F.lit(7)), F.get(cut, F.lit(8))
     label = lambda x: F.concat(scope, F.lit("n"), x)
     literal = (o_iri == "") & (o_blank == "")
     short = (F.when(dt.startswith(XSD), F.concat(F.lit("xsd:"), F.substring(dt, len(XSD) + 1, 1 << 20)))
              .when(dt == RDF + "langString", LANG_STRING).otherwise(dt))
-    return F.when(ok, F.struct(
-        F.when(s_iri != "", "iri").otherwise("bnode").alias("sk"),
-        F.when(s_iri != "", _unescape(s_iri)).otherwise(label(s_blank)).alias("sv"),
-        _unescape(p).alias("p"),
-        F.when(literal, "lit").when(o_iri != "", "iri").otherwise("bnode").alias("ok"),
-        F.when(literal, _unescape(text)).when(o_iri != "", _unescape(o_iri)).otherwise(label(o_blank)).alias("ov"),
-        F.when(tag != "", LANG_STRING).when(dt != "", short).when(literal, STRING).otherwise("").alias("od"),
-        F.lower(tag).alias("ol"),
-        F.when(g_iri != "", _unescape(g_iri)).when(g_blank != "", F.concat(F.lit("_:"), label(g_blank))).otherwise("").alias("g")))
+    return {
+        "sk": F.when(s_iri != "", "iri").otherwise("bnode"),
+        "sv": F.when(s_iri != "", _unescape(s_iri)).otherwise(label(s_blank)),
+        "p": _unescape(p),
+        "ok": F.when(literal, "lit").when(o_iri != "", "iri").otherwise("bnode"),
+        "ov": F.when(literal, _unescape(text)).when(o_iri != "", _unescape(o_iri)).otherwise(label(o_blank)),
+        "od": F.when(tag != "", LANG_STRING).when(dt != "", short).when(literal, STRING).otherwise(""),
+        "ol": F.lower(tag),
+        "g": F.lit("") if not quads else F.when(g_iri != "", _unescape(g_iri)).when(g_blank != "", F.concat(F.lit("_:"), label(g_blank))).otherwise(""),
+    }
 
 
 def ingest_lines(lines: DataFrame, quads: bool, mode: str = "failfast") -> DataFrame:
     """Triples of a DataFrame ``line, file`` of N-Triples (or N-Quads) lines; pure Catalyst, so any split works."""
-    body = lines.where(~F.col("line").rlike(RX_BLANK))
-    body = body.select("file", "line", parse_line(F.col("line"), F.lit(quads), F.substring(F.sha1("file"), 1, 20)).alias("q"))
-    error = F.when(F.col("q").isNull(), F.concat(F.lit("bad line: "), "line"))
-    return _finish(body.select("q.*", "file", error.alias("error")), mode)
+    line = F.col("line")
+    error = F.when(~line_ok(line, quads), F.concat(F.lit("bad line: "), line))
+    body = lines.where(~line.rlike(RX_BLANK)).withColumns({"error": error, "cut": cut_line(line, quads)})
+    fields = line_fields(F.col("cut"), F.substring(F.sha1("file"), 1, 20), quads)
+    return _finish(body.select(*[f.alias(n) for n, f in fields.items()], "file", "error"), mode)
 
 
 def _text_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:

@@ -1,8 +1,8 @@
 """RDF/XML reader for one document, used inside ingest tasks.
 
 The XML parser calls back on start, text and end; a stack of frames follows the striped syntax (node element,
-property element, node element, ...).  Triples go to a ``emit(subject, predicate, object)`` callback as plain
-tuples: a node is ``(kind, value)``, a literal ``("lit", text, datatype, language)``.
+property element, node element, ...).  Triples go to an ``emit`` callback as plain tuples ``(subject, predicate,
+object, graph)`` whose terms are ``(kind, value, datatype, language)``.
 """
 
 from __future__ import annotations
@@ -40,6 +40,17 @@ def short_datatype(dt: str) -> str:
     return "xsd:" + dt[len(XSD_NS):] if dt.startswith(XSD_NS) else dt
 
 
+def iri_node(value: str):
+    return ("iri", value, "", "")
+
+
+def blank_node(label: str):
+    return ("bnode", label, "", "")
+
+
+TYPE, NIL, STATEMENT = RDF_NS + "type", iri_node(RDF_NS + "nil"), iri_node(RDF_NS + "Statement")
+
+
 class Frame:
     """One open element.  ``role`` is doc, node, prop, list (parseType Collection), or xml (parseType Literal)."""
 
@@ -72,14 +83,14 @@ def parse(data: bytes, base: str, scope: str, emit):
 
     def fresh():
         state["fresh"] += 1
-        return ("bnode", f"{scope}g{state['fresh']}")
+        return blank_node(f"{scope}g{state['fresh']}")
 
     def own_id(base: str, name: str):
         at = resolve(base, "#" + name)
         if at in ids:
             raise RdfError(f"rdf:ID used twice: {name}")
         ids.add(at)
-        return ("iri", at)
+        return iri_node(at)
 
     def split_attributes(attrs, top):
         """RDF syntax attributes by local name, property attributes, and the base and language in force."""
@@ -102,21 +113,21 @@ def parse(data: bytes, base: str, scope: str, emit):
 
     def property_attributes(subject, props, base, lang):
         for p, value in props:
-            emit(subject, p, ("iri", resolve(base, value)) if p == RDF_NS + "type" else text_object(value, lang))
+            emit((subject, p, iri_node(resolve(base, value)) if p == TYPE else text_object(value, lang), ""))
 
     def start_node(name, attrs, top):
         rdf, props, base, lang = split_attributes(attrs, top)
         if "about" in rdf:
-            subject = ("iri", resolve(base, rdf["about"]))
+            subject = iri_node(resolve(base, rdf["about"]))
         elif "ID" in rdf:
             subject = own_id(base, rdf["ID"])
         elif "nodeID" in rdf:
-            subject = ("bnode", f"{scope}n{rdf['nodeID']}")
+            subject = blank_node(f"{scope}n{rdf['nodeID']}")
         else:
             subject = fresh()
         kind = iri(name)
         if kind != RDF_NS + "Description":
-            emit(subject, RDF_NS + "type", ("iri", kind))
+            emit((subject, TYPE, iri_node(kind), ""))
         property_attributes(subject, props, base, lang)
         if top.role == "list":
             top.items.append(subject)
@@ -148,34 +159,35 @@ def parse(data: bytes, base: str, scope: str, emit):
         elif how is not None:
             frame.role, state["depth"] = "xml", 0
         elif "resource" in rdf or "nodeID" in rdf or props:
-            frame.object = (("iri", resolve(base, rdf["resource"])) if "resource" in rdf else
-                            ("bnode", f"{scope}n{rdf['nodeID']}") if "nodeID" in rdf else fresh())
+            frame.object = (iri_node(resolve(base, rdf["resource"])) if "resource" in rdf else
+                            blank_node(f"{scope}n{rdf['nodeID']}") if "nodeID" in rdf else fresh())
             property_attributes(frame.object, props, base, lang)
         stack.append(frame)
 
     def finish(frame, obj):
-        emit(frame.subject, frame.predicate, obj)
+        emit((frame.subject, frame.predicate, obj, ""))
         if frame.reify is not None:
-            emit(frame.reify, RDF_NS + "type", ("iri", RDF_NS + "Statement"))
-            emit(frame.reify, RDF_NS + "subject", frame.subject)
-            emit(frame.reify, RDF_NS + "predicate", ("iri", frame.predicate))
-            emit(frame.reify, RDF_NS + "object", obj)
+            emit((frame.reify, TYPE, STATEMENT, ""))
+            emit((frame.reify, RDF_NS + "subject", frame.subject, ""))
+            emit((frame.reify, RDF_NS + "predicate", iri_node(frame.predicate), ""))
+            emit((frame.reify, RDF_NS + "object", obj, ""))
 
     def end_property(frame):
+        text = frame.text[0] if len(frame.text) == 1 else "".join(frame.text)
         if frame.role == "xml":
-            finish(frame, ("lit", "".join(frame.text), RDF_NS + "XMLLiteral", ""))
+            finish(frame, ("lit", text, RDF_NS + "XMLLiteral", ""))
         elif frame.role == "list":
-            cells = [fresh() for _ in frame.items]
-            finish(frame, cells[0] if cells else ("iri", RDF_NS + "nil"))
-            for i, (cell, item) in enumerate(zip(cells, frame.items)):
-                emit(cell, RDF_NS + "first", item)
-                emit(cell, RDF_NS + "rest", cells[i + 1] if i + 1 < len(cells) else ("iri", RDF_NS + "nil"))
+            cells = [fresh() for _ in frame.items] + [NIL]
+            finish(frame, cells[0])
+            for i, item in enumerate(frame.items):
+                emit((cells[i], RDF_NS + "first", item, ""))
+                emit((cells[i], RDF_NS + "rest", cells[i + 1], ""))
         elif frame.object is not None:
-            if "".join(frame.text).strip():
+            if text.strip():
                 raise RdfError(f"text beside a node in {frame.predicate}")
             finish(frame, frame.object)
         else:
-            finish(frame, text_object("".join(frame.text), frame.lang, frame.datatype))
+            finish(frame, text_object(text, frame.lang, frame.datatype))
 
     def on_start(name, attrs):
         top = stack[-1]

@@ -7,7 +7,7 @@ import sys
 
 from pyspark import cloudpickle
 
-from .rdfxml import RDF_NS, RdfError, resolve, short_datatype
+from .rdfxml import NIL, RDF_NS, TYPE, RdfError, blank_node, iri_node, resolve, short_datatype
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -75,7 +75,7 @@ class Reader:
 
     def fresh(self):
         self.fresh_count += 1
-        return ("bnode", f"{self.scope}g{self.fresh_count}")
+        return blank_node(f"{self.scope}g{self.fresh_count}")
 
     def statements(self):
         """Read everything; pauses after each statement."""
@@ -129,11 +129,11 @@ class Reader:
         while True:
             if self.kind == "word" and self.token == "a":
                 self.advance()
-                p = RDF_NS + "type"
+                p = TYPE
             else:
                 p = self.iri()[1]
             while True:
-                self.emit(subject, p, self.object(), self.g)
+                self.emit((subject, p, self.object(), self.g))
                 if not self.take(","):
                     break
             if not self.take(";"):
@@ -147,20 +147,20 @@ class Reader:
         kind, token = self.kind, self.token
         if kind == "iri":
             self.advance()
-            return ("iri", resolve(self.base, _unescape(token[1:-1])))
+            return iri_node(resolve(self.base, _unescape(token[1:-1])))
         if kind == "name":
             prefix, _, local = token.partition(":")
             if prefix not in self.prefixes:
                 raise RdfError(f"unknown prefix {prefix!r}")
             self.advance()
-            return ("iri", self.prefixes[prefix] + re.sub(r"\\(.)", r"\1", local))
+            return iri_node(self.prefixes[prefix] + re.sub(r"\\(.)", r"\1", local))
         raise RdfError(f"expected an IRI, found {token!r}")
 
     def node(self):
         if self.kind == "bnode":
             label = self.token[2:]
             self.advance()
-            return ("bnode", f"{self.scope}n{label}")
+            return blank_node(f"{self.scope}n{label}")
         if self.take("["):
             node = self.fresh()
             if not self.take("]"):
@@ -172,17 +172,17 @@ class Reader:
         if self.take("<<"):
             s, p, o = self.node(), self.iri(), self.object()
             self.need(">>")
-            return ("triple", f"<<{shown(s)} {shown(p)} {shown(o)}>>")
+            return ("triple", f"<<{shown(s)} {shown(p)} {shown(o)}>>", "", "")
         return self.iri()
 
     def collection(self):
         items = []
         while not self.take(")"):
             items.append(self.object())
-        cells = [self.fresh() for _ in items] + [("iri", RDF_NS + "nil")]
+        cells = [self.fresh() for _ in items] + [NIL]
         for i, item in enumerate(items):
-            self.emit(cells[i], RDF_NS + "first", item, self.g)
-            self.emit(cells[i], RDF_NS + "rest", cells[i + 1], self.g)
+            self.emit((cells[i], RDF_NS + "first", item, self.g))
+            self.emit((cells[i], RDF_NS + "rest", cells[i + 1], self.g))
         return cells[0]
 
     def object(self):
@@ -208,5 +208,5 @@ class Reader:
 
 
 def parse(data: bytes, base: str, scope: str, emit, graphs: bool = False):
-    """Parse one document; ``emit(subject, predicate, object, graph)``.  Pauses after each statement."""
+    """Parse one document; ``emit`` gets tuples as in :mod:`.rdfxml`.  Pauses after each statement."""
     yield from Reader(data.decode("utf-8"), base, scope, emit, graphs).statements()
