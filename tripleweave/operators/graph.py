@@ -9,10 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.terms import RDF_TYPE, Term, iri_term, literal_term
+from ..functions.terms import RDF_TYPE, Term
 
 TRIPLE_COLUMNS = ["s", "p", "o", "g"]
 
@@ -65,27 +65,34 @@ class FunctionalGraph(Graph):
         return wide.where(reduce(lambda a, b: a & b, [F.col(f"o{i}").isNotNull() for i in range(len(names))]))
 
 
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def term_sql(kind: str, value: str, dt: str = "") -> str:
+    """SQL text of a term whose value is a SQL expression and whose other fields are constants."""
+    return f"named_struct('kind', '{kind}', 'value', {value}, 'dt', {_text(dt)}, 'lang', '')"
+
+
 class TableMap:
     """How one table becomes triples: ``urn:<cls>/<key>`` subjects, one predicate per column.
 
-    ``literals`` maps a predicate to ``(column, datatype)``, ``refs`` maps a predicate to
+    ``literals`` maps a predicate to ``(SQL expression, datatype)``, ``refs`` maps a predicate to
     ``(column, class of the target)``.  Without a unique ``key`` the subject is a digest of the whole row and
     equal rows are one subject, as equal triples are one triple.
     """
 
     def __init__(self, source: DataFrame | Callable[[], DataFrame], cls: str, key: str | None,
-                 literals: Mapping[str, tuple[str | Column, str]] = {}, refs: Mapping[str, tuple[str, str]] = {}):
+                 literals: Mapping[str, tuple[str, str]] = {}, refs: Mapping[str, tuple[str, str]] = {}):
         self.cls, self._source, self._keyless = cls, source, key is None
-        self.subject = iri_term(F.concat(F.lit(f"urn:{cls}/"), F.col(key or "_key").cast("string")), nullable=False)
-        self.objects: dict[str, tuple[Column, Column]] = {}
-        self.ranges: dict[str, tuple[str, str]] = {RDF_TYPE: ("iri", self.class_iri)}
-        for p, (c, dt) in literals.items():
-            value = F.col(c) if isinstance(c, str) else c
-            self.objects[p] = (value.isNotNull(), literal_term(value.cast("string"), dt, nullable=False))
+        self.subject = term_sql("iri", f"concat('urn:{cls}/', cast({key or '_key'} as string))")
+        self.ranges = {RDF_TYPE: ("iri", self.class_iri)}  # what a predicate's objects can be
+        self.objects = {RDF_TYPE: ("true", term_sql("iri", _text(self.class_iri)))}  # presence test and object
+        for p, (value, dt) in literals.items():
+            self.objects[p] = (f"{value} IS NOT NULL", term_sql("lit", f"cast({value} as string)", dt))
             self.ranges[p] = ("lit", dt)
-        for p, (c, target) in refs.items():
-            value = F.concat(F.lit(f"urn:{target}/"), F.col(c).cast("string"))
-            self.objects[p] = (F.col(c).isNotNull(), iri_term(value, nullable=False))
+        for p, (column, target) in refs.items():
+            self.objects[p] = (f"{column} IS NOT NULL", term_sql("iri", f"concat('urn:{target}/', cast({column} as string))"))
             self.ranges[p] = ("iri", f"urn:{target}/")
 
     @cached_property
@@ -101,9 +108,6 @@ class TableMap:
     def class_iri(self) -> str:
         return f"urn:class/{self.cls}"
 
-    def predicates(self) -> list[str]:
-        return [RDF_TYPE, *self.objects]
-
     def can_hold(self, p: str, s: Term | None, o: Term | None) -> bool:
         """Whether a triple of ``p`` with these ends can come from this table."""
         if s is not None and not (s.kind == "iri" and s.value.startswith(f"urn:{self.cls}/")):
@@ -112,12 +116,13 @@ class TableMap:
         return o is None or o.kind == kind and (o.dt == of if kind == "lit" else o.value.startswith(of))
 
     def triples(self, p: str) -> DataFrame:
-        if p == RDF_TYPE:
-            present, obj = F.lit(True), iri_term(F.lit(self.class_iri), nullable=False)
-        else:
-            present, obj = self.objects[p]
-        return self.df.where(present).select(
-            self.subject.alias("s"), F.lit(p).alias("p"), obj.alias("o"), F.lit("").alias("g"))
+        present, obj = self.objects[p]
+        return self.df.where(present).selectExpr(f"{self.subject} AS s", f"{_text(p)} AS p", f"{obj} AS o", "'' AS g")
+
+    def star(self, names: Sequence[str]) -> DataFrame:
+        present = " AND ".join(f"({self.objects[p][0]})" for p in names)
+        return self.df.where(present).selectExpr(
+            f"{self.subject} AS s", *[f"{self.objects[p][1]} AS o{i}" for i, p in enumerate(names)])
 
 
 class TableGraph(Graph):
@@ -139,7 +144,7 @@ class TableGraph(Graph):
         return self.scan()
 
     def scan(self, p=None, s=None, o=None) -> DataFrame:
-        parts = [m.triples(q) for m in self.maps for q in m.predicates() if p in (None, q) and m.can_hold(q, s, o)]
+        parts = [m.triples(q) for m in self.maps for q in m.objects if p in (None, q) and m.can_hold(q, s, o)]
         if not parts:
             return self.maps[0].triples(RDF_TYPE).where(F.lit(False))
         return reduce(DataFrame.unionByName, parts)
@@ -149,26 +154,14 @@ class TableGraph(Graph):
 
     def star(self, wanted):
         names = {p for p, _ in wanted}
-        homes = [m for m in self.maps if names <= set(m.predicates())]
+        homes = [m for m in self.maps if names <= set(m.objects)]
         for p, o in wanted:
             if p == RDF_TYPE and isinstance(o, Term):
                 homes = [m for m in homes if m.class_iri == o.value]
         if not homes:
             nothing = self.scan(RDF_TYPE).where(F.lit(False))
             return nothing.select("s", *[F.col("o").alias(f"o{i}") for i in range(len(wanted))])
-        return reduce(DataFrame.unionByName, [self._star_rows(m, [p for p, _ in wanted]) for m in homes])
-
-    @staticmethod
-    def _star_rows(m: TableMap, names: Sequence[str]) -> DataFrame:
-        cells, present = [], F.lit(True)
-        for i, p in enumerate(names):
-            if p == RDF_TYPE:
-                cells.append(iri_term(F.lit(m.class_iri), nullable=False).alias(f"o{i}"))
-            else:
-                ok, obj = m.objects[p]
-                present = present & ok
-                cells.append(obj.alias(f"o{i}"))
-        return m.df.where(present).select(m.subject.alias("s"), *cells)
+        return reduce(DataFrame.unionByName, [m.star([p for p, _ in wanted]) for m in homes])
 
 
 def as_graph(g: Graph | DataFrame) -> Graph:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.terms import Lit, Term, TERM_TYPE, iri_term, native_term, same_term, term
+from ..functions.terms import Lit, Term, TERM_TYPE, iri_term, native_term, same_columns, same_term, term
 from .graph import Graph, as_graph
 
 BROADCAST_ROWS = 10_000
@@ -156,10 +156,11 @@ def _same_types(a: Solutions, b: Solutions) -> tuple[Solutions, Solutions]:
                  for x in (a, b))
 
 
-def _same(v: str, left: Column, right: Column, a: Solutions, b: Solutions) -> Column:
-    if isinstance(a.types[v], T.StructType):
-        return same_term(left, right, node=v in a.nodes or v in b.nodes)
-    return left == right
+def _same(shared: Sequence[str], a: Solutions, b: Solutions) -> Column:
+    """Join condition on shared variables that are bound on both sides."""
+    conds = [same_columns(v, _right(v), node=v in a.nodes or v in b.nodes) if isinstance(a.types[v], T.StructType)
+             else F.expr(f"`{v}` = `{_right(v)}`") for v in shared]
+    return reduce(lambda x, y: x & y, conds)
 
 
 def _renamed(b: Solutions, names: Sequence[str], extra: Sequence[Column] = ()) -> DataFrame:
@@ -202,7 +203,7 @@ def join(a: Solutions, b: Solutions, hot_keys: bool = False) -> Solutions:
         return cross_join(a, b)
     if all(v in a.certain and v in b.certain for v in shared):
         right = _renamed(b, shared)
-        cond = reduce(lambda x, y: x & y, [_same(v, F.col(v), F.col(_right(v)), a, b) for v in shared])
+        cond = _same(shared, a, b)
         if hot_keys:
             df = _spread(a, b, shared, right, cond)
         else:
@@ -320,7 +321,7 @@ def optional(a: Solutions, b: Solutions, on: Column | None = None) -> Solutions:
         df = a.df.join(F.broadcast(b.df), F.lit(True) if on is None else on, "left")
         return Solutions(df.select(*_out(a, b, shared, False)), a.certain, nodes)
     if all(v in a.certain and v in b.certain for v in shared):
-        cond = reduce(lambda x, y: x & y, [_same(v, F.col(v), F.col(_right(v)), a, b) for v in shared])
+        cond = _same(shared, a, b)
         right = _hint(b, _renamed(b, shared))
         df = a.df.join(right, cond if on is None else cond & on, "left").select(*_out(a, b, shared, False))
         return Solutions(df, a.certain, nodes)
@@ -391,7 +392,7 @@ def _semi(a: Solutions, b: Solutions, how: str) -> Solutions:
         return a.with_df(a.df.join(F.broadcast(some), F.col("_some"), how))
     if all(v in a.certain and v in b.certain for v in shared):
         right = b.df.select(*[F.col(v).alias(_right(v)) for v in shared])
-        cond = reduce(lambda x, y: x & y, [_same(v, F.col(v), F.col(_right(v)), a, b) for v in shared])
+        cond = _same(shared, a, b)
         return a.with_df(a.df.join(_hint(b, right), cond, how))
     return a.with_df(_compat_filter(a, b, shared, how, allow_empty=True))
 
@@ -410,7 +411,7 @@ def _semi_on(a: Solutions, b: Solutions, on: Column, how: str) -> Solutions:
     shared = _shared(a, b)
     if not shared or not all(v in a.certain and v in b.certain for v in shared):
         raise ValueError("a correlated filter in EXISTS needs shared variables that are always bound")
-    cond = reduce(lambda x, y: x & y, [_same(v, F.col(v), F.col(_right(v)), a, b) for v in shared])
+    cond = _same(shared, a, b)
     return a.with_df(a.df.join(_renamed(b, shared), cond & on, how))
 
 
@@ -421,7 +422,7 @@ def exists_value(a: Solutions, b: Solutions, name: str) -> Solutions:
     if not shared or not all(v in a.certain and v in b.certain for v in shared):
         raise ValueError("EXISTS as a value needs shared variables that are always bound")
     keys = b.df.select(*[F.col(v).alias(_right(v)) for v in shared]).distinct().withColumn("_found", F.lit(True))
-    cond = reduce(lambda x, y: x & y, [_same(v, F.col(v), F.col(_right(v)), a, b) for v in shared])
+    cond = _same(shared, a, b)
     df = a.df.join(keys, cond, "left").select(*a.vars, F.col("_found").isNotNull().alias(name))
     return Solutions(df, a.certain | {name}, a.nodes, a.max_rows)
 

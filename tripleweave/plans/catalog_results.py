@@ -296,7 +296,7 @@ def versions(t: Tables) -> DataFrame:
                          .otherwise(F.col("o_totalprice")))
 
     def triples(df, iri):
-        g = graph(Tables(t.spark, t.folder))
+        g = graph(t)
         m = next(m for m in g.maps if m.cls == "order")
         m.df = df
         return assign_graph(g.scan(RDF_TYPE, o=C["order"]).unionByName(g.scan("urn:p/total")).unionByName(g.scan("urn:p/priority"))

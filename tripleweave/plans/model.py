@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import functions as F
-
-from ..functions.terms import Namespace, datetime_text
+from ..functions.terms import Namespace
 from ..operators.graph import TableGraph, TableMap
 from .registry import Tables
 
@@ -14,12 +12,12 @@ P = Namespace("urn:p/")
 C = Namespace("urn:class/")
 
 
-def money(c: str):
-    return F.col(c).cast("decimal(18,2)")
+def money(c: str) -> str:
+    return f"cast({c} as decimal(18,2))"
 
 
-def stamp(c: str, offset: str = ""):
-    return F.concat(datetime_text(F.col(c)), F.lit(offset))
+def stamp(c: str, offset: str = "") -> str:
+    return f"concat(date_format({c}, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\"), '{offset}')"
 
 
 def graph(t: Tables) -> TableGraph:
