@@ -14,10 +14,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .terms import (
-    BOOLEAN, DATETIME, DECIMAL, DECIMAL_RANK, DOUBLE_RANK, FLOAT_RANK, INTEGER_RANK, LANG_STRING, RANK_DT, RX_DATETIME,
-    RX_INTEGER, RX_OFFSET, STRING, TEXT, XSD, Number, Term, as_number, bnode_term, decimal_text, double_text, dt_class, exact_num,
-    instant, iri_term, is_nan, literal_term, lookup, num, number_views, numeric_rank, parse_decimal, parse_double, parse_instant, rank_dt,
-    same_term, short_dt, term, when_bound,
+    BOOLEAN, DATETIME, DECIMAL, DECIMAL_RANK, DOUBLE_RANK, FLOAT_RANK, INTEGER_RANK, LANG_STRING, RANK_DT, RX_INTEGER,
+    RX_LOCAL, RX_OFFSET, RX_DATETIME, STRING, TEXT, XSD, Number, Term, among, bnode_term, col_of, decimal_text, double_text,
+    dt_class, exact_num, instant, iri_term, is_nan, literal_term, lookup, num, number_views, numeric_rank, only_if,
+    parse_decimal, parse_double, parse_instant, rank_dt, same_term, short_dt, term, view,
 )
 
 
@@ -25,11 +25,10 @@ from .terms import (
 
 def ebv(x) -> Column:
     """Effective boolean value; ill-formed numbers and booleans are false."""
-    t = term(x)
-    v, kind = t["value"], dt_class(t)
+    v, kind = view(x).value, dt_class(x)
     return (F.when(kind == BOOLEAN, v.isin("true", "1"))
             .when(kind == TEXT, v != "")
-            .when(kind >= INTEGER_RANK, (v != "NaN") & (F.coalesce(num(t), F.lit(0.0)) != 0)))
+            .when(kind >= INTEGER_RANK, (v != "NaN") & (F.coalesce(num(x), F.lit(0.0)) != 0)))
 
 
 def or_(*xs: Column) -> Column:
@@ -48,29 +47,31 @@ def _number_const(x):
     return isinstance(x, (int, float)) and not isinstance(x, bool)
 
 
-def _number_test(t: Column, k, op) -> Column:
+def _number_test(x, k, op) -> Column:
     """Comparison of a term with a Python number; NaN compares false."""
-    return F.when(is_nan(t), F.lit(False)).otherwise(op(num(t), F.lit(k)))
+    return F.when(is_nan(x), F.lit(False)).otherwise(op(num(x), F.lit(k)))
 
 
-def _numbers(ta: Column, tb: Column, ca: Column, cb: Column, op) -> Column:
-    return (F.when((ca <= DECIMAL_RANK) & (cb <= DECIMAL_RANK), op(exact_num(ta), exact_num(tb)))
-            .when(is_nan(ta) | is_nan(tb), F.lit(False)).otherwise(op(num(ta), num(tb))))
+def _numbers(a, b, ca: Column, cb: Column, op) -> Column:
+    return (F.when((ca <= DECIMAL_RANK) & (cb <= DECIMAL_RANK), op(exact_num(a), exact_num(b)))
+            .when(is_nan(a) | is_nan(b), F.lit(False)).otherwise(op(num(a), num(b))))
 
 
 def _compare(a, b, op) -> Column:
     """Ordered comparison by datatype; mixed or unordered kinds are an error."""
-    ta = term(a)
+    a = term(a)
     if _number_const(b):
-        return F.when(numeric_rank(ta).isNotNull(), _number_test(ta, b, op))
-    tb = term(b)
-    ca, cb = dt_class(ta), dt_class(tb)
-    if number_views(ta) or number_views(tb):  # a computed number compares with numbers only
-        return F.when((ca >= INTEGER_RANK) & (cb >= INTEGER_RANK), _numbers(ta, tb, ca, cb, op))
-    return (F.when((ca >= INTEGER_RANK) & (cb >= INTEGER_RANK), _numbers(ta, tb, ca, cb, op))
-            .when((ca == TEXT) & (cb == TEXT), F.when(ta["lang"] == tb["lang"], op(ta["value"], tb["value"])))
-            .when((ca == DATETIME) & (cb == DATETIME), op(instant(ta), instant(tb)))
-            .when((ca == BOOLEAN) & (cb == BOOLEAN), op(boolean_value(ta), boolean_value(tb))))
+        return F.when(numeric_rank(a).isNotNull(), _number_test(a, b, op))
+    b = term(b)
+    ca, cb = dt_class(a), dt_class(b)
+    numbers = F.when((ca >= INTEGER_RANK) & (cb >= INTEGER_RANK), _numbers(a, b, ca, cb, op))
+    if number_views(a) or number_views(b):  # a computed number compares with numbers only
+        return numbers
+    va, vb = view(a), view(b)
+    return (numbers
+            .when((ca == TEXT) & (cb == TEXT), F.when(col_of(va.lang) == col_of(vb.lang), op(va.value, vb.value)))
+            .when((ca == DATETIME) & (cb == DATETIME), op(instant(a), instant(b)))
+            .when((ca == BOOLEAN) & (cb == BOOLEAN), op(boolean_value(a), boolean_value(b))))
 
 
 def lt(a, b) -> Column:
@@ -89,9 +90,10 @@ def ge(a, b) -> Column:
     return _compare(a, b, lambda x, y: x >= y)
 
 
-def boolean_value(t: Column) -> Column:
-    return (F.when((t["dt"] == "xsd:boolean") & t["value"].isin("true", "1"), True)
-            .when((t["dt"] == "xsd:boolean") & t["value"].isin("false", "0"), False))
+def boolean_value(x) -> Column:
+    v = view(x)
+    text = only_if(among(v.dt, "xsd:boolean"), v.value)
+    return F.when(text.isin("true", "1"), True).when(text.isin("false", "0"), False)
 
 
 def eq(a, b) -> Column:
@@ -100,19 +102,22 @@ def eq(a, b) -> Column:
     Two different literals are an error when the datatype of one is unknown.
     """
     same = lambda x, y: x == y
-    ta = term(a)
-    ca = dt_class(ta)
+    a = term(a)
+    ca = dt_class(a)
     if _number_const(b):
-        return F.when(ca >= INTEGER_RANK, _number_test(ta, b, same)).when(ca.isNotNull(), F.lit(False))
-    tb = term(b)
-    cb = dt_class(tb)
-    if number_views(ta) or number_views(tb):
-        return (F.when((ca >= INTEGER_RANK) & (cb >= INTEGER_RANK), _numbers(ta, tb, ca, cb, same))
-                .when(ca.isNotNull() & cb.isNotNull(), F.lit(False)))
-    return (F.when((ca >= INTEGER_RANK) & (cb >= INTEGER_RANK), _numbers(ta, tb, ca, cb, same))
-            .when((ca == DATETIME) & (cb == DATETIME), instant(ta) == instant(tb))
-            .when((ca == BOOLEAN) & (cb == BOOLEAN), boolean_value(ta) == boolean_value(tb))
-            .when(same_term(ta, tb), F.lit(True))
+        return F.when(ca >= INTEGER_RANK, _number_test(a, b, same)).when(ca.isNotNull(), F.lit(False))
+    known_text = isinstance(b, Term) and b.dt in (STRING, "") or isinstance(b, str) and not b.startswith("?")
+    b = term(b)
+    cb = dt_class(b)
+    if known_text:  # a node or plain string constant
+        return F.when(sameterm(a, b), F.lit(True)).when(ca.isNotNull(), F.lit(False))
+    numbers = F.when((ca >= INTEGER_RANK) & (cb >= INTEGER_RANK), _numbers(a, b, ca, cb, same))
+    if number_views(a) or number_views(b):
+        return numbers.when(ca.isNotNull() & cb.isNotNull(), F.lit(False))
+    return (numbers
+            .when((ca == DATETIME) & (cb == DATETIME), instant(a) == instant(b))
+            .when((ca == BOOLEAN) & (cb == BOOLEAN), boolean_value(a) == boolean_value(b))
+            .when(sameterm(a, b), F.lit(True))
             .when(ca.isNotNull() & cb.isNotNull(), F.lit(False)))
 
 
@@ -141,23 +146,26 @@ def coalesce(*xs) -> Column:
 
 
 def sameterm(a, b) -> Column:
-    return same_term(term(a), term(b))
+    va, vb = view(a), view(b)
+    pairs = [(va.kind, vb.kind), (va.dt, vb.dt), (va.lang, vb.lang)]
+    tests = [col_of(x) == col_of(y) for x, y in pairs if not (isinstance(x, str) and isinstance(y, str) and x == y)]
+    return and_(va.value == vb.value, *tests)
 
 
 # --- arithmetic ---------------------------------------------------------------------------------------
 
 def _arith(a, b, exact, approx, least_rank: int = INTEGER_RANK) -> Column:
     """Promote integer -> decimal -> float -> double by datatype and build the resulting literal."""
-    ta, tb = term(a), term(b)
+    a, b = term(a), term(b)
     ranks = {100 * x + y: max(x, y, least_rank) for x in RANK_DT for y in RANK_DT}
-    pair = 100 * numeric_rank(ta) + numeric_rank(tb)  # NULL unless both are numbers
+    pair = 100 * numeric_rank(a) + numeric_rank(b)  # NULL unless both are numbers
     of_rank = lambda *wanted: pair.isin([p for p, r in ranks.items() if r in wanted])
     is_exact, is_float = of_rank(INTEGER_RANK, DECIMAL_RANK), of_rank(FLOAT_RANK)
-    whole, real = exact(exact_num(ta), exact_num(tb)), approx(num(ta), num(tb))
+    whole, real = exact(exact_num(a), exact_num(b)), approx(num(a), num(b))
     rank = lookup(ranks, pair)
     value = (F.when(is_exact, decimal_text(whole)).when(is_float, double_text(real.cast("float")))
              .otherwise(double_text(real)))
-    return as_number(literal_term(value, rank_dt(rank)), Number(rank, F.when(is_exact, whole), real))
+    return literal_term(value, rank_dt(rank), number=Number(rank, F.when(is_exact, whole), real))
 
 
 def add(a, b) -> Column:
@@ -193,7 +201,7 @@ def _keep_type(x, exact, approx) -> Column:
     whole, real = exact(exact_num(t)).cast(DECIMAL), approx(num(t))
     value = (F.when(rank <= DECIMAL_RANK, decimal_text(whole)).when(rank == FLOAT_RANK, double_text(real.cast("float")))
              .when(rank == DOUBLE_RANK, double_text(real)))
-    return as_number(literal_term(value, rank_dt(rank)), Number(rank, whole, real))
+    return literal_term(value, rank_dt(rank), number=Number(rank, whole, real))
 
 
 def abs_(x) -> Column:
@@ -224,60 +232,66 @@ def rand() -> Column:
 
 # --- terms --------------------------------------------------------------------------------------------
 
+def _of_kind(x, kind: str) -> Column:
+    return term(x)["kind"] == kind
+
+
 def is_iri(x) -> Column:
-    return term(x)["kind"] == "iri"
+    return _of_kind(x, "iri")
 
 
 def is_blank(x) -> Column:
-    return term(x)["kind"] == "bnode"
+    return _of_kind(x, "bnode")
 
 
 def is_literal(x) -> Column:
-    return term(x)["kind"] == "lit"
+    return _of_kind(x, "lit")
 
 
 def is_numeric(x) -> Column:
-    t = term(x)
-    return F.when(t.isNotNull(), num(t).isNotNull())
+    return F.when(term(x).isNotNull(), num(x).isNotNull())
 
 
 def text(x) -> Column:
     """Native string behind STR(): NULL for blank nodes and quoted triples."""
-    t = term(x)
-    return F.when(t["kind"].isin("iri", "lit"), t["value"])
+    v = view(x)
+    return only_if(among(v.kind, "iri", "lit"), v.value)
 
 
 def str_(x) -> Column:
-    t = term(x)
-    return literal_term(F.when(t["kind"].isin("iri", "lit"), t["value"]))
+    return literal_term(text(x))
+
+
+def _literal_field(x, field: Column | str) -> Column:
+    v = view(x)
+    return F.when(v.value.isNotNull() & (col_of(v.kind) == "lit"), col_of(field))
 
 
 def lang(x) -> Column:
-    t = term(x)
-    return literal_term(F.when(t["kind"] == "lit", t["lang"]))
+    return literal_term(_literal_field(x, view(x).lang))
 
 
 def datatype(x) -> Column:
-    t = term(x)
-    dt = t["dt"]
+    dt = col_of(view(x).dt)
     full = (F.when(dt.startswith("xsd:"), F.concat(F.lit(XSD), F.substring(dt, 5, 1 << 20)))
             .when(dt == LANG_STRING, "http://www.w3.org/1999/02/22-rdf-syntax-ns#langString").otherwise(dt))
-    return iri_term(F.when(t["kind"] == "lit", full))
+    return iri_term(_literal_field(x, full))
 
 
 def iri(x, base: str = "") -> Column:
     """IRI from a string; with ``base``, references without a scheme are appended to it."""
     v = text(x)
-    absolute = v.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")
-    return iri_term(F.when(absolute, v).otherwise(F.concat(F.lit(base), v)))
+    if not base:
+        return iri_term(v)
+    return iri_term(F.concat(F.when(v.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), "").otherwise(base), v))
 
 
 def bnode(label=None, row_key: Column | None = None) -> Column:
     """Blank node: fresh per row, or the same one for equal labels of one solution (``row_key``)."""
     if label is None:
         return bnode_term(F.replace(F.uuid(), F.lit("-")))
-    key = F.concat_ws("\u0001", row_key if row_key is not None else F.lit(""), text(label))
-    return when_bound(text(label), bnode_term(F.sha1(key)))
+    key = F.concat(row_key if row_key is not None else F.lit(""), F.lit("\u0001"), text(label))
+    return bnode_term(F.sha1(key), nullable=True)
 
 
 def strdt(x, dt) -> Column:
@@ -290,24 +304,24 @@ def strlang(x, tag: str) -> Column:
 
 
 def _simple(x) -> Column:
-    t = term(x)
-    return F.when(t["dt"] == STRING, t["value"])
+    v = view(x)
+    return only_if(among(v.dt, STRING), v.value)
 
 
 def uuid() -> Column:
-    return iri_term(F.concat(F.lit("urn:uuid:"), F.uuid()))
+    return iri_term(F.concat(F.lit("urn:uuid:"), F.uuid()), nullable=False)
 
 
 def struuid() -> Column:
-    return literal_term(F.uuid())
+    return literal_term(F.uuid(), nullable=False)
 
 
 # --- strings ------------------------------------------------------------------------------------------
 
-def _string(x) -> tuple[Column, Column, Column]:
+def _string(x) -> tuple[Column, Column | str, Column | str]:
     """Text, datatype and language of a string argument; the text is NULL for anything that is no string literal."""
-    t = term(x)
-    return F.when(t["dt"].isin(STRING, LANG_STRING), t["value"]), t["dt"], t["lang"]
+    v = view(x)
+    return only_if(among(v.dt, STRING, LANG_STRING), v.value), v.dt, v.lang
 
 
 def strlen(x) -> Column:
@@ -335,14 +349,17 @@ def lcase(x) -> Column:
     return _map_text(x, F.lower)
 
 
-def _compatible(a, b) -> Column:
+def _compatible(a, b):
     """Argument compatibility: the second has no language tag, or that of the first."""
-    return (b[2] == "") | (a[2] == b[2])
+    if isinstance(b[2], str) and b[2] == "":
+        return True
+    return (col_of(b[2]) == "") | (col_of(a[2]) == col_of(b[2]))
 
 
 def _test(a, b, fn) -> Column:
     sa, sb = _string(a), _string(b)
-    return F.when(_compatible(sa, sb), fn(sa[0], sb[0]))
+    test, ok = fn(sa[0], sb[0]), _compatible(sa, sb)
+    return test if ok is True else F.when(ok, test)
 
 
 def strstarts(a, b) -> Column:
@@ -362,8 +379,11 @@ def _split_at(a, b, piece) -> Column:
     sa, sb = _string(a), _string(b)
     s, x = sa[0], sb[0]
     found = F.position(x, s) > 0
-    value = F.when(_compatible(sa, sb), F.when(found, piece(s, x)).when(~found, ""))
-    return literal_term(value, F.when(found, sa[1]).otherwise(F.lit(STRING)), F.when(found, sa[2]).otherwise(F.lit("")))
+    value = only_if(_compatible(sa, sb), F.when(found, piece(s, x)).when(~found, ""))
+    if isinstance(sa[1], str) and sa[1] == STRING:
+        return literal_term(value)
+    return literal_term(value, F.when(found, col_of(sa[1])).otherwise(F.lit(STRING)),
+                        F.when(found, col_of(sa[2])).otherwise(F.lit("")))
 
 
 def strbefore(a, b) -> Column:
@@ -384,9 +404,11 @@ def encode_for_uri(x) -> Column:
 def concat(*xs) -> Column:
     """Keeps the language tag only when all arguments share it."""
     parts = [_string(x) for x in xs]
-    tags = [p[2] for p in parts]
-    tag = F.when(and_(*[t == tags[0] for t in tags]), tags[0]).otherwise(F.lit(""))
-    return literal_term(F.concat(*[p[0] for p in parts]), F.when(tag != "", LANG_STRING).otherwise(F.lit(STRING)), tag)
+    value, tags = F.concat(*[p[0] for p in parts]), [p[2] for p in parts]
+    if any(isinstance(t, str) and t == "" for t in tags):
+        return literal_term(value)
+    tag = F.when(and_(*[col_of(t) == col_of(tags[0]) for t in tags]), col_of(tags[0])).otherwise(F.lit(""))
+    return literal_term(value, F.when(tag != "", LANG_STRING).otherwise(F.lit(STRING)), tag)
 
 
 def langmatches(tag, rng: str) -> Column:
@@ -417,11 +439,14 @@ def now() -> Column:
     return F.current_timestamp()
 
 
+def _datetime_text(x) -> Column:
+    v = view(x)
+    return only_if(among(v.dt, "xsd:dateTime"), v.value)
+
+
 def _local(x) -> Column:
     """Wall-clock time as written, whatever the offset or the session time zone."""
-    t = term(x)
-    v = F.when((t["dt"] == "xsd:dateTime") & t["value"].rlike(RX_DATETIME), t["value"])
-    return F.regexp_replace(v, RX_OFFSET, "").try_cast("timestamp_ntz")
+    return F.regexp_extract(_datetime_text(x), RX_LOCAL, 1).try_cast("timestamp_ntz")
 
 
 def year(x) -> Column:
@@ -449,9 +474,8 @@ def seconds(x) -> Column:
 
 
 def _offset(x) -> Column:
-    t = term(x)
-    ok = (t["dt"] == "xsd:dateTime") & t["value"].rlike(RX_DATETIME)
-    return F.when(ok, F.regexp_extract(t["value"], RX_OFFSET, 1))
+    v = _datetime_text(x)
+    return F.when(v.rlike(RX_DATETIME), F.regexp_extract(v, RX_OFFSET, 1))
 
 
 def tz(x) -> Column:
@@ -460,9 +484,9 @@ def tz(x) -> Column:
 
 def timezone(x) -> Column:
     """Offset as ``xsd:dayTimeDuration``; no offset is an error."""
-    span = _offset(x)
-    for pattern, by in ((r"^Z$", "+00:00"), (r"^([+-])(\d\d):(\d\d)$", "$1PT$2H$3M"), ("00[HM]", ""), ("(PT|H)0", "$1"),
-                        (r"^\+", ""), ("^-?PT$", "PT0S")):
+    # '+05:30' -> '+PT05H30M' -> 'PT5H30M'; '-00:30' -> '-PT30M'; 'Z' and '+00:00' -> 'PT0S'
+    span = F.replace(_offset(x), F.lit("Z"), F.lit("+00:00"))
+    for pattern, by in ((r"^([+-])(\d\d):(\d\d)$", "$1PT$2H$3M"), ("00[HM]", ""), ("(PT|H)0", "$1"), (r"^\+", ""), ("^-?PT$", "PT0S")):
         span = F.regexp_replace(span, pattern, by)
     return literal_term(F.nullif(span, F.lit("")), "xsd:dayTimeDuration")
 
@@ -492,31 +516,38 @@ def sha512(x) -> Column:
 # --- casts: native results ----------------------------------------------------------------------------
 
 def _from_literal(x) -> Column:
-    t = term(x)
-    return F.when(t["kind"] == "lit", t["value"])
+    v = view(x)
+    return only_if(among(v.kind, "lit"), v.value)
+
+
+def _real(x) -> Column:
+    """Value of a float or double, NULL for other types."""
+    v = view(x)
+    return parse_double(only_if(among(v.dt, "xsd:double", "xsd:float"), v.value))
 
 
 def xsd_decimal(x) -> Column:
     """Numbers and plain strings in decimal notation; booleans become 1 and 0."""
-    t = term(x)
-    v = _from_literal(t)
-    from_double = F.when(t["dt"].isin("xsd:double", "xsd:float"), parse_double(v).try_cast(DECIMAL))
-    return F.coalesce(boolean_value(t).cast("int").cast(DECIMAL), parse_decimal(v), from_double)
+    plain = parse_decimal(_from_literal(x))
+    known = view(x).dt
+    if isinstance(known, str) and known in (STRING, "xsd:decimal", "xsd:integer"):
+        return plain
+    return F.coalesce(plain, _real(x).try_cast(DECIMAL), boolean_value(x).cast("int").cast(DECIMAL))
 
 
 def xsd_integer(x) -> Column:
     """Numbers are truncated; strings must be integers."""
-    t = term(x)
-    v = _from_literal(t)
-    as_int = F.when(v.rlike(RX_INTEGER), v.try_cast("bigint"))
-    truncated = F.when(t["dt"] == "xsd:decimal", parse_decimal(v).try_cast("bigint")).when(
-        t["dt"].isin("xsd:double", "xsd:float"), parse_double(v).try_cast("bigint"))
-    return F.coalesce(boolean_value(t).cast("bigint"), as_int, truncated)
+    views = number_views(x)
+    if views:
+        return F.coalesce(views.exact.try_cast("bigint"), views.approx.try_cast("bigint"))
+    v, literal = view(x), _from_literal(x)
+    decimal = parse_decimal(only_if(among(v.dt, "xsd:decimal"), v.value)).try_cast("bigint")
+    plain = F.when(literal.rlike(RX_INTEGER), literal.try_cast("bigint"))
+    return F.coalesce(plain, decimal, _real(x).try_cast("bigint"), boolean_value(x).cast("bigint"))
 
 
 def xsd_double(x) -> Column:
-    t = term(x)
-    return F.coalesce(boolean_value(t).cast("double"), parse_double(_from_literal(t)))
+    return F.coalesce(parse_double(_from_literal(x)), boolean_value(x).cast("double"))
 
 
 def xsd_float(x) -> Column:
@@ -524,9 +555,7 @@ def xsd_float(x) -> Column:
 
 
 def xsd_boolean(x) -> Column:
-    t = term(x)
-    v = _from_literal(t)
-    n = num(t)
+    v, n = _from_literal(x), num(x)
     return (F.when(n.isNotNull(), (n != 0) & ~F.isnan(n))
             .when(v.isin("true", "1"), True).when(v.isin("false", "0"), False))
 
@@ -536,5 +565,4 @@ def xsd_datetime(x) -> Column:
 
 
 def xsd_string(x) -> Column:
-    t = term(x)
-    return literal_term(F.when(t["kind"].isin("iri", "lit"), t["value"]))
+    return str_(x)

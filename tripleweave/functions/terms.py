@@ -39,6 +39,7 @@ RX_DECIMAL = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$"
 RX_DOUBLE = r"^([+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?|[+-]?INF|NaN)$"
 RX_DATETIME = r"^-?[0-9]{4,}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})?$"
 RX_OFFSET = r"(Z|[+-][0-9]{2}:[0-9]{2})$"
+RX_LOCAL = r"^(-?[0-9]{4,}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?)(?:Z|[+-][0-9]{2}:[0-9]{2})?$"
 
 
 @dataclass(frozen=True)
@@ -56,7 +57,8 @@ class Term:
 
     @property
     def col(self) -> Column:
-        return make(F.lit(self.kind), F.lit(self.value), F.lit(self.dt), F.lit(self.lang))
+        value = F.lit(self.value)
+        return _viewed(make(F.lit(self.kind), value, F.lit(self.dt), F.lit(self.lang)), self.kind, value, self.dt, self.lang)
 
 
 def IRI(value: str) -> Term:
@@ -99,25 +101,79 @@ def make(kind: Column, value: Column, dt: Column, lang: Column) -> Column:
     return F.struct(kind.alias("kind"), value.alias("value"), dt.alias("dt"), lang.alias("lang"))
 
 
-def when_bound(value: Column, term: Column) -> Column:
-    """``term`` where ``value`` is known, otherwise unbound."""
-    return F.when(value.isNotNull(), term)
+@dataclass(frozen=True)
+class View:
+    """The fields of a term, kept beside the Column that was built from them.
+
+    A function applied to the result of another reads these instead of taking the struct apart again, and plain
+    strings are fields known while the plan is built.  Spark does not share repeated parts of CASE branches, so
+    this is what keeps nested expressions short.
+    """
+
+    kind: Column | str
+    value: Column
+    dt: Column | str
+    lang: Column | str
+
+
+@dataclass(frozen=True)
+class Number:
+    """The numeric views of a computed term: nested arithmetic skips its text form."""
+
+    rank: Column
+    exact: Column
+    approx: Column
+
+
+def _viewed(c: Column, kind, value, dt, lang, number: Number | None = None) -> Column:
+    vars(c)["view"], vars(c)["number"] = View(kind, value, dt, lang), number
+    return c
+
+
+def view(x) -> View:
+    c = term(x)
+    return vars(c).get("view") or View(c["kind"], c["value"], c["dt"], c["lang"])
+
+
+def number_views(x) -> Number | None:
+    return vars(term(x)).get("number")
+
+
+def col_of(x: Column | str) -> Column:
+    return F.lit(x) if isinstance(x, str) else x
+
+
+def among(x: Column | str, *names: str):
+    """Whether a field is one of the names: a Python bool if that is known now."""
+    return x in names if isinstance(x, str) else x.isin(*names)
+
+
+def only_if(test, c: Column) -> Column:
+    if test is True:
+        return c
+    return F.lit(None).cast("string") if test is False else F.when(test, c)
+
+
+def when_bound(value: Column, t: Column) -> Column:
+    """``t`` where ``value`` is known, otherwise unbound."""
+    return F.when(value.isNotNull(), t)
 
 
 def iri_term(value: Column, nullable: bool = True) -> Column:
     t = make(F.lit("iri"), value, F.lit(""), F.lit(""))
-    return when_bound(value, t) if nullable else t
+    return _viewed(when_bound(value, t) if nullable else t, "iri", value, "", "")
 
 
-def bnode_term(label: Column) -> Column:
-    return make(F.lit("bnode"), label, F.lit(""), F.lit(""))
+def bnode_term(label: Column, nullable: bool = False) -> Column:
+    t = make(F.lit("bnode"), label, F.lit(""), F.lit(""))
+    return _viewed(when_bound(label, t) if nullable else t, "bnode", label, "", "")
 
 
-def literal_term(value: Column, dt: str | Column = STRING, lang: str | Column = "", nullable: bool = True) -> Column:
-    d = F.lit(short_dt(dt)) if isinstance(dt, str) else dt
-    g = F.lit(lang) if isinstance(lang, str) else lang
-    t = make(F.lit("lit"), value, d, g)
-    return when_bound(value, t) if nullable else t
+def literal_term(value: Column, dt: str | Column = STRING, lang: str | Column = "", nullable: bool = True,
+                 number: Number | None = None) -> Column:
+    dt = short_dt(dt) if isinstance(dt, str) else dt
+    t = make(F.lit("lit"), value, col_of(dt), col_of(lang))
+    return _viewed(when_bound(value, t) if nullable else t, "lit", value, dt, lang, number)
 
 
 def term(x) -> Column:
@@ -180,9 +236,12 @@ def datetime_text(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
 
 
-def lex(c: Column) -> Column:
+def lex(x) -> Column:
     """Output form of a term: IRI bare, blank node ``_:x``, literal text only, quoted triple as stored."""
-    return F.when(c["kind"] == "bnode", F.concat(F.lit("_:"), c["value"])).otherwise(c["value"])
+    v = view(x)
+    if isinstance(v.kind, str):
+        return F.concat(F.lit("_:"), v.value) if v.kind == "bnode" else v.value
+    return F.when(v.kind == "bnode", F.concat(F.lit("_:"), v.value)).otherwise(v.value)
 
 
 def native_lex(c: Column, dtype: T.DataType) -> Column:
@@ -203,24 +262,6 @@ def quoted_triple(s: Column, p: Column, o: Column) -> Column:
     return when_bound(text, make(F.lit("triple"), text, F.lit(""), F.lit("")))
 
 
-@dataclass(frozen=True)
-class Number:
-    """The numeric views of a computed term, kept beside its Column so that nested arithmetic skips its text form."""
-
-    rank: Column
-    exact: Column
-    approx: Column
-
-
-def as_number(c: Column, views: Number) -> Column:
-    vars(c)["number"] = views
-    return c
-
-
-def number_views(c: Column) -> Number | None:
-    return vars(c).get("number")
-
-
 # --- typed views of a term ----------------------------------------------------------------------------
 # These expressions mention each costly part once: Spark does not share repeated parts of CASE branches.
 
@@ -243,21 +284,29 @@ def is_integer_type(dt: Column) -> Column:
     return F.array_contains(F.expr(f"array({', '.join(map(repr, INTEGER_TYPES))})"), dt)
 
 
-def dt_class(t: Column) -> Column:
+def _class_in(table: dict[str, int], x) -> Column:
+    views, v = number_views(x), view(x)
+    if views:
+        return views.rank
+    if isinstance(v.dt, str):
+        known = F.lit(table.get(v.dt)).cast("int")
+        return known if isinstance(x, Term) else F.when(v.value.isNotNull(), known)
+    return lookup(table, v.dt)
+
+
+def dt_class(x) -> Column:
     """Class of a term's datatype; NULL for unbound terms and unknown datatypes."""
-    views = number_views(t)
-    return views.rank if views else lookup(DT_CLASS, t["dt"])
+    return _class_in(DT_CLASS, x)
 
 
-def numeric_rank(t: Column) -> Column:
+def numeric_rank(x) -> Column:
     """10 integer, 11 decimal, 12 float, 13 double; NULL when the datatype is not numeric."""
-    views = number_views(t)
-    return views.rank if views else lookup({dt: c for dt, c in DT_CLASS.items() if c >= INTEGER_RANK}, t["dt"])
+    return _class_in({dt: c for dt, c in DT_CLASS.items() if c >= INTEGER_RANK}, x)
 
 
-def is_nan(t: Column) -> Column:
-    views = number_views(t)
-    return F.isnan(views.approx) if views else t["value"] == "NaN"
+def is_nan(x) -> Column:
+    views = number_views(x)
+    return F.isnan(views.approx) if views else view(x).value == "NaN"
 
 
 # The datatype a numeric rank stands for.
@@ -278,31 +327,40 @@ def parse_double(v: Column) -> Column:
     return F.when(v.rlike(RX_DOUBLE), v.try_cast("double"))
 
 
+# Which lexical form belongs to which numeric datatypes.
+EXACT_FORMS = (("xsd:decimal",), RX_DECIMAL), (INTEGER_TYPES, RX_INTEGER)
+NUMERIC_FORMS = (("xsd:double", "xsd:float"), RX_DOUBLE), *EXACT_FORMS
+
+
+def _number(x, forms, sql_type: str) -> Column:
+    v = view(x)
+    if isinstance(v.dt, str):
+        form = next((form for types, form in forms if v.dt in types), None)
+        valid = F.lit(False) if form is None else v.value.rlike(form)
+    else:
+        (first, form), *rest = forms
+        valid = F.when(v.dt.isin(*first), v.value.rlike(form))
+        for types, form in rest:
+            valid = valid.when(is_integer_type(v.dt) if types is INTEGER_TYPES else v.dt.isin(*types), v.value.rlike(form))
+    return F.when(valid, v.value.try_cast(sql_type))
+
+
 def num(x) -> Column:
     """Numeric value as double, NULL unless the datatype is numeric and the text is valid for it."""
-    t = term(x)
-    if number_views(t):
-        return number_views(t).approx
-    v, dt = t["value"], t["dt"]
-    valid = (F.when(dt.isin("xsd:double", "xsd:float"), v.rlike(RX_DOUBLE)).when(dt == "xsd:decimal", v.rlike(RX_DECIMAL))
-             .when(is_integer_type(dt), v.rlike(RX_INTEGER)))
-    return F.when(valid, v.try_cast("double"))
+    views = number_views(x)
+    return views.approx if views else _number(x, NUMERIC_FORMS, "double")
 
 
 def exact_num(x) -> Column:
     """Integer and decimal terms as decimal(38,18), everything else NULL."""
-    t = term(x)
-    if number_views(t):
-        return number_views(t).exact
-    v, dt = t["value"], t["dt"]
-    valid = F.when(dt == "xsd:decimal", v.rlike(RX_DECIMAL)).when(is_integer_type(dt), v.rlike(RX_INTEGER))
-    return F.when(valid, v.try_cast(DECIMAL))
+    views = number_views(x)
+    return views.exact if views else _number(x, EXACT_FORMS, DECIMAL)
 
 
 def instant(x) -> Column:
     """``xsd:dateTime`` term as a timestamp; values without an offset count as UTC."""
-    t = term(x)
-    return F.when(t["dt"] == "xsd:dateTime", parse_instant(t["value"]))
+    v = view(x)
+    return parse_instant(only_if(among(v.dt, "xsd:dateTime"), v.value))
 
 
 def parse_instant(v: Column) -> Column:

@@ -17,7 +17,7 @@ from ..functions.terms import (
     DECIMAL, DECIMAL_RANK, FLOAT_RANK, INTEGER_RANK, decimal_text, double_text, exact_num, literal_term, native_lex, num,
     numeric_rank, rank_dt, sort_keys, term,
 )
-from .patterns import Solutions, var
+from .patterns import Solutions, var, with_terms
 
 
 @dataclass(frozen=True)
@@ -72,7 +72,7 @@ def group(a: Solutions, by=(), having: Column | None = None, strict_errors: bool
     names = []
     for key in by:
         if isinstance(key, tuple):
-            a = a.with_df(a.df.withColumn(key[0], term(key[1])))
+            a = a.with_df(with_terms(a.df, {key[0]: key[1]}))
             names.append(key[0])
         else:
             names.append(var(key))

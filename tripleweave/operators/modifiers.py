@@ -7,17 +7,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.terms import TERM_TYPE, sort_keys, term
-from .patterns import Solutions, var
+from ..functions.terms import TERM_TYPE, sort_keys
+from .patterns import Solutions, var, with_terms
 
 
 def project(a: Solutions, *names: str, **exprs) -> Solutions:
     """SELECT of variables in the given order, then ``name=expression`` columns (``(expr AS ?name)``)."""
     names = [var(n) for n in names]
     cells = [F.col(n) if n in a.types else F.lit(None).cast(TERM_TYPE).alias(n) for n in names]
-    cells += [term(e).alias(n) for n, e in exprs.items()]
+    df = with_terms(a.df, {f"_e_{n}": e for n, e in exprs.items()}) if exprs else a.df
+    cells += [F.col(f"_e_{n}").alias(n) for n in exprs]
     keep = set(names)
-    return Solutions(a.df.select(*cells), a.certain & keep, a.nodes & keep, a.max_rows)
+    return Solutions(df.select(*cells), a.certain & keep, a.nodes & keep, a.max_rows)
 
 
 def select_star(a: Solutions) -> Solutions:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.terms import Lit, Term, TERM_TYPE, iri_term, native_term, same_columns, same_term, term
+from ..functions.terms import Lit, Term, TERM_TYPE, iri_term, make, native_term, same_columns, same_term, term
 from .graph import Graph, as_graph
 
 BROADCAST_ROWS = 10_000
@@ -205,7 +205,7 @@ def join(a: Solutions, b: Solutions, hot_keys: bool = False) -> Solutions:
         right = _renamed(b, shared)
         cond = _same(shared, a, b)
         if hot_keys:
-            df = _spread(a, b, shared, right, cond)
+            df = _spread(a, shared, right, cond, "inner")
         else:
             df = _hint(a, a.df).join(_hint(b, right), cond, "inner")
         df = df.select(*_out(a, b, shared, False))
@@ -214,7 +214,7 @@ def join(a: Solutions, b: Solutions, hot_keys: bool = False) -> Solutions:
     return Solutions(df, a.certain | b.certain, (a.nodes | b.nodes) - (a.maybe & b.maybe))
 
 
-def _spread(a: Solutions, b: Solutions, shared: Sequence[str], right: DataFrame, cond: Column,
+def _spread(a: Solutions, shared: Sequence[str], right: DataFrame, cond: Column, how: str,
             salts: int = 32, share: int = 200) -> DataFrame:
     """Join in which the hot keys of ``a`` are salted.
 
@@ -232,7 +232,7 @@ def _spread(a: Solutions, b: Solutions, shared: Sequence[str], right: DataFrame,
     left = a.df.withColumn("_salt", F.when(is_hot(key_a), F.pmod(F.xxhash64(*a.df.columns, F.lit(7)), F.lit(salts)))
                            .otherwise(F.lit(0)).cast("int"))
     repeat = F.when(is_hot(key_b), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    return left.join(right.withColumn("_salt_r", F.explode(repeat)), cond & (F.col("_salt") == F.col("_salt_r")), "inner")
+    return left.join(right.withColumn("_salt_r", F.explode(repeat)), cond & (F.col("_salt") == F.col("_salt_r")), how)
 
 
 def _pair_key(side: Solutions, shared, common: frozenset[str], code: int) -> Column:
@@ -310,8 +310,8 @@ def cross_join(a: Solutions, b: Solutions) -> Solutions:
     return Solutions(_product(a, b), a.certain | b.certain, a.nodes | b.nodes)
 
 
-def optional(a: Solutions, b: Solutions, on: Column | None = None) -> Solutions:
-    """Left join; ``on`` is a FILTER inside the OPTIONAL and may use variables of both sides."""
+def optional(a: Solutions, b: Solutions, on: Column | None = None, hot_keys: bool = False) -> Solutions:
+    """Left join; ``on`` is a FILTER inside the OPTIONAL and may use variables of both sides.  ``hot_keys`` as in :func:`join`."""
     a, b = _same_types(a, b)
     shared = _shared(a, b)
     nodes = a.nodes | (b.nodes - set(a.vars))
@@ -322,9 +322,12 @@ def optional(a: Solutions, b: Solutions, on: Column | None = None) -> Solutions:
         return Solutions(df.select(*_out(a, b, shared, False)), a.certain, nodes)
     if all(v in a.certain and v in b.certain for v in shared):
         cond = _same(shared, a, b)
-        right = _hint(b, _renamed(b, shared))
-        df = a.df.join(right, cond if on is None else cond & on, "left").select(*_out(a, b, shared, False))
-        return Solutions(df, a.certain, nodes)
+        cond = cond if on is None else cond & on
+        if hot_keys:
+            df = _spread(a, shared, _renamed(b, shared), cond, "left")
+        else:
+            df = a.df.join(_hint(b, _renamed(b, shared)), cond, "left")
+        return Solutions(df.select(*_out(a, b, shared, False)), a.certain, nodes)
     matched = join(a, b)
     if on is not None:
         matched = filter_(matched, on)
@@ -452,12 +455,34 @@ def filter_bound(a: Solutions, *names: str) -> Solutions:
     return a.with_df(df, certain=a.certain | set(names))
 
 
+def with_terms(df: DataFrame, exprs: dict) -> DataFrame:
+    """Add columns for expressions.  The value of a computed term is first put into a column of its own, since the
+    term mentions it twice (is it bound, and what is it) and Spark would compute it twice.
+    """
+    first, then = {}, {}
+    for name, x in exprs.items():
+        c = term(x)
+        v = vars(c).get("view")
+        if v is None or isinstance(x, Term):
+            then[name] = c
+            continue
+        first[f"_v_{name}"] = v.value
+        fields = {"dt": v.dt, "lang": v.lang}
+        for f, field_value in fields.items():
+            if isinstance(field_value, Column):
+                first[f"_{f}_{name}"] = field_value
+        cells = [F.col(f"_{f}_{name}") if isinstance(x, Column) else F.lit(x) for f, x in fields.items()]
+        value = F.col(f"_v_{name}")
+        then[name] = F.when(value.isNotNull(), make(F.lit(v.kind), value, *cells))
+    return (df.withColumns(first) if first else df).withColumns(then).drop(*first)
+
+
 def bind(a: Solutions, name: str, expr, certain: bool = False) -> Solutions:
     """BIND(expr AS ?name); an error leaves the variable unbound."""
     name = var(name)
     if name in a.types:
         raise ValueError(f"?{name} is already in scope")
-    return a.with_df(a.df.withColumn(name, term(expr)), certain=a.certain | {name} if certain else a.certain)
+    return a.with_df(with_terms(a.df, {name: expr}), certain=a.certain | {name} if certain else a.certain)
 
 
 def values(spark: SparkSession, names: Sequence[str], rows: Sequence[Sequence]) -> Solutions:
