@@ -10,11 +10,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.terms import Term, same_term
-from ..session import scratch_path
+from ..session import counted, rows_seen, scratch_path
 from .graph import Graph, as_graph
 from .patterns import Solutions, _constant, _equals, _is_var, var
 
@@ -170,9 +170,10 @@ class _Table:
 
     def append(self, df: DataFrame) -> int:
         """Write ``df`` as a new part and return its row count (counted during the write)."""
-        at, seen = scratch_path(self.spark, self.label), Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(at)
-        rows = seen.get["n"]
+        at = scratch_path(self.spark, self.label)
+        observed, seen = counted(df)
+        observed.write.parquet(at)
+        rows = rows_seen(seen)
         self.schema = df.schema
         if rows or not self.parts:
             self.parts.append(at)

@@ -9,12 +9,11 @@ from datetime import datetime, timezone
 from functools import partial, reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.diff import assign_graph
 from ..operators.forms import default_query
-from ..session import scratch_path
+from ..session import counted, rows_seen, scratch_path
 from ..sources import archives
 from ..sources.files import filter_files, scan_azure, scan_files, scan_gcs, scan_s3, union_sources
 from ..sources.ingest import BASE_IRI, QUAD, ingest, store_triples
@@ -53,18 +52,15 @@ def load(spark: SparkSession, spec: dict) -> tuple[DataFrame, int, int] | None:
         by_graph.setdefault(s.get("graph", ""), []).append(s)
     parts, counters = [], []
     for graph, members in by_graph.items():
-        files = _process(union_sources(spark, *[_loader(spark, s) for s in members]), processors)
-        seen = Observation()
+        files, seen = counted(_process(union_sources(spark, *[_loader(spark, s) for s in members]), processors))
         counters.append(seen)
-        triples = ingest(files.observe(seen, F.count(F.lit(1)).alias("n")), query.get("base_iri", BASE_IRI),
-                         query.get("base_mode", "per_file")).select(*QUAD)
+        triples = ingest(files, query.get("base_iri", BASE_IRI), query.get("base_mode", "per_file")).select(*QUAD)
         parts.append(assign_graph(triples, graph) if graph else triples)
     if not parts:
         return None
-    quads, written = reduce(DataFrame.unionByName, parts).dropDuplicates(), Observation()
-    path = scratch_path(spark, "quads")
-    stored = store_triples(quads.observe(written, F.count(F.lit(1)).alias("n")), path)
-    files_loaded, triples_loaded = sum(c.get["n"] for c in counters), written.get["n"]
+    quads, written = counted(reduce(DataFrame.unionByName, parts).dropDuplicates())
+    stored = store_triples(quads, scratch_path(spark, "quads"))
+    files_loaded, triples_loaded = sum(map(rows_seen, counters)), rows_seen(written)
     if not files_loaded:
         return None
     return stored, files_loaded, triples_loaded

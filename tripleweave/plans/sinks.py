@@ -9,7 +9,7 @@ import json
 from collections.abc import Sequence
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SINGLE_FILE_ROWS = 1_000_000
@@ -34,13 +34,23 @@ def _small(df: DataFrame) -> int:
     return n
 
 
-def _write(lines: DataFrame, folder: str, name: str, single_file: bool) -> str:
-    target = f"{folder.rstrip('/')}/{name}"
-    if not single_file:
-        lines.write.text(target)
-        return target
-    lines.coalesce(1).write.text(target + ".parts")
-    spark = lines.sparkSession
+def _write_parts(lines: DataFrame, target: str) -> str:
+    lines.write.text(target)
+    return target
+
+
+def _write_single(target: str, opening: DataFrame, rows: DataFrame, closing: DataFrame | None = None,
+                  separator: str = "") -> str:
+    """One file.  Merging partitions may take them in any order, so every line carries its place."""
+    place = lambda df, i: df.select("value", F.lit(i).alias("block"), F.monotonically_increasing_id().alias("at"))
+    lines = place(opening, 0).union(place(rows, 1))
+    if closing is not None:
+        lines = lines.union(place(closing, 2))
+    in_order = Window.orderBy("block", "at")  # one partition, for a result that is known to be small
+    after_row = F.coalesce(F.lag("block").over(in_order) == 1, F.lit(False))
+    value = F.when((F.col("block") == 1) & after_row, F.concat(F.lit(separator), "value")).otherwise(F.col("value"))
+    lines.select(value.alias("value")).write.text(target + ".parts")
+    spark = rows.sparkSession
     jpath = spark._jvm.org.apache.hadoop.fs.Path
     fs = jpath(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     part = next(s.getPath() for s in fs.listStatus(jpath(target + ".parts")) if s.getPath().getName().startswith("part-"))
@@ -71,41 +81,45 @@ def json_lines(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*cells)).alias("value"))
 
 
+def _target(folder: str, prefix: str | None, at: datetime | None, ext: str) -> str:
+    return f"{folder.rstrip('/')}/{result_name(prefix, at or datetime.now(timezone.utc), ext)}"
+
+
+def _table(header: str, rows: DataFrame, df: DataFrame, target: str, single_file: bool) -> str:
+    head = _text(df.sparkSession, header)
+    if not single_file:
+        return _write_parts(head.union(rows), target)
+    _small(df)
+    return _write_single(target, head, rows)
+
+
 def sink_csv(df: DataFrame, folder: str, prefix: str | None = "results", single_file: bool = False,
              compat: bool = False, at: datetime | None = None) -> str:
     """Header and rows; the first part file is the header.  ``compat`` leaves the cells of a graph result unescaped."""
-    if single_file:
-        _small(df)
     graph = df.columns == ["subject", "predicate", "object"]
-    lines = _text(df.sparkSession, ",".join(df.columns)).union(csv_lines(df, escape=not (compat and graph)))
-    return _write(lines, folder, result_name(prefix, at or datetime.now(timezone.utc), "csv"), single_file)
+    rows = csv_lines(df, escape=not (compat and graph))
+    return _table(",".join(df.columns), rows, df, _target(folder, prefix, at, "csv"), single_file)
 
 
 def sink_tsv(df: DataFrame, folder: str, prefix: str | None = "results", single_file: bool = False,
              at: datetime | None = None) -> str:
-    if single_file:
-        _small(df)
-    lines = _text(df.sparkSession, "\t".join(df.columns)).union(tsv_lines(df))
-    return _write(lines, folder, result_name(prefix, at or datetime.now(timezone.utc), "tsv"), single_file)
+    return _table("\t".join(df.columns), tsv_lines(df), df, _target(folder, prefix, at, "tsv"), single_file)
 
 
 def sink_json(df: DataFrame, folder: str, prefix: str | None = "results", single_file: bool = False,
               at: datetime | None = None) -> str:
     """JSON Lines in part files, or with ``single_file`` one document with type, rows and count."""
-    name = result_name(prefix, at or datetime.now(timezone.utc), "json")
+    target = _target(folder, prefix, at, "json")
     if not single_file:
-        return _write(json_lines(df), folder, name, False)
+        return _write_parts(json_lines(df), target)
     n, spark = _small(df), df.sparkSession
     if dict(df.dtypes) == {"result": "boolean"}:
-        value = "true" if df.first()["result"] else "false"
-        return _write(_text(spark, "{", '  "type": "boolean",', f'  "result": {value}', "}"), folder, name, True)
+        answer = df.select(F.concat(F.lit('  "result": '), F.col("result").cast("string")).alias("value"))
+        return _write_single(target, _text(spark, "{", '  "type": "boolean",'), answer, _text(spark, "}"))
     graph = df.columns == ["subject", "predicate", "object"]
-    opening = ['{', '  "type": "graph",', '  "triples": ['] if graph else [
-        '{', '  "type": "solutions",', f'  "variables": {json.dumps(df.columns, ensure_ascii=False)},', '  "results": [']
-    rows = json_lines(df).coalesce(1)
-    comma = F.when(F.monotonically_increasing_id() == 0, "    ").otherwise(F.lit("    ,"))
-    lines = _text(spark, *opening).union(rows.select(F.concat(comma, "value").alias("value")))
-    return _write(lines.union(_text(spark, "  ],", f'  "count": {n}', "}")), folder, name, True)
+    opening = ["{", '  "type": "graph",', '  "triples": ['] if graph else [
+        "{", '  "type": "solutions",', f'  "variables": {json.dumps(df.columns, ensure_ascii=False)},', '  "results": [']
+    return _write_single(target, _text(spark, *opening), json_lines(df), _text(spark, "  ],", f'  "count": {n}', "}"), separator=",")
 
 
 META_DDL = ("pipeline_name string, timestamp timestamp, files_loaded bigint, triples_loaded bigint, "
@@ -126,4 +140,6 @@ def metadata_lines(meta: DataFrame) -> DataFrame:
 
 
 def sink_metadata(meta: DataFrame, folder: str, prefix: str | None = "results", at: datetime | None = None) -> str:
-    return _write(metadata_lines(meta), folder, result_name(prefix, at or datetime.now(timezone.utc), "metadata"), True)
+    target = _target(folder, prefix, at, "metadata")
+    lines = metadata_lines(meta)
+    return _write_single(target, lines, lines.limit(0))

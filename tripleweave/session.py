@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # Runtime settings for skewed, large graphs.  Values the session already carries are left alone.
 TUNING = {
@@ -44,15 +46,21 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/tripleweave/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once as a scratch table and read it back: short lineage, survives lost executors."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def bound_batches(spark: SparkSession) -> None:
     """Bound the bytes of the Arrow batches that carry file contents to Python, unless the session already does."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key, None) is None:
         spark.conf.set(key, TUNING[key])
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """``df`` with its rows counted while it is used; read the count with :func:`rows_seen` after the action."""
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("n")), seen
+
+
+def rows_seen(seen: Observation) -> int:
+    try:
+        return seen.get["n"]
+    except Py4JJavaError:  # Spark drops the observation together with a plan that it knows to be empty
+        return 0
