@@ -26,6 +26,7 @@ from ..session import scratch_path
 from ..sources import archives
 from ..sources import ingest as ing
 from ..sources.files import FILES_DDL, filter_files, match_glob, scan_files, scan_store, union_sources
+from ..sources.split import ingest_rdfxml_split
 from .catalog_results import orders
 from .job import run_job
 from .model import P, graph
@@ -290,6 +291,24 @@ def _(t: Tables):
     return graph_form(ing.ingest(order_documents(t)))
 
 
+def _wrap_rdf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Put the lines of a partition between the tags of an RDF root."""
+    line = lambda text: pa.RecordBatch.from_pydict({"value": [text]})
+    yield line(f'<rdf:RDF xmlns:rdf="{RDF}" xmlns:c="urn:class/" xmlns:p="urn:p/" xml:base="http://example.org/orders">')
+    yield from batches
+    yield line("</rdf:RDF>")
+
+
+@query("ingest_rdfxml_split", """
+    SELECT 'http://example.org/orders#_' || o_orderkey AS subject, 'urn:p/status' AS predicate, o_orderstatus AS object FROM orders
+    UNION ALL SELECT 'http://example.org/orders#_' || o_orderkey, 'urn:p/customer', 'urn:customer/' || o_custkey FROM orders""")
+def _(t: Tables):
+    node = F.concat(F.lit('<rdf:Description rdf:ID="_'), F.col("o_orderkey").cast("string"), F.lit('"><p:status>'), F.col("o_orderstatus"),
+                    F.lit('</p:status><p:customer rdf:resource="urn:customer/'), F.col("o_custkey").cast("string"), F.lit('"/></rdf:Description>'))
+    lines = t("orders").select(node.alias("value")).mapInArrow(_wrap_rdf, "value string")
+    return graph_form(ingest_rdfxml_split(t.spark, listed(t, written(t, lines, "xml"))))
+
+
 TEXT_TRIPLES = "SELECT 'urn:document/' || doc_id AS subject, 'urn:p/text' AS predicate, md5(text) AS object{g} FROM documents"
 
 

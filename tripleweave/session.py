@@ -46,6 +46,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/tripleweave/{label}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once as a scratch table and read it back: short lineage, nothing is computed twice."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Bound the bytes of the Arrow batches that carry file contents to Python, unless the session already does."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

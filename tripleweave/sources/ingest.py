@@ -85,13 +85,14 @@ def _batch(n: int, known: dict) -> pa.RecordBatch:
                                       schema=ARROW_SCHEMA)
 
 
-def _document(rows: _Rows, file: str, data: bytes, fmt: str, base: str, scope: str):
-    """Read one document into ``rows``; pauses often enough for the caller to empty them."""
+def _document(rows: _Rows, file: str, data: bytes, fmt: str, base: str, part: str):
+    """Read one document (or a part of one) into ``rows``; pauses often enough for the caller to empty them."""
+    scope = hashlib.sha1(file.encode()).hexdigest()[:20]
     if fmt in ("ntriples", "nquads"):
         text = data.decode("utf-8").replace("\r\n", "\n").replace("\r", "\n")
         rows.lines.extend((file, line, fmt, None) for line in text.split("\n"))
     elif fmt == "rdfxml":
-        yield from rdfxml.parse(data, base, scope, rows.triples.append)
+        yield from rdfxml.parse(data, base, scope, rows.triples.append, part)
     else:
         yield from turtle.parse(data, base, scope, rows.triples.append, graphs=fmt == "trig")
 
@@ -100,11 +101,10 @@ def _parser(failfast: bool):
     def parse_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _Rows()
         for batch in batches:
-            for file, data, fmt, base in zip(*[batch.column(i) for i in range(4)]):
-                file = file.as_py()
-                scope, before = hashlib.sha1(file.encode()).hexdigest()[:20], len(rows.triples)
+            for file, data, fmt, base, part in zip(*[batch.column(i) for i in range(5)]):
+                file, before = file.as_py(), len(rows.triples)
                 try:
-                    for _ in _document(rows, file, data.as_py(), fmt.as_py(), base.as_py(), scope):
+                    for _ in _document(rows, file, data.as_py(), fmt.as_py(), base.as_py(), part.as_py()):
                         if failfast and len(rows.triples) >= BATCH_TRIPLES:
                             yield from rows.batches(file)
                 except (ExpatError, RdfError, UnicodeDecodeError, RecursionError) as e:
@@ -126,10 +126,15 @@ def ingest(files: DataFrame, base_iri: str = BASE_IRI, base_mode: str = "per_fil
     """
     if mode not in ("failfast", "reject"):
         raise ValueError(f"unknown mode {mode!r}")
-    bound_batches(files.sparkSession)
-    jobs = files.select("path", "content", detect_format(F.col("filename")).alias("format"),
-                        resolve_base(F.col("filename"), base_iri, base_mode).alias("base"))
-    flat = jobs.mapInArrow(_parser(mode == "failfast"), FLAT_DDL)
+    return parse_documents(files.select(
+        "path", "content", detect_format(F.col("filename")).alias("format"),
+        resolve_base(F.col("filename"), base_iri, base_mode).alias("base"), F.lit("").alias("part")), mode)
+
+
+def parse_documents(documents: DataFrame, mode: str) -> DataFrame:
+    """Triples of ``path, content, format, base, part`` rows; ``part`` names a piece of a document, '' the whole."""
+    bound_batches(documents.sparkSession)
+    flat = documents.mapInArrow(_parser(mode == "failfast"), FLAT_DDL)
     flat = flat.where(F.col("line").isNull() | ~F.col("line").rlike(RX_BLANK))
     quads, is_line = F.col("format") == "nquads", F.col("line").isNotNull()
     rows = flat.withColumn("cut", F.when(is_line, cut_line(F.col("line"), True)))

@@ -61,8 +61,8 @@ class Frame:
         self.datatype, self.reify, self.object, self.text, self.count, self.items = datatype, reify, None, [], 0, []
 
 
-def parse(data: bytes, base: str, scope: str, emit):
-    """Parse one document.  ``scope`` makes blank node labels unique.
+def parse(data: bytes, base: str, scope: str, emit, part: str = ""):
+    """Parse one document.  ``scope`` makes blank node labels unique, ``part`` those that a piece of a document makes up.
 
     A generator: it pauses after every chunk of input, so that the caller can pass on what was emitted so far.
     """
@@ -83,7 +83,7 @@ def parse(data: bytes, base: str, scope: str, emit):
 
     def fresh():
         state["fresh"] += 1
-        return blank_node(f"{scope}g{state['fresh']}")
+        return blank_node(f"{scope}g{part}{state['fresh']}")
 
     def own_id(base: str, name: str):
         at = resolve(base, "#" + name)
