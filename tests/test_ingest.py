@@ -195,6 +195,14 @@ def test_dedup_and_stats(spark):
     assert tuple(ing.load_totals(t, files).first()) == (3, 2)
 
 
+def test_without_line_parser(spark):
+    files = docs(spark, a__xml=HEAD + '<ex:C rdf:about="s"/></rdf:RDF>', b__nt=LINES)
+    with pytest.raises(Exception, match="b.nt"):
+        ing.ingest(files, lines=False).count()
+    t = ing.ingest(files, mode="reject", lines=False)
+    assert ing.accepted(t).count() == 1 and [r["file"] for r in ing.rejected(t).collect()] == ["mem:/b.nt"]
+
+
 def test_blank_nodes_of_documents_stay_apart(spark):
     text = "_:x <http://example.org/p> 1 ."
     assert ing.ingest(docs(spark, a__ttl=text, b__ttl=text)).select("s").distinct().count() == 2

@@ -299,14 +299,23 @@ def _wrap_rdf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield line("</rdf:RDF>")
 
 
+def order_files(t: Tables, n: int) -> str:
+    """Folder of ``n`` RDF/XML files with all orders, four triples each."""
+    text = lambda p, c: F.concat(F.lit(f"<p:{p}>"), F.col(c).cast("string"), F.lit(f"</p:{p}>\n"))
+    node = F.concat(F.lit('<c:order rdf:ID="_'), F.col("o_orderkey").cast("string"), F.lit('">\n'), text("status", "o_orderstatus"),
+                    text("priority", "o_orderpriority"), F.lit('<p:customer rdf:resource="urn:customer/'),
+                    F.col("o_custkey").cast("string"), F.lit('"/>\n</c:order>'))
+    lines = t("orders").repartition(n, "o_orderkey").select(node.alias("value")).mapInArrow(_wrap_rdf, "value string")
+    return written(t, lines, "xml")
+
+
 @query("ingest_rdfxml_split", """
     SELECT 'http://example.org/orders#_' || o_orderkey AS subject, 'urn:p/status' AS predicate, o_orderstatus AS object FROM orders
-    UNION ALL SELECT 'http://example.org/orders#_' || o_orderkey, 'urn:p/customer', 'urn:customer/' || o_custkey FROM orders""")
+    UNION ALL SELECT 'http://example.org/orders#_' || o_orderkey, 'urn:p/priority', o_orderpriority FROM orders
+    UNION ALL SELECT 'http://example.org/orders#_' || o_orderkey, 'urn:p/customer', 'urn:customer/' || o_custkey FROM orders
+    UNION ALL SELECT 'http://example.org/orders#_' || o_orderkey, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'urn:class/order' FROM orders""")
 def _(t: Tables):
-    node = F.concat(F.lit('<rdf:Description rdf:ID="_'), F.col("o_orderkey").cast("string"), F.lit('"><p:status>'), F.col("o_orderstatus"),
-                    F.lit('</p:status><p:customer rdf:resource="urn:customer/'), F.col("o_custkey").cast("string"), F.lit('"/></rdf:Description>'))
-    lines = t("orders").select(node.alias("value")).mapInArrow(_wrap_rdf, "value string")
-    return graph_form(ingest_rdfxml_split(t.spark, listed(t, written(t, lines, "xml"))))
+    return graph_form(ingest_rdfxml_split(t.spark, listed(t, order_files(t, 2))))
 
 
 TEXT_TRIPLES = "SELECT 'urn:document/' || doc_id AS subject, 'urn:p/text' AS predicate, md5(text) AS object{g} FROM documents"

@@ -54,7 +54,8 @@ def load(spark: SparkSession, spec: dict) -> tuple[DataFrame, int, int] | None:
     for graph, members in by_graph.items():
         files, seen = counted(_process(union_sources(spark, *[_loader(spark, s) for s in members]), processors))
         counters.append(seen)
-        triples = ingest(files, query.get("base_iri", BASE_IRI), query.get("base_mode", "per_file")).select(*QUAD)
+        triples = ingest(files, query.get("base_iri", BASE_IRI), query.get("base_mode", "per_file"),
+                         lines=query.get("lines", True)).select(*QUAD)
         parts.append(assign_graph(triples, graph) if graph else triples)
     if not parts:
         return None
@@ -70,7 +71,7 @@ def run_job(spark: SparkSession, spec: dict, query: Callable[[DataFrame], DataFr
     """Run a job given as a dict and return its one-row run metadata.
 
     ``spec`` holds ``pipeline: {name}``, ``sources: [{type, graph?, ...}]``, ``processors: [{type, ...}]``,
-    ``query: {base_iri, base_mode}`` and ``output: {dir, formats, metadata, prefix, single_file}``; the options of
+    ``query: {base_iri, base_mode, lines}`` and ``output: {dir, formats, metadata, prefix, single_file}``; the options of
     sources and processors are the arguments of the functions they name.  ``query`` maps the triples to the result.
     No files is a success without output.  A sink that fails is warned about.
     """

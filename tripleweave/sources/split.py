@@ -104,4 +104,4 @@ def ingest_rdfxml_split(spark: SparkSession, paths: str | Sequence[str], base_ir
     documents = split_documents(spark, paths, group).select(
         "path", "content", F.lit("rdfxml").alias("format"), resolve_base(name, base_iri, base_mode).alias("base"),
         F.concat(F.lit("p"), "part", F.lit("x")).alias("part"))
-    return parse_documents(documents, "failfast")
+    return parse_documents(documents, "failfast", lines=False)
