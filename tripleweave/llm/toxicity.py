@@ -174,7 +174,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     found = (docs.select(docs[doc_id].alias("key"), docs[text].alias("text")).join(chosen, "key")
              .select(F.col("key").cast("long").alias("key"), "text", "label")
-             .mapInArrow(vectors, "key long, label int, part int, ids array<int>, n array<float>").orderBy("key", "part").toArrow())
+             .mapInArrow(vectors, "key long, label int, part int, ids array<int>, n array<float>").toArrow())
+    found = found.take(np.argsort(found["key"].to_numpy(), kind="stable"))  # the parts of a row stay together
     examples: list[tuple] = []
     offsets = [found["ids"].combine_chunks(), found["n"].combine_chunks()]
     ids, counts = (o.flatten().to_numpy() for o in offsets)
