@@ -90,7 +90,8 @@ def test_cloud_names_and_settings(spark, monkeypatch):
     monkeypatch.setattr(fs, "scan_store", lambda spark, root, prefix, files, patterns, source: calls.append((root, prefix, source)))
     fs.scan_s3(spark, "bkt", "in/", region="eu-west-1", endpoint="http://minio:9000")
     fs.scan_azure(spark, "acct", "box", "igm/", skip_signature=True)
-    fs.scan_gcs(spark, "gb", files=["x.xml"], endpoint="http://unused")
+    fs.scan_gcs(spark, "gb", files=["x.xml"], endpoint="http://unused",
+                service_account_key='{"client_email": "a@b", "private_key_id": "7", "private_key": "k"}')
     assert calls == [("s3a://bkt", "in/", "s3://bkt/in/"), ("abfss://box@acct.dfs.core.windows.net", "igm/", "azure://box/igm/"),
                      ("gs://gb", "", "gs://gb/[1 files]")]
     conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -107,10 +108,10 @@ def test_union_keeps_going(spark, tmp_path):
 
 
 def test_filter(spark):
-    df = files_df(spark, *[(n, b"") for n in ("test_EQ.xml", "test_BD_.xml", "test.rdf", "test.zip")])
-    assert names(fs.filter_files(df, ["*.xml", "*.rdf"], ["*_BD_*"])) == ["test.rdf", "test_EQ.xml"]
-    assert len(names(fs.filter_files(df))) == 4
-    assert len(names(fs.filter_files(df, include=["[bad"]))) == 4  # no valid include pattern keeps everything
+    df = files_df(spark, *[(n, b"") for n in ("north.xml", "north_old.xml", "south.rdf", "south.zip", "readme")])
+    assert names(fs.filter_files(df, ["north*", "*.rdf"], ["*_old.*"])) == ["north.xml", "south.rdf"]
+    assert len(names(fs.filter_files(df))) == 5
+    assert len(names(fs.filter_files(df, include=["[bad"]))) == 5  # no valid include pattern keeps everything
 
 
 def test_archives(spark, tmp_path):

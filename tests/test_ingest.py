@@ -9,7 +9,7 @@ from tripleweave.sources.files import FILES_DDL
 EX = "http://example.org/"
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 HEAD = f'<?xml version="1.0"?><rdf:RDF xmlns:rdf="{RDF}" xmlns:ex="{EX}">'
-CIM = "http://iec.ch/TC57/CIM100#"
+CIM = "http://harbour.example/terms#"
 
 
 def docs(spark, **contents):
@@ -30,17 +30,17 @@ def xml(spark, body, head=HEAD):
     return [q[:3] for q in quads(ing.ingest(docs(spark, f__xml=head + body + "</rdf:RDF>")))]
 
 
-def test_grid_model(spark):
+def test_named_nodes(spark):
     text = HEAD.replace("xmlns:ex", f'xmlns:cim="{CIM}" xmlns:ex') + "".join(
-        f'<cim:Substation rdf:ID="_sub-00{i}"><cim:IdentifiedObject.name>Test Substation {n}</cim:IdentifiedObject.name></cim:Substation>'
-        for i, n in enumerate(("Alpha", "Beta", "Gamma"), 1)) + (
-        '<cim:BaseVoltage rdf:ID="_bv-400"><cim:IdentifiedObject.name>400 kV</cim:IdentifiedObject.name>'
-        '<cim:BaseVoltage.nominalVoltage>400</cim:BaseVoltage.nominalVoltage></cim:BaseVoltage></rdf:RDF>')
+        f'<cim:Pier rdf:ID="_pier-{i}"><cim:Place.title>Quay of {n}</cim:Place.title></cim:Pier>'
+        for i, n in enumerate(("Gull", "Heron", "Tern"), 1)) + (
+        '<cim:Berth rdf:ID="_berth-9"><cim:Place.title>deep berth</cim:Place.title>'
+        '<cim:Berth.depth>400</cim:Berth.depth></cim:Berth></rdf:RDF>')
     t = ing.ingest(docs(spark, EQ__xml=text))
     got = sorted(tuple(r) for r in graph_form(t).collect())
     assert len(got) == 9
-    assert (EX + "EQ.xml#_sub-002", CIM + "IdentifiedObject.name", "Test Substation Beta") in got
-    assert (EX + "EQ.xml#_bv-400", RDF + "type", CIM + "BaseVoltage") in got
+    assert (EX + "EQ.xml#_pier-2", CIM + "Place.title", "Quay of Heron") in got
+    assert (EX + "EQ.xml#_berth-9", RDF + "type", CIM + "Berth") in got
 
 
 def test_node_forms(spark):

@@ -15,10 +15,10 @@ from tripleweave.plans import job, sinks
 from tripleweave.plans.sinks import sink_csv, sink_json, sink_tsv
 
 AT = datetime(2026, 3, 4, 12, 0, 1, tzinfo=timezone.utc)
-CIM = "http://iec.ch/TC57/CIM100#"
+CIM = "http://harbour.example/terms#"
 MODEL = (f'<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:cim="{CIM}">' + "".join(
-    f'<cim:Substation rdf:ID="_{n}"><cim:IdentifiedObject.name>Test Substation {n}</cim:IdentifiedObject.name></cim:Substation>'
-    for n in ("Gamma", "Alpha", "Beta")) + "</rdf:RDF>").encode()
+    f'<cim:Pier rdf:ID="_{n}"><cim:Place.title>Quay of {n}</cim:Place.title></cim:Pier>'
+    for n in ("Tern", "Gull", "Heron")) + "</rdf:RDF>").encode()
 
 
 def cells(spark, *texts):
@@ -26,17 +26,17 @@ def cells(spark, *texts):
 
 
 def names(q):
-    return select_form(order_by(bgp(q, ("?s", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", IRI(CIM + "Substation")),
-                                    ("?s", CIM + "IdentifiedObject.name", "?name")), "name"), "name")
+    return select_form(order_by(bgp(q, ("?s", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", IRI(CIM + "Pier")),
+                                    ("?s", CIM + "Place.title", "?name")), "name"), "name")
 
 
 def test_csv(spark, tmp_path):
-    texts = ["plain", "has,comma", 'has"quote', "has\nnewline", "has\rreturn", ""]
+    texts = ["plain", "a, b", 'say "x', "two\nlines", "cr\rhere", ""]
     at = sink_csv(cells(spark, *texts), str(tmp_path), single_file=True, at=AT)
     assert at == f"{tmp_path}/results_20260304_120001.csv"
     raw = open(at, newline="").read()
-    assert raw.startswith("v,w\n") and 'plain,\n' in raw and '"has,comma",\n' in raw and '"has""quote",\n' in raw and "has\rreturn,\n" in raw
-    assert sorted(r[0] for r in csv.reader(io.StringIO(raw.replace("\r", "~"))))[1:] == sorted(["plain", "has,comma", 'has"quote', "has\nnewline", "has~return", "v"])
+    assert raw.startswith("v,w\n") and 'plain,\n' in raw and '"a, b",\n' in raw and '"say ""x",\n' in raw and "cr\rhere,\n" in raw
+    assert sorted(r[0] for r in csv.reader(io.StringIO(raw.replace("\r", "~"))))[1:] == sorted(["plain", "a, b", 'say "x', "two\nlines", "cr~here", "v"])
 
 
 def test_csv_keeps_empty_lines_and_order(spark, tmp_path):
@@ -59,7 +59,7 @@ def test_csv_of_graph_and_boolean(spark, tmp_path):
 
 
 def test_json(spark, tmp_path):
-    texts = ["back\\slash", 'has"quote', "line\nfeed"]
+    texts = ["c:\\dir", 'say "x', "line\nfeed"]
     doc = json.load(open(sink_json(cells(spark, *texts), str(tmp_path), single_file=True)))
     assert doc["type"] == "solutions" and doc["variables"] == ["v", "w"] and doc["count"] == 3
     assert sorted(r["v"] for r in doc["results"]) == sorted(texts) and all(r["w"] == "" for r in doc["results"])
@@ -99,7 +99,7 @@ def test_job(spark, tmp_path):
     assert (meta["pipeline_name"], meta["files_loaded"], meta["triples_loaded"], meta["result_count"]) == ("grid", 2, 12, 6)
     files = sorted(p.name for p in out.iterdir() if not p.name.startswith("."))
     assert [f.rsplit(".", 1)[1] for f in files] == ["csv", "json", "metadata", "tsv"] and all(f.startswith("grid_") for f in files)
-    assert (out / files[0]).read_text().splitlines() == ["name"] + [f"Test Substation {n}" for n in ("Alpha", "Alpha", "Beta", "Beta", "Gamma", "Gamma")]
+    assert (out / files[0]).read_text().splitlines() == ["name"] + [f"Quay of {n}" for n in ("Gull", "Gull", "Heron", "Heron", "Tern", "Tern")]
     written = dict(line.split(": ", 1) for line in (out / files[2]).read_text().splitlines())
     assert written["pipeline_name"] == "grid" and written["triples_loaded"] == "12" and written["result_count"] == "6"
     assert written["load_time_secs"] == f"{int(written['load_time_ms']) / 1000:.3f}"

@@ -1,6 +1,8 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
+
 from tripleweave.functions import scalars as X
 from tripleweave.functions.terms import IRI, RDF_TYPE, TERM_DDL, Lit, Term
 from tripleweave.operators import patterns as pt
@@ -107,15 +109,29 @@ def test_hot_keys_keep_all_rows(spark, rows):
     assert rows(optional(a, b, hot_keys=True).df.select("id", "r")) == rows(optional(a, b).df.select("id", "r"))
 
 
-def test_products_are_checked(spark, rows, monkeypatch):
+def test_products_have_no_limit(spark, rows):
     a, b = values(spark, ["x"], [(1,), (2,)]), values(spark, ["y"], [(3,), (4,)])
     assert len(rows(select_form(join(a, b)))) == 4
-    monkeypatch.setattr(pt, "PRODUCT_ROWS", 10)
-    big = pt.Solutions(spark.range(11).select("id"), frozenset(["id"]))
-    other = pt.Solutions(spark.range(11).selectExpr("id AS z"), frozenset(["z"]))
-    with pytest.raises(Exception, match="cross product"):
-        pt.cross_join(big, other).df.collect()
-    assert pt.cross_join(a, big).df.count() == 22  # the side of proven size is the one that is broadcast
+    big = pt.Solutions(spark.range(300).select("id"), frozenset(["id"]))
+    other = pt.Solutions(spark.range(400).selectExpr("id AS z"), frozenset(["z"]))
+    pairs = pt.cross_join(big, other).df
+    assert pairs.count() == pairs.distinct().count() == 120_000
+    assert pt.cross_join(a, big).df.count() == 600
+    left = optional(big, other, F.col("id") == F.col("z") - 200).df
+    assert left.count() == 300 and left.where("z is null").count() == 100
+
+
+def test_exists_on_unsure_variables(spark, rows):
+    a = values(spark, ["x", "y"], [(1, None), (2, 7), (3, 8), (None, None)])
+    b = values(spark, ["y", "z"], [(7, 1), (None, 5)])
+    ask = lambda q: rows(select_form(q, "x", "y"))
+    on = X.gt("?z", "?x")
+    assert ask(pt.exists(a, b, on)) == [("1", ""), ("2", "7"), ("3", "8")]
+    assert ask(not_exists(a, b, on)) == [("", "")]
+    only = values(spark, ["y", "z"], [(7, 9)])
+    assert ask(pt.exists(a, only, on)) == [("1", ""), ("2", "7")]
+    marked = rows(pt.exists_value(a, only, "hit").df.select(F.col("x.value"), "hit"))
+    assert marked == sorted([("1", True), ("2", True), ("3", False), (None, True)], key=repr)
 
 
 def test_minus_and_not_exists_differ(spark, rows):

@@ -66,3 +66,11 @@ def test_broken_documents(spark, tmp_path, text):
     (tmp_path / "a.xml").write_text(text)
     with pytest.raises(Exception, match="a.xml"):
         ingest_rdfxml_split(spark, str(tmp_path / "a.xml")).collect()
+
+
+@pytest.mark.parametrize("body", ['<ex:order xmlns:ex="http://e/"><ex:x>1</ex:x><ex:y>2</ex:y></ex:order>',
+                                  '<rdf:Seq xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:li>a</rdf:li><rdf:li>b</rdf:li></rdf:Seq>'])
+def test_a_root_that_is_a_node_is_refused(spark, tmp_path, body):
+    (tmp_path / "a.xml").write_text(body)
+    with pytest.raises(Exception, match="cannot be split"):
+        ingest_rdfxml_split(spark, str(tmp_path / "a.xml"), group=1).collect()

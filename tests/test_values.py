@@ -164,3 +164,32 @@ def test_aggregates(spark, rows):
     assert agg.group(pairs, n=agg.count_star(distinct=True)).df.first()[0] == 2
     having = agg.group(a, [("len", X.strlen("?g"))], having=F.col("n") > 2, n=agg.count_star())
     assert rows(having.df) == [(1, 5)]
+
+
+def test_exact_constants_and_products(one):
+    big = 9007199254740992
+    assert one(lambda x: X.eq(x, big), t(str(big + 1), "integer")) is False and one(lambda x: X.gt(x, big), t(str(big + 1), "integer")) is True
+    assert one(lambda x: X.in_(x, big, 5), t(str(big + 1), "integer")) is False and one(lambda x: X.eq(x, 1.5), t("1.5", "decimal")) is True
+    d = lambda v: t(v, "decimal")
+    assert one(X.multiply, d("0.0000000001"), t(1)) == "0.0000000001" and one(X.multiply, d("0.0000000001"), t(10**10)) in ("1", "1.0")
+    assert one(X.multiply, t(3 * 10**9), t(3 * 10**9)) == str(9 * 10**18)
+    assert one(X.multiply, d("0.0000000000000001"), d("0.0000000000000001")) is None  # digits beyond the 18th: unbound, not rounded
+    assert one(X.divide, t(1), t(8)) == "0.125" and one(X.divide, d("0.0000000002"), d("0.0000000001")) in ("2", "2.0")
+    assert one(X.negate, t(5)) == "-5" and one(lambda x: X.xsd_integer(x).cast("string"), t("12345678901234567890")) == "12345678901234567890"
+    assert one(lambda x: X.xsd_integer(x).cast("string"), d("-2.9")) == "-2" and one(lambda x: X.concat(), t(1)) == ""
+
+
+def test_literal_patterns(one):
+    assert one(lambda s: X.regex(s, "a\\E.b", "q"), t("xa\\E.by")) is True and one(lambda s: X.regex(s, "a\\E.b", "q"), t("a\\Ezb")) is False
+    assert one(lambda s: X.replace(s, "b", "$1\\", "q"), t("abc")) == "a$1\\c"
+    assert one(lambda s: X.replace(s, "x*", "-"), t("abc")) is None  # it matches the empty string
+    assert one(lambda s, n: X.substr(s, n, 2), t("hello"), t(2)) == "el" and one(lambda s, n: X.substr(s, n), t("hello"), t(4)) == "lo"
+    assert one(X.langmatches, t("de-AT"), t("DE")) is True and one(X.langmatches, t(""), t("*")) is False
+
+
+def test_sums_beyond_the_type(spark):
+    a = values(spark, ["g", "x"], [(1, t(str(9 * 10**19), "integer")), (1, t(str(9 * 10**19), "integer")), (2, t("0.0000000001", "decimal")),
+                                   (2, t("0.0000000003", "decimal")), (3, t(str(9 * 10**18), "integer")), (3, t(str(9 * 10**18), "integer"))])
+    out = agg.group(a, ["g"], s=agg.sum_("x"), m=agg.avg("x"))
+    got = {r["g"]: (r["s"], r["m"]) for r in out.df.selectExpr("g.value g", "s.value s", "m.value m").collect()}
+    assert got["1"][0] is None and got["2"][1] == "0.0000000002" and float(got["3"][1]) == 9e18

@@ -8,6 +8,7 @@ filters and aggregates.
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column
@@ -44,12 +45,15 @@ def not_(x: Column) -> Column:
 
 
 def _number_const(x):
-    return isinstance(x, (int, float)) and not isinstance(x, bool)
+    return isinstance(x, (int, float, Decimal)) and not isinstance(x, bool)
 
 
 def _number_test(x, k, op) -> Column:
-    """Comparison of a term with a Python number; NaN compares false."""
-    return F.when(is_nan(x), F.lit(False)).otherwise(op(num(x), F.lit(k)))
+    """Comparison of a term with a Python number: exact for an int or Decimal and an exact term; NaN compares false."""
+    floating = F.when(is_nan(x), F.lit(False)).otherwise(op(num(x), F.lit(float(k))))
+    if isinstance(k, float):
+        return floating
+    return F.when(numeric_rank(x) <= DECIMAL_RANK, op(exact_num(x), F.lit(Decimal(k)))).otherwise(floating)
 
 
 def _numbers(a, b, ca: Column, cb: Column, op) -> Column:
@@ -176,23 +180,35 @@ def subtract(a, b) -> Column:
     return _arith(a, b, lambda x, y: F.try_subtract(x, y).try_cast(DECIMAL), lambda x, y: x - y)
 
 
-NARROW = "decimal(28,9)"  # operands of * and /: room for 19 integer digits, results keep 18 fractional ones
+# Operand types whose exact product has 38 digits at most, 18 of them fractional: (precision, scale) of both sides.
+PRODUCTS = (((19, 9), (18, 9)), ((19, 0), (18, 0)), ((18, 0), (19, 0)), ((18, 18), (19, 0)), ((19, 0), (18, 18)),
+            ((28, 18), (9, 0)), ((9, 0), (28, 18)), ((28, 9), (9, 9)), ((9, 9), (28, 9)))
+# The same for quotients: Spark gives these at least 18 fractional digits.
+QUOTIENTS = (((38, 18), (19, 0)), ((19, 9), (18, 9)), ((19, 18), (19, 18)))
+
+
+def _exactly(x: Column, y: Column, shapes, op) -> Column:
+    """``op`` in the first pair of types that holds both operands without loss; NULL if none does."""
+    def fit(v: Column, precision: int, scale: int) -> Column:
+        narrow = v.try_cast(f"decimal({precision},{scale})")
+        return F.when(narrow.cast(DECIMAL) == v, narrow)
+
+    return F.coalesce(*[op(fit(x, *left), fit(y, *right)).try_cast(DECIMAL) for left, right in shapes])
 
 
 def multiply(a, b) -> Column:
-    return _arith(a, b, lambda x, y: F.try_multiply(x.try_cast(NARROW), y.try_cast(NARROW)).try_cast(DECIMAL),
-                  lambda x, y: x * y)
+    return _arith(a, b, lambda x, y: _exactly(x, y, PRODUCTS, F.try_multiply), lambda x, y: x * y)
 
 
 def divide(a, b) -> Column:
-    """Integer / integer is a decimal; an exact division by zero is an error, a floating one gives INF or NaN."""
-    return _arith(a, b, lambda x, y: F.try_divide(x.try_cast(NARROW), y.try_cast(NARROW)).try_cast(DECIMAL),
+    """Integer / integer is a decimal of 18 fractional digits; an exact division by zero is an error, a floating one gives INF or NaN."""
+    return _arith(a, b, lambda x, y: _exactly(x, y, QUOTIENTS, F.try_divide),
                   lambda x, y: F.when(y == 0, x * float("inf")).otherwise(F.try_divide(x, y)),
                   least_rank=DECIMAL_RANK)
 
 
 def negate(a) -> Column:
-    return subtract(0, a)
+    return _keep_type(a, lambda v: -v, lambda v: -v)
 
 
 def _keep_type(x, exact, approx) -> Column:
@@ -334,8 +350,15 @@ def _map_text(x, fn) -> Column:
     return literal_term(fn(v), dt, tag)
 
 
-def substr(x, start: int, length: int | None = None) -> Column:
-    """1-based; a start below 1 shortens the piece as XPath ``substring`` does."""
+def substr(x, start, length=None) -> Column:
+    """1-based; a start below 1 shortens the piece as XPath ``substring`` does.  Both numbers may be terms or variables."""
+    if not isinstance(start, int) or not isinstance(length, (int, type(None))):
+        place = lambda n: F.lit(n) if isinstance(n, int) else xsd_integer(n).try_cast("int")
+        begin = place(start)
+        first = F.greatest(begin, F.lit(1)) + F.lit(0) * begin
+        if length is None:
+            return _map_text(x, lambda v: F.substring(v, first, F.length(v)))
+        return _map_text(x, lambda v: F.substring(v, first, F.greatest(begin + place(length) - first, F.lit(0))))
     first = max(start, 1)
     size = (1 << 31) - 1 if length is None else max(start + length - first, 0)
     return _map_text(x, lambda v: F.substring(v, first, size))
@@ -402,7 +425,9 @@ def encode_for_uri(x) -> Column:
 
 
 def concat(*xs) -> Column:
-    """Keeps the language tag only when all arguments share it."""
+    """Keeps the language tag only when all arguments share it; no arguments give the empty string."""
+    if not xs:
+        return literal_term(F.lit(""))
     parts = [_string(x) for x in xs]
     value, tags = F.concat(*[p[0] for p in parts]), [p[2] for p in parts]
     if any(isinstance(t, str) and t == "" for t in tags):
@@ -411,26 +436,48 @@ def concat(*xs) -> Column:
     return literal_term(value, F.when(tag != "", LANG_STRING).otherwise(F.lit(STRING)), tag)
 
 
-def langmatches(tag, rng: str) -> Column:
+INTEGER = "decimal(38,0)"
+
+
+def _constant_text(x) -> bool:
+    """A Python string that names no variable."""
+    return isinstance(x, str) and not x.startswith("?")
+
+
+def _argument(x) -> Column:
+    """A string argument that may be a constant, a variable or a term."""
+    return F.lit(x) if _constant_text(x) else _string(x)[0]
+
+
+def langmatches(tag, rng) -> Column:
+    """``rng`` is a Python string, or a term or column for a range by row."""
     v = F.lower(_string(tag)[0])
+    if not _constant_text(rng):
+        low = F.lower(_string(rng)[0])
+        return F.when(low == "*", v != "").otherwise((v == low) | F.startswith(v, F.concat(low, F.lit("-"))))
     if rng == "*":
         return v != ""
     low = rng.lower()
     return (v == low) | F.startswith(v, F.lit(low + "-"))
 
 
-def _flagged(pattern: str, flags: str) -> str:
-    quoted = "\\Q" + pattern + "\\E" if "q" in flags else pattern
+def _flagged(pattern: Column, flags: str) -> Column:
+    if "q" in flags:  # literal text: an end of quoting inside it is quoted by itself
+        pattern = F.concat(F.lit("\\Q"), F.replace(pattern, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
     inline = "".join(f for f in flags if f in "ismx")
-    return f"(?{inline}){quoted}" if inline else quoted
+    return F.concat(F.lit(f"(?{inline})"), pattern) if inline else pattern
 
 
-def regex(x, pattern: str, flags: str = "") -> Column:
-    return _string(x)[0].rlike(_flagged(pattern, flags))
+def regex(x, pattern, flags: str = "") -> Column:
+    return F.rlike(_string(x)[0], _flagged(_argument(pattern), flags))
 
 
-def replace(x, pattern: str, by: str, flags: str = "") -> Column:
-    return _map_text(x, lambda v: F.regexp_replace(v, _flagged(pattern, flags), by))
+def replace(x, pattern, by, flags: str = "") -> Column:
+    """A pattern that matches the empty string is an error; with flag ``q`` the replacement is literal text too."""
+    found, new = _flagged(_argument(pattern), flags), _argument(by)
+    if "q" in flags:
+        new = F.replace(F.replace(new, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+    return _map_text(x, lambda v: F.when(~F.rlike(F.lit(""), found), F.regexp_replace(v, found, new)))
 
 
 # --- dates and times ----------------------------------------------------------------------------------
@@ -536,14 +583,17 @@ def xsd_decimal(x) -> Column:
 
 
 def xsd_integer(x) -> Column:
-    """Numbers are truncated; strings must be integers."""
+    """Numbers are truncated; strings must be integers.  38 digits; beyond that the result is unbound."""
+    toward_zero = lambda d: F.when(d < 0, F.ceil(d)).otherwise(F.floor(d)).try_cast(INTEGER)
+    # a double beyond 2**63 has no fraction
+    of_real = lambda r: F.coalesce(r.try_cast("bigint").cast(INTEGER), F.when(F.abs(r) >= 2.0**63, r.try_cast(INTEGER)))
     views = number_views(x)
     if views:
-        return F.coalesce(views.exact.try_cast("bigint"), views.approx.try_cast("bigint"))
+        return F.coalesce(toward_zero(views.exact), of_real(views.approx))
     v, literal = view(x), _from_literal(x)
-    decimal = parse_decimal(only_if(among(v.dt, "xsd:decimal"), v.value)).try_cast("bigint")
-    plain = F.when(literal.rlike(RX_INTEGER), literal.try_cast("bigint"))
-    return F.coalesce(plain, decimal, _real(x).try_cast("bigint"), boolean_value(x).cast("bigint"))
+    decimal = toward_zero(parse_decimal(only_if(among(v.dt, "xsd:decimal"), v.value)))
+    plain = F.when(literal.rlike(RX_INTEGER), literal.try_cast(INTEGER))
+    return F.coalesce(plain, decimal, of_real(_real(x)), boolean_value(x).cast("int").cast(INTEGER))
 
 
 def xsd_double(x) -> Column:

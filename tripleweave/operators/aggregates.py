@@ -141,15 +141,16 @@ def _numeric_native(c: Column, kind: T.DataType, agg: Agg) -> Column:
 
 def _numeric_term(exact: Column, approx: Column, rank: Column, agg: Agg) -> Column:
     """SUM and AVG of terms: exact while all members are integers or decimals, else floating."""
-    plus = F.sum_distinct if agg.distinct else F.sum
+    plus = F.sum_distinct if agg.distinct else F.try_sum
     top = F.coalesce(F.max(F.when(approx.isNotNull(), rank)), F.lit(INTEGER_RANK))
-    exact_sum = F.coalesce(plus(exact).try_cast(DECIMAL), F.lit(0).cast(DECIMAL))
+    # a sum beyond the type is unbound, the sum of no numbers is 0
+    exact_sum = F.when(F.count(exact) > 0, plus(exact).try_cast(DECIMAL)).otherwise(F.lit(0).cast(DECIMAL))
     float_sum = F.coalesce(plus(F.when(rank >= FLOAT_RANK, approx)), F.lit(0.0)) + exact_sum.cast("double")
     if agg.kind == "sum":
         value = F.when(top <= DECIMAL_RANK, decimal_text(exact_sum)).otherwise(double_text(float_sum))
         return literal_term(value, rank_dt(top))
     n = F.nullif(F.countDistinct(approx) if agg.distinct else F.count(approx), F.lit(0))
-    mean = F.try_divide(exact_sum.try_cast("decimal(28,9)"), n.cast("decimal(20,0)")).try_cast(DECIMAL)
+    mean = F.try_divide(exact_sum, n.cast("decimal(19,0)")).try_cast(DECIMAL)  # 18 fractional digits
     value = F.when(top <= DECIMAL_RANK, decimal_text(mean)).otherwise(double_text(float_sum / n.cast("double")))
     empty = literal_term(F.lit("0"), "xsd:integer")
     return F.when(n.isNull(), empty).otherwise(literal_term(value, rank_dt(F.greatest(top, F.lit(DECIMAL_RANK)))))

@@ -60,8 +60,13 @@ class FunctionalGraph(Graph):
     def star(self, wanted):
         names = [p for p, _ in wanted]
         rows = self.triples.where(F.col("p").isin(names) & (F.col("g") == ""))
-        cells = [F.max(F.when(F.col("p") == p, F.col("o"))).alias(f"o{i}") for i, p in enumerate(names)]
-        wide = rows.groupBy("s").agg(*cells)
+        held = [F.when(F.col("p") == p, F.col("o")) for p in names]
+        # two objects would be two solutions: an error, never one of them dropped
+        two = [F.raise_error(F.lit(f"{p} has more than one object for a subject; it is not functional")) for p in names]
+        ends = [e for i, o in enumerate(held) for e in (F.max(o).alias(f"max{i}"), F.min(o).alias(f"min{i}"))]
+        wide = rows.groupBy("s").agg(*ends).select("s", *[
+            F.when(F.col(f"max{i}") == F.col(f"min{i}"), F.col(f"max{i}")).when(F.col(f"max{i}").isNotNull(), two[i].cast(self.triples.schema["o"].dataType))
+            .alias(f"o{i}") for i in range(len(names))])
         return wide.where(reduce(lambda a, b: a & b, [F.col(f"o{i}").isNotNull() for i in range(len(names))]))
 
 

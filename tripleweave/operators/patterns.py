@@ -20,7 +20,7 @@ from ..functions.terms import Lit, Term, TERM_TYPE, iri_term, make, native_term,
 from .graph import Graph, as_graph
 
 BROADCAST_ROWS = 10_000
-PRODUCT_ROWS = 100_000
+SALTS = 64  # tasks that share a product without a small side
 
 
 @dataclass(frozen=True)
@@ -283,31 +283,29 @@ def _compat_inner(a: Solutions, b: Solutions, shared: Sequence[str]) -> DataFram
     return df
 
 
-def _product(a: Solutions, b: Solutions, shared: Sequence[str] = ()) -> DataFrame:
-    left, right = a.df, _renamed(b, shared)
-    if a.max_rows is not None and (b.max_rows is None or a.max_rows < b.max_rows):
-        left = F.broadcast(_checked(left, a.max_rows))
+def _product(a: Solutions, b: Solutions, shared: Sequence[str] = (), how: str = "inner", on: Column | None = None) -> DataFrame:
+    """All pairs.  A side that is small by construction is broadcast.  Otherwise the pairs are dealt out: each row of ``a``
+    draws one of ``SALTS`` numbers, each row of ``b`` goes to all of them, and an equi-join on the number streams one
+    side past the other, so no row count is too large and nothing unbounded is held in memory."""
+    right = _renamed(b, shared)
+    if b.max_rows is not None and b.max_rows <= BROADCAST_ROWS:
+        df = a.df.join(F.broadcast(right), F.lit(True) if on is None else on, how)
+    elif how == "inner" and a.max_rows is not None and a.max_rows <= BROADCAST_ROWS:
+        df = F.broadcast(a.df).join(right, F.lit(True) if on is None else on, how)
     else:
-        right = F.broadcast(_checked(right, b.max_rows))
-    return left.crossJoin(right).select(*_out(a, b, shared, True))
-
-
-def _checked(df: DataFrame, max_rows: int | None) -> DataFrame:
-    """``df`` if it has at most ``PRODUCT_ROWS`` rows, else a run-time error: never cut, never unbounded."""
-    if max_rows is not None and max_rows <= PRODUCT_ROWS:
-        return df
-    rows = df.limit(PRODUCT_ROWS + 1).agg(F.collect_list(F.struct(*df.columns)).alias("rows"))
-    too_many = F.raise_error(F.lit(f"cross product: the smaller side has more than {PRODUCT_ROWS} rows; join on a shared variable"))
-    rows = rows.select(F.explode(F.when(F.size("rows") > PRODUCT_ROWS, too_many).otherwise(F.col("rows"))).alias("r"))
-    return rows.select("r.*")
+        salted = a.df.withColumn("_salt", F.pmod(F.xxhash64(*a.df.columns, F.lit(3)), F.lit(SALTS)))
+        everywhere = right.withColumn("_salt_r", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+        same = F.col("_salt") == F.col("_salt_r")
+        df = salted.join(everywhere.hint("merge"), same if on is None else same & on, how)
+    return df.select(*_out(a, b, shared, True))
 
 
 def cross_join(a: Solutions, b: Solutions) -> Solutions:
-    """Join without shared variables.  The smaller side (``b`` unless ``a`` has a proven lower bound) is checked
-    to be small and broadcast, so the work is linear in the other side."""
+    """Join without shared variables: all pairs, see :func:`_product`."""
     if _shared(a, b):
         raise ValueError("cross_join needs two sides without shared variables")
-    return Solutions(_product(a, b), a.certain | b.certain, a.nodes | b.nodes)
+    rows = a.max_rows * b.max_rows if a.max_rows is not None and b.max_rows is not None else None
+    return Solutions(_product(a, b), a.certain | b.certain, a.nodes | b.nodes, rows)
 
 
 def optional(a: Solutions, b: Solutions, on: Column | None = None, hot_keys: bool = False) -> Solutions:
@@ -316,10 +314,7 @@ def optional(a: Solutions, b: Solutions, on: Column | None = None, hot_keys: boo
     shared = _shared(a, b)
     nodes = a.nodes | (b.nodes - set(a.vars))
     if not shared:
-        if b.max_rows is None:
-            raise ValueError("OPTIONAL without a shared variable needs a right side of proven size")
-        df = a.df.join(F.broadcast(b.df), F.lit(True) if on is None else on, "left")
-        return Solutions(df.select(*_out(a, b, shared, False)), a.certain, nodes)
+        return Solutions(_product(a, b, shared, "left", on), a.certain, nodes)
     if all(v in a.certain and v in b.certain for v in shared):
         cond = _same(shared, a, b)
         cond = cond if on is None else cond & on
@@ -338,18 +333,32 @@ def optional(a: Solutions, b: Solutions, on: Column | None = None, hot_keys: boo
     return Solutions(df.select(*matched.vars), a.certain, frozenset())
 
 
-def _without(a: Solutions, b: Solutions, shared, on: Column) -> DataFrame:
-    """Rows of ``a`` for which no compatible row of ``b`` passes ``on``."""
+def _hits(a: Solutions, b: Solutions, on: Column) -> DataFrame:
+    """The distinct rows of ``a`` for which some compatible row of ``b`` passes ``on``, under other names."""
     # the join may fill a variable of ``a`` from ``b``: carry the row as it was, to find it again
     as_was = a.with_df(a.df.withColumns({f"_own_{v}": F.col(v) for v in a.vars}))
     hits = filter_(join(as_was, b), on)
-    keys = hits.df.select(*[F.col(f"_own_{v}").alias(_right(v)) for v in a.vars]).distinct()
-    cond = reduce(lambda x, v: x & F.col(v).eqNullSafe(F.col(_right(v))), a.vars, F.lit(True))
-    return a.df.join(keys, cond, "left_anti")
+    return hits.df.select(*[F.col(f"_own_{v}").alias(_right(v)) for v in a.vars]).distinct()
+
+
+def _same_row(a: Solutions) -> Column:
+    return reduce(lambda x, v: x & F.col(v).eqNullSafe(F.col(_right(v))), a.vars, F.lit(True))
+
+
+def _without(a: Solutions, b: Solutions, shared, on: Column) -> DataFrame:
+    """Rows of ``a`` for which no compatible row of ``b`` passes ``on``."""
+    return a.df.join(_hits(a, b, on), _same_row(a), "left_anti")
 
 
 def _compat_filter(a: Solutions, b: Solutions, shared: Sequence[str], how: str, allow_empty: bool) -> DataFrame:
-    """Rows of ``a`` with (``left_semi``) or without (``left_anti``) a compatible row in ``b``.
+    """Rows of ``a`` with (``left_semi``) or without (``left_anti``) a compatible row in ``b``."""
+    kept = _compat_marked(a, b, shared, allow_empty)
+    want = F.col("_hit") if how == "left_semi" else ~F.col("_hit")
+    return kept.where(want).select(*a.vars)
+
+
+def _compat_marked(a: Solutions, b: Solutions, shared: Sequence[str], allow_empty: bool) -> DataFrame:
+    """``a`` with ``_hit``: whether ``b`` has a compatible row.
 
     One join per mask of ``b``; for each, the keys of ``b`` are made distinct before they are compared, and
     ``a`` keeps its own row (no copies), so multiplicities stay right.
@@ -372,8 +381,7 @@ def _compat_filter(a: Solutions, b: Solutions, shared: Sequence[str], how: str,
         kept = (left.join(keys, _pair_equal(shared), "left")
                 .withColumn("_hit", F.col("_hit") | F.coalesce(F.col("_found"), F.lit(False)))
                 .select(*a.vars, "_hit"))
-    want = F.col("_hit") if how == "left_semi" else ~F.col("_hit")
-    return kept.where(want).select(*a.vars)
+    return kept
 
 
 # --- set-like operators -------------------------------------------------------------------------------
@@ -413,7 +421,7 @@ def _semi_on(a: Solutions, b: Solutions, on: Column, how: str) -> Solutions:
     a, b = _same_types(a, b)
     shared = _shared(a, b)
     if not shared or not all(v in a.certain and v in b.certain for v in shared):
-        raise ValueError("a correlated filter in EXISTS needs shared variables that are always bound")
+        return a.with_df(a.df.join(_hits(a, b, on), _same_row(a), how))
     cond = _same(shared, a, b)
     return a.with_df(a.df.join(_renamed(b, shared), cond & on, how))
 
@@ -422,8 +430,13 @@ def exists_value(a: Solutions, b: Solutions, name: str) -> Solutions:
     """EXISTS as an expression: a boolean variable instead of a filter."""
     a, b = _same_types(a, b)
     shared = _shared(a, b)
-    if not shared or not all(v in a.certain and v in b.certain for v in shared):
-        raise ValueError("EXISTS as a value needs shared variables that are always bound")
+    if not shared:
+        some = b.df.limit(1).select(F.lit(True).alias("_found"))
+        df = a.df.join(F.broadcast(some), F.col("_found"), "left").select(*a.vars, F.col("_found").isNotNull().alias(name))
+        return Solutions(df, a.certain | {name}, a.nodes, a.max_rows)
+    if not all(v in a.certain and v in b.certain for v in shared):
+        df = _compat_marked(a, b, shared, True).withColumnRenamed("_hit", name)
+        return Solutions(df, a.certain | {name}, a.nodes, a.max_rows)
     keys = b.df.select(*[F.col(v).alias(_right(v)) for v in shared]).distinct().withColumn("_found", F.lit(True))
     cond = _same(shared, a, b)
     df = a.df.join(keys, cond, "left").select(*a.vars, F.col("_found").isNotNull().alias(name))

@@ -282,7 +282,7 @@ def _(t: Tables):
     a = bgp(graph(t), ("?part", P["brand"], "?b"), ("?part", P["name"], "?n"), ("?part", P["size"], "?z"))
     a = bind(bind(a, "label", X.concat("?b", " / ", "?n")), "twice", X.multiply("?z", 2))
     return a.df.select(lex(F.col("part")).alias("part"), lex(F.col("label")).alias("label"),
-                       X.xsd_integer("?twice").alias("twice"))
+                       X.xsd_integer("?twice").cast("bigint").alias("twice"))
 
 
 @query("values", """

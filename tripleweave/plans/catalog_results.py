@@ -33,7 +33,7 @@ def _(t: Tables):
 
 @query("project_expr", "SELECT upper(p_name) AS name, p_size + 1 AS next FROM part")
 def _(t: Tables):
-    a = project(parts(t), up=X.ucase("?name"), next=X.xsd_integer(X.add("?size", 1)))
+    a = project(parts(t), up=X.ucase("?name"), next=X.xsd_integer(X.add("?size", 1)).cast("bigint"))
     return a.df.select(lex(F.col("up")).alias("name"), "next")
 
 
@@ -168,7 +168,7 @@ def _(t: Tables):
 def _(t: Tables):
     a = agg.group(parts(t), ["brand"], total=agg.sum_("size", distinct=True), mean=agg.avg("size", distinct=True),
                   sizes=agg.count_distinct("size"))
-    return a.df.select(lex(F.col("brand")).alias("brand"), X.xsd_integer("?total").alias("total"),
+    return a.df.select(lex(F.col("brand")).alias("brand"), X.xsd_integer("?total").cast("bigint").alias("total"),
                        F.round(num("?mean"), 6).alias("mean"), "sizes")
 
 

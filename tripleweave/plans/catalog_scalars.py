@@ -87,7 +87,7 @@ def _(t: Tables):
     g = graph(t)
     a = optional(bgp(g, ("?d", RDF_TYPE, C["document"])), project(bgp(g, ("?l", P["labels"], "?d"), ("?l", P["quality"], "?q")), "d", "q"))
     verdict = F.coalesce(lex(X.if_(X.gt("?q", 0), "good", "bad")), F.lit(""))
-    return out(a, "d", b=X.bound("?q"), verdict=verdict, q=X.xsd_integer(X.coalesce("?q", -1)))
+    return out(a, "d", b=X.bound("?q"), verdict=verdict, q=X.xsd_integer(X.coalesce("?q", -1)).cast("bigint"))
 
 
 @query("fn_sameterm", f"SELECT {PART}, p_size = 25 AS same, false AS other_type, true AS value_eq FROM part")
@@ -225,6 +225,40 @@ def _(t: Tables):
                ri=lex(X.replace("?url", "HTTPS?", "x", "i")))
 
 
+@query("compare_large_constant", f"""
+    SELECT {PART}, p_size = 26 AS eq, p_size > 26 AS gt, p_size <= 26 AS le, p_size IN (26, 3) AS among FROM part""")
+def _(t: Tables):
+    """Integers beyond 2^53, which doubles cannot tell apart."""
+    base = 9007199254740992
+    x = lambda: X.add("?size", base)
+    return out(parts(t), "part", eq=X.eq(x(), base + 26), gt=X.gt(x(), base + 26), le=X.le(x(), base + 26), among=X.in_(x(), base + 26, base + 3))
+
+
+@query("multiply_small", f"""
+    SELECT {PART}, CAST(p_size AS VARCHAR) AS back, p_size / 8.0 AS eighth FROM part""")
+def _(t: Tables):
+    tiny, large = literal_term(F.lit("0.0000000001"), "xsd:decimal"), 10_000_000_000
+    back = X.multiply(X.multiply("?size", tiny), large)
+    return out(parts(t), "part", back=lex(back), eighth=num(X.divide(X.multiply("?size", tiny), literal_term(F.lit("0.0000000008"), "xsd:decimal"))))
+
+
+@query("cast_long_integer", f"""
+    SELECT {PART}, CAST(1234567890123456789012345678 + CAST(p_size AS HUGEINT) AS VARCHAR) AS whole FROM part""")
+def _(t: Tables):
+    text = X.concat("123456789012345678901234", X.str_(X.add("?size", 5678)))
+    return out(parts(t), "part", whole=X.xsd_integer(text).cast("string"))
+
+
+@query("column_arguments", f"""
+    SELECT {PART}, substr(p_name, p_size, 3) AS piece, contains(p_name, p_brand) AS quoted,
+           replace(p_name, substr(p_name, 1, 2), '$1') AS changed, true AS matches FROM part""")
+def _(t: Tables):
+    """SUBSTR, REGEX, REPLACE and LANGMATCHES with arguments that differ by row."""
+    tag = X.concat("x", X.str_("?size"))
+    return out(parts(t), "part", piece=lex(X.substr("?name", "?size", 3)), quoted=X.regex("?name", "?brand", "q"),
+               changed=lex(X.replace("?name", X.substr("?name", 1, 2), "$1", "q")), matches=X.langmatches(tag, tag))
+
+
 @query("fn_datetime_parts", """
     SELECT 'urn:event/' || event_id AS key, year(ts) AS y, month(ts) AS m, day(ts) AS d, hour(ts) AS h, minute(ts) AS mi,
            microsecond(ts) / 1000000.0 AS s, '+02:00' AS tz, 'PT2H' AS timezone FROM events""")
@@ -259,7 +293,7 @@ def _(t: Tables):
            CAST(NULL AS BOOLEAN) AS bool_yes, true AS bool_one, CAST(p_size AS VARCHAR) AS s, CAST(NULL AS DOUBLE) AS exp_dec FROM part""")
 def _(t: Tables):
     return out(parts(t), "part", str_dec=X.xsd_decimal(X.str_("?size")).cast("double"), bad_dec=X.xsd_decimal("?name").cast("double"),
-               int_dbl=X.xsd_integer("?price"), int_text=X.xsd_integer("?name"), dbl=X.xsd_double("?size"), flt=X.xsd_float("?price").cast("double"),
+               int_dbl=X.xsd_integer("?price").cast("bigint"), int_text=X.xsd_integer("?name").cast("bigint"), dbl=X.xsd_double("?size"), flt=X.xsd_float("?price").cast("double"),
                bool_num=X.xsd_boolean("?size"), bool_yes=X.xsd_boolean("yes"), bool_one=X.xsd_boolean("1"), s=lex(X.xsd_string("?size")),
                exp_dec=X.xsd_decimal("1e3").cast("double"))
 

@@ -8,12 +8,11 @@ from collections.abc import Callable
 from datetime import datetime, timezone
 from functools import partial, reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.diff import assign_graph
 from ..operators.forms import default_query
-from ..session import counted, rows_seen, scratch_path
+from ..session import counted, rows_seen, scratch_path, stored, tune
 from ..sources import archives
 from ..sources.files import filter_files, scan_azure, scan_files, scan_gcs, scan_s3, union_sources
 from ..sources.ingest import BASE_IRI, QUAD, ingest, store_triples
@@ -76,6 +75,7 @@ def run_job(spark: SparkSession, spec: dict, query: Callable[[DataFrame], DataFr
     No files is a success without output.  A sink that fails is warned about.
     """
     name, out, at = spec.get("pipeline", {}).get("name", "default"), spec.get("output", {}), datetime.now(timezone.utc)
+    tune(spark)
     start = time.monotonic()
     loaded = load(spark, spec)
     load_ms = int((time.monotonic() - start) * 1000)
@@ -84,7 +84,7 @@ def run_job(spark: SparkSession, spec: dict, query: Callable[[DataFrame], DataFr
         return spark.createDataFrame([(name, at, 0, 0, load_ms, 0, 0)], META_DDL)
     triples, files_loaded, triples_loaded = loaded
     start = time.monotonic()
-    result = query(triples).persist(StorageLevel.MEMORY_AND_DISK)  # shared by the sinks
+    result = stored(query(triples), "result")  # shared by the sinks, and not lost with an executor
     count = result.count()
     query_ms = int((time.monotonic() - start) * 1000)
     meta = spark.createDataFrame([(name, at, files_loaded, triples_loaded, load_ms, query_ms, count)], META_DDL)
@@ -98,5 +98,4 @@ def run_job(spark: SparkSession, spec: dict, query: Callable[[DataFrame], DataFr
             write()
         except Exception as e:  # one failing sink does not lose the others
             warnings.warn(f"sink failed: {e}")
-    result.unpersist()
     return meta

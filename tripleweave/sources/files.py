@@ -6,6 +6,7 @@ start with ``_`` or ``.`` are invisible to Spark's file index, so asking for one
 
 from __future__ import annotations
 
+import json
 import re
 import warnings
 from collections.abc import Callable, Sequence
@@ -206,8 +207,12 @@ def scan_azure(spark: SparkSession, account: str, container: str, prefix: str =
 def scan_gcs(spark: SparkSession, bucket: str, prefix: str = "", service_account_key: str | None = None,
              endpoint: str | None = None, files: Sequence[str] = (),
              patterns: Sequence[str] = DEFAULT_PATTERNS) -> DataFrame:
-    """GCS bucket through ``gs://``.  ``endpoint`` is accepted and has no effect."""
-    _configure(spark, **{"fs.gs.auth.service.account.json.keyfile": service_account_key})
+    """GCS bucket through ``gs://``; the key is the JSON of a service account.  ``endpoint`` is accepted and has no effect."""
+    if service_account_key:
+        key = json.loads(service_account_key)
+        _configure(spark, **{"fs.gs.auth.service.account.email": key.get("client_email"),
+                             "fs.gs.auth.service.account.private.key.id": key.get("private_key_id"),
+                             "fs.gs.auth.service.account.private.key": key.get("private_key")})
     name = f"gs://{bucket}/[{len(files)} files]" if files else f"gs://{bucket}/{prefix}"
     return scan_store(spark, f"gs://{bucket}", prefix, files, patterns, name)
 

@@ -78,6 +78,9 @@ def split_documents(spark: SparkSession, paths: str | Sequence[str], group: int
     heads = numbered.where(outside).join(files, "file").where(F.col("root_at").isNull() | (place <= F.col("root_at")))
     heads = heads.groupBy("file", "left_open", "stray").agg(_joined(piece).alias("head"))
     root = F.regexp_extract("head", r"<([^\s<>!?/]+)[^<>]*>\s*$", 1)
+    # children may only be parted where they do not share a subject: below rdf:RDF, not below a node
+    heads = heads.withColumn("head", F.when(root.rlike("^([^:]+:)?RDF$"), F.col("head")).otherwise(F.raise_error(
+        F.concat(F.col("file"), F.lit(": the root is not rdf:RDF; cannot be split"))).cast("string")))
     heads = heads.withColumn("tail", F.when(F.col("head").rlike(r"/>\s*$"), "").otherwise(F.concat(F.lit("</"), root, F.lit(">"))))
     bodies = numbered.where(inside).groupBy("file", F.expr(f"(child - 1) div {int(group)}").alias("part")).agg(
         _joined(piece).alias("body"))
