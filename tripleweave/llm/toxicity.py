@@ -143,6 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         sample: int = 4000, fairness: float = 1.0, size: int = 1 << 18, identity: Sequence[Sequence[str]] = IDENTITY_TERMS) -> Model:
     """Fit on labelled rows that are not held out, at most ``sample`` of each label, picked by a hash of the id.
 
+    The sample's vectors (some 12 kB for a document here) are what the driver holds; all other counts cover every labelled row.
+
     Rows with a null id, text or label are left out; a doubly labelled document counts as toxic if any label says so.
     Without both labels the model is the smoothed share of label 1 alone."""
     known = (picked(labels, key=doc_id, label=label).where("key is not null and label is not null")
@@ -170,22 +172,24 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([key] * len(parts), pa.int64()), pa.array([mark] * len(parts), pa.int32()),
                      pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.list_(pa.int32())),
-                     pa.array([p[2] for p in parts], pa.list_(pa.float32()))], names=["key", "label", "part", "ids", "n"])
+                     pa.array([np.clip(p[2], -30000, 30000).astype(np.int16) for p in parts], pa.list_(pa.int16()))], names=["key", "label", "part", "ids", "n"])
 
     found = (docs.select(docs[doc_id].alias("key"), docs[text].alias("text")).join(chosen, "key")
              .select(F.col("key").cast("long").alias("key"), "text", "label")
-             .mapInArrow(vectors, "key long, label int, part int, ids array<int>, n array<float>").toArrow())
-    found = found.take(np.argsort(found["key"].to_numpy(), kind="stable"))  # the parts of a row stay together
-    examples: list[tuple] = []
-    offsets = [found["ids"].combine_chunks(), found["n"].combine_chunks()]
-    ids, counts = (o.flatten().to_numpy() for o in offsets)
-    cuts = offsets[0].offsets.to_numpy() - offsets[0].offsets[0].as_py()
-    for i, (mark, part) in enumerate(zip(found["label"].to_pylist(), found["part"].to_pylist())):
-        pair = ids[cuts[i]:cuts[i + 1]], counts[cuts[i]:cuts[i + 1]].astype(np.float64)
-        if part == 0:
-            examples.append((*pair, mark, []))
-        else:
-            examples[-1][3].append(pair)
+             .mapInArrow(vectors, "key long, label int, part int, ids array<int>, n array<short>").toArrow())
+    # views of the batches, nothing is copied; a row's swaps follow it
+    rows: list[tuple[int, list]] = []
+    for batch in found.to_batches():
+        ids, counts = (batch[c].flatten().to_numpy() for c in ("ids", "n"))
+        cuts = batch["ids"].offsets.to_numpy()
+        cuts = cuts - cuts[0]
+        for key, mark, part, a, b in zip(*(batch[c].to_pylist() for c in ("key", "label", "part")), cuts[:-1].tolist(), cuts[1:].tolist()):
+            if part == 0:
+                rows.append((key, [ids[a:b], counts[a:b], mark, []]))
+            else:
+                rows[-1][1][3].append((ids[a:b], counts[a:b]))
+    rows.sort(key=lambda r: r[0])
+    examples = [tuple(r) for _, r in rows]
     return train(examples, size, prior, fairness)
 
 
