@@ -155,7 +155,7 @@ def form_texts(found: Repeats, windows: bool) -> DataFrame:
     kinds = "h long, f1 long, f2 long, count long, doc_id long, key long, start int, n int"
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             out: list[tuple] = []
             for key, doc_id, text, forms in zip(*(batch[c].to_pylist() for c in ("key", "doc_id", "text", "forms"))):
                 _, piece = kind.read(text)

@@ -26,7 +26,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructType
 from .common import picked
 
 #: Kept arcs and kept matches; beyond that the tables start anew.
-MAX_STATES, MAX_MATCHES = 250_000, 500_000
+MAX_STATES, MAX_MATCHES = 80_000, 160_000
 NEXT = (1 << 40) - 1
 #: Bytes of one match after which settled tokens are emitted; over twice the longest entry.
 LOOKAHEAD = 4096

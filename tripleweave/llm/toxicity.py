@@ -90,13 +90,13 @@ class Model:
 
 
 class WordScores(dict):
-    """The weight of a word's features, kept for up to half a million words."""
+    """The weight of a word's features, kept for up to 150,000 words."""
 
     def __init__(self, weights: np.ndarray):
         self.weights = weights
 
     def __missing__(self, word: str) -> float:
-        if len(self) >= 500_000:
+        if len(self) >= 150_000:
             self.clear()
         self[word] = value = float(self.weights[features(word, len(self.weights))].sum(dtype=np.float64)) if len(word) <= 100 else float(
             self.weights[zlib.crc32(b"w" + word.encode()) % len(self.weights)])
