@@ -112,6 +112,31 @@ def test_job_without_files_is_a_success(spark, tmp_path):
     assert meta["files_loaded"] == 0 and not out.exists()
 
 
+def test_job_reads_line_files_in_pieces(spark, tmp_path, rows):
+    """Plain line files are divided, archives and documents are not; both give the same quads as whole files do."""
+    line = lambda i: f'<urn:s/{i % 9}> <urn:p> "v {i}" .'
+    (tmp_path / "a [1].nt").write_text("\n".join(map(line, range(40))) + "\n# a remark\n\n_:x <urn:p> _:x .\n")
+    (tmp_path / "b.nq").write_text('<urn:s/1> <urn:p> "q" <urn:g> .\n')
+    (tmp_path / "c.nt.gz").write_bytes(gzip.compress(line(99).encode()))
+    (tmp_path / "d.xml").write_bytes(MODEL)
+    (tmp_path / "skipped.nt").write_text("broken")
+    spec = {"sources": [{"type": "local", "path": str(tmp_path), "patterns": ["*.nt", "*.nq", "*.gz", "*.xml"]}],
+            "processors": [{"type": "unzip", "patterns": ["*.nt"]}, {"type": "filter", "exclude": ["skipped*"]}]}
+    whole, files, quads = job.load(spark, spec)
+    assert (files, quads) == (4, 40 + 1 + 1 + 1 + 6) and whole.where("g = 'urn:g'").count() == 1
+    assert whole.where("s.kind = 'bnode'").select(F.col("s") == F.col("o")).first()[0]
+    split, files, quads = job.load(spark, spec | {"query": {"split": True}})
+    assert (files, quads) == (4, 49) and rows(split.where("s.kind = 'iri'")) == rows(whole.where("s.kind = 'iri'"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        assert job.ingest_ntriples(spark, str(tmp_path / "a \\[1\\].nt")).rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "skipped.nt").write_bytes(b'<urn:s> <urn:p> "\xff" .')
+    with pytest.raises(Exception, match="bad line"):
+        job.load(spark, {"sources": spec["sources"], "processors": spec["processors"][:1]})
+
+
 def test_job_fails_on_bad_data(spark, tmp_path):
     (tmp_path / "bad.xml").write_text("not xml at all")
     with pytest.raises(Exception, match="bad.xml"):

@@ -8,7 +8,7 @@ from tripleweave.functions.terms import IRI, RDF_TYPE, TERM_DDL, Lit, Term
 from tripleweave.operators import patterns as pt
 from tripleweave.operators.diff import assign_graph, diff_added, diff_changed, diff_removed, graph_stats, merge_tagged
 from tripleweave.operators.forms import ask_form, construct_form, construct_triples, describe_form, select_form
-from tripleweave.operators.graph import FunctionalGraph
+from tripleweave.operators.graph import FunctionalGraph, TableMap
 from tripleweave.operators.modifiers import project
 from tripleweave.operators.patterns import bgp, bind, join, minus, not_exists, optional, triple_pattern, union, values
 
@@ -195,3 +195,13 @@ def test_versions(spark, rows):
     merged = merge_tagged(q, [("g:old", "before"), ("g:new", "after")], "S", "name")
     assert len(rows(merged.df)) == 6 and project(merged, "scenario").df.distinct().count() == 2
     assert rows(graph_stats(q)) == [("g:new", 8), ("g:old", 8)]
+
+
+def test_distinct_rows_need_no_shuffle(spark, rows):
+    source = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "k int, v string, w string")
+    maps = [TableMap(source, "row", None, {"urn:v": ("v", "xsd:string")}, distinct_rows=vouched) for vouched in (False, True)]
+    safe, quick = [m.triples("urn:v") for m in maps]
+    assert rows(safe) == rows(quick)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan(safe) and "Aggregate" not in plan(quick)
+    assert "w#" not in plan(quick.select("o")).splitlines()[0]

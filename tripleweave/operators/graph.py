@@ -84,12 +84,14 @@ class TableMap:
 
     ``literals`` maps a predicate to ``(SQL expression, datatype)``, ``refs`` maps a predicate to
     ``(column, class of the target)``.  Without a unique ``key`` the subject is a digest of the whole row and
-    equal rows are one subject, as equal triples are one triple.
+    equal rows are one subject, as equal triples are one triple.  ``distinct_rows`` vouches, as a declared key does, that
+    no two rows are equal: the table is then read without a shuffle, and only in the columns that a pattern uses.
     """
 
     def __init__(self, source: DataFrame | Callable[[], DataFrame], cls: str, key: str | None,
-                 literals: Mapping[str, tuple[str, str]] = {}, refs: Mapping[str, tuple[str, str]] = {}):
-        self.cls, self._source, self._keyless = cls, source, key is None
+                 literals: Mapping[str, tuple[str, str]] = {}, refs: Mapping[str, tuple[str, str]] = {},
+                 distinct_rows: bool = False):
+        self.cls, self._source, self._keyless, self._distinct_rows = cls, source, key is None, distinct_rows
         self.subject = term_sql("iri", f"concat('urn:{cls}/', cast({key or '_key'} as string))")
         self.ranges = {RDF_TYPE: ("iri", self.class_iri)}  # what a predicate's objects can be
         self.objects = {RDF_TYPE: ("true", term_sql("iri", _text(self.class_iri)))}  # presence test and object
@@ -106,7 +108,7 @@ class TableMap:
         df = self._source() if callable(self._source) else self._source
         if self._keyless:
             cells = [F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in df.columns]
-            df = df.dropDuplicates().withColumn("_key", F.md5(F.concat_ws("\u0001", *cells)))
+            df = (df if self._distinct_rows else df.dropDuplicates()).withColumn("_key", F.md5(F.concat_ws("\u0001", *cells)))
         return df
 
     @property

@@ -8,14 +8,17 @@ from collections.abc import Callable
 from datetime import datetime, timezone
 from functools import partial, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.diff import assign_graph
 from ..operators.forms import default_query
 from ..session import counted, rows_seen, scratch_path, stored, tune
 from ..sources import archives
-from ..sources.files import filter_files, scan_azure, scan_files, scan_gcs, scan_s3, union_sources
-from ..sources.ingest import BASE_IRI, QUAD, ingest, store_triples
+from ..sources.files import (any_glob, empty_files, filter_files, literal_path, scan_azure, scan_files, scan_gcs, scan_s3,
+                             store_root, union_sources)
+from ..sources.ingest import BASE_IRI, QUAD, detect_format, ingest, ingest_nquads, ingest_ntriples, store_triples
+from ..sources.split import ingest_rdfxml_split
 from .sinks import META_DDL, sink_csv, sink_json, sink_metadata, sink_tsv
 
 SCANS = {"local": scan_files, "s3": scan_s3, "azure": scan_azure, "gcs": scan_gcs}
@@ -39,28 +42,63 @@ def _loader(spark: SparkSession, source: dict) -> Callable[[], DataFrame]:
     return partial(SCANS[source["type"]], spark, **options)
 
 
+def _divisible(processors: list[dict], formats: list[str]) -> Column:
+    """Files that Spark can read in pieces: of the given formats by suffix, and no archives to a processor."""
+    name = F.col("filename")
+    archive = [p for step in processors for k in ("archive_patterns", "gzip_patterns") for p in step.get(k, ())]
+    suffix = detect_format(name)
+    if "rdfxml" in formats:  # the format of any other suffix, also of archives
+        suffix = F.when((suffix != "rdfxml") | name.endswith(".xml") | name.endswith(".rdf"), suffix).otherwise("")
+    return suffix.isin(formats) & ~any_glob(name, archive)
+
+
 def load(spark: SparkSession, spec: dict) -> tuple[DataFrame, int, int] | None:
     """The stored quad set of a job with its file and quad counts; None if there are no files.
 
-    Files are parsed once: their number is observed before the parser, the distinct quads while they are written.
+    Plain N-Triples and N-Quads files are read as text, so that many tasks share a large one; with ``split`` so are RDF/XML
+    files, whose root must then be ``rdf:RDF``.  Only their names come to the driver.  All other files are parsed whole, once:
+    their number is observed before the parser, the distinct quads while they are written.
     """
     sources, processors = spec.get("sources", []), spec.get("processors", [])
     query = spec.get("query", {})
+    base = query.get("base_iri", BASE_IRI), query.get("base_mode", "per_file")
+    lines = query.get("lines", True)
+    readers = {"ntriples": ingest_ntriples, "nquads": ingest_nquads} if lines else {}
+    if query.get("split", False):
+        readers["rdfxml"] = lambda spark, paths: ingest_rdfxml_split(spark, paths, *base)
+    names = [step for step in processors if step["type"] != "unzip"]  # an unzip step passes plain files on
+    unzips = len(names) < len(processors)
+    divided = 0
     by_graph: dict[str, list[dict]] = {}
     for s in sources:
         by_graph.setdefault(s.get("graph", ""), []).append(s)
     parts, counters = [], []
     for graph, members in by_graph.items():
-        files, seen = counted(_process(union_sources(spark, *[_loader(spark, s) for s in members]), processors))
+        whole, paths = empty_files(spark), {f: [] for f in readers}
+        for s in members:
+            files = union_sources(spark, _loader(spark, s))
+            if readers:
+                pick = _divisible(processors, list(readers))
+                root = store_root(s["type"], **{k: v for k, v in s.items() if k != "type"})
+                for path, fmt in _process(files.where(pick), names).select("path", detect_format(F.col("filename"))).collect():
+                    paths[fmt].append(literal_path(path if not root or "://" in path else f"{root}/{path}"))
+                files = files.where(~pick)
+            whole = whole.unionByName(files)
+        whole, seen = counted(_process(whole, processors))
         counters.append(seen)
-        triples = ingest(files, query.get("base_iri", BASE_IRI), query.get("base_mode", "per_file"),
-                         lines=query.get("lines", True)).select(*QUAD)
+        # line formats can only come out of archives now
+        found = [ingest(whole, *base, lines=lines and unzips).select(*QUAD)]
+        for fmt, of in paths.items():
+            if of:
+                divided += len(of)
+                found.append(readers[fmt](spark, sorted(set(of))).select(*QUAD))
+        triples = reduce(DataFrame.unionByName, found)
         parts.append(assign_graph(triples, graph) if graph else triples)
     if not parts:
         return None
     quads, written = counted(reduce(DataFrame.unionByName, parts).dropDuplicates())
     stored = store_triples(quads, scratch_path(spark, "quads"))
-    files_loaded, triples_loaded = sum(map(rows_seen, counters)), rows_seen(written)
+    files_loaded, triples_loaded = divided + sum(map(rows_seen, counters)), rows_seen(written)
     if not files_loaded:
         return None
     return stored, files_loaded, triples_loaded
@@ -70,7 +108,7 @@ def run_job(spark: SparkSession, spec: dict, query: Callable[[DataFrame], DataFr
     """Run a job given as a dict and return its one-row run metadata.
 
     ``spec`` holds ``pipeline: {name}``, ``sources: [{type, graph?, ...}]``, ``processors: [{type, ...}]``,
-    ``query: {base_iri, base_mode, lines}`` and ``output: {dir, formats, metadata, prefix, single_file}``; the options of
+    ``query: {base_iri, base_mode, lines, split}`` and ``output: {dir, formats, metadata, prefix, single_file}``; the options of
     sources and processors are the arguments of the functions they name.  ``query`` maps the triples to the result.
     No files is a success without output.  A sink that fails is warned about.
     """

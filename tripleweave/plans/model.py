@@ -21,10 +21,11 @@ def stamp(c: str, offset: str = "") -> str:
 
 
 def graph(t: Tables) -> TableGraph:
-    """Key columns are unique; ``lineitem`` has none, its rows are identified by all their columns."""
-    def table(name, cls, key, literals, refs=()):
+    """Key columns are unique; ``lineitem`` has none, its rows are identified by all their columns and differ."""
+    def table(name, cls, key, literals, refs=(), distinct_rows=False):
         full = {f"urn:p/{p}": v for p, v in literals.items()}
-        return TableMap(partial(t, name), cls, key, full, {f"urn:p/{p}": v for p, v in dict(refs).items()})
+        return TableMap(partial(t, name), cls, key, full, {f"urn:p/{p}": v for p, v in dict(refs).items()},
+                        distinct_rows)
 
     return TableGraph([
         table("region", "region", "r_regionkey", {"name": ("r_name", "xsd:string")}),
@@ -47,7 +48,8 @@ def graph(t: Tables) -> TableGraph:
                "extended": (money("l_extendedprice"), "xsd:decimal"), "discount": (money("l_discount"), "xsd:decimal"),
                "returnflag": ("l_returnflag", "xsd:string"), "linestatus": ("l_linestatus", "xsd:string"),
                "shipdate": (stamp("l_shipdate"), "xsd:dateTime")},
-              {"order": ("l_orderkey", "order"), "part": ("l_partkey", "part"), "supplier": ("l_suppkey", "supplier")}),
+              {"order": ("l_orderkey", "order"), "part": ("l_partkey", "part"), "supplier": ("l_suppkey", "supplier")},
+              distinct_rows=True),
         table("events", "event", "event_id",
               {"ts": (stamp("ts", "+02:00"), "xsd:dateTime"), "etype": ("event_type", "xsd:string"),
                "value": ("value", "xsd:double"), "props": ("props", "xsd:string")}, {"user": ("user_id", "user")}),

@@ -86,10 +86,13 @@ def _fs(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath
 
 
+def literal_path(path: str) -> str:
+    """A path for Spark's readers whose glob characters are not expanded."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def _read(spark: SparkSession, paths: Sequence[str]):
-    # paths are literal: keep glob characters in names from being expanded
-    plain = [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths]
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(plain)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([literal_path(p) for p in paths])
 
 
 def _readable(spark: SparkSession, files: Sequence[str]) -> list[str]:
@@ -125,7 +128,7 @@ def _directory(spark: SparkSession, path: str, patterns: Sequence[str], recursiv
     listing = _listing_filter(patterns)
     if listing:
         reader = reader.option("pathGlobFilter", listing)
-    return _shape(reader.load(re.sub(r"([\[\]{}*?\\])", r"\\\1", path)), source).where(match_glob(F.col("filename"), patterns))
+    return _shape(reader.load(literal_path(path)), source).where(match_glob(F.col("filename"), patterns))
 
 
 def scan_files(spark: SparkSession, path: str | None = None, files: Sequence[str] = (),
@@ -182,6 +185,16 @@ def _configure(spark: SparkSession, **settings) -> None:
             conf.set(key, str(value))
 
 
+def store_root(kind: str, **options) -> str:
+    """URI that the paths of a source are relative to; '' for local files, whose paths are whole URIs."""
+    if kind == "s3":
+        return f"s3a://{options['bucket']}"
+    if kind == "azure":
+        host = options.get("endpoint") or f"{options['account']}.dfs.core.windows.net"
+        return f"abfss://{options['container']}@" + re.sub(r"^https?://", "", host).rstrip("/")
+    return f"gs://{options['bucket']}" if kind == "gcs" else ""
+
+
 def scan_s3(spark: SparkSession, bucket: str, prefix: str = "", region: str | None = None, endpoint: str | None = None,
             files: Sequence[str] = (), patterns: Sequence[str] = DEFAULT_PATTERNS) -> DataFrame:
     """S3 bucket through ``s3a://``; credentials come from the environment or the Hadoop configuration."""
@@ -189,19 +202,18 @@ def scan_s3(spark: SparkSession, bucket: str, prefix: str = "", region: str | No
     _configure(spark, **{own + "endpoint.region": region, own + "endpoint": endpoint,
                          own + "path.style.access": "true" if endpoint else None})
     name = f"s3://{bucket}/[{len(files)} files]" if files else f"s3://{bucket}/{prefix}"
-    return scan_store(spark, f"s3a://{bucket}", prefix, files, patterns, name)
+    return scan_store(spark, store_root("s3", bucket=bucket), prefix, files, patterns, name)
 
 
 def scan_azure(spark: SparkSession, account: str, container: str, prefix: str = "", endpoint: str | None = None,
                skip_signature: bool = False, files: Sequence[str] = (),
                patterns: Sequence[str] = DEFAULT_PATTERNS) -> DataFrame:
     """Azure container through ``abfss://``; ``skip_signature`` reads it anonymously."""
-    host = endpoint or f"{account}.dfs.core.windows.net"
-    host = re.sub(r"^https?://", "", host).rstrip("/")
+    root = store_root("azure", account=account, container=container, endpoint=endpoint)
     if skip_signature:
-        _configure(spark, **{f"fs.azure.account.auth.type.{host}": "Anonymous"})
+        _configure(spark, **{f"fs.azure.account.auth.type.{root.split('@', 1)[1]}": "Anonymous"})
     name = f"azure://{container}/" + (f"[{len(files)} files]" if files else prefix)
-    return scan_store(spark, f"abfss://{container}@{host}", prefix, files, patterns, name)
+    return scan_store(spark, root, prefix, files, patterns, name)
 
 
 def scan_gcs(spark: SparkSession, bucket: str, prefix: str = "", service_account_key: str | None = None,
@@ -214,7 +226,7 @@ def scan_gcs(spark: SparkSession, bucket: str, prefix: str = "", service_account
                              "fs.gs.auth.service.account.private.key.id": key.get("private_key_id"),
                              "fs.gs.auth.service.account.private.key": key.get("private_key")})
     name = f"gs://{bucket}/[{len(files)} files]" if files else f"gs://{bucket}/{prefix}"
-    return scan_store(spark, f"gs://{bucket}", prefix, files, patterns, name)
+    return scan_store(spark, store_root("gcs", bucket=bucket), prefix, files, patterns, name)
 
 
 # --- combining and filtering --------------------------------------------------------------------------

@@ -224,7 +224,8 @@ def line_fields(cut: Column, scope: Column, quads: bool = True) -> dict[str, Col
 def ingest_lines(lines: DataFrame, quads: bool, mode: str = "failfast") -> DataFrame:
     """Triples of a DataFrame ``line, file`` of N-Triples (or N-Quads) lines; pure Catalyst, so any split works."""
     line = F.col("line")
-    error = F.when(~line_ok(line, quads), F.concat(F.lit("bad line: "), line))
+    # Spark's text reader hands on bytes as they are
+    error = F.when(~F.is_valid_utf8(line) | ~line_ok(line, quads), F.concat(F.lit("bad line: "), F.make_valid_utf8(line)))
     body = lines.where(~line.rlike(RX_BLANK)).withColumns({"error": error, "cut": cut_line(line, quads)})
     fields = line_fields(F.col("cut"), F.substring(F.sha1("file"), 1, 20), quads)
     return _finish(body.select(*[f.alias(n) for n, f in fields.items()], "file", "error"), mode)
