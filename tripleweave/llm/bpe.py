@@ -15,6 +15,7 @@ import base64
 import functools
 import hashlib
 import re
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -48,8 +49,8 @@ def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
 class Transducer:
     """Encodes the bytes of one match; equal to merging the adjacent pair of least rank, leftmost first."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], room: int = 1):
+        self.ranks, self.room = ranks, room
         self.trie: list[dict[int, int]] = [{}]
         self.depth = [0]
         self.length = {i: len(t) for t, i in ranks.items()}
@@ -154,7 +155,7 @@ class Transducer:
         return max(ways, default=0)
 
     def encode(self, match: bytes) -> list[int]:
-        if len(self.states) > MAX_STATES:
+        if len(self.states) > MAX_STATES * self.room:
             self.restart()
         at, arcs, out, lasts = 0, self.arcs, [], []
         for byte in match:
@@ -174,12 +175,13 @@ class Matches(dict):
     """Ids of a match as little-endian 32-bit integers."""
 
     def __init__(self, machine: Transducer):
-        self.machine = machine
+        self.machine, self.most = machine, MAX_MATCHES * machine.room
 
     def __missing__(self, match: str) -> bytes:
-        if len(self) >= MAX_MATCHES:
+        if len(self) >= self.most:
             self.clear()
-        ids = np.array(self.machine.encode(match.encode()), "<u4").tobytes()
+        found = self.machine.encode(match.encode())
+        ids = struct.pack(f"<{len(found)}I", *found)
         if len(match) <= 64:
             self[match] = ids
         return ids
@@ -226,9 +228,9 @@ class Utf8Stream:
 class Codec:
     """Encoder and decoder over one vocabulary; holds no text."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, room: int = 1):
         self.find = regex.compile(pattern).findall
-        self.matches = Matches(Transducer(ranks))
+        self.matches = Matches(Transducer(ranks, room))
         self.bytes_of = {i: t for t, i in ranks.items()}
 
     def encode_chunks(self, text: str) -> Iterator[bytes]:
@@ -252,12 +254,12 @@ class Codec:
 _codecs: dict[tuple, Codec] = {}
 
 
-def codec(ranks: dict[bytes, int], pattern: str) -> Codec:
+def codec(ranks: dict[bytes, int], pattern: str, room: int = 1) -> Codec:
     """One codec per worker process and vocabulary, so that its tables serve all batches."""
-    key = (pattern, len(ranks), hashlib.md5(repr(sorted(ranks.items(), key=lambda x: x[1])).encode()).digest())
+    key = (pattern, room, len(ranks), hashlib.md5(repr(sorted(ranks.items(), key=lambda x: x[1])).encode()).digest())
     if key not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(ranks, pattern)
+        _codecs[key] = Codec(ranks, pattern, room)
     return _codecs[key]
 
 
@@ -308,11 +310,13 @@ def decode_documents(docs: DataFrame, ranks: dict[bytes, int], ids: str = "token
     return docs.mapInArrow(run, StructType(list(docs.schema.fields)).add(text, "string"))
 
 
-def token_digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def token_digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str = "doc_id", text: str = "text",
+                  room: int = 3) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): each text is encoded and its ids decoded again, slice by slice.
 
     Null text counts as empty; null ids are passed on; repeated rows stay.  A narrow pass: no shuffle; the ids of a long
-    text are never held whole."""
+    text are never held whole.  ``room`` scales the tables that a worker keeps (3 took some 300 MB a worker more than 1 on
+    0.5 GB of texts); it changes speed and memory, no result."""
     rows = picked(docs, doc_id=doc_id, text=text)
     shipped = docs.sparkSession.sparkContext.broadcast(ranks)
 
@@ -330,7 +334,7 @@ def token_digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id
         return n, ids.hexdigest(), back
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(shipped.value, pattern)
+        own = codec(shipped.value, pattern, room)
         for batch in batches:
             out = [digest(own, t or "") for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays(
