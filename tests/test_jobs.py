@@ -3,6 +3,7 @@ import gzip
 import io
 import json
 from datetime import datetime, timezone
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from tripleweave.functions.terms import IRI
 from tripleweave.operators.forms import select_form
 from tripleweave.operators.modifiers import order_by
 from tripleweave.operators.patterns import bgp, values
-from tripleweave.plans import job, sinks
+from tripleweave.plans import job
 from tripleweave.plans.sinks import sink_csv, sink_json, sink_tsv
 
 AT = datetime(2026, 3, 4, 12, 0, 1, tzinfo=timezone.utc)
@@ -25,6 +26,12 @@ def cells(spark, *texts):
     return select_form(values(spark, ["v", "w"], [(t, None) for t in texts]))
 
 
+def whole(folder):
+    """The document that the part files make up; a result of one row is one file."""
+    parts = sorted(Path(folder).glob("part-*")) if Path(folder).is_dir() else [Path(folder)]
+    return "".join(p.read_bytes().decode() for p in parts)
+
+
 def names(q):
     return select_form(order_by(bgp(q, ("?s", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", IRI(CIM + "Pier")),
                                     ("?s", CIM + "Place.title", "?name")), "name"), "name")
@@ -32,52 +39,57 @@ def names(q):
 
 def test_csv(spark, tmp_path):
     texts = ["plain", "a, b", 'say "x', "two\nlines", "cr\rhere", ""]
-    at = sink_csv(cells(spark, *texts), str(tmp_path), single_file=True, at=AT)
+    at = sink_csv(cells(spark, *texts), str(tmp_path), at=AT)
     assert at == f"{tmp_path}/results_20260304_120001.csv"
-    raw = open(at, newline="").read()
+    raw = whole(at)
     assert raw.startswith("v,w\n") and 'plain,\n' in raw and '"a, b",\n' in raw and '"say ""x",\n' in raw and "cr\rhere,\n" in raw
     assert sorted(r[0] for r in csv.reader(io.StringIO(raw.replace("\r", "~"))))[1:] == sorted(["plain", "a, b", 'say "x', "two\nlines", "cr~here", "v"])
 
 
 def test_csv_keeps_empty_lines_and_order(spark, tmp_path):
     one = select_form(values(spark, ["x"], [(None,), ("b",), ("a",)]))
-    assert sorted(open(sink_csv(one, str(tmp_path), "one", True)).read().split("\n")) == ["", "", "a", "b", "x"]
+    assert sorted(whole(sink_csv(one, str(tmp_path), "one")).split("\n")) == ["", "", "a", "b", "x"]
     many = select_form(order_by(values(spark, ["x"], [(i,) for i in (5, 30, 1, 22, 9)]), "x"))
     folder = sink_csv(many, str(tmp_path), "many", at=AT)
     parts = sorted((tmp_path / "many_20260304_120001.csv").glob("part-*"))
     assert folder.endswith("many_20260304_120001.csv") and "".join(p.read_text() for p in parts) == "x\n1\n5\n9\n22\n30\n"
-    assert open(sink_csv(many, str(tmp_path), "single", True)).read() == "x\n1\n5\n9\n22\n30\n"
 
 
 def test_csv_of_graph_and_boolean(spark, tmp_path):
     graph = spark.createDataFrame([("s", "p", "a,b")], "subject string, predicate string, object string")
-    assert open(sink_csv(graph, str(tmp_path), "g", True)).read() == 'subject,predicate,object\ns,p,"a,b"\n'
-    assert open(sink_csv(graph, str(tmp_path), "c", True, compat=True)).read() == "subject,predicate,object\ns,p,a,b\n"
+    assert whole(sink_csv(graph, str(tmp_path), "g")) == 'subject,predicate,object\ns,p,"a,b"\n'
+    assert whole(sink_csv(graph, str(tmp_path), "c", compat=True)) == "subject,predicate,object\ns,p,a,b\n"
     answer = spark.createDataFrame([(True,)], "result boolean")
-    assert open(sink_csv(answer, str(tmp_path), "b", True)).read() == "result\ntrue\n"
-    assert json.load(open(sink_json(answer, str(tmp_path), "b", True))) == {"type": "boolean", "result": True}
+    assert whole(sink_csv(answer, str(tmp_path), "b")) == "result\ntrue\n"
+    assert json.loads(whole(sink_json(answer, str(tmp_path), "b"))) == {"type": "boolean", "result": True}
 
 
 def test_json(spark, tmp_path):
     texts = ["c:\\dir", 'say "x', "line\nfeed"]
-    doc = json.load(open(sink_json(cells(spark, *texts), str(tmp_path), single_file=True)))
+    doc = json.loads(whole(sink_json(cells(spark, *texts), str(tmp_path), document=True)))
     assert doc["type"] == "solutions" and doc["variables"] == ["v", "w"] and doc["count"] == 3
     assert sorted(r["v"] for r in doc["results"]) == sorted(texts) and all(r["w"] == "" for r in doc["results"])
     folder = sink_json(cells(spark, *texts), str(tmp_path), "lines", at=AT)
     lines = [json.loads(x) for p in (tmp_path / "lines_20260304_120001.json").glob("part-*") for x in p.read_text().splitlines()]
     assert folder.endswith(".json") and sorted(r["v"] for r in lines) == sorted(texts)
     graph = spark.createDataFrame([("s", "p", "o")], "subject string, predicate string, object string")
-    assert json.load(open(sink_json(graph, str(tmp_path), "g", True))) == {
+    assert json.loads(whole(sink_json(graph, str(tmp_path), "g", True))) == {
         "type": "graph", "triples": [{"subject": "s", "predicate": "p", "object": "o"}], "count": 1}
     empty = select_form(values(spark, ["x"], []))
-    assert json.load(open(sink_json(empty, str(tmp_path), "e", True))) == {"type": "solutions", "variables": ["x"], "results": [], "count": 0}
+    assert json.loads(whole(sink_json(empty, str(tmp_path), "e", True))) == {"type": "solutions", "variables": ["x"], "results": [], "count": 0}
+
+
+def test_tsv(spark, tmp_path):
+    assert whole(sink_tsv(cells(spark, "a,b"), str(tmp_path))) == "v\tw\na,b\t\n"
 
 
-def test_tsv_and_single_file_bound(spark, tmp_path, monkeypatch):
-    assert open(sink_tsv(cells(spark, "a,b"), str(tmp_path), single_file=True)).read() == "v\tw\na,b\t\n"
-    monkeypatch.setattr(sinks, "SINGLE_FILE_ROWS", 2)
-    with pytest.raises(ValueError, match="more than 2 rows"):
-        sink_csv(cells(spark, "a", "b", "c"), str(tmp_path), "big", True)
+def test_sorted_document_of_many_parts(spark, tmp_path):
+    """Rows of many partitions: one comma between any two, in the order of the sort, with their count."""
+    df = spark.range(1000).repartition(7).withColumn("x", F.format_string("%04d", "id")).select("x").repartitionByRange(5, "x").sortWithinPartitions("x")
+    folder = sink_json(df, str(tmp_path), "many", document=True)
+    assert len(list(Path(folder).glob("part-*"))) == 7
+    doc = json.loads(whole(folder))
+    assert [r["x"] for r in doc["results"]] == [f"{i:04d}" for i in range(1000)] and doc["count"] == 1000
 
 
 def test_job(spark, tmp_path):
@@ -89,7 +101,7 @@ def test_job(spark, tmp_path):
     (src / "bad.gz").write_bytes(b"junk")
     spec = {"pipeline": {"name": "grid"}, "sources": [{"type": "local", "path": str(src), "patterns": ["*.xml", "*.gz"]}, {"type": "local", "path": "/none"}],
             "processors": [{"type": "unzip"}, {"type": "filter", "include": ["*.xml"], "exclude": ["*_BD_*"]}], "query": {"base_iri": "http://b/"},
-            "output": {"dir": str(out), "formats": ["csv", "json", "nonsense"], "single_file": True, "prefix": "grid"}}
+            "output": {"dir": str(out), "formats": ["csv", "json", "nonsense"], "document": True, "prefix": "grid"}}
     with pytest.raises(KeyError):
         job.run_job(spark, spec, names)
     spec["output"]["formats"] = ["csv", "json", "tsv"]
@@ -99,7 +111,7 @@ def test_job(spark, tmp_path):
     assert (meta["pipeline_name"], meta["files_loaded"], meta["triples_loaded"], meta["result_count"]) == ("grid", 2, 12, 6)
     files = sorted(p.name for p in out.iterdir() if not p.name.startswith("."))
     assert [f.rsplit(".", 1)[1] for f in files] == ["csv", "json", "metadata", "tsv"] and all(f.startswith("grid_") for f in files)
-    assert (out / files[0]).read_text().splitlines() == ["name"] + [f"Quay of {n}" for n in ("Gull", "Gull", "Heron", "Heron", "Tern", "Tern")]
+    assert whole(out / files[0]).splitlines() == ["name"] + [f"Quay of {n}" for n in ("Gull", "Gull", "Heron", "Heron", "Tern", "Tern")]
     written = dict(line.split(": ", 1) for line in (out / files[2]).read_text().splitlines())
     assert written["pipeline_name"] == "grid" and written["triples_loaded"] == "12" and written["result_count"] == "6"
     assert written["load_time_secs"] == f"{int(written['load_time_ms']) / 1000:.3f}"

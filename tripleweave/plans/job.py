@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.diff import assign_graph
 from ..operators.forms import default_query
-from ..session import counted, rows_seen, scratch_path, stored, tune
+from ..session import counted, in_order, rows_seen, scratch_path, tune
 from ..sources import archives
 from ..sources.files import (any_glob, empty_files, filter_files, literal_path, scan_azure, scan_files, scan_gcs, scan_s3,
                              store_root, union_sources)
@@ -108,8 +108,9 @@ def run_job(spark: SparkSession, spec: dict, query: Callable[[DataFrame], DataFr
     """Run a job given as a dict and return its one-row run metadata.
 
     ``spec`` holds ``pipeline: {name}``, ``sources: [{type, graph?, ...}]``, ``processors: [{type, ...}]``,
-    ``query: {base_iri, base_mode, lines, split}`` and ``output: {dir, formats, metadata, prefix, single_file}``; the options of
+    ``query: {base_iri, base_mode, lines, split}`` and ``output: {dir, formats, metadata, prefix, document}``; the options of
     sources and processors are the arguments of the functions they name.  ``query`` maps the triples to the result.
+    ``document`` makes JSON one document instead of lines.
     No files is a success without output.  A sink that fails is warned about.
     """
     name, out, at = spec.get("pipeline", {}).get("name", "default"), spec.get("output", {}), datetime.now(timezone.utc)
@@ -122,12 +123,13 @@ def run_job(spark: SparkSession, spec: dict, query: Callable[[DataFrame], DataFr
         return spark.createDataFrame([(name, at, 0, 0, load_ms, 0, 0)], META_DDL)
     triples, files_loaded, triples_loaded = loaded
     start = time.monotonic()
-    result = stored(query(triples), "result")  # shared by the sinks, and not lost with an executor
+    result = in_order(query(triples))  # shared by the sinks, not lost with an executor, and still sorted
     count = result.count()
     query_ms = int((time.monotonic() - start) * 1000)
     meta = spark.createDataFrame([(name, at, files_loaded, triples_loaded, load_ms, query_ms, count)], META_DDL)
     prefix = out.get("prefix") or "results"
-    writers = [partial(SINKS[f], result, out["dir"], prefix, out.get("single_file", False), at=at)
+    options = {"json": {"document": out.get("document", False)}}
+    writers = [partial(SINKS[f], result, out["dir"], prefix, at=at, **options.get(f, {}))
                for f in out.get("formats", ["csv"])] if "dir" in out else []
     if "dir" in out and out.get("metadata", True):
         writers.append(partial(sink_metadata, meta, out["dir"], prefix, at=at))

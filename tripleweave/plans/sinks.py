@@ -1,6 +1,6 @@
-"""Result sinks.  A result is written by all tasks into a folder of part files, in row order when it is sorted.
+"""Result sinks.  A result is written by all tasks into a folder of part files; in name order they make up the document.
 
-``single_file=True`` gives one file and is for small results: it is refused above ``SINGLE_FILE_ROWS`` rows.
+Rows keep the order of a sorted result.  Only what is one row by definition, an ASK result as JSON and the run metadata, is one file.
 """
 
 from __future__ import annotations
@@ -9,10 +9,10 @@ import json
 from collections.abc import Sequence
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SINGLE_FILE_ROWS = 1_000_000
+from ..session import in_order
 
 
 def result_name(prefix: str | None, at: datetime, ext: str) -> str:
@@ -27,30 +27,15 @@ def _text(spark: SparkSession, *lines: str) -> DataFrame:
     return spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1)
 
 
-def _small(df: DataFrame) -> int:
-    n = df.limit(SINGLE_FILE_ROWS + 1).count()
-    if n > SINGLE_FILE_ROWS:
-        raise ValueError(f"more than {SINGLE_FILE_ROWS} rows: write part files (single_file=False)")
-    return n
-
-
 def _write_parts(lines: DataFrame, target: str) -> str:
     lines.write.text(target)
     return target
 
 
-def _write_single(target: str, opening: DataFrame, rows: DataFrame, closing: DataFrame | None = None,
-                  separator: str = "") -> str:
-    """One file.  Merging partitions may take them in any order, so every line carries its place."""
-    place = lambda df, i: df.select("value", F.lit(i).alias("block"), F.monotonically_increasing_id().alias("at"))
-    lines = place(opening, 0).union(place(rows, 1))
-    if closing is not None:
-        lines = lines.union(place(closing, 2))
-    in_order = Window.orderBy("block", "at")  # one partition, for a result that is known to be small
-    after_row = F.coalesce(F.lag("block").over(in_order) == 1, F.lit(False))
-    value = F.when((F.col("block") == 1) & after_row, F.concat(F.lit(separator), "value")).otherwise(F.col("value"))
-    lines.select(value.alias("value")).write.text(target + ".parts")
-    spark = rows.sparkSession
+def _write_row(line: DataFrame, target: str) -> str:
+    """One file for a result of one row."""
+    line.coalesce(1).write.text(target + ".parts")
+    spark = line.sparkSession
     jpath = spark._jvm.org.apache.hadoop.fs.Path
     fs = jpath(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     part = next(s.getPath() for s in fs.listStatus(jpath(target + ".parts")) if s.getPath().getName().startswith("part-"))
@@ -85,41 +70,40 @@ def _target(folder: str, prefix: str | None, at: datetime | None, ext: str) -> s
     return f"{folder.rstrip('/')}/{result_name(prefix, at or datetime.now(timezone.utc), ext)}"
 
 
-def _table(header: str, rows: DataFrame, df: DataFrame, target: str, single_file: bool) -> str:
-    head = _text(df.sparkSession, header)
-    if not single_file:
-        return _write_parts(head.union(rows), target)
-    _small(df)
-    return _write_single(target, head, rows)
+def _table(header: str, rows: DataFrame, target: str) -> str:
+    return _write_parts(_text(rows.sparkSession, header).union(rows), target)
 
 
-def sink_csv(df: DataFrame, folder: str, prefix: str | None = "results", single_file: bool = False,
-             compat: bool = False, at: datetime | None = None) -> str:
+def sink_csv(df: DataFrame, folder: str, prefix: str | None = "results", compat: bool = False, at: datetime | None = None) -> str:
     """Header and rows; the first part file is the header.  ``compat`` leaves the cells of a graph result unescaped."""
     graph = df.columns == ["subject", "predicate", "object"]
     rows = csv_lines(df, escape=not (compat and graph))
-    return _table(",".join(df.columns), rows, df, _target(folder, prefix, at, "csv"), single_file)
+    return _table(",".join(df.columns), rows, _target(folder, prefix, at, "csv"))
 
 
-def sink_tsv(df: DataFrame, folder: str, prefix: str | None = "results", single_file: bool = False,
-             at: datetime | None = None) -> str:
-    return _table("\t".join(df.columns), tsv_lines(df), df, _target(folder, prefix, at, "tsv"), single_file)
+def sink_tsv(df: DataFrame, folder: str, prefix: str | None = "results", at: datetime | None = None) -> str:
+    return _table("\t".join(df.columns), tsv_lines(df), _target(folder, prefix, at, "tsv"))
 
 
-def sink_json(df: DataFrame, folder: str, prefix: str | None = "results", single_file: bool = False,
-              at: datetime | None = None) -> str:
-    """JSON Lines in part files, or with ``single_file`` one document with type, rows and count."""
-    target = _target(folder, prefix, at, "json")
-    if not single_file:
-        return _write_parts(json_lines(df), target)
-    n, spark = _small(df), df.sparkSession
+def sink_json(df: DataFrame, folder: str, prefix: str | None = "results", document: bool = False, at: datetime | None = None) -> str:
+    """JSON Lines, or with ``document`` parts of one document with type, rows and count.
+
+    A document's rows are checkpointed once, so that their count and the row without a comma before it are those written.
+    An ASK result is always one file."""
+    target, spark = _target(folder, prefix, at, "json"), df.sparkSession
     if dict(df.dtypes) == {"result": "boolean"}:
-        answer = df.select(F.concat(F.lit('  "result": '), F.col("result").cast("string")).alias("value"))
-        return _write_single(target, _text(spark, "{", '  "type": "boolean",'), answer, _text(spark, "}"))
+        opening = '{\n  "type": "boolean",\n  "result": '
+        return _write_row(df.select(F.concat(F.lit(opening), F.col("result").cast("string"), F.lit("\n}")).alias("value")), target)
+    if not document:
+        return _write_parts(json_lines(df), target)
+    rows = in_order(json_lines(df).withColumn("at", F.monotonically_increasing_id()))
+    n, first = rows.agg(F.count(F.lit(1)), F.min("at")).first()
+    value = F.when(F.col("at") == F.lit(first), F.col("value")).otherwise(F.concat(F.lit(","), F.col("value")))
     graph = df.columns == ["subject", "predicate", "object"]
     opening = ["{", '  "type": "graph",', '  "triples": ['] if graph else [
         "{", '  "type": "solutions",', f'  "variables": {json.dumps(df.columns, ensure_ascii=False)},', '  "results": [']
-    return _write_single(target, _text(spark, *opening), json_lines(df), _text(spark, "  ],", f'  "count": {n}', "}"), separator=",")
+    closing = _text(spark, "  ],", f'  "count": {n}', "}")
+    return _write_parts(_text(spark, *opening).union(rows.select(value.alias("value"))).union(closing), target)
 
 
 META_DDL = ("pipeline_name string, timestamp timestamp, files_loaded bigint, triples_loaded bigint, "
@@ -141,5 +125,4 @@ def metadata_lines(meta: DataFrame) -> DataFrame:
 
 def sink_metadata(meta: DataFrame, folder: str, prefix: str | None = "results", at: datetime | None = None) -> str:
     target = _target(folder, prefix, at, "metadata")
-    lines = metadata_lines(meta)
-    return _write_single(target, lines, lines.limit(0))
+    return _write_row(metadata_lines(meta), target)

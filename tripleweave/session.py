@@ -53,6 +53,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_order(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the shared checkpoint folder, its partitions in their order; a table does not keep that."""
+    context = df.sparkSession.sparkContext
+    root = scratch_root(df.sparkSession)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(root)
+    return df.checkpoint()
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Bound the bytes of the Arrow batches that carry file contents to Python, unless the session already does."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
