@@ -5,6 +5,7 @@ import pytest
 from tripleweave.functions.terms import IRI, TERM_DDL, Lit
 from tripleweave.operators.forms import select_form
 from tripleweave.operators.paths import Alt, Inv, Neg, Opt, Plus, Seq, Star, path
+from tripleweave.operators.patterns import values
 
 
 def edges(spark, *pairs, p="e"):
@@ -77,3 +78,41 @@ def test_literals_end_a_path(spark, rows):
     g = edges(spark, ("a", "b"))
     lit = spark.createDataFrame([(IRI("b").row, "e", Lit("a").row, "")], g.schema)
     assert rows(select_form(path(g.unionByName(lit), "?x", Plus("e"), "?y"), "x", "y")) == [("a", "a"), ("a", "b"), ("b", "a")]
+
+
+def bag(pairs, expr):
+    """The (s, o) pairs of a path by definition, with their multiplicities."""
+    if isinstance(expr, str):
+        return list(pairs)
+    if isinstance(expr, Inv):
+        return [(b, a) for a, b in bag(pairs, expr.of)]
+    if isinstance(expr, Alt):
+        return [x for e in expr.options for x in bag(pairs, e)]
+    if isinstance(expr, Seq):
+        out = bag(pairs, expr.steps[0])
+        for e in expr.steps[1:]:
+            out = [(a, d) for a, b in out for c, d in bag(pairs, e) if b == c]
+        return out
+    zero = {(n, n) for e in pairs for n in e}
+    if isinstance(expr, Opt):
+        return sorted(set(bag(pairs, expr.of)) | zero)
+    found = set(reach(sorted(set(bag(pairs, expr.of)))))
+    return sorted(found | zero if isinstance(expr, Star) else found)
+
+
+@pytest.mark.parametrize("expr", [
+    Star("e"), Seq("e", Star("e")), Seq(Inv("e"), Plus("e"), "e"), Inv(Seq("e", Plus(Inv("e")))),
+    Alt(Inv(Star("e")), Seq("e", Opt(Plus("e")))), Plus(Seq("e", "e"))], ids=str)
+def test_closures_start_from_what_is_bound(spark, rows, expr):
+    pairs = CYCLE + LOOP + CHAIN[:4]
+    g, want = edges(spark, *pairs), sorted(bag(pairs, expr))
+    assert rows(select_form(path(g, "?x", expr, "?y"), "x", "y")) == want
+    assert rows(select_form(path(g, "?x", expr, IRI("c")), "x")) == [(a,) for a, b in want if b == "c"]
+    seeds = values(spark, ["x", "w"], [(IRI("a"), 1), (IRI("n01"), 2), (IRI("n01"), 3), (IRI("absent"), 4), (None, 5)])
+    got = path(g, "?x", expr, "?y", seeds=seeds)
+    assert rows(select_form(got, "x", "y")) == [x for x in want if x[0] in ("a", "n01")]
+
+
+def test_seeds_bind_the_start(spark):
+    with pytest.raises(ValueError, match="seeds"):
+        path(edges(spark, *LOOP), "?x", Plus("e"), "?y", seeds=values(spark, ["z"], [(IRI("x"),)]))

@@ -14,6 +14,9 @@ from .modifiers import select_star
 from .paths import _Table
 from .patterns import Solutions, _constant, _is_var, var
 
+#: Repeats of one solution that a task numbers at a time.
+BLOCK = 1 << 14
+
 
 def select_form(a: Solutions, *names: str) -> DataFrame:
     """One string column per variable; unbound is the empty string."""
@@ -29,10 +32,14 @@ def ask_form(a: Solutions) -> DataFrame:
 def _with_occurrence(a: Solutions) -> DataFrame:
     """Number equal rows 0, 1, ...: blank nodes of a template are fresh per solution, even for equal ones.
 
-    The rows are counted (a partial aggregate) and repeated, so no window holds a group.
+    The rows are counted (a partial aggregate) and repeated, so no window holds a group.  The numbers of a solution are dealt
+    out in blocks, so that a very frequent one is not repeated in one task.
     """
     counted = a.df.groupBy(*a.vars).agg(F.count(F.lit(1)).alias("_n"))
-    return counted.select(*a.vars, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("_i"))
+    last = F.col("_n") - 1
+    blocks = counted.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), last, F.lit(BLOCK).cast("bigint"))))
+    dealt = blocks.repartition(*a.vars, "_from")
+    return dealt.select(*a.vars, F.explode(F.sequence("_from", F.least(last, F.col("_from") + BLOCK - 1))).alias("_i"))
 
 
 def construct_triples(a: Solutions, template: Sequence[tuple]) -> DataFrame:

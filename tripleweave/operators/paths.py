@@ -13,8 +13,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.terms import Term, same_term
-from ..session import counted, rows_seen, scratch_path
+from ..functions.terms import Term, native_term, same_term
+from ..session import counted, rows_seen, scratch_path, stored
 from .graph import Graph, as_graph
 from .patterns import Solutions, _constant, _equals, _is_var, var
 
@@ -69,15 +69,27 @@ class Star(Path):
     of: object
 
 
-def path(graph: Graph | DataFrame, s, expr, o, g: str = "") -> Solutions:
+def path(graph: Graph | DataFrame, s, expr, o, g: str = "", seeds: Solutions | None = None) -> Solutions:
     """Solutions of ``s expr o``; ends are ``"?var"`` or constants.
 
-    A constant end starts closures from that node, and a sequence from that end, so only its neighbourhood is read.
+    A constant end starts closures from that node, and a sequence from that end, so only its neighbourhood is read.  With
+    ``seeds``, solutions that bind the variable ``s``, closures start from its nodes and the result is that for these nodes:
+    join it with the seeds.
     """
     graph = as_graph(graph)
     s_const = None if _is_var(s) else _constant(s)
     o_const = None if _is_var(o) else _constant(o)
-    df = _pairs(graph, expr, g, s_const, o_const)
+    if seeds is not None:
+        if s_const is not None or var(s) not in seeds.types:
+            raise ValueError("seeds must bind the variable that the path starts from")
+        start = native_term(F.col(var(s)), seeds.types[var(s)])
+        wanted = seeds.df.select(start.alias("n")).where(F.col("n").isNotNull()).distinct()
+        # a path of length zero holds for the nodes of the graph only
+        node = _zero(graph, g, None, None).select(F.col("s").alias("k"))
+        starts = stored(wanted.join(node, same_term(F.col("n"), F.col("k")), "left_semi"), "seeds")
+        df = _from_seeds(_pairs(graph, expr, g, None, o_const, starts), starts)
+    else:
+        df = _pairs(graph, expr, g, s_const, o_const)
     if s_const is not None:
         df = df.where(_equals(F.col("s"), s_const))
     if o_const is not None:
@@ -90,37 +102,73 @@ def path(graph: Graph | DataFrame, s, expr, o, g: str = "") -> Solutions:
     return Solutions(df, frozenset(df.columns))
 
 
-def _pairs(graph: Graph, expr, g: str, s: Term | None = None, o: Term | None = None) -> DataFrame:
-    """The (s, o) pairs of a path; a bound end narrows what is read where the path form allows it."""
+def _pairs(graph: Graph, expr, g: str, s: Term | None = None, o: Term | None = None, seeds: DataFrame | None = None) -> DataFrame:
+    """The (s, o) pairs of a path; a bound end narrows what is read where the path form allows it.
+
+    ``seeds`` (a stored table of distinct nodes ``n``) says which starts matter: closures begin there, other forms may
+    return pairs of other starts too."""
     if isinstance(expr, Term):
         expr = expr.value
     if isinstance(expr, str):
         return _narrow(graph.scan(expr).where(F.col("g") == g).select("s", "o"), s, o)
     if isinstance(expr, Inv):
-        return _swap(_pairs(graph, expr.of, g, o, s))
+        turned = _turned(expr.of)
+        return _swap(_pairs(graph, expr.of, g, o, s)) if turned is None else _pairs(graph, turned, g, s, o, seeds)
     if isinstance(expr, Alt):
-        return reduce(DataFrame.unionByName, [_pairs(graph, e, g, s, o) for e in expr.options])
+        return reduce(DataFrame.unionByName, [_pairs(graph, e, g, s, o, seeds) for e in expr.options])
     if isinstance(expr, Seq):
+        if s is None and seeds is None and o is not None and any(map(_closes, expr.steps)):
+            return _swap(_pairs(graph, _turned(expr), g, o))
         first, *rest = expr.steps
-        last = len(rest) - 1
-        parts = [_pairs(graph, first, g, s, o if not rest else None)]
-        parts += [_pairs(graph, e, g, None, o if i == last else None) for i, e in enumerate(rest)]
-        return reduce(_compose, parts)
+        found = _pairs(graph, first, g, s, o if not rest else None, seeds)
+        for i, e in enumerate(rest):
+            reached = None
+            if _closes(e):  # from the nodes reached so far, not from all
+                found = stored(found if seeds is None else _from_seeds(found, seeds), "walks")
+                reached = stored(found.select(F.col("o").alias("n")).distinct(), "reached")
+            found = _compose(found, _pairs(graph, e, g, None, o if i == len(rest) - 1 else None, reached))
+        return found
     if isinstance(expr, Neg):
         return _narrow(_negated(graph, expr.members, g), s, o)
     if isinstance(expr, Opt):
-        return _pairs(graph, expr.of, g, s, o).unionByName(_zero(graph, g, s, o)).distinct()
+        return _pairs(graph, expr.of, g, s, o, seeds).unionByName(_zero(graph, g, s, o, seeds)).distinct()
     if isinstance(expr, (Plus, Star)):
+        edges = _pairs(graph, expr.of, g)
         if s is not None:
-            found = _reach(graph, _pairs(graph, expr.of, g), s)
+            found = _reach(graph, edges, s)
+        elif seeds is not None:
+            found = _narrow(_reach_all(edges, seeds), None, o)
         elif o is not None:
-            found = _swap(_reach(graph, _swap(_pairs(graph, expr.of, g)), o))
+            found = _swap(_reach(graph, _swap(edges), o))
         else:
-            found = closure(_pairs(graph, expr.of, g))
-        return found if isinstance(expr, Plus) else found.unionByName(_zero(graph, g, s, o)).distinct()
+            found = closure(edges)
+        return found if isinstance(expr, Plus) else found.unionByName(_zero(graph, g, s, o, seeds)).distinct()
     raise TypeError(f"not a path: {expr!r}")
 
 
+def _closes(expr) -> bool:
+    """Whether a closure is part of the path."""
+    if isinstance(expr, (Plus, Star)):
+        return True
+    parts = expr.steps if isinstance(expr, Seq) else expr.options if isinstance(expr, Alt) else [expr.of] if isinstance(expr, (Inv, Opt)) else []
+    return any(map(_closes, parts))
+
+
+def _turned(expr):
+    """The path from the other end, with the turning done on its parts; None for a single step."""
+    if isinstance(expr, Seq):
+        return Seq(*[Inv(e) for e in reversed(expr.steps)])
+    if isinstance(expr, Alt):
+        return Alt(*[Inv(e) for e in expr.options])
+    if isinstance(expr, (Opt, Plus, Star)):
+        return type(expr)(Inv(expr.of))
+    return expr.of if isinstance(expr, Inv) else None
+
+
+def _from_seeds(pairs: DataFrame, seeds: DataFrame) -> DataFrame:
+    return pairs.join(seeds, same_term(F.col("s"), F.col("n")), "left_semi")
+
+
 def _narrow(df: DataFrame, s: Term | None, o: Term | None) -> DataFrame:
     df = df if s is None else df.where(_equals(F.col("s"), s))
     return df if o is None else df.where(_equals(F.col("o"), o))
@@ -150,9 +198,11 @@ def _negated(graph: Graph, members: Sequence, g: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _zero(graph: Graph, g: str, s: Term | None, o: Term | None) -> DataFrame:
-    """Zero-length pairs: a bound end alone, even if absent from the graph, otherwise every node of the graph."""
+def _zero(graph: Graph, g: str, s: Term | None, o: Term | None, seeds: DataFrame | None = None) -> DataFrame:
+    """Zero-length pairs: a bound end alone, even if absent from the graph, or the seeds; otherwise every node of the graph."""
     end = s or o
+    if seeds is not None:
+        return _narrow(seeds.select(F.col("n").alias("s"), F.col("n").alias("o")), s, o)
     if end is not None:
         return graph.spark.range(1).select(end.col.alias("s"), end.col.alias("o"))
     rows = graph.scan().where(F.col("g") == g)
@@ -173,8 +223,8 @@ class _Table:
         at = scratch_path(self.spark, self.label)
         observed, seen = counted(df)
         observed.write.parquet(at)
-        rows = rows_seen(seen)
         self.schema = df.schema
+        rows = rows_seen(seen, self.spark.read.schema(df.schema).parquet(at))
         if rows or not self.parts:
             self.parts.append(at)
         return rows
@@ -210,9 +260,22 @@ def closure(edges: DataFrame) -> DataFrame:
     return known.read()
 
 
+def _reach_all(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Distinct pairs (seed, node reached from it), by a frontier of pairs: no walk from any other node is built.
+
+    Each round is one step, so there are as many as the longest shortest walk has steps."""
+    edges = stored(edges.distinct(), "edges")
+    known = _Table(edges.sparkSession, "reach")
+    size = known.append(_from_seeds(edges, seeds))
+    while size:
+        size = known.append(_new_pairs(_compose(known.read(last=True), edges), known.read()))
+    return known.read()
+
+
 def _reach(graph: Graph, edges: DataFrame, start: Term) -> DataFrame:
     """Nodes reachable from one node, by a frontier that only ever joins with its own edges."""
     spark = graph.spark
+    edges = stored(edges, "edges")
     known = _Table(spark, "reach")
     first = edges.where(_equals(F.col("s"), start)).select(F.col("o").alias("n")).distinct()
     size = known.append(first)

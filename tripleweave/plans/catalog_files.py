@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.terms import RDF, XSD, lex
 from ..operators import aggregates as agg
-from ..operators.forms import graph_form, select_form
+from ..operators.forms import ask_form, construct_form, graph_form, select_form
 from ..operators.modifiers import order_by, project
 from ..operators.patterns import bgp, triple_pattern
 from ..session import scratch_path
@@ -459,6 +459,50 @@ def _(t: Tables):
     return t.spark.read.text(sink_tsv(select_form(project(orders(t), "o", "status")), scratch_path(t.spark, "tsv")))
 
 
+def document(t: Tables, at: str) -> DataFrame:
+    """``value``: the lines of a written document."""
+    return t.spark.read.text(at)
+
+
+@query("sink_json_document", """
+    SELECT '{' AS value, 1 AS n UNION ALL SELECT '  "type": "solutions",', 1 UNION ALL SELECT '  "variables": ["c", "name"],', 1
+    UNION ALL SELECT '  "results": [', 1 UNION ALL SELECT '  ],', 1 UNION ALL SELECT '  "count": ' || count(*), 1 FROM customer
+    UNION ALL SELECT '}', 1 UNION ALL SELECT 'rows without a comma', 1
+    UNION ALL SELECT '{"c":"urn:customer/' || c_custkey || '","name":"' || c_name || '"}', 1 FROM customer""")
+def _(t: Tables):
+    rows = select_form(bgp(graph(t), ("?c", P["name"], "?name"), ("?c", P["segment"], "?s")), "c", "name")
+    lines = document(t, sink_json(rows, scratch_path(t.spark, "json"), document=True))
+    first = lines.where("startswith(value, '{\"')").select(F.lit("rows without a comma").alias("value"))
+    return lines.select(F.regexp_replace("value", "^,", "").alias("value")).unionByName(first).groupBy("value").agg(
+        F.count(F.lit(1)).cast("int").alias("n"))
+
+
+@query("sink_csv_boolean", "SELECT 'result' AS value UNION ALL SELECT CASE WHEN count(*) > 0 THEN 'true' ELSE 'false' END FROM orders")
+def _(t: Tables):
+    return document(t, sink_csv(ask_form(orders(t)), scratch_path(t.spark, "csv")))
+
+
+@query("sink_json_boolean", """
+    SELECT '{' AS value UNION ALL SELECT '  "type": "boolean",' UNION ALL SELECT '}'
+    UNION ALL SELECT '  "result": ' || CASE WHEN count(*) > 0 THEN 'true' ELSE 'false' END FROM orders""")
+def _(t: Tables):
+    return document(t, sink_json(ask_form(orders(t)), scratch_path(t.spark, "json")))
+
+
+@query("sink_csv_graph", """
+    SELECT 'subject,predicate,object' AS value UNION ALL SELECT 'urn:order/' || o_orderkey || ',urn:p/is,' || o_orderstatus FROM orders""")
+def _(t: Tables):
+    return document(t, sink_csv(construct_form(orders(t), [("?o", P["is"], "?status")]), scratch_path(t.spark, "csv")))
+
+
+@query("sink_json_graph", """
+    SELECT 'urn:order/' || o_orderkey AS subject, 'urn:p/is' AS predicate, o_orderstatus AS object FROM orders""")
+def _(t: Tables):
+    lines = document(t, sink_json(construct_form(orders(t), [("?o", P["is"], "?status")]), scratch_path(t.spark, "json"), document=True))
+    rows = lines.select(F.regexp_replace("value", "^,", "").alias("value")).where("startswith(value, '{\"')")
+    return rows.select(F.from_json("value", "subject string, predicate string, object string").alias("r")).select("r.*")
+
+
 @query("sink_metadata", """
     SELECT 'files_loaded: 1' AS value UNION ALL SELECT 'result_count: ' || count(*) FROM orders
     UNION ALL SELECT 'triples_loaded: ' || 2 * count(*) FROM orders""")

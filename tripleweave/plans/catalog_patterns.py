@@ -446,3 +446,59 @@ def _(t: Tables):
     SELECT 'urn:customer/' || a AS x FROM r""")
 def _(t: Tables):
     return show(path(_tree(t), "?x", Star(P["up"]), IRI("urn:customer/0")))
+
+
+@query("path_seq_star", TREE_SQL + """
+    r AS (SELECT b AS a, b FROM e WHERE a = 7 UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+    SELECT DISTINCT 'urn:customer/' || b AS y FROM r""")
+def _(t: Tables):
+    """The closure starts from what the first step of the sequence reaches, not from every node."""
+    return show(path(_tree(t), IRI("urn:customer/7"), Seq(P["up"], Star(P["up"])), "?y"))
+
+
+@query("path_from_solutions", TREE_SQL + """
+    w AS (SELECT c_custkey AS a, c_nationkey AS n FROM customer WHERE c_acctbal < 0),
+    r AS (SELECT a, a AS b FROM (SELECT DISTINCT w.a FROM w WHERE w.a IN (SELECT a FROM e UNION SELECT b FROM e))
+          UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+    SELECT 'urn:customer/' || w.a AS c, 'urn:nation/' || n AS n, 'urn:customer/' || b AS y FROM w JOIN r ON w.a = r.a""")
+def _(t: Tables):
+    """A closure seeded by the solutions of a pattern."""
+    a = bgp(graph(t), ("?c", P["nation"], "?n"), ("?c", P["acctbal"], "?b"))
+    a = project(filter_(a, X.lt("?b", 0)), "c", "n")
+    return show(join(a, path(_tree(t), "?c", Star(P["up"]), "?y", seeds=a)), "c", "n", "y")
+
+
+# --- variables that may be unbound on both sides ------------------------------------------------------
+
+def _urgent(t: Tables) -> Solutions:
+    """Orders with ``?k``, bound for urgent ones only."""
+    a = bgp(graph(t), ("?o", P["priority"], "?priority"))
+    return project(a, "o", k=X.if_(X.eq("?priority", Lit("1-URGENT")), "?priority", F.lit(None)))
+
+
+URGENT_SQL = """WITH a AS (SELECT 'urn:order/' || o_orderkey AS o, CASE WHEN o_orderpriority = '1-URGENT' THEN '1-URGENT' END AS k FROM orders),
+    v(k, label) AS (VALUES ('1-URGENT', 'urgent'), (CAST(NULL AS VARCHAR), 'any'), ('2-HIGH', 'high')) """
+
+
+def _priorities(t: Tables) -> Solutions:
+    return values(t.spark, ["k", "label"], [("1-URGENT", "urgent"), (None, "any"), ("2-HIGH", "high")])
+
+
+@query("compat_join_unsure", URGENT_SQL + """
+    SELECT o, coalesce(a.k, v.k, '') AS k, label FROM a JOIN v ON a.k IS NULL OR v.k IS NULL OR a.k = v.k""")
+def _(t: Tables):
+    return show(join(_urgent(t), _priorities(t)), "o", "k", "label")
+
+
+@query("exists_unsure", URGENT_SQL + """
+    SELECT o FROM a WHERE EXISTS (SELECT 1 FROM v WHERE v.label <> 'any' AND (a.k IS NULL OR a.k = v.k) AND length(a.o) > length(v.label) + 9)""")
+def _(t: Tables):
+    sure = filter_(_priorities(t), X.ne("?label", Lit("any")))
+    return show(exists(_urgent(t), sure, F.length(lex(F.col("o"))) > F.length(lex(F.col("label"))) + 9), "o")
+
+
+@query("exists_value_unsure", URGENT_SQL + """
+    SELECT o, EXISTS (SELECT 1 FROM v WHERE v.label = 'high' AND (a.k IS NULL OR a.k = v.k)) AS high FROM a""")
+def _(t: Tables):
+    a = exists_value(_urgent(t), filter_(_priorities(t), X.eq("?label", Lit("high"))), "high")
+    return a.df.select(lex(F.col("o")).alias("o"), "high")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from ..functions.terms import IRI, RDF_TYPE, bnode_term, lex, num, quoted_triple
+from ..functions.terms import IRI, RDF_TYPE, Lit, bnode_term, lex, literal_term, num, quoted_triple
 from ..operators import aggregates as agg
 from ..operators.diff import assign_graph, diff_added, diff_changed, diff_removed, graph_stats, merge_tagged
 from ..operators.forms import (
@@ -250,6 +250,31 @@ def _(t: Tables):
     return a.df.select(lex(F.col("name")).alias("name"), "nodes")
 
 
+@query("construct_hot_bnodes", "SELECT count(*) AS nodes FROM lineitem")
+def _(t: Tables):
+    """A single solution, repeated by every line item: one fresh node each."""
+    a = project(bind(bgp(graph(t), ("?l", P["line"], "?n")), "all", Lit("all")), "all")
+    q = construct_triples(a, [("_:n", P["in"], "?all")])
+    return agg.group(triple_pattern(q, "?s", P["in"], "?all"), nodes=agg.count_distinct("s")).df.select("nodes")
+
+
+@query("sum_overflow", "SELECT p_brand AS brand, false AS bound, count(*) AS n FROM part GROUP BY p_brand HAVING count(*) > 2")
+def _(t: Tables):
+    """A sum that no exact number holds is unbound; the job goes on."""
+    huge = X.add(X.multiply("?size", 0), 90_000_000_000_000_000_000)
+    a = agg.group(bind(parts(t), "x", huge), ["brand"], total=agg.sum_("x"), n=agg.count_star(), having=F.col("n") > 2)
+    return a.df.select(lex(F.col("brand")).alias("brand"), F.col("total").isNotNull().alias("bound"), "n")
+
+
+@query("avg_small", "SELECT p_brand AS brand, round(avg(p_size), 4) AS mean FROM part GROUP BY p_brand")
+def _(t: Tables):
+    """Averages far below one keep their digits."""
+    tiny = X.multiply("?size", literal_term(F.lit("0.0000000001"), "xsd:decimal"))
+    a = agg.group(bind(parts(t), "x", tiny), ["brand"], mean=agg.avg("x"))
+    a = bind(a, "back", X.multiply("?mean", 10_000_000_000))
+    return a.df.select(lex(F.col("brand")).alias("brand"), F.round(num("?back"), 4).alias("mean"))
+
+
 @query("describe_form", """
     SELECT 'urn:nation/' || n_nationkey AS subject, 'urn:p/name' AS predicate, n_name AS object FROM nation WHERE n_regionkey = 1
     UNION ALL SELECT 'urn:nation/' || n_nationkey, 'urn:p/region', 'urn:region/' || n_regionkey FROM nation WHERE n_regionkey = 1""")

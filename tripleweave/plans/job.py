@@ -84,8 +84,9 @@ def load(spark: SparkSession, spec: dict) -> tuple[DataFrame, int, int] | None:
                     paths[fmt].append(literal_path(path if not root or "://" in path else f"{root}/{path}"))
                 files = files.where(~pick)
             whole = whole.unionByName(files)
-        whole, seen = counted(_process(whole, processors))
-        counters.append(seen)
+        members_of = _process(whole, processors)
+        whole, seen = counted(members_of)
+        counters.append((seen, members_of))
         # line formats can only come out of archives now
         found = [ingest(whole, *base, lines=lines and unzips).select(*QUAD)]
         for fmt, of in paths.items():
@@ -98,7 +99,7 @@ def load(spark: SparkSession, spec: dict) -> tuple[DataFrame, int, int] | None:
         return None
     quads, written = counted(reduce(DataFrame.unionByName, parts).dropDuplicates())
     stored = store_triples(quads, scratch_path(spark, "quads"))
-    files_loaded, triples_loaded = divided + sum(map(rows_seen, counters)), rows_seen(written)
+    files_loaded, triples_loaded = divided + sum(rows_seen(*c) for c in counters), rows_seen(written, stored)
     if not files_loaded:
         return None
     return stored, files_loaded, triples_loaded

@@ -75,8 +75,10 @@ def counted(df: DataFrame) -> tuple[DataFrame, Observation]:
     return df.observe(seen, F.count(F.lit(1)).alias("n")), seen
 
 
-def rows_seen(seen: Observation) -> int:
+def rows_seen(seen: Observation, recount: DataFrame) -> int:
+    """The observed count.  Spark may drop an observation together with a plan that it finds to be empty; then ``recount``,
+    what was written or read, is counted, so that no other failure can pass for an empty result."""
     try:
         return seen.get["n"]
-    except Py4JJavaError:  # Spark drops the observation together with a plan that it knows to be empty
-        return 0
+    except Py4JJavaError:
+        return recount.count()
