@@ -386,10 +386,11 @@ def _(t: Tables):
     UNION ALL SELECT 'urn:order/' || o_orderkey, 'urn:class/order' FROM orders
     UNION ALL SELECT 'urn:order/' || o_orderkey, 'urn:customer/' || o_custkey FROM orders
     UNION ALL SELECT 'urn:customer/' || o_custkey, 'urn:order/' || o_orderkey FROM orders
-    UNION ALL SELECT 'urn:class/order', 'urn:order/' || o_orderkey FROM orders""")
+    UNION ALL SELECT 'urn:class/order', 'urn:order/' || o_orderkey FROM orders
+    UNION ALL SELECT CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR), 'urn:order/' || o_orderkey FROM orders""")
 def _(t: Tables):
     g = graph(t)
-    part = g.scan(P["customer"].value).unionByName(g.scan(P["priority"].value))
+    part = g.scan(P["customer"].value).unionByName(g.scan(P["priority"].value)).unionByName(g.scan(P["total"].value))
     part = part.unionByName(g.scan(RDF_TYPE).where(F.col("o.value") == "urn:class/order"))
     return show(path(part, "?o", Neg(P["total"], Inv(P["priority"])), "?x"))
 
