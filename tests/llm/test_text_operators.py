@@ -386,6 +386,20 @@ def test_mixing(spark, empty):
     assert mixing.mix(empty, TARGETS).count() == 0
 
 
+def test_mixing_of_languages_without_a_target(spark):
+    rows = [(i, words(20), ("en", "de", "es", "fr", "it", None)[i % 6], f"src{i % 3}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = {**TARGETS, "topic": {"general": 1.0}}
+    got = mixing.mix(df, targets).collect()
+    shares = {k: sum(r["n_tokens"] * r["weight"] for r in got if r["lang"] == k) / 12000 for k in ("en", "de", "other")}
+    assert all(abs(shares[k] - v) < 1e-6 for k, v in (("en", 0.55 * 2 / 3), ("de", 0.15 * 2 / 3), ("other", 1 / 3)))
+    assert abs(sum(r["probability"] for r in got) / 600 - 0.8) < 1e-6
+    assert 0 < sum(r["selected"] for r in got if r["lang"] == "other")
+    unnamed = df.where("lang is null or lang = 'it'")
+    assert sum(r["selected"] for r in mixing.mix(unnamed, targets).collect()) > 100
+    assert {r["probability"] for r in mixing.mix(unnamed, {**targets, "lang": {"en": 1.0, "other": 0.0}}).collect()} == {0.0}
+
+
 def test_licenses(spark):
     rows = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/x/1.txt", words(40)), (3, "a/x/y/2.txt", words(40) + "\nAll rights reserved."),
             (4, "b/1.txt", words(30)), (5, "a/x/COPYING.md", words(50) + "\nLicensed under the Apache License, Version 2.0.\n" + words(5)),

@@ -38,28 +38,36 @@ def named(column: Column, targets: Mapping[str, float]) -> Column:
     return F.when(column.isin([k for k in targets if k != OTHER]), column).otherwise(F.lit(OTHER))
 
 
-def _margin(cells: DataFrame, name: str, targets: Mapping[str, float]) -> DataFrame:
+def _margin(cells: DataFrame, name: str, targets: Mapping[str, float], names: Sequence[str]) -> DataFrame:
+    """Adds the wanted share of each row's category among the present ones.
+
+    Without a target for ``other``, its wanted share is its natural one, and the named categories share the rest."""
+    whole = Window.partitionBy(F.lit(0))
     share = F.lit(0.0)
     for key, value in targets.items():
         share = F.when(F.col(name) == key, F.lit(float(value))).otherwise(share)
-    return cells.withColumn(f"want_{name}", share)
+    rest = F.lit(OTHER not in targets) & (F.col(name) == OTHER)
+    # of each present category once
+    first = F.row_number().over(Window.partitionBy(name).orderBy(*names)) == 1
+    cells = cells.withColumn("share", share).withColumn("once", F.when(first, F.col("share"))).withColumns({
+        "sum": F.sum("once").over(whole),
+        "natural": F.sum(F.when(rest, F.col("tokens")).otherwise(F.lit(0))).over(whole) / F.sum("tokens").over(whole)})
+    want = (F.when(rest, F.when(F.col("sum") > 0, F.col("natural")).otherwise(1.0))
+            .when(F.col("sum") > 0, F.col("share") * (1.0 - F.col("natural")) / F.col("sum")).otherwise(0.0))
+    return cells.withColumn(f"want_{name}", want).drop("share", "once", "sum", "natural")
 
 
 def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], tolerance: float = 1e-10, rounds: int = 20,
          at_most: int = 1000) -> DataFrame:
     """``cells`` (the target names, tokens) with ``weight``: shares of all tokens that fit the margins.
 
-    Targets of categories without tokens are shared out among the present ones.  Each step is a window over the bounded
+    Targets of categories without tokens are shared out among the present ones; categories without a target (all are one,
+    ``other``) keep their natural share of the margin.  If all that is present has target 0, all weights are 0.  Each step is a window over the bounded
     table of cells; every ``rounds`` rounds it is stored and the largest change tested."""
     cells = cells.where("tokens > 0").coalesce(1)
     for name, wanted in targets.items():
-        cells = _margin(cells, name, wanted)
+        cells = _margin(cells, name, wanted, list(targets))
     whole = Window.partitionBy(F.lit(0))
-    for name in targets:
-        # of each present category once: its share among the present ones
-        once = F.when(F.row_number().over(Window.partitionBy(name).orderBy(*targets)) == 1, F.col(f"want_{name}"))
-        cells = cells.withColumn("once", once).withColumn(
-            f"want_{name}", F.col(f"want_{name}") / F.sum("once").over(whole)).drop("once")
     cells = cells.withColumn("weight", F.col("tokens") / F.sum("tokens").over(whole))
     for _ in range(0, at_most, rounds):
         cells = cells.withColumn("before", F.col("weight"))
@@ -71,7 +79,8 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], tolerance
         change = cells.agg(F.max(F.abs(F.col("weight") - F.col("before")))).first()[0]
         if change is None or change <= tolerance:
             break
-    return cells.select(*targets, "tokens", (F.col("weight") / F.sum("weight").over(whole)).alias("weight"))
+    total = F.sum("weight").over(whole)
+    return cells.select(*targets, "tokens", F.when(total > 0, F.col("weight") / total).otherwise(0.0).alias("weight"))
 
 
 def calibrated(cells: DataFrame, names: Sequence[str], keep: float) -> DataFrame:
@@ -98,8 +107,8 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], keep: float
 
     ``targets`` maps source, lang and topic to shares by category; ``weight`` is the calibrated weight of one token (1 means
     its natural share).  A document is selected if a hash of its id (of its text for a null id) and the seed, as a fraction,
-    is below its probability, so repeated rows share a fate.  Null sources and languages count as ``other``, null texts as
-    empty; a text without words has no weight, probability 1, and is selected.  An empty table gives an empty one."""
+    is below its probability, so repeated rows share a fate.  Null sources and languages count as ``other``, which
+    keeps its natural share if the targets do not name it, null texts as empty; a text without words has no weight, probability 1, and is selected.  An empty table gives an empty one."""
     rows = picked(docs, doc_id=doc_id, text=text, source=source, lang=lang).withColumn("text", text_column("text"))
     turn = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.md5("text")), F.lit(f":{seed}"))), 1, 8), 16, 10)
     marked = stored(rows.select(
