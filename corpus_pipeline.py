@@ -22,7 +22,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints, the one with the smallest id."""
+    """One row of each group of linked fingerprints, the one with the smallest id; rows without an id come last."""
     return simhash.drop_near_duplicates(docs)
 
 
@@ -32,8 +32,8 @@ def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled towards the target shares of sources, languages and topics."""
-    return mixing.keep_mixed(docs, TARGETS)
+    """Documents, with or without an id, sampled towards the target shares of sources, languages and topics."""
+    return mixing.keep_mixed(docs, TARGETS, every_row=True)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -179,6 +179,14 @@ def test_simhash(docs, texts, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_simhash_keeps_one_row_of_each_group(spark):
+    a, b, c = "alpha beta gamma delta", "one two three four five", "red green blue"
+    rows = [(3, a, "x"), (5, a, "x"), (5, b, "x"), (None, c, "x"), (None, c, "x"), (None, a, "x"), (7, "only here", "x"), (7, "only here", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [(r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(df).collect()]
+    assert sorted(got, key=repr) == sorted([(3, a), (5, b), (None, c), (7, "only here")], key=repr)
+
+
 @pytest.mark.parametrize("block", [4, 1024])
 def test_fingerprint_links(spark, block):
     near = [RANDOM.getrandbits(64) for _ in range(30)]
@@ -400,6 +408,15 @@ def test_mixing_of_languages_without_a_target(spark):
     assert {r["probability"] for r in mixing.mix(unnamed, {**targets, "lang": {"en": 1.0, "other": 0.0}}).collect()} == {0.0}
 
 
+def test_mixed_rows_without_an_id(spark):
+    rows = [(None if i % 2 else 1, words(20), "en", "src0") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = {"source": {"src0": 1.0}, "lang": {"en": 1.0}, "topic": {"general": 1.0}}
+    got = [r["doc_id"] for r in mixing.keep_mixed(df, targets, 0.5, every_row=True).collect()]
+    want = [r["doc_id"] for r in mixing.mix(df, targets, 0.5).collect() if r["selected"]]
+    assert 20 < got.count(None) < 80 and sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_licenses(spark):
     rows = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/x/1.txt", words(40)), (3, "a/x/y/2.txt", words(40) + "\nAll rights reserved."),
             (4, "b/1.txt", words(30)), (5, "a/x/COPYING.md", words(50) + "\nLicensed under the Apache License, Version 2.0.\n" + words(5)),

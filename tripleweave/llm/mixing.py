@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import picked, stored, text_column
+from .common import picked, stored
 
 OTHER = "other"
 #: Ordered topics with the pattern that marks them; the first that matches holds.  A parameter.
@@ -24,6 +24,7 @@ TOPICS: tuple[tuple[str, str], ...] = (
     ("list", "([%#*$&]{3}|[0-9]{3}.[0-9]{3})"),
 )
 GENERAL = "general"
+NAMES = ("source", "lang", "topic")
 
 
 def topic_of(text: Column, topics: Sequence[tuple[str, str]] = TOPICS) -> Column:
@@ -100,6 +101,22 @@ def calibrated(cells: DataFrame, names: Sequence[str], keep: float) -> DataFrame
         F.least(F.lit(1.0), F.coalesce(scale, F.lit(float("inf"))) * F.col("ratio"))))
 
 
+def _marks(targets: Mapping[str, Mapping[str, float]], seed: int, topics: Sequence[tuple[str, str]], doc_id: Column, text: Column,
+           source: Column, lang: Column) -> dict[str, Column]:
+    """Categories, words and the fraction that decides, by row."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    turn = F.conv(F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.md5(text)), F.lit(f":{seed}"))), 1, 8), 16, 10)
+    return {"source": named(source, targets["source"]), "lang": named(lang, targets["lang"]),
+            "topic": named(topic_of(text, topics), targets["topic"]),
+            "n_tokens": F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), "turn": turn.cast("double") / 4294967296.0}
+
+
+def _cells(marked: DataFrame, targets: Mapping[str, Mapping[str, float]], keep: float) -> DataFrame:
+    """(source, lang, topic, ratio, probability): at most one row for each combination of named categories."""
+    counted = stored(marked.groupBy(*NAMES).agg(F.sum("n_tokens").alias("tokens")), "counts")
+    return calibrated(rake(counted, {n: targets[n] for n in NAMES}), NAMES, keep).select(*NAMES, "ratio", "probability")
+
+
 def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], keep: float = 0.8, seed: int = 17,
         topics: Sequence[tuple[str, str]] = TOPICS, doc_id: str = "doc_id", text: str = "text", source: str = "source",
         lang: str = "lang") -> DataFrame:
@@ -109,25 +126,24 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], keep: float
     its natural share).  A document is selected if a hash of its id (of its text for a null id) and the seed, as a fraction,
     is below its probability, so repeated rows share a fate.  Null sources and languages count as ``other``, which
     keeps its natural share if the targets do not name it, null texts as empty; a text without words has no weight, probability 1, and is selected.  An empty table gives an empty one."""
-    rows = picked(docs, doc_id=doc_id, text=text, source=source, lang=lang).withColumn("text", text_column("text"))
-    turn = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.md5("text")), F.lit(f":{seed}"))), 1, 8), 16, 10)
-    marked = stored(rows.select(
-        "doc_id", named(F.col("source"), targets["source"]).alias("source"), named(F.col("lang"), targets["lang"]).alias("lang"),
-        topic_of(F.col("text"), topics).alias("topic"), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_tokens"),
-        (turn.cast("double") / 4294967296.0).alias("turn")), "marked")
-    names = ["source", "lang", "topic"]
-    marked = marked.withColumn("topic", named(F.col("topic"), targets["topic"]))
-    counted = stored(marked.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")), "counts")
-    cells = calibrated(rake(counted, {n: targets[n] for n in names}), names, keep)
-    # at most one row for each combination of named categories
-    return marked.join(F.broadcast(cells.select(*names, "ratio", "probability")), names, "left").select(
-        "doc_id", *names, "n_tokens", F.when(F.col("n_tokens") > 0, F.col("ratio")).otherwise(0.0).alias("weight"),
+    rows = picked(docs, doc_id=doc_id, text=text, source=source, lang=lang)
+    marks = _marks(targets, seed, topics, *[F.col(c) for c in ("doc_id", "text", "source", "lang")])
+    marked = stored(rows.select("doc_id", *[v.alias(k) for k, v in marks.items()]), "marked")
+    return marked.join(F.broadcast(_cells(marked, targets, keep)), list(NAMES), "left").select(
+        "doc_id", *NAMES, "n_tokens", F.when(F.col("n_tokens") > 0, F.col("ratio")).otherwise(0.0).alias("weight"),
         F.when(F.col("n_tokens") > 0, F.col("probability")).otherwise(1.0).alias("probability"),
         F.when(F.col("n_tokens") > 0, F.col("turn") < F.col("probability")).otherwise(True).alias("selected"))
 
 
 def keep_mixed(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], keep: float = 0.8, seed: int = 17,
-               doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id :func:`mix` selects, with all their columns; rows without an id are left out."""
-    chosen = mix(docs.where(F.col(doc_id).isNotNull()), targets, keep, seed, doc_id=doc_id).where("selected")
-    return docs.join(chosen.select(F.col("doc_id").alias("_kept")), docs[doc_id] == F.col("_kept"), "left_semi")
+               doc_id: str = "doc_id", every_row: bool = False) -> DataFrame:
+    """The rows of ``docs`` that :func:`mix` selects, with all their columns; rows that repeat an id each have their own fate.
+
+    Rows without an id are left out, or with ``every_row``, as in the pipeline, decided like all others."""
+    docs = docs if every_row else docs.where(F.col(doc_id).isNotNull())
+    marks = _marks(targets, seed, TOPICS, docs[doc_id], docs["text"], docs["source"], docs["lang"])
+    marked = stored(docs.withColumn("_mix", F.struct(*[v.alias(k) for k, v in marks.items()])), "marked")
+    chosen = _cells(marked.select("_mix.*"), targets, keep).select(F.struct(*NAMES).alias("_cell"), F.col("probability").alias("_chance"))
+    cell = F.struct(*[F.col(f"_mix.{n}").alias(n) for n in NAMES])
+    selected = (F.col("_mix.n_tokens") == 0) | (F.col("_mix.turn") < F.col("_chance"))
+    return marked.join(F.broadcast(chosen), cell == F.col("_cell"), "left").where(selected).select(*docs.columns)

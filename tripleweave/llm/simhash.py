@@ -43,16 +43,20 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def with_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long; null and blank texts have zero."""
-    rows = picked(docs, doc_id=doc_id, text=text)
+def with_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, seed: int = 42,
+                      **further: str) -> DataFrame:
+    """(doc_id, fp) and ``further`` columns: the fingerprint as a signed long; null and blank texts have zero."""
+    rows = picked(docs, doc_id=doc_id, text=text, **further)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = np.array([fingerprint(t, width, seed) for t in batch["text"].to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(marks)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(marks), *[batch[n] for n in further]],
+                                             names=["doc_id", "fp", *further])
 
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *further)
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join(["doc_id long", "fp long", *[f"{n} {kinds[n]}" for n in further]]))
 
 
 def _forward(radius: int) -> list[int]:
@@ -131,9 +135,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
-    """``docs`` without the rows that another document of their component stands for; rows without an id stay.
-
-    Of rows that repeat the kept id, all stay."""
-    kept = near_duplicates(docs.where(F.col(doc_id).isNotNull()), doc_id, text, width, radius)
-    gone = kept.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[doc_id].cast("long") == gone["_gone"], "left_anti")
+    """One row of ``docs`` of each group of linked fingerprints: the one with the smallest id, rows without an id last.
+
+    A row is known by a hash of its id and text, so ids may be null or repeated; of rows that share the least id of their group
+    one with the least hash stays, and exactly one of rows that repeat id and text."""
+    mark = F.md5(F.concat(F.coalesce(F.concat(F.lit("i"), docs[doc_id].cast("long").cast("string")), F.lit("n")), F.lit(":"),
+                          F.coalesce(docs[text].cast("string"), F.lit(""))))
+    rows = docs.withColumn("_key", mark)
+    prints = stored(with_fingerprints(rows, doc_id, text, width, key="_key"), "fingerprints")
+    # nodes are the fingerprints themselves, so that rows without an id link groups too
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key"))
+    groups = stored(prints.groupBy("fp").agg(first.alias("first")), "groups")
+    joined = components(fingerprint_links(groups.select(F.col("fp").alias("node"), "fp"), radius))
+    heads = (groups.join(joined, groups["fp"] == joined["node"], "left").groupBy(F.coalesce("component", "fp").alias("component"))
+             .agg(F.min("first").alias("first")).select(F.col("first.key").alias("key")))
+    repeated = prints.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    heads = stored(heads.join(repeated, "key", "left").select(F.col("key").alias("_head"), F.col("n").isNotNull().alias("many")), "heads")
+    once, many = [rows.join(heads.where(c).select("_head"), F.col("_key") == F.col("_head"), "left_semi") for c in ("not many", "many")]
+    return once.unionAll(many.dropDuplicates(["_key"])).select(*docs.columns)
