@@ -429,6 +429,19 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df.where("false")).count() == 0
 
 
+def test_license_headers_and_notices_in_longer_lines(spark):
+    found = {"Copyright (c) 2021 Jane Doe. All rights reserved.": "proprietary", "// SPDX-License-Identifier: MIT": "MIT",
+             "/* SPDX-License-Identifier: BSD-2-Clause */": "BSD-2-Clause", "MIT License": "MIT", "# Licensed under the MIT License.": "MIT",
+             "The MIT License (MIT)": "MIT", "# Licensed under the Apache\n# License, Version 2.0.\nx = 1": "Apache-2.0",
+             words(30) + " Released under the MIT License. " + words(30): "MIT",
+             "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n" + words(50): "GPL-3.0",
+             "the license of my car and a public domain": None}
+    texts = list(found) + [words(50) for _ in range(20)]
+    df = spark.createDataFrame([(i, f"d{i}/f", t) for i, t in enumerate(texts)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan_licenses(df).collect()}
+    assert [got[i] for i in range(len(found))] == list(found.values()) and not any(got[i] for i in range(len(found), len(texts)))
+
+
 # --- pipeline ------------------------------------------------------------------------------------------------------
 
 def test_pipeline(spark, ranks, tmp_path):
