@@ -54,6 +54,38 @@ def test_directory(spark, tmp_path):
     assert row["content"] == b"data" and row["source"] == f"local:{tmp_path}" and row["path"].endswith("/c.txt")
 
 
+def _opened(df):
+    """Files that the scans of a collected plan opened."""
+    df.collect()
+    total, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        plan = todo.pop()
+        if plan.nodeName().startswith("Scan"):
+            total += plan.metrics().get("numFiles").get().value()
+        todo += [plan.children().apply(i) for i in range(plan.children().size())]
+    return total
+
+
+def test_filters_on_names_and_sizes_open_no_other_file(spark, tmp_path):
+    put(tmp_path, "a.xml", "b b+%41.nt", "sub/a.xml")
+    put(tmp_path, "large.nt", data=b"x\n" * 900)
+    scan = lambda form, **o: fs.scan_files(spark, str(tmp_path), patterns=[], form=form, **o)
+    for form, column in ((fs.SIZED, "content"), (fs.LINES, "text"), (fs.Form(">", sized=True), "text")):
+        assert _opened(scan(form).where(F.col("filename").endswith(".nt")).select(column)) == 2
+        assert _opened(scan(form).where("size >= 1000").select(column)) == 1
+        assert _opened(scan(form, recursive=False).select(column)) == 3
+        one = scan(form).where(F.col("path").endswith("/b b+%41.nt"))
+        assert _opened(one.select(column)) == 1 and one.first()["filename"] == "b b+%41.nt"
+    assert scan(fs.LINES).where("filename = 'large.nt'").count() == 900
+
+
+def test_many_explicit_names(spark, tmp_path):
+    put(tmp_path, *[f"f{i}.dat" for i in range(40)])
+    listed = [str(tmp_path / f"f{i}.dat") for i in range(45)]
+    with pytest.warns(UserWarning, match="f44.dat"):
+        assert len(names(fs.scan_files(spark, files=listed))) == 40
+
+
 def test_single_and_explicit(spark, tmp_path):
     put(tmp_path, "a.xml", "odd.dat", "_hidden.xml", "sp ace.xml")
     assert names(fs.scan_files(spark, str(tmp_path / "odd.dat"))) == ["odd.dat"]
@@ -87,7 +119,7 @@ def test_object_store(spark, tmp_path):
 
 def test_cloud_names_and_settings(spark, monkeypatch):
     calls = []
-    monkeypatch.setattr(fs, "scan_store", lambda spark, root, prefix, files, patterns, source: calls.append((root, prefix, source)))
+    monkeypatch.setattr(fs, "scan_store", lambda spark, root, prefix, files, patterns, source, form: calls.append((root, prefix, source)))
     fs.scan_s3(spark, "bkt", "in/", region="eu-west-1", endpoint="http://minio:9000")
     fs.scan_azure(spark, "acct", "box", "igm/", skip_signature=True)
     fs.scan_gcs(spark, "gb", files=["x.xml"], endpoint="http://unused",

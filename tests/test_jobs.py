@@ -14,6 +14,7 @@ from tripleweave.operators.modifiers import order_by
 from tripleweave.operators.patterns import bgp, values
 from tripleweave.plans import job
 from tripleweave.plans.sinks import sink_csv, sink_json, sink_tsv
+from tripleweave.sources.ingest import ingest_ntriples
 
 AT = datetime(2026, 3, 4, 12, 0, 1, tzinfo=timezone.utc)
 CIM = "http://harbour.example/terms#"
@@ -137,11 +138,11 @@ def test_job_reads_line_files_in_pieces(spark, tmp_path, rows):
     whole, files, quads = job.load(spark, spec)
     assert (files, quads) == (4, 40 + 1 + 1 + 1 + 6) and whole.where("g = 'urn:g'").count() == 1
     assert whole.where("s.kind = 'bnode'").select(F.col("s") == F.col("o")).first()[0]
-    split, files, quads = job.load(spark, spec | {"query": {"split": True}})
+    split, files, quads = job.load(spark, spec | {"query": {"split_bytes": 0}})
     assert (files, quads) == (4, 49) and rows(split.where("s.kind = 'iri'")) == rows(whole.where("s.kind = 'iri'"))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
     try:
-        assert job.ingest_ntriples(spark, str(tmp_path / "a \\[1\\].nt")).rdd.getNumPartitions() > 1
+        assert ingest_ntriples(spark, str(tmp_path / "a \\[1\\].nt")).rdd.getNumPartitions() > 1
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     (tmp_path / "skipped.nt").write_bytes(b'<urn:s> <urn:p> "\xff" .')
@@ -149,6 +150,26 @@ def test_job_reads_line_files_in_pieces(spark, tmp_path, rows):
         job.load(spark, {"sources": spec["sources"], "processors": spec["processors"][:1]})
 
 
+def test_job_reads_large_documents_in_pieces(spark, tmp_path, rows, monkeypatch):
+    """Files from a size on are cut where they can be; those that cannot be cut are read whole, whatever their number."""
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a b.xml").write_bytes(MODEL)
+    (tmp_path / "sub" / "c.rdf").write_bytes(MODEL.replace(b"</cim:Pier>", b"<!-- a > b --></cim:Pier>"))
+    (tmp_path / "d.xml").write_bytes(b'<ex:order xmlns:ex="http://e/"><ex:x>1</ex:x></ex:order>')
+    (tmp_path / "e.xml.gz").write_bytes(gzip.compress(MODEL))
+    spec = {"sources": [{"type": "local", "path": str(tmp_path), "patterns": ["*.xml", "*.rdf", "*.gz"]}], "processors": [{"type": "unzip"}]}
+    plain = lambda t: rows(t.where("s.kind = 'iri'"))
+    want, files, quads = job.load(spark, spec | {"query": {"split_bytes": None}})
+    assert (files, quads) == (4, 6 * 3 + 2)
+    for least, names in ((0, 10), (100, 10), (0, 1)):
+        monkeypatch.setattr(job, "NAMES", names)
+        got, files, quads = job.load(spark, spec | {"query": {"split_bytes": least}})
+        assert (files, quads) == (4, 6 * 3 + 2) and plain(got) == plain(want)
+    (tmp_path / "d.xml").write_bytes(b"<open>")
+    with pytest.raises(Exception, match="d.xml"):
+        job.load(spark, spec | {"query": {"split_bytes": 0}})
+
+
 def test_job_fails_on_bad_data(spark, tmp_path):
     (tmp_path / "bad.xml").write_text("not xml at all")
     with pytest.raises(Exception, match="bad.xml"):

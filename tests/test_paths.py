@@ -3,6 +3,8 @@ import random
 import pytest
 
 from tripleweave.functions.terms import IRI, TERM_DDL, Lit
+from tripleweave.operators import paths
+from tripleweave.operators.components import strong_components
 from tripleweave.operators.forms import select_form
 from tripleweave.operators.paths import Alt, Inv, Neg, Opt, Plus, Seq, Star, path
 from tripleweave.operators.patterns import values
@@ -116,3 +118,71 @@ def test_closures_start_from_what_is_bound(spark, rows, expr):
 def test_seeds_bind_the_start(spark):
     with pytest.raises(ValueError, match="seeds"):
         path(edges(spark, *LOOP), "?x", Plus("e"), "?y", seeds=values(spark, ["z"], [(IRI("x"),)]))
+
+
+def strong(pairs):
+    """Components of two or more nodes, by the brute closure."""
+    known = set(reach(pairs))
+    nodes = {x for e in pairs for x in e}
+    groups = {frozenset(y for y in nodes if y == x or ((x, y) in known and (y, x) in known)) for x in nodes}
+    return sorted(sorted(g) for g in groups if len(g) > 1)
+
+
+def graph_of(seed):
+    """Rings, trees into them, chains between them, dense parts and loops, over few names."""
+    rnd = random.Random(seed)
+    names = [f"n{i:02}" for i in range(rnd.choice([8, 20, 30]))]
+    kind = seed % 4
+    if kind == 0:  # every node has one edge out
+        pairs = [(x, rnd.choice(names)) for x in names]
+    elif kind == 1:
+        pairs = [(x, rnd.choice(names)) for x in names for _ in range(rnd.choice([0, 1, 1, 2]))]
+    elif kind == 2:  # a long chain with shortcuts back
+        pairs = list(zip(names, names[1:])) + [(names[j], names[i]) for i, j in (sorted(rnd.sample(range(len(names)), 2)) for _ in range(2))]
+    else:
+        pairs = [(rnd.choice(names), rnd.choice(names)) for _ in range(3 * len(names))]
+    return sorted(set(pairs))
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_strong_components(spark, seed):
+    pairs = graph_of(seed)
+    found = {}
+    for r in strong_components(spark.createDataFrame(pairs, "a string, b string")).collect():
+        found.setdefault(r["component"], []).append(r["node"])
+    assert sorted(sorted(g) for g in found.values()) == strong(pairs)
+    assert all(c in g for c, g in found.items())
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_closures_of_mixed_graphs(spark, rows, seed):
+    pairs = graph_of(seed)
+    assert rows(select_form(path(edges(spark, *pairs), "?x", Plus("e"), "?y"), "x", "y")) == reach(pairs)
+
+
+def test_no_pair_inside_a_component_is_stored(spark, rows, monkeypatch):
+    ring = [(f"r{i:03}", f"r{(i + 1) % 150:03}") for i in range(150)] + [("r000", "out")]
+    stored_rows = []
+    append, keep = paths._Table.append, paths.stored
+    monkeypatch.setattr(paths._Table, "append", lambda self, df: stored_rows.append(append(self, df)) or stored_rows[-1])
+    monkeypatch.setattr(paths, "stored", lambda df, label: [stored_rows.append((t := keep(df, label)).count()), t][1])
+    assert path(edges(spark, *ring), "?x", Plus("e"), "?y").df.count() == 150 * 151
+    assert max(stored_rows) <= 151
+
+
+def test_both_ends_bound_read_a_neighbourhood(spark, monkeypatch):
+    """From the start everything is reached, but only few nodes lead to the end."""
+    wide = [("s", f"a{i}") for i in range(50)] + [(f"a{i}", f"b{i}_{j}") for i in range(50) for j in range(4)]
+    wide += [("b7_1", "m"), ("m", "t"), ("x", "t")] + [(f"b{i}_0", f"c{i}") for i in range(50)] + [(f"c{i}", f"d{i}") for i in range(50)]
+    g = edges(spark, *wide)
+    read = []
+    append = paths._Table.append
+    monkeypatch.setattr(paths._Table, "append", lambda self, df: read.append(append(self, df)) or read[-1])
+    ask = lambda a, b, kind=Plus: not path(g, IRI(a), kind("e"), IRI(b)).df.isEmpty()
+    assert ask("s", "t") and sum(read) < 120
+    read.clear()
+    assert not ask("s", "x") and sum(read) < 60
+    assert not ask("t", "s") and not ask("s", "s") and ask("s", "s", Star) and not ask("gone", "t") and ask("x", "t")
+    ring = edges(spark, *CYCLE)
+    assert not path(ring, IRI("a"), Plus("e"), IRI("a")).df.isEmpty() and not path(ring, IRI("a"), Star("e"), IRI("d")).df.isEmpty()
+    assert path(ring, IRI("d"), Plus("e"), IRI("a")).df.isEmpty()

@@ -5,12 +5,17 @@ from pyspark.sql import functions as F
 
 from tripleweave.functions import scalars as X
 from tripleweave.functions.terms import IRI, RDF_TYPE, TERM_DDL, Lit, Term
+from tripleweave.operators import aggregates as agg
+from tripleweave.operators import modifiers
 from tripleweave.operators import patterns as pt
 from tripleweave.operators.diff import assign_graph, diff_added, diff_changed, diff_removed, graph_stats, merge_tagged
 from tripleweave.operators.forms import ask_form, construct_form, construct_triples, describe_form, select_form
 from tripleweave.operators.graph import FunctionalGraph, TableMap
-from tripleweave.operators.modifiers import project
+from tripleweave.operators.modifiers import order_by, project, slice_
 from tripleweave.operators.patterns import bgp, bind, join, minus, not_exists, optional, triple_pattern, union, values
+from tripleweave.operators.paths import Inv, Seq
+from tripleweave.operators.ranges import range_join
+from tripleweave.sources.ingest import open_by_subject, store_by_subject
 
 
 def triples(spark, *rows):
@@ -93,6 +98,27 @@ def test_compatible_mappings_against_brute_force(spark, seed, left_gaps, right_g
     assert back(optional(a, b, on), "u", "v", "l", "r") == brute(left, right, "left", on=lambda m: m[3] in ("r1", "r3", "r6"))
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_many_unsure_variables(spark, seed):
+    """Six shared variables that both sides may leave unbound; in one seed no variable is sure, in another one always is."""
+    rnd, names = random.Random(seed), [f"v{i}" for i in range(6)]
+    pick = lambda i: "x" if seed == 2 and i == 0 else rnd.choice(["x", "x", "y", None, None])
+    left = [tuple(map(pick, range(6))) + (f"l{i}",) for i in range(14)] * 2
+    right = [tuple(map(pick, range(6))) + (f"r{i}",) for i in range(13)]
+    right.append((None,) * 6 + ("none",) if seed != 2 else ("x",) + (None,) * 5 + ("none",))
+    a, b = values(spark, [*names, "l"], left), values(spark, [*names, "r"], right)
+    unbounded = lambda s: pt.Solutions(s.df, s.certain)  # without the bound of VALUES the product is dealt out
+    back = lambda s, *n: sorted((tuple(None if c is None else c["value"] for c in r) for r in s.df.select(*n).collect()), key=repr)
+    for x, y in ((a, b), (unbounded(a), unbounded(b))):
+        assert back(join(x, y), *names, "l", "r") == brute(left, right, "inner", k=6)
+        assert back(optional(x, y), *names, "l", "r") == brute(left, right, "left", k=6)
+        assert back(minus(x, y), *names, "l") == brute(left, right, "minus", k=6)
+        assert back(pt.exists(x, y), *names, "l") == brute(left, right, "semi", k=6)
+        assert back(not_exists(x, y), *names, "l") == brute(left, right, "anti", k=6)
+        marked = back(x, *names, "l")
+        assert pt.exists_value(x, y, "hit").df.where("hit").count() == len(brute(left, right, "semi", k=6)) <= len(marked)
+
+
 def test_join_is_one_equi_join(spark):
     a = values(spark, ["k", "v"], [(1, None), (2, "x")])
     b = values(spark, ["k", "v"], [(1, "p"), (2, None)])
@@ -100,6 +126,87 @@ def test_join_is_one_equi_join(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("buckets", [None, 1, 3, 64])
+def test_range_join(spark, buckets):
+    rnd = random.Random(4)
+    num = lambda: rnd.choice([rnd.uniform(-50, 50), rnd.randrange(-5, 5), 3])
+    left = [(float(num()), i) for i in range(150)] + [(None, 998), (float("nan"), 999), (float("inf"), 997)]
+    right = [(float(x := num()), float(x + rnd.choice([-1, 0, 0.5, 30])), i) for i in range(60)] + [(None, 1.0, 98), (0.0, None, 97), (float("-inf"), 2.0, 96)]
+    a = pt.Solutions(spark.createDataFrame(left, "x double, l int"), frozenset(["l"]))
+    b = pt.Solutions(spark.createDataFrame(right, "low double, high double, r int"), frozenset(["r"]))
+    pairs = lambda s: sorted((r["l"], r["r"]) for r in s.df.collect())
+    ok = lambda v: v is not None and v == v
+    both = range_join(a, b, "?x", "?low", "?high", buckets=buckets)
+    assert pairs(both) == sorted((i, j) for x, i in left for lo, hi, j in right if ok(x) and ok(lo) and ok(hi) and lo <= x <= hi)
+    less = range_join(a, b, "?x", low="?low", on=F.col("x") > F.col("low"), buckets=buckets)
+    assert pairs(less) == sorted((i, j) for x, i in left for lo, _, j in right if ok(x) and ok(lo) and lo < x)
+    upper = range_join(a, b, "?x", high="?high", buckets=buckets)
+    assert pairs(upper) == sorted((i, j) for x, i in left for _, hi, j in right if ok(x) and ok(hi) and x <= hi)
+    plan = both.df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert range_join(pt.Solutions(a.df.where("false")), b, "?x", "?low").df.isEmpty()
+    with pytest.raises(ValueError):
+        range_join(a, b, "?x")
+
+
+def test_stored_star_has_no_exchange(spark, tmp_path, rows):
+    t = triples(spark, *[(f"s{i}", p, Lit(f"{p}{i % 7}")) for i in range(40) for p in ("a", "b", "c") if (i + len(p)) % 5],
+                *[(f"s{i}", "next", f"s{i + 1}") for i in range(40)], ("s3", "a", Lit("second")), ("s3", "a", Lit("other"), "g"))
+    star = [("?s", "a", "?x"), ("?s", "b", "?y"), ("?s", "c", "?z")]
+    kept = store_by_subject(t, str(tmp_path / "t"), 4)
+    plan = lambda a: a.df._jdf.queryExecution().executedPlan().toString()
+    a = bgp(kept, *star)
+    assert "Exchange" not in plan(a) and rows(select_form(a)) == rows(select_form(bgp(t, *star)))
+    chain = [*star, ("?s", "next", "?n"), ("?n", "a", "?w")]
+    again = open_by_subject(spark, str(tmp_path / "t"), 4)
+    for graph in (kept, again):
+        assert rows(select_form(bgp(graph, *chain))) == rows(select_form(bgp(t, *chain)))
+        assert rows(select_form(bgp(graph, ("s3", "a", "?x"), ("s3", "b", "?y")))) == rows(select_form(bgp(t, ("s3", "a", "?x"), ("s3", "b", "?y"))))
+        assert rows(select_form(triple_pattern(graph, "?s", "a", "?x", "g"))) == [("s3", "other")]
+
+
+def test_slices(spark):
+    rng = spark.range(0, 5000, 1, 7).selectExpr("cast(id * 7919 % 5000 AS int) AS x", "id % 3 AS y")
+    ordered = order_by(pt.Solutions(rng, frozenset(["x", "y"])), "x")
+    take = lambda **k: [r["x"] for r in slice_(ordered, **k).df.collect()]
+    want = list(range(5000))
+    modifiers_short = modifiers.SHORT
+    try:
+        modifiers.SHORT = 10
+        for limit, offset in ((None, 0), (None, 4321), (20, 0), (5, 2), (100, 4950), (0, 50), (3000, 1234), (None, 6000), (9999, 0)):
+            assert take(limit=limit, offset=offset) == want[offset:None if limit is None else offset + limit], (limit, offset)
+        plan = slice_(ordered, offset=100).df._jdf.queryExecution().executedPlan().toString()
+        assert "SinglePartition" not in plan and "CollectLimit" not in plan
+    finally:
+        modifiers.SHORT = modifiers_short
+
+
+def test_group_concat_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(agg, "BLOCK_BITS", 3)
+    rnd = random.Random(8)
+    cells = [(rnd.choice("abc"), rnd.choice([None, "", "x", "é", *[f"m{i}" for i in range(60)]])) for _ in range(600)] + [("only", None), ("d", "")]
+    a = values(spark, ["k", "v"], cells)
+    got = {r["k"]["value"]: (r["all"], r["some"], r["n"]) for r in agg.group(
+        a, ["k"], all=agg.group_concat("v", sep=", "), some=agg.group_concat("v", distinct=True), n=agg.count_star()).df.collect()}
+    for k in {k for k, _ in cells}:
+        mine = sorted(v for x, v in cells if x == k and v is not None)
+        assert got[k] == (", ".join(mine), " ".join(sorted(set(mine))), sum(x == k for x, _ in cells))
+    empty = agg.group(a.with_df(a.df.where("false")), all=agg.group_concat("v"), n=agg.count_star()).df.collect()
+    assert [tuple(r) for r in empty] == [("", 0)]
+
+
+def test_distinct_sums_are_by_term(spark):
+    one = [(k, x) for k in "ab" for x in (Lit("1", "xsd:integer"), Lit("1.0", "xsd:decimal"), Lit("1", "xsd:integer"), Lit("01", "xsd:integer"))]
+    a = values(spark, ["k", "v"], [*one, ("b", Lit(5)), ("c", None), ("d", Lit("text"))])
+    df = agg.group(a, ["k"], s=agg.sum_("v", distinct=True), m=agg.avg("v", distinct=True), n=agg.count_distinct("v"), t=agg.sum_("v")).df
+    got = {r["k"]["value"]: tuple(r[c] and (r[c] if c == "n" else float(r[c]["value"])) for c in "smnt") for r in df.collect()}
+    assert got == {"a": (3.0, 1.0, 3, 4.0), "b": (8.0, 2.0, 4, 9.0), "c": (0.0, 0.0, 0, 0.0), "d": (0.0, 0.0, 1, 0.0)}
+    whole = agg.group(a, s=agg.sum_("v", distinct=True), n=agg.count_star()).df.first()
+    assert float(whole["s"]["value"]) == 8.0 and whole["n"] == 11
+    strict = agg.group(a, ["k"], strict_errors=True, s=agg.sum_("v", distinct=True)).df.collect()
+    assert {r["k"]["value"]: r["s"] is None for r in strict} == {"a": False, "b": False, "c": True, "d": True}
+
+
 def test_hot_keys_keep_all_rows(spark, rows):
     """A third of the left rows share one key; two keys have no partner."""
     left = spark.range(3000).selectExpr("named_struct('kind','iri','value',if(id % 3 = 0, 'hub', concat('n', id % 50)),'dt','','lang','') k", "id")
@@ -192,6 +299,9 @@ def test_versions(spark, rows):
     assert rows(select_form(diff_added(q, "g:old", "g:new", "S", "name"), "entity", "name")) == [("s4", "four")]
     changed = diff_changed(q, "g:old", "g:new", "kv", "name")  # 220 and 220.0 are the same value
     assert rows(select_form(changed, "entity", "name", "old", "new")) == [("s3", "three", "1", "2")]
+    plan = changed.df._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan.split("Relation", 1)[0]  # the triples were read into a table of versions
+    assert rows(select_form(diff_changed(q, "g:old", "g:new", Seq(Inv("kv"), "kv")), "entity", "old", "new")) == []
     merged = merge_tagged(q, [("g:old", "before"), ("g:new", "after")], "S", "name")
     assert len(rows(merged.df)) == 6 and project(merged, "scenario").df.distinct().count() == 2
     assert rows(graph_stats(q)) == [("g:new", 8), ("g:old", 8)]

@@ -1,10 +1,12 @@
 """Scalars, ordering and aggregates on small tables of exact expectations."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from tripleweave.functions import scalars as X
-from tripleweave.functions.terms import IRI, Lit, Namespace, Term, num
+from tripleweave.functions.terms import IRI, TERM_DDL, Lit, Namespace, Term, lex, literal_term, num
 from tripleweave.operators import aggregates as agg
 from tripleweave.operators.forms import select_form
 from tripleweave.operators.modifiers import desc, distinct, order_by, project, slice_
@@ -193,3 +195,34 @@ def test_sums_beyond_the_type(spark):
     out = agg.group(a, ["g"], s=agg.sum_("x"), m=agg.avg("x"))
     got = {r["g"]: (r["s"], r["m"]) for r in out.df.selectExpr("g.value g", "s.value s", "m.value m").collect()}
     assert got["1"][0] is None and got["2"][1] == "0.0000000002" and float(got["3"][1]) == 9e18
+
+
+def test_datatypes_and_tags_from_columns(spark):
+    df = spark.createDataFrame([("1", "integer", "EN"), ("x", "", ""), ("y", None, None)], "v string, d string, t string")
+    iri = X.iri(X.concat("http://www.w3.org/2001/XMLSchema#", literal_term(F.col("d"))))
+    row = lambda c: [None if r[0] is None else tuple(r[0]) for r in df.select(c).collect()]
+    text = literal_term(F.col("v"))
+    assert row(X.strdt(text, iri)) == [("lit", "1", "xsd:integer", ""), ("lit", "x", "xsd:", ""), None]
+    assert row(X.strdt(text, literal_term(F.col("d")))) == [None, None, None]
+    assert row(X.strdt(text, IRI("urn:t"))) == [("lit", v, "urn:t", "") for v in "1xy"]
+    assert row(X.strlang(text, literal_term(F.col("t")))) == [("lit", "1", "rdf:langString", "en"), None, None]
+    assert row(X.strlang(text, "DE"))[0] == ("lit", "1", "rdf:langString", "de") and row(X.strlang(text, ""))[0] is None
+    named = spark.createDataFrame([(IRI("urn:d").row, Lit("a").row)], f"d {TERM_DDL}, v {TERM_DDL}")
+    assert tuple(named.select(X.strdt("?v", "?d")).first()[0]) == ("lit", "a", "urn:d", "")
+
+
+def test_malformed_patterns_are_errors(spark):
+    df = spark.createDataFrame([("abc", "b."), ("abc", "(["), ("abc", "x"), ("abc", None)], "v string, p string")
+    text, pattern = literal_term(F.col("v")), literal_term(F.col("p"))
+    one = lambda c: [r[0] for r in df.select(c).collect()]
+    assert one(X.regex(text, pattern)) == [True, None, False, None]
+    assert one(X.regex(text, "([")) == [None] * 4 and one(X.regex(text, "([", "q")) == [False] * 4 and one(X.regex(text, "A", "i")) == [True] * 4
+    assert one(lex(X.replace(text, pattern, "-"))) == ["a-", None, "abc", None]
+    assert one(lex(X.replace(text, "*", "-"))) == [None] * 4 and one(lex(X.replace(text, "c", "$", "q"))) == ["ab$"] * 4
+
+
+def test_long_hashes_by_value(spark):
+    texts = ["", "abc", "é日本🎉", "x" * 300]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    for name, f in (("sha384", X.sha384), ("sha512", X.sha512)):
+        assert [r[0] for r in df.select(lex(f(literal_term(F.col("v"))))).collect()] == [getattr(hashlib, name)(t.encode()).hexdigest() for t in texts]

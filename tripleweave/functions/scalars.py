@@ -11,11 +11,14 @@ from __future__ import annotations
 from decimal import Decimal
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .terms import (
-    BOOLEAN, DATETIME, DECIMAL, DECIMAL_RANK, DOUBLE_RANK, FLOAT_RANK, INTEGER_RANK, LANG_STRING, RANK_DT, RX_INTEGER,
+    BOOLEAN, DATETIME, DECIMAL, DECIMAL_RANK, DOUBLE_RANK, FLOAT_RANK, INTEGER_RANK, LANG_STRING, RANK_DT, RDF, RX_INTEGER,
     RX_LOCAL, RX_OFFSET, RX_DATETIME, STRING, TEXT, XSD, Number, Term, among, bnode_term, col_of, decimal_text, double_text,
     dt_class, exact_num, instant, iri_term, is_nan, literal_term, lookup, num, number_views, numeric_rank, only_if,
     parse_decimal, parse_double, parse_instant, rank_dt, same_term, short_dt, term, view,
@@ -311,12 +314,22 @@ def bnode(label=None, row_key: Column | None = None) -> Column:
 
 
 def strdt(x, dt) -> Column:
-    name = dt.value if isinstance(dt, Term) else dt
-    return literal_term(_simple(x), short_dt(name))
+    """Literal with a datatype, an IRI that may be a constant or an expression; anything else is an error, and so is a datatype
+    whose literals have a language."""
+    if isinstance(dt, Term) or _constant_text(dt):
+        return literal_term(_simple(x), short_dt(dt.value if isinstance(dt, Term) else dt))
+    name = only_if(among(view(dt).kind, "iri"), view(dt).value)
+    short = F.when(F.startswith(name, F.lit(XSD)), F.concat(F.lit("xsd:"), F.substring(name, len(XSD) + 1, 1 << 20))).otherwise(name)
+    good = name.isNotNull() & (name != RDF + "langString")
+    return literal_term(F.when(good, _simple(x)), F.coalesce(short, F.lit("")))
 
 
-def strlang(x, tag: str) -> Column:
-    return literal_term(_simple(x), LANG_STRING, tag.lower())
+def strlang(x, tag) -> Column:
+    """Literal with a language tag, a string that may be a constant or an expression; an empty tag is an error."""
+    if _constant_text(tag):
+        return literal_term(_simple(x) if tag else F.lit(None).cast("string"), LANG_STRING, tag.lower())
+    low = F.lower(_simple(tag))
+    return literal_term(F.when(low != "", _simple(x)), LANG_STRING, F.coalesce(low, F.lit("")))
 
 
 def _simple(x) -> Column:
@@ -468,13 +481,29 @@ def _flagged(pattern: Column, flags: str) -> Column:
     return F.concat(F.lit(f"(?{inline})"), pattern) if inline else pattern
 
 
+def _pattern(pattern, flags: str) -> Column:
+    """A pattern with its flags; null where it is malformed, since the engine's own matching would end the job.
+
+    A constant is tried once while the plan is built, patterns from data are tried row by row."""
+    found = _flagged(_argument(pattern), flags)
+    if not _constant_text(pattern):
+        # the name of a function that compiles it; null if that raises
+        return F.when(F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), found).isNotNull(), found)
+    try:
+        SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(pattern if "q" not in flags else "")
+    except (IllegalArgumentException, Py4JJavaError):
+        return F.lit(None).cast("string")
+    return found
+
+
 def regex(x, pattern, flags: str = "") -> Column:
-    return F.rlike(_string(x)[0], _flagged(_argument(pattern), flags))
+    """Whether a string matches; a malformed pattern is an error."""
+    return F.rlike(_string(x)[0], _pattern(pattern, flags))
 
 
 def replace(x, pattern, by, flags: str = "") -> Column:
-    """A pattern that matches the empty string is an error; with flag ``q`` the replacement is literal text too."""
-    found, new = _flagged(_argument(pattern), flags), _argument(by)
+    """A pattern that is malformed or matches the empty string is an error; with flag ``q`` the replacement is literal text too."""
+    found, new = _pattern(pattern, flags), _argument(by)
     if "q" in flags:
         new = F.replace(F.replace(new, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
     return _map_text(x, lambda v: F.when(~F.rlike(F.lit(""), found), F.regexp_replace(v, found, new)))

@@ -1,15 +1,17 @@
 """GROUP BY, HAVING and the SPARQL aggregates.
 
 Every aggregate here is partial before the shuffle, so a hot group costs one row per task; DISTINCT
-aggregates shuffle on (group, value) first.  Only GROUP_CONCAT holds a whole group, because its result
-is one string.  Unbound and erroneous members are ignored unless ``strict_errors`` is set.
+aggregates shuffle on (group, value) first, SUM and AVG on (group, term), since ``1`` and ``1.0`` are two terms of one value.
+GROUP_CONCAT joins blocks of sorted members first, then the blocks of a group.  Unbound and erroneous members are ignored unless
+``strict_errors`` is set.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +22,9 @@ from ..functions.terms import (
 from .patterns import Solutions, var, with_terms
 
 
+BLOCK_BITS = 12  # a block of GROUP_CONCAT holds up to 4,096 distinct members
+
+
 @dataclass(frozen=True)
 class Agg:
     kind: str
@@ -76,10 +81,15 @@ def group(a: Solutions, by=(), having: Column | None = None, strict_errors: bool
             names.append(key[0])
         else:
             names.append(var(key))
-    work: dict[str, Column] = {}  # inputs of the aggregates, computed once per row
-    cells = [_aggregate(a, agg, strict_errors, work).alias(name) for name, agg in aggs.items()]
-    rows = a.df.withColumns(work) if work else a.df
-    df = rows.groupBy(*names).agg(*cells) if cells else rows.select(*names).distinct()
+    apart = {name: agg for name, agg in aggs.items() if _own_pass(a, agg)}
+    parts = [_concatenated(a, names, name, agg) if agg.kind == "group_concat" else _by_term(a, names, name, agg, strict_errors)
+             for name, agg in apart.items()]
+    if len(apart) < len(aggs) or not aggs:
+        work: dict[str, Column] = {}  # inputs of the aggregates, computed once per row
+        cells = [_aggregate(a, agg, strict_errors, work).alias(name) for name, agg in aggs.items() if name not in apart]
+        rows = a.df.withColumns(work) if work else a.df
+        parts.insert(0, rows.groupBy(*names).agg(*cells) if cells else rows.select(*names).distinct())
+    df = reduce(lambda x, y: _side_by_side(x, y, names), parts).select(*names, *aggs)
     if having is not None:
         df = df.where(having)
     sure = {n for n, g in aggs.items() if g.kind.startswith("count") or g.kind == "group_concat"}
@@ -88,6 +98,46 @@ def group(a: Solutions, by=(), having: Column | None = None, strict_errors: bool
     return Solutions(df, (a.certain & set(names)) | sure, a.nodes & set(names), None if names else 1)
 
 
+def _side_by_side(x: DataFrame, y: DataFrame, names: list[str]) -> DataFrame:
+    """Aggregates of the same groups in one row; without groups both have one row."""
+    if not names:
+        return x.join(F.broadcast(y))
+    y = y.withColumnsRenamed({n: f"_{n}_y" for n in names})
+    same = reduce(lambda p, q: p & q, [F.col(n).eqNullSafe(F.col(f"_{n}_y")) for n in names])
+    return x.join(y, same).drop(*[f"_{n}_y" for n in names])
+
+
+def _own_pass(a: Solutions, agg: Agg) -> bool:
+    """Whether an aggregate has a grouping of its own below that by the group."""
+    if agg.kind == "group_concat":
+        return True
+    return agg.kind in ("sum", "avg") and agg.distinct and isinstance(_argument(a, agg.arg)[1], T.StructType)
+
+
+def _by_term(a: Solutions, names: list[str], name: str, agg: Agg, strict: bool) -> DataFrame:
+    """SUM or AVG over the distinct terms of each group."""
+    c, _ = _argument(a, agg.arg)
+    terms = a.df.select(*names, c.alias("_member")).distinct()
+    return group(Solutions(terms, a.certain & set(names)), names, strict_errors=strict, **{name: Agg(agg.kind, "_member")}).df
+
+
+def _concatenated(a: Solutions, names: list[str], name: str, agg: Agg) -> DataFrame:
+    """GROUP_CONCAT of members in text order.
+
+    Equal members are counted first.  The distinct ones are range sorted and cut into blocks as they lie; each block of a group
+    is joined to a text, and a group is joined from the texts of its blocks, so no task holds all members of a group one by one."""
+    v = native_lex(*_argument(a, agg.arg))
+    members = a.df.select(*names, v.alias("_m")).groupBy(*names, "_m").agg(F.count(F.lit(1)).alias("_n"))
+    laid = members.repartitionByRange(*names, "_m").sortWithinPartitions(*names, "_m")
+    laid = laid.withColumn("_block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS))
+    again = F.lit(1) if agg.distinct else F.col("_n")
+    text = F.concat("_m", F.repeat(F.concat(F.lit(agg.sep), F.col("_m")), (again - 1).cast("int")))
+    pieces = F.array_sort(F.collect_list(F.when(F.col("_m").isNotNull(), F.struct("_m", text.alias("text")))))
+    blocks = laid.groupBy(*names, "_block").agg(F.count("_m").alias("_held"), F.array_join(pieces["text"], agg.sep).alias("_text"))
+    some = F.when(F.col("_held") > 0, F.struct("_block", "_text"))  # a block of unbound members is no empty text
+    return blocks.groupBy(*names).agg(F.array_join(F.array_sort(F.collect_list(some))["_text"], agg.sep).alias(name))
+
+
 def _argument(a: Solutions, x) -> tuple[Column, T.DataType]:
     if isinstance(x, str):
         return F.col(var(x)), a.types[var(x)]
@@ -110,10 +160,6 @@ def _aggregate(a: Solutions, agg: Agg, strict: bool, work: dict[str, Column]) ->
         return F.countDistinct(c) if agg.distinct else F.count(c)
     if agg.kind == "sample":
         return F.any_value(c, True)
-    if agg.kind == "group_concat":
-        v = native_lex(c, kind)
-        members = F.array_sort(F.collect_set(v)) if agg.distinct else F.array_sort(F.collect_list(v))
-        return F.array_join(members, agg.sep)
     is_term = isinstance(kind, T.StructType)
     known = c
     if agg.kind in ("min", "max"):
@@ -141,15 +187,14 @@ def _numeric_native(c: Column, kind: T.DataType, agg: Agg) -> Column:
 
 def _numeric_term(exact: Column, approx: Column, rank: Column, agg: Agg) -> Column:
     """SUM and AVG of terms: exact while all members are integers or decimals, else floating."""
-    plus = F.sum_distinct if agg.distinct else F.try_sum
     top = F.coalesce(F.max(F.when(approx.isNotNull(), rank)), F.lit(INTEGER_RANK))
     # a sum beyond the type is unbound, the sum of no numbers is 0
-    exact_sum = F.when(F.count(exact) > 0, plus(exact).try_cast(DECIMAL)).otherwise(F.lit(0).cast(DECIMAL))
-    float_sum = F.coalesce(plus(F.when(rank >= FLOAT_RANK, approx)), F.lit(0.0)) + exact_sum.cast("double")
+    exact_sum = F.when(F.count(exact) > 0, F.try_sum(exact).try_cast(DECIMAL)).otherwise(F.lit(0).cast(DECIMAL))
+    float_sum = F.coalesce(F.try_sum(F.when(rank >= FLOAT_RANK, approx)), F.lit(0.0)) + exact_sum.cast("double")
     if agg.kind == "sum":
         value = F.when(top <= DECIMAL_RANK, decimal_text(exact_sum)).otherwise(double_text(float_sum))
         return literal_term(value, rank_dt(top))
-    n = F.nullif(F.countDistinct(approx) if agg.distinct else F.count(approx), F.lit(0))
+    n = F.nullif(F.count(approx), F.lit(0))
     mean = F.try_divide(exact_sum, n.cast("decimal(19,0)")).try_cast(DECIMAL)  # 18 fractional digits
     value = F.when(top <= DECIMAL_RANK, decimal_text(mean)).otherwise(double_text(float_sum / n.cast("double")))
     empty = literal_term(F.lit("0"), "xsd:integer")

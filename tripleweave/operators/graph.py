@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.terms import RDF_TYPE, Term
@@ -70,6 +70,30 @@ class FunctionalGraph(Graph):
         return wide.where(reduce(lambda a, b: a & b, [F.col(f"o{i}").isNotNull() for i in range(len(names))]))
 
 
+class StoredGraph(Graph):
+    """Triples stored by predicate and, within one, in buckets of subjects (see :func:`..sources.ingest.store_by_subject`).
+
+    ``k`` is the subject as one string.  A star joins its predicates bucket by bucket, without a shuffle, and a chain shuffles only
+    the side that arrives by its object."""
+
+    def __init__(self, stored: DataFrame):
+        super().__init__(stored.select(*TRIPLE_COLUMNS))
+        self.stored = stored
+
+    def in_star(self, p: str) -> bool:
+        return True
+
+    def star(self, wanted):
+        parts = [self.stored.where((F.col("p") == p) & (F.col("g") == "")).select("k", "s", F.col("o").alias(f"o{i}"))
+                 for i, (p, _) in enumerate(wanted)]
+        return reduce(lambda a, b: a.join(b.drop("s").hint("merge"), "k"), parts).select("s", *[f"o{i}" for i in range(len(parts))])
+
+
+def subject_key(s: Column) -> Column:
+    """A subject as one string: its kind's first letter and its value."""
+    return F.concat(F.substring(s["kind"], 1, 1), s["value"])
+
+
 def _text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 

@@ -8,9 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.terms import TERM_TYPE, sort_keys
+from ..session import in_order
 from .patterns import Solutions, var, with_terms
 
 
+SHORT = 10_000  # rows up to the end of a slice that Spark may take in one task
+
+
 def project(a: Solutions, *names: str, **exprs) -> Solutions:
     """SELECT of variables in the given order, then ``name=expression`` columns (``(expr AS ?name)``)."""
     names = [var(n) for n in names]
@@ -73,7 +77,24 @@ def order_by(a: Solutions, *keys) -> Solutions:
 
 
 def slice_(a: Solutions, limit: int | None = None, offset: int = 0) -> Solutions:
-    df = a.df.offset(offset) if offset else a.df
-    if limit is None:
-        return a.with_df(df)
-    return a.with_df(df.limit(limit), max_rows=limit)
+    """OFFSET and LIMIT, in the order that the rows have.
+
+    Short slices from the start are Spark's own.  Others are cut where the rows lie: the sorted rows are kept in a checkpoint, their
+    numbers by partition are counted, and each partition keeps its share, so no task sees more than its own rows."""
+    if limit is None and not offset:
+        return a
+    if limit is not None and offset + limit <= SHORT:
+        return a.with_df((a.df.offset(offset) if offset else a.df).limit(limit), max_rows=limit)
+    rows = in_order(a.df)
+    at = F.monotonically_increasing_id()  # the partition, and the row's place in it
+    numbered = rows.withColumns({"_part": F.shiftright(at, 33), "_row": at.bitwiseAND(F.lit((1 << 33) - 1))})
+    shares, start = [], 0
+    for part, n in sorted(tuple(r) for r in numbered.groupBy("_part").agg(F.count(F.lit(1))).collect()):
+        low, high = max(0, offset - start), n if limit is None else min(n, offset + limit - start)
+        if low < high:
+            shares.append((part, low, high))
+        start += n
+    # one short row per partition, on the driver as partitions are
+    shares = a.df.sparkSession.createDataFrame(shares, "_of long, _low long, _high long")
+    cut = numbered.join(F.broadcast(shares), (F.col("_part") == F.col("_of")) & (F.col("_row") >= F.col("_low")) & (F.col("_row") < F.col("_high")))
+    return a.with_df(cut.select(*a.vars), max_rows=limit)

@@ -10,11 +10,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.terms import Term, native_term, same_term
 from ..session import counted, rows_seen, scratch_path, stored
+from .components import strong_components
 from .graph import Graph, as_graph
 from .patterns import Solutions, _constant, _equals, _is_var, var
 
@@ -134,6 +135,10 @@ def _pairs(graph: Graph, expr, g: str, s: Term | None = None, o: Term | None = N
         return _pairs(graph, expr.of, g, s, o, seeds).unionByName(_zero(graph, g, s, o, seeds)).distinct()
     if isinstance(expr, (Plus, Star)):
         edges = _pairs(graph, expr.of, g)
+        if s is not None and o is not None:
+            if s == o and isinstance(expr, Star):
+                return _zero(graph, g, s, None)
+            return _between(graph, edges, s, o)
         if s is not None:
             found = _reach(graph, edges, s)
         elif seeds is not None:
@@ -141,7 +146,7 @@ def _pairs(graph: Graph, expr, g: str, s: Term | None = None, o: Term | None = N
         elif o is not None:
             found = _swap(_reach(graph, _swap(edges), o))
         else:
-            found = closure(edges)
+            found = closure_of(edges)
         return found if isinstance(expr, Plus) else found.unionByName(_zero(graph, g, s, o, seeds)).distinct()
     raise TypeError(f"not a path: {expr!r}")
 
@@ -238,9 +243,39 @@ def _new_pairs(found: DataFrame, known: DataFrame) -> DataFrame:
     return found.distinct().join(k, same_term(F.col("s"), F.col("ks")) & same_term(F.col("o"), F.col("ko")), "left_anti")
 
 
-def closure(edges: DataFrame) -> DataFrame:
+def _node_key(c: Column) -> Column:
+    """A term as one string; the value, which may hold anything, comes last."""
+    return F.concat_ws("\u0001", c["kind"], c["dt"], c["lang"], c["value"])
+
+
+def _node_of(key: Column) -> Column:
+    parts = F.split(key, "\u0001", 4)
+    return F.struct(parts[0].alias("kind"), parts[3].alias("value"), parts[1].alias("dt"), parts[2].alias("lang"))
+
+
+def closure_of(edges: DataFrame) -> DataFrame:
     """Distinct pairs joined by one or more edges, for all nodes.
 
+    Strongly connected components are found first, on the edges; the closure is that of the graph of components, which has no
+    cycle; its pairs become pairs of nodes in the last step, which is not stored.  Pairs inside a component arise there only."""
+    keys = stored(edges.select(_node_key(F.col("s")).alias("a"), _node_key(F.col("o")).alias("b")).distinct(), "edges")
+    member = stored(strong_components(keys), "members")
+    of = lambda at, to: member.select(F.col("node").alias(at), F.col("component").alias(to))
+    whole = keys.join(of("x", "ca"), F.col("a") == F.col("x"), "left").join(of("y", "cb"), F.col("b") == F.col("y"), "left")
+    whole = whole.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
+    known = closure(whole.select(_node_of(F.col("a")).alias("s"), _node_of(F.col("b")).alias("o")))
+    between = known.select(_node_key(F.col("s")).alias("a"), _node_key(F.col("o")).alias("b"))
+    inside = member.select(F.col("component").alias("a"), F.col("component").alias("b")).distinct()
+    alone = keys.where("a = b").join(of("x", "c"), F.col("a") == F.col("x"), "left_anti")  # a loop at a node of no component
+    pairs = between.unionByName(inside)
+    pairs = pairs.join(of("x", "c"), F.col("a") == F.col("c"), "left").select(F.coalesce("x", "a").alias("a"), "b")
+    pairs = pairs.join(of("y", "d"), F.col("b") == F.col("d"), "left").select("a", F.coalesce("y", "b").alias("b"))
+    return pairs.unionByName(alone.select("a", "b")).select(_node_of(F.col("a")).alias("s"), _node_of(F.col("b")).alias("o"))
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """Distinct pairs joined by one or more edges, for all nodes of a graph without large cycles.
+
     Round k knows the pairs with a walk of 1 to 2^k - 1 steps and, in ``jumps``, those of exactly 2^k steps.
     The next round adds the jumps and every known walk followed by a jump; each walk length arises once, so a
     long chain costs log2(length) rounds and no pair twice.  Cycles end when a round finds nothing new.
@@ -285,3 +320,30 @@ def _reach(graph: Graph, edges: DataFrame, start: Term) -> DataFrame:
         old = known.read().select(F.col("n").alias("k"))
         size = known.append(step.join(old, same_term(F.col("n"), F.col("k")), "left_anti"))
     return known.read().select(start.col.alias("s"), F.col("n").alias("o"))
+
+
+def _between(graph: Graph, edges: DataFrame, start: Term, end: Term) -> DataFrame:
+    """The pair (start, end) if one or more edges lead from one to the other, else nothing.
+
+    Two frontiers grow towards each other: nodes reached from the start, and nodes that lead to the end.  Each round takes the one
+    whose last step is smaller, and the search ends when a new node is on the other side, or when a side finds nothing new.  So
+    only a neighbourhood of both ends is read, not all that either of them reaches."""
+    spark = graph.spark
+    edges = stored(edges.distinct(), "edges")
+    node = lambda c: F.col(c).alias("n")
+    ahead, behind = _Table(spark, "ahead"), _Table(spark, "behind")
+    sizes = {True: ahead.append(edges.where(_equals(F.col("s"), start)).select(node("o")).distinct()),
+             False: behind.append(spark.range(1).select(end.col.alias("n")))}
+    table = {True: ahead, False: behind}
+    new = True
+    while sizes[new]:
+        other = table[not new].read().select(F.col("n").alias("k"))
+        if not table[new].read(last=True).join(other, same_term(F.col("n"), F.col("k")), "left_semi").isEmpty():
+            return spark.range(1).select(start.col.alias("s"), end.col.alias("o"))
+        new = sizes[True] <= sizes[False]
+        tip = table[new].read(last=True).select(F.col("n").alias("m"))
+        at, to = ("s", "o") if new else ("o", "s")
+        step = tip.join(edges, same_term(F.col("m"), F.col(at)), "inner").select(node(to)).distinct()
+        old = table[new].read().select(F.col("n").alias("k"))
+        sizes[new] = table[new].append(step.join(old, same_term(F.col("n"), F.col("k")), "left_anti"))
+    return spark.range(0).select(start.col.alias("s"), end.col.alias("o"))

@@ -2,7 +2,7 @@
 
 ``Solutions.certain`` names the variables that are bound in every row.  Joins on certain variables are
 ordinary equi-joins.  A shared variable that may be unbound matches anything; those joins stay equi-joins
-too, see :func:`_compat_keys`, so no operator here compares all pairs of rows.
+too, see :class:`_Compat`, so no operator here compares all pairs of rows.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from functools import cached_property, reduce
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -180,17 +179,6 @@ def _out(a: Solutions, b: Solutions, shared: Sequence[str], merge: bool) -> list
     return cells + [F.col(v) for v in b.vars if v not in shared]
 
 
-def _subsets(names) -> list[frozenset[str]]:
-    names = sorted(names)
-    return [frozenset(c) for n in range(len(names) + 1) for c in combinations(names, n)]
-
-
-def _mask(a: Solutions, unsure: frozenset[str], bound: frozenset[str]) -> Column:
-    """Rows in which exactly ``bound`` of the ``unsure`` variables are bound."""
-    tests = [F.col(v).isNotNull() if v in bound else F.col(v).isNull() for v in sorted(unsure)]
-    return reduce(lambda x, y: x & y, tests, F.lit(True))
-
-
 def join(a: Solutions, b: Solutions, hot_keys: bool = False) -> Solutions:
     """Inner join on the shared variables (bag semantics).
 
@@ -235,52 +223,90 @@ def _spread(a: Solutions, shared: Sequence[str], right: DataFrame, cond: Column,
     return left.join(right.withColumn("_salt_r", F.explode(repeat)), cond & (F.col("_salt") == F.col("_salt_r")), how)
 
 
-def _pair_key(side: Solutions, shared, common: frozenset[str], code: int) -> Column:
-    """Key of one (left mask, right mask) pair: its number and the values bound on both sides."""
-    cells = [(F.col(v) if v in common else F.lit(None).cast(side.types[v])).alias(f"_k_{v}") for v in shared]
-    return F.struct(F.lit(code).alias("_pair"), *cells)
-
-
-def _with_pairs(side: Solutions, own, other, code, shared, unsure, sure) -> DataFrame:
-    """One copy of each row per mask of the other side, with the key ``_c`` that the pair must agree on."""
-    choices = F.lit(None)
-    for i, m in enumerate(own):
-        pairs = [_pair_key(side, shared, sure | (m & n), code(i, j)) for j, n in enumerate(other) if sure | (m & n)]
-        if pairs:
-            choices = F.when(_mask(side, unsure, m), F.array(*pairs)).otherwise(choices)
-    return side.df.withColumn("_c", F.explode(choices))
+@dataclass(frozen=True)
+class _Compat:
+    """Keys of compatible rows, where some shared variables may be unbound.
 
+    A row's signature says which of these variables it binds.  Two rows are compared on the variables that both signatures
+    hold, so every row is repeated once for each signature that occurs on the other side, and rows are joined on (signature of
+    ``a``, signature of ``b``, values bound on both sides): one equi-join, however many variables there are.
+    """
 
-def _sides(a: Solutions, b: Solutions, shared):
-    """Masks of both sides over the shared variables that may be unbound on one of them."""
-    unsure = frozenset(v for v in shared if v not in a.certain or v not in b.certain)
-    sure = frozenset(shared) - unsure
-    masks = lambda x: [m | (unsure & x.certain) for m in _subsets(unsure - x.certain)]
-    return unsure, sure, masks(a), masks(b)
+    a: Solutions
+    b: Solutions
+    shared: tuple[str, ...]
 
+    @cached_property
+    def unsure(self) -> list[str]:
+        return [v for v in self.shared if v not in self.a.certain or v not in self.b.certain]
 
-def _pair_equal(shared) -> Column:
-    cond = F.col("_c._pair") == F.col("_c_r._pair")
-    return reduce(lambda x, v: x & F.col(f"_c._k_{v}").eqNullSafe(F.col(f"_c_r._k_{v}")), shared, cond)
+    @property
+    def sure(self) -> bool:
+        return len(self.unsure) < len(self.shared)
+
+    def free(self, side: Solutions) -> list[str]:
+        """The variables that the rows of a side bind or leave unbound."""
+        return [v for v in self.unsure if v not in side.certain]
+
+    def signature(self, side: Solutions) -> Column:
+        always = sum(1 << i for i, v in enumerate(self.unsure) if v in side.certain)
+        bits = [F.when(F.col(v).isNotNull(), F.lit(1 << self.unsure.index(v)).cast("bigint")).otherwise(0) for v in self.free(side)]
+        return reduce(lambda x, y: x + y, bits, F.lit(always).cast("bigint"))
+
+    def occurring(self, side: Solutions) -> Column:
+        """The signatures of a side as an array: those that occur, counted before the join, or both if only one variable is free."""
+        free = self.free(side)
+        if len(free) > 1:
+            found = side.df.groupBy(self.signature(side).alias("_s")).agg(F.lit(1)).agg(F.array_sort(F.collect_list("_s")))
+            return found.scalar()
+        always = sum(1 << i for i, v in enumerate(self.unsure) if v in side.certain)
+        return F.array(*[F.lit(x).cast("bigint") for x in {always, always + sum(1 << self.unsure.index(v) for v in free)}])
+
+    def keyed(self, side: Solutions, rows: DataFrame, name: str, salts: str = "", allow_empty: bool = True) -> DataFrame:
+        """``rows``, which have the shared variables of a side, repeated with the key that they must agree on.
+
+        Pairs of signatures without a common variable (and no variable that is sure) make all their rows compatible: with
+        ``salts`` such a product is dealt out, each row ``"drawn"`` to one salt or sent to ``"all"``; ``allow_empty=False`` leaves it out."""
+        other = self.b if side is self.a else self.a
+        rows = rows.withColumns({"_own": self.signature(side), "_all": self.occurring(other)}).withColumn("_other", F.explode("_all"))
+        common = F.col("_own").bitwiseAND(F.col("_other"))
+        first, second = ("_own", "_other") if side is self.a else ("_other", "_own")
+        cells = [F.col(first).alias("_a"), F.col(second).alias("_b")]
+        if not self.sure and not allow_empty:
+            rows = rows.where(common != 0)
+        elif not self.sure and salts == "all":
+            deal = F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")
+            rows = rows.withColumn("_salt", F.explode(F.when(common == 0, deal).otherwise(F.array(F.lit(0).cast("bigint")))))
+        elif not self.sure and salts == "drawn":
+            rows = rows.withColumn("_salt", F.when(common == 0, F.pmod(F.xxhash64(*side.vars, F.lit(3)), F.lit(SALTS))).otherwise(0).cast("bigint"))
+        if "_salt" in rows.columns:
+            cells.append(F.col("_salt").alias("_c"))
+        for v in self.shared:
+            held = common.bitwiseAND(F.lit(1 << self.unsure.index(v)).cast("bigint")) != 0 if v in self.unsure else F.lit(True)
+            cells.append(F.when(held, F.col(v)).alias(f"_k_{v}"))
+        return rows.withColumn(name, F.struct(*cells)).drop("_own", "_all", "_other", "_salt")
+
+    def equal(self, left: DataFrame, x: str, y: str) -> Column:
+        """Equality of two keys, field by field; values are null where they are not compared."""
+        fields = [f.name for f in left.schema[x].dataType.fields]
+        return reduce(lambda p, q: p & q, [F.col(f"{x}.{f}").eqNullSafe(F.col(f"{y}.{f}")) if f.startswith("_k_")
+                                           else F.col(f"{x}.{f}") == F.col(f"{y}.{f}") for f in fields])
+
+
+def _few(side: Solutions, copies: int) -> bool:
+    return side.max_rows is not None and side.max_rows * copies <= BROADCAST_ROWS
 
 
 def _compat_inner(a: Solutions, b: Solutions, shared: Sequence[str]) -> DataFrame:
-    """Inner join of compatible rows as one equi-join on (pair of masks, values bound on both sides)."""
-    unsure, sure, ma, mb = _sides(a, b, shared)
-    left = _with_pairs(a, ma, mb, lambda i, j: i * len(mb) + j, shared, unsure, sure)
-    right = _with_pairs(b, mb, ma, lambda j, i: i * len(mb) + j, shared, unsure, sure)
-    right = right.select(*[F.col(v).alias(_right(v)) if v in shared else F.col(v) for v in b.vars],
-                         F.col("_c").alias("_c_r"))
-    df = left.join(_hint(b, right), _pair_equal(shared), "inner").select(*_out(a, b, shared, True))
-    if sure:
-        return df
-    for m in ma:  # masks without a common bound variable: every pair of rows is compatible
-        free = [n for n in mb if not m & n]
-        if free:
-            rest = b.with_df(b.df.where(reduce(lambda x, y: x | y, [_mask(b, unsure, n) for n in free])))
-            one = a.with_df(a.df.where(_mask(a, unsure, m)))
-            df = df.unionByName(_product(one, rest, shared))
-    return df
+    """Inner join of compatible rows."""
+    by = _Compat(a, b, tuple(shared))
+    few_a, few_b = _few(a, 1 << len(by.free(b))), _few(b, 1 << len(by.free(a)))
+    salts = ("", "") if few_a or few_b else ("drawn", "all")
+    left = by.keyed(a, a.df, "_key", salts[0])
+    right = by.keyed(b, b.df, "_key_r", salts[1])
+    right = right.select(*[F.col(v).alias(_right(v)) if v in shared else F.col(v) for v in b.vars], "_key_r")
+    left, right = F.broadcast(left) if few_a and not few_b else left, F.broadcast(right) if few_b else right
+    return left.join(right, by.equal(left, "_key", "_key_r"), "inner").select(*_out(a, b, shared, True))
 
 
 def _product(a: Solutions, b: Solutions, shared: Sequence[str] = (), how: str = "inner", on: Column | None = None) -> DataFrame:
@@ -341,47 +367,33 @@ def _hits(a: Solutions, b: Solutions, on: Column) -> DataFrame:
     return hits.df.select(*[F.col(f"_own_{v}").alias(_right(v)) for v in a.vars]).distinct()
 
 
-def _same_row(a: Solutions) -> Column:
-    return reduce(lambda x, v: x & F.col(v).eqNullSafe(F.col(_right(v))), a.vars, F.lit(True))
+def _same_cells(names: Sequence[str]) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(v).eqNullSafe(F.col(_right(v))) for v in names])
 
 
 def _without(a: Solutions, b: Solutions, shared, on: Column) -> DataFrame:
     """Rows of ``a`` for which no compatible row of ``b`` passes ``on``."""
-    return a.df.join(_hits(a, b, on), _same_row(a), "left_anti")
+    return a.df.join(_hits(a, b, on), _same_cells(a.vars), "left_anti")
+
+
+def _compat_found(a: Solutions, b: Solutions, shared: Sequence[str], allow_empty: bool) -> DataFrame:
+    """The distinct values of the shared variables in ``a`` for which ``b`` has a compatible row, under other names."""
+    by = _Compat(a, b, tuple(shared))
+    wanted = by.keyed(a, a.df.select(*shared).distinct(), "_key", allow_empty=allow_empty)
+    keys = by.keyed(b, b.df.select(*shared).distinct(), "_key_r", allow_empty=allow_empty).select("_key_r").distinct()
+    found = wanted.join(keys, by.equal(wanted, "_key", "_key_r"), "left_semi")
+    return found.select(*[F.col(v).alias(_right(v)) for v in shared]).distinct()
 
 
 def _compat_filter(a: Solutions, b: Solutions, shared: Sequence[str], how: str, allow_empty: bool) -> DataFrame:
     """Rows of ``a`` with (``left_semi``) or without (``left_anti``) a compatible row in ``b``."""
-    kept = _compat_marked(a, b, shared, allow_empty)
-    want = F.col("_hit") if how == "left_semi" else ~F.col("_hit")
-    return kept.where(want).select(*a.vars)
+    return a.df.join(_compat_found(a, b, shared, allow_empty), _same_cells(shared), how)
 
 
 def _compat_marked(a: Solutions, b: Solutions, shared: Sequence[str], allow_empty: bool) -> DataFrame:
-    """``a`` with ``_hit``: whether ``b`` has a compatible row.
-
-    One join per mask of ``b``; for each, the keys of ``b`` are made distinct before they are compared, and
-    ``a`` keeps its own row (no copies), so multiplicities stay right.
-    """
-    unsure, sure, ma, mb = _sides(a, b, shared)
-    kept = a.df.withColumn("_hit", F.lit(False))
-    for j, n in enumerate(mb):
-        rows = b.df.where(_mask(b, unsure, n)).select(*[F.col(v) for v in shared])
-        own, pairs = F.lit(None), []
-        for i, m in enumerate(ma):
-            common = sure | (m & n)
-            if not common and not allow_empty:
-                continue
-            pairs.append(_pair_key(b, shared, common, i))
-            own = F.when(_mask(a, unsure, m), _pair_key(a, shared, common, i)).otherwise(own)
-        if not pairs:
-            continue
-        keys = rows.select(F.explode(F.array(*pairs)).alias("_c_r")).distinct().withColumn("_found", F.lit(True))
-        left = kept.withColumn("_c", own)
-        kept = (left.join(keys, _pair_equal(shared), "left")
-                .withColumn("_hit", F.col("_hit") | F.coalesce(F.col("_found"), F.lit(False)))
-                .select(*a.vars, "_hit"))
-    return kept
+    """``a`` with ``_hit``: whether ``b`` has a compatible row."""
+    found = _compat_found(a, b, shared, allow_empty).withColumn("_hit", F.lit(True))
+    return a.df.join(found, _same_cells(shared), "left").select(*a.vars, F.coalesce("_hit", F.lit(False)).alias("_hit"))
 
 
 # --- set-like operators -------------------------------------------------------------------------------
@@ -421,7 +433,7 @@ def _semi_on(a: Solutions, b: Solutions, on: Column, how: str) -> Solutions:
     a, b = _same_types(a, b)
     shared = _shared(a, b)
     if not shared or not all(v in a.certain and v in b.certain for v in shared):
-        return a.with_df(a.df.join(_hits(a, b, on), _same_row(a), how))
+        return a.with_df(a.df.join(_hits(a, b, on), _same_cells(a.vars), how))
     cond = _same(shared, a, b)
     return a.with_df(a.df.join(_renamed(b, shared), cond & on, how))
 

@@ -523,3 +523,16 @@ def _(t: Tables):
     run_job(t.spark, spec, lambda q: select_form(order_by(agg.group(bgp(q, ("?o", P["customer"], "?c")), ["c"], n=agg.count_star()), "c")))
     return t.spark.read.text(f"{out}/*.csv").where("value <> 'c,n'").select(
         F.split("value", ",")[0].alias("c"), F.split("value", ",")[1].alias("n"))
+
+
+@query("run_job_rdfxml", """
+    SELECT 'urn:customer/' || o_custkey AS c, CAST(count(*) AS VARCHAR) AS n, (SELECT CAST(4 * count(*) AS BIGINT) FROM orders) AS triples
+    FROM orders GROUP BY o_custkey""")
+def _(t: Tables):
+    """A whole job on its main format: two RDF/XML files, each cut into pieces."""
+    out = scratch_path(t.spark, "out")
+    spec = {"pipeline": {"name": "orders"}, "sources": [{"type": "local", "path": order_files(t, 2)}], "query": {"split_bytes": 1 << 16},
+            "output": {"dir": out, "formats": ["csv"], "metadata": True}}
+    meta = run_job(t.spark, spec, lambda q: select_form(order_by(agg.group(bgp(q, ("?o", P["customer"], "?c")), ["c"], n=agg.count_star()), "c")))
+    return t.spark.read.text(f"{out}/*.csv").where("value <> 'c,n'").select(
+        F.split("value", ",")[0].alias("c"), F.split("value", ",")[1].alias("n")).crossJoin(meta.select(F.col("triples_loaded").alias("triples")))

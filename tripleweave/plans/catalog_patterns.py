@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from ..functions.terms import IRI, RDF_TYPE, Lit, iri_term, lex, literal_term
+from ..functions.terms import IRI, RDF_TYPE, Lit, instant, iri_term, lex, literal_term, num
 from ..operators import aggregates as agg
 from ..operators.diff import assign_graph
-from ..operators.forms import select_form
+from ..operators.forms import ask_form, select_form
 from ..operators.graph import FunctionalGraph
 from ..operators.modifiers import desc, order_by, project, slice_
 from ..operators.paths import Alt, Inv, Neg, Opt, Plus, Seq, Star, path
@@ -17,6 +19,9 @@ from ..operators.patterns import (
     Solutions, bgp, bind, cross_join, dataset, exists, exists_value, filter_, filter_bound, join, minus, not_exists,
     optional, triple_pattern, union, values,
 )
+from ..operators.ranges import range_join
+from ..session import scratch_path
+from ..sources.ingest import store_by_subject
 from .model import C, P, graph
 from .registry import Tables, query
 
@@ -77,6 +82,24 @@ def _(t: Tables):
     return show(union(refs, names), "s", "p", "o")
 
 
+COUNTED = {  # predicates of the table graph that every row of a table has, by table
+    "region": ["name"], "nation": ["name", "region"], "customer": ["name", "acctbal", "segment", "nation"],
+    "supplier": ["name", "acctbal", "nation"], "part": ["name", "brand", "ptype", "size", "price"],
+    "orders": ["status", "total", "date", "priority", "customer"],
+    "lineitem": ["line", "quantity", "extended", "discount", "returnflag", "linestatus", "shipdate", "order", "part", "supplier"],
+    "events": ["ts", "etype", "value", "props", "user"], "documents": ["text", "dlang", "dsource", "chars"], "pages": ["url", "html"],
+    "labels": ["quality", "toxic", "labels"]}
+
+
+@query("triple_pattern_open", "SELECT p, CAST(sum(n) AS BIGINT) AS n FROM (" + " UNION ALL ".join(
+    f"SELECT unnest([{', '.join(repr('urn:p/' + x) for x in names)}, '{RDF_TYPE}']) AS p, (SELECT count(*) FROM {table}) AS n"
+    for table, names in COUNTED.items()) + ") GROUP BY p")
+def _(t: Tables):
+    """Three variables: every triple of every table, counted by predicate."""
+    a = agg.group(triple_pattern(graph(t), "?s", "?p", "?o"), ["p"], n=agg.count_star())
+    return a.df.select(lex(F.col("p")).alias("p"), "n")
+
+
 @query("repeated_variable", """
     SELECT 'urn:customer/' || c_custkey AS x, count(*) AS n FROM customer JOIN orders ON o_orderkey = c_custkey AND o_custkey = c_custkey
     GROUP BY c_custkey""")
@@ -138,6 +161,55 @@ def _(t: Tables):
     return a.df.select(lex(F.col("s")).alias("s"), "customers")
 
 
+@query("cross_join_tables", "SELECT s_name AS supplier, n_name AS nation FROM supplier CROSS JOIN nation")
+def _(t: Tables):
+    """Two tables without a bound on their rows: the product is dealt out by salts."""
+    g = graph(t)
+    names = lambda cls, v: project(bgp(g, ("?x", RDF_TYPE, C[cls]), ("?x", P["name"], v)), v)
+    return show(cross_join(names("supplier", "?supplier"), names("nation", "?nation")))
+
+
+@query("range_join", """
+    SELECT 'urn:customer/' || c_custkey AS c, count(*) AS n, min(o_totalprice) AS low, max(o_totalprice) AS high
+    FROM customer JOIN orders ON o_totalprice > CAST(c_acctbal AS DECIMAL(18,2)) * 20
+         AND o_totalprice <= CAST(c_acctbal AS DECIMAL(18,2)) * 20 + 500 GROUP BY c_custkey""")
+def _(t: Tables):
+    """Orders within a band of 500 above twenty times a customer's balance; no variable is shared."""
+    g = graph(t)
+    orders, customers = bgp(g, ("?o", P["total"], "?total")), bgp(g, ("?c", P["acctbal"], "?bal"), ("?c", RDF_TYPE, C["customer"]))
+    low = X.multiply("?bal", 20)
+    customers = bind(bind(customers, "low", low), "high", X.add("?low", 500))
+    a = range_join(orders, customers, "?total", "?low", "?high", on=X.gt("?total", "?low") & X.le("?total", "?high"))
+    a = agg.group(a, ["c"], n=agg.count_star(), low=agg.min_("total"), high=agg.max_("total"))
+    return a.df.select(lex(F.col("c")).alias("c"), "n", num("?low").alias("low"), num("?high").alias("high"))
+
+
+@query("range_join_dates", """
+    SELECT o_orderpriority AS priority, l_returnflag AS flag, count(*) AS n FROM lineitem JOIN orders
+    ON l_shipdate >= o_orderdate AND l_shipdate < o_orderdate + INTERVAL 1 DAY GROUP BY ALL""")
+def _(t: Tables):
+    """Line items shipped on the day that follows any order; one bound is a term, the other a native column."""
+    g = graph(t)
+    lines = bgp(g, ("?l", P["shipdate"], "?shipped"), ("?l", P["returnflag"], "?flag"))
+    orders = bgp(g, ("?o", P["date"], "?date"), ("?o", P["priority"], "?priority"))
+    orders = bind(orders, "until", instant("?date") + F.expr("INTERVAL 1 DAY"))
+    a = range_join(lines, orders, "?shipped", "?date", "?until", on=X.lt("?shipped", "?until"))
+    a = agg.group(a, ["priority", "flag"], n=agg.count_star())
+    return a.df.select(lex(F.col("priority")).alias("priority"), lex(F.col("flag")).alias("flag"), "n")
+
+
+@query("star_stored", """
+    SELECT 'urn:order/' || o_orderkey AS o, o_orderstatus AS status, o_orderpriority AS priority, c_name AS name
+    FROM orders JOIN customer ON o_custkey = c_custkey""")
+def _(t: Tables):
+    """A star of three predicates over triples stored by subject, which needs no shuffle, and a chain from it."""
+    g = graph(t)
+    rows = [g.scan(P[p].value) for p in ("status", "priority", "customer")] + [g.scan(P["name"].value).where(F.col("s.value").startswith("urn:customer/"))]
+    kept = store_by_subject(reduce(DataFrame.unionByName, rows), scratch_path(t.spark, "by-subject"), 8)
+    return show(bgp(kept, ("?o", P["status"], "?status"), ("?o", P["priority"], "?priority"), ("?o", P["customer"], "?c"),
+                    ("?c", P["name"], "?name")), "o", "status", "priority", "name")
+
+
 # --- optional, compatible joins, set operators --------------------------------------------------------
 
 @query("optional", """
@@ -316,6 +388,38 @@ def _(t: Tables):
     return show(filter_(a, X.lt(X.multiply("?bal", 30), "?total")), "o")
 
 
+def _six(a: Solutions, key: str, value: str) -> Solutions:
+    """Six variables ``?v0 .. ?v5``; ``?vi`` is bound if bit i of the key column is set."""
+    number = lambda v: F.substring_index(F.col(f"{v}.value"), "/", -1).cast("bigint")
+    cells = {f"v{i}": X.if_((F.shiftright(number(key), i) % 2) == 1, literal_term(((number(value) + i) % 5).cast("string")), F.lit(None))
+             for i in range(6)}
+    return project(a, *a.vars, **cells)
+
+
+SIX_SQL = ", ".join("CASE WHEN ({key} >> %d) %% 2 = 1 THEN CAST(({value} + %d) %% 5 AS VARCHAR) END AS v%d" % (i, i, i) for i in range(6))
+SIX_SQL = (f"WITH a AS (SELECT c_custkey AS c, {SIX_SQL.format(key='c_custkey', value='c_custkey')} FROM customer), "
+           f"b AS (SELECT o_custkey AS c, o_orderkey AS o, {SIX_SQL.format(key='o_orderkey', value='o_orderkey')} FROM orders) ")
+SIX_ON = "a.c = b.c AND " + " AND ".join(f"coalesce(a.v{i} = b.v{i}, true)" for i in range(6))
+
+
+@query("compat_join_six", SIX_SQL + f"""
+    SELECT 'urn:customer/' || a.c AS c, 'urn:order/' || o AS o, {', '.join(f"coalesce(a.v{i}, b.v{i}, '') AS v{i}" for i in range(6))}
+    FROM a JOIN b ON {SIX_ON}""")
+def _(t: Tables):
+    """Six variables that either side may leave unbound: 64 signatures each."""
+    return show(join(*_six_sides(t)), "c", "o", *[f"v{i}" for i in range(6)])
+
+
+def _six_sides(t: Tables) -> tuple[Solutions, Solutions]:
+    g = graph(t)
+    return (_six(bgp(g, ("?c", RDF_TYPE, C["customer"])), "c", "c"), _six(bgp(g, ("?o", P["customer"], "?c")), "o", "o"))
+
+
+@query("minus_six", SIX_SQL + f"SELECT 'urn:customer/' || a.c AS c FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE {SIX_ON})")
+def _(t: Tables):
+    return show(minus(*_six_sides(t)), "c")
+
+
 # --- named graphs -------------------------------------------------------------------------------------
 
 def _quads(t: Tables) -> DataFrame:
@@ -404,13 +508,13 @@ def _(t: Tables):
 
 
 def _tree(t: Tables) -> DataFrame:
-    """Customer k leads to customer k // 2."""
-    return t("customer").where(F.col("c_custkey") > 0).select(
+    """Customer k leads to customer k // 2, and customer 0 to itself."""
+    return t("customer").select(
         _iri("customer", "c_custkey", "s"), F.lit("urn:p/up").alias("p"),
         _iri("customer", F.expr("c_custkey div 2"), "o"), F.lit("").alias("g"))
 
 
-TREE_SQL = "WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey // 2 AS b FROM customer WHERE c_custkey > 0), "
+TREE_SQL = "WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey // 2 AS b FROM customer), "
 
 
 @query("path_plus", TREE_SQL + """
@@ -442,6 +546,40 @@ def _(t: Tables):
     return show(path(e, "?x", Plus(P["next"]), "?y"))
 
 
+MIXED_SQL = """
+    WITH RECURSIVE e AS (
+      SELECT c_custkey AS a, CASE WHEN c_custkey % 40 < 12 THEN c_custkey // 40 * 40 + (c_custkey % 40 + 5) % 12 ELSE c_custkey // 40 * 40 + c_custkey % 40 // 2 END AS b FROM customer
+      UNION SELECT c_custkey, c_custkey + 13 FROM customer WHERE c_custkey % 40 < 27 AND c_custkey % 3 = 0
+      UNION SELECT c_custkey, c_custkey + 40 FROM customer WHERE c_custkey % 80 = 3),
+    r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+    SELECT 'urn:customer/' || a AS x, 'urn:customer/' || b AS y FROM r"""
+
+
+@query("path_plus_mixed", MIXED_SQL)
+def _(t: Tables):
+    return show(path(_mixed(t), "?x", Plus(P["next"]), "?y"))
+
+
+def _mixed(t: Tables) -> DataFrame:
+    """Rings with trees that lead into them, branches that lead out and back in, and bridges between components."""
+    k, c = "c_custkey", t("customer")
+    edge = lambda df, to: df.select(_iri("customer", k, "s"), F.lit("urn:p/next").alias("p"), _iri("customer", F.expr(to), "o"), F.lit("").alias("g"))
+    e = edge(c, f"if({k} % 40 < 12, {k} div 40 * 40 + ({k} % 40 + 5) % 12, {k} div 40 * 40 + {k} % 40 div 2)")
+    return e.unionByName(edge(c.where(f"{k} % 40 < 27 AND {k} % 3 = 0"), f"{k} + 13")).unionByName(edge(c.where(f"{k} % 80 = 3"), f"{k} + 40"))
+
+
+@query("path_plus_between", MIXED_SQL.replace("SELECT 'urn:customer/' || a AS x, 'urn:customer/' || b AS y FROM r", """
+    SELECT 'there' AS way, EXISTS (SELECT 1 FROM r WHERE a = 39 AND b = 3) AS found UNION ALL
+    SELECT 'back', EXISTS (SELECT 1 FROM r WHERE a = 3 AND b = 39) UNION ALL
+    SELECT 'ring', EXISTS (SELECT 1 FROM r WHERE a = 7 AND b = 7)"""))
+def _(t: Tables):
+    """Both ends bound: frontiers from both of them meet."""
+    e = _mixed(t)
+    ask = lambda way, x, y: ask_form(path(e, IRI(f"urn:customer/{x}"), Plus(P["next"]), IRI(f"urn:customer/{y}"))).select(
+        F.lit(way).alias("way"), F.col("result").alias("found"))
+    return ask("there", 39, 3).unionByName(ask("back", 3, 39)).unionByName(ask("ring", 7, 7))
+
+
 @query("path_star_from", TREE_SQL + """
     r AS (SELECT 0 AS a UNION SELECT e.a FROM r JOIN e ON r.a = e.b)
     SELECT 'urn:customer/' || a AS x FROM r""")

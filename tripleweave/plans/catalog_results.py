@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from ..functions.terms import IRI, RDF_TYPE, Lit, bnode_term, lex, literal_term, num, quoted_triple
+from ..functions.terms import IRI, RDF_TYPE, Lit, bnode_term, instant, lex, literal_term, num, quoted_triple
 from ..operators import aggregates as agg
 from ..operators.diff import assign_graph, diff_added, diff_changed, diff_removed, graph_stats, merge_tagged
 from ..operators.forms import (
     ask_form, construct_form, construct_triples, count_results, default_query, describe_form, select_form,
 )
 from ..operators.modifiers import desc, distinct, order_by, project, reduced, select_star, slice_
-from ..operators.patterns import Solutions, bgp, bind, filter_, join, optional, triple_pattern, union
+from ..operators.patterns import Solutions, bgp, bind, exists, filter_, join, optional, triple_pattern, union
 from .catalog_patterns import show
 from .model import C, P, graph
 from .registry import Tables, query
@@ -54,11 +54,11 @@ def _(t: Tables):
 
 @query("order_by", """
     SELECT name, row_number() OVER (ORDER BY kind, num, name) AS pos FROM (
-        SELECT DISTINCT 'urn:part/' || p_partkey AS name, 1 AS kind, 0 AS num FROM part WHERE p_size = 50
+        SELECT DISTINCT 'urn:part/' || p_partkey AS name, 1 AS kind, 0 AS num FROM part
         UNION ALL SELECT DISTINCT CAST(p_size AS VARCHAR), 2, p_size FROM part)""")
 def _(t: Tables):
     a = parts(t)
-    things = union(project(filter_(a, X.eq("?size", 50)), x="?part"), distinct(project(a, x="?size")))
+    things = union(project(a, x="?part"), distinct(project(a, x="?size")))
     return _positions(show(order_by(things, "x"), "x"))
 
 
@@ -84,6 +84,13 @@ def _(t: Tables):
     return a.df.select(lex(F.col("name")).alias("name"), num("?bal").alias("bal"))
 
 
+@query("order_by_positions", """
+    SELECT c_name AS name, row_number() OVER (ORDER BY c_acctbal DESC, c_name) AS pos FROM customer""")
+def _(t: Tables):
+    a = bgp(graph(t), ("?c", RDF_TYPE, C["customer"]), ("?c", P["name"], "?x"), ("?c", P["acctbal"], "?bal"))
+    return _positions(show(order_by(a, desc("bal"), "x"), "x"))
+
+
 @query("top_k", """
     SELECT 'urn:order/' || o_orderkey AS o, o_totalprice AS total FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20""")
 def _(t: Tables):
@@ -100,6 +107,33 @@ def _(t: Tables):
     return show(slice_(a, limit=20, offset=15), "o")
 
 
+OFFSET_SQL = """
+    SELECT l_orderkey AS k, CAST(l_linenumber AS VARCHAR) AS line, l_shipdate AS shipped FROM lineitem
+    ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey """
+
+
+def _lines_in_order(t: Tables) -> Solutions:
+    a = bgp(graph(t), ("?l", P["line"], "?line"), ("?l", P["shipdate"], "?d"), ("?l", P["order"], "?o"), ("?l", P["part"], "?part"), ("?l", P["supplier"], "?s"))
+    key = lambda v: F.substring_index(F.col(f"{v}.value"), "/", -1).cast("bigint")
+    return order_by(a, "d", key("o"), "line", key("part"), key("s"))
+
+
+def _line_rows(a: Solutions) -> DataFrame:
+    return a.df.select(F.substring_index(F.col("o.value"), "/", -1).cast("bigint").alias("k"), lex(F.col("line")).alias("line"),
+                       instant("?d").cast("timestamp_ntz").alias("shipped"))
+
+
+@query("offset_all", OFFSET_SQL + "OFFSET 700")
+def _(t: Tables):
+    """All sorted line items but the first 700: cut where the rows lie."""
+    return _line_rows(slice_(_lines_in_order(t), offset=700))
+
+
+@query("limit_large", OFFSET_SQL + "LIMIT 30000 OFFSET 450")
+def _(t: Tables):
+    return _line_rows(slice_(_lines_in_order(t), limit=30_000, offset=450))
+
+
 @query("limit", "SELECT least(count(*), 10) AS n FROM supplier")
 def _(t: Tables):
     return slice_(bgp(graph(t), ("?s", RDF_TYPE, C["supplier"])), limit=10).df.agg(F.count(F.lit(1)).alias("n"))
@@ -172,6 +206,21 @@ def _(t: Tables):
                        F.round(num("?mean"), 6).alias("mean"), "sizes")
 
 
+@query("sum_distinct_terms", """
+    SELECT p_brand AS brand, CAST(sum(DISTINCT p_size) + sum(DISTINCT CASE WHEN p_partkey % 2 = 0 THEN p_size END) AS DOUBLE) AS total,
+           count(DISTINCT p_size) + count(DISTINCT CASE WHEN p_partkey % 2 = 0 THEN p_size END) AS n, count(*) AS parts
+    FROM part GROUP BY p_brand HAVING max(p_partkey % 2 = 0)""")
+def _(t: Tables):
+    """``1`` and ``1.0`` are two terms: DISTINCT keeps both, and both are summed."""
+    decimal = literal_term(F.concat(F.col("size.value"), F.lit(".0")), "xsd:decimal")
+    even = F.substring_index(F.col("part.value"), "/", -1).cast("bigint") % 2 == 0
+    both = union(project(parts(t), "brand", "size"), project(filter_(parts(t), even), "brand", size=decimal))
+    whole = agg.group(parts(t), ["brand"], parts=agg.count("size"))
+    a = agg.group(both, ["brand"], total=agg.sum_("size", distinct=True), n=agg.count_distinct("size"))
+    some = exists(join(a, whole), project(filter_(parts(t), even), "brand"))
+    return some.df.select(lex(F.col("brand")).alias("brand"), num("?total").alias("total"), "n", "parts")
+
+
 @query("min_max_mixed", """
     SELECT p_brand AS brand, min(p_name) AS first_name, CAST(max(p_size) AS VARCHAR) AS high FROM part GROUP BY p_brand""")
 def _(t: Tables):
@@ -197,6 +246,14 @@ def _(t: Tables):
     return show(agg.group(a, ["brand"], names=agg.group_concat("name", sep="|", distinct=True), types=agg.group_concat("type")))
 
 
+@query("group_concat_hot", "SELECT string_agg(p_name, ' ' ORDER BY p_name) AS names, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS types, count(*) AS n FROM part")
+def _(t: Tables):
+    """All parts in one group: joined from blocks."""
+    a = join(parts(t), bgp(graph(t), ("?part", P["ptype"], "?type")))
+    a = agg.group(a, names=agg.group_concat("name"), types=agg.group_concat("type", sep=",", distinct=True), n=agg.count_star())
+    return show(project(a, "names", "types")).crossJoin(a.df.select("n"))
+
+
 @query("sample", "SELECT o_orderpriority AS pr, true AS known FROM orders GROUP BY o_orderpriority")
 def _(t: Tables):
     a = agg.group(orders(t), ["pr"], any=agg.sample("status"))
@@ -277,11 +334,11 @@ def _(t: Tables):
 
 @query("describe_form", """
     SELECT 'urn:nation/' || n_nationkey AS subject, 'urn:p/name' AS predicate, n_name AS object FROM nation WHERE n_regionkey = 1
-    UNION ALL SELECT 'urn:nation/' || n_nationkey, 'urn:p/region', 'urn:region/' || n_regionkey FROM nation WHERE n_regionkey = 1""")
+    UNION ALL SELECT 'urn:nation/' || n_nationkey, 'urn:p/region', 'urn:region/' || n_regionkey FROM nation WHERE n_regionkey = 1
+    UNION ALL SELECT 'urn:nation/' || n_nationkey, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'urn:class/nation' FROM nation WHERE n_regionkey = 1""")
 def _(t: Tables):
     g = graph(t)
-    rows = g.scan("urn:p/name").unionByName(g.scan("urn:p/region"))
-    return describe_form(rows, triple_pattern(g, "?n", P["region"], IRI("urn:region/1")), "n")
+    return describe_form(g, triple_pattern(g, "?n", P["region"], IRI("urn:region/1")), "n")
 
 
 @query("format_term", """

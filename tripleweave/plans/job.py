@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 from ..operators.diff import assign_graph
 from ..operators.forms import default_query
 from ..session import counted, in_order, rows_seen, scratch_path, tune
-from ..sources import archives
-from ..sources.files import (any_glob, empty_files, filter_files, literal_path, scan_azure, scan_files, scan_gcs, scan_s3,
-                             store_root, union_sources)
-from ..sources.ingest import BASE_IRI, QUAD, detect_format, ingest, ingest_nquads, ingest_ntriples, store_triples
-from ..sources.split import ingest_rdfxml_split
+from ..sources import archives, split
+from ..sources.files import LINES, SIZED, Form, any_glob, filter_files, scan_azure, scan_files, scan_gcs, scan_s3, union_sources
+from ..sources.ingest import BASE_IRI, LINE_FORMATS, QUAD, detect_format, ingest, ingest_lines, store_triples
 from .sinks import META_DDL, sink_csv, sink_json, sink_metadata, sink_tsv
 
 SCANS = {"local": scan_files, "s3": scan_s3, "azure": scan_azure, "gcs": scan_gcs}
+SPLIT_BYTES = 32 << 20  # RDF/XML files from this size on are read in pieces
+NAMES = 10_000  # files that turn out not to be divisible and are then read by name
 SINKS = {"csv": sink_csv, "json": sink_json, "tsv": sink_tsv, "terminal": sink_tsv}
 
 
@@ -37,35 +37,53 @@ def _process(files: DataFrame, processors: list[dict]) -> DataFrame:
     return files
 
 
-def _loader(spark: SparkSession, source: dict) -> Callable[[], DataFrame]:
+def _loader(spark: SparkSession, source: dict, form: Form) -> Callable[[], DataFrame]:
     options = {k: v for k, v in source.items() if k not in ("type", "graph")}
-    return partial(SCANS[source["type"]], spark, **options)
+    return partial(SCANS[source["type"]], spark, **options, form=form)
 
 
-def _divisible(processors: list[dict], formats: list[str]) -> Column:
-    """Files that Spark can read in pieces: of the given formats by suffix, and no archives to a processor."""
+def _divisible(processors: list[dict], fmt: str) -> Column:
+    """Files that Spark can read in pieces: of this format by suffix, and no archives to a processor."""
     name = F.col("filename")
     archive = [p for step in processors for k in ("archive_patterns", "gzip_patterns") for p in step.get(k, ())]
-    suffix = detect_format(name)
-    if "rdfxml" in formats:  # the format of any other suffix, also of archives
-        suffix = F.when((suffix != "rdfxml") | name.endswith(".xml") | name.endswith(".rdf"), suffix).otherwise("")
-    return suffix.isin(formats) & ~any_glob(name, archive)
+    found = detect_format(name) == fmt
+    if fmt == "rdfxml":  # the format of any other suffix, also of archives
+        found = found & (name.endswith(".xml") | name.endswith(".rdf"))
+    return found & ~any_glob(name, archive)
+
+
+def _large_documents(files: DataFrame, texts: DataFrame, base: tuple[str, str]) -> DataFrame:
+    """Triples of large RDF/XML files, given whole and as records: cut into pieces where they can be, else read whole.
+
+    Only names of the latter come to the driver, where they choose the files to open; if there are more than ``NAMES``, a join does."""
+    texts = split.records(texts)
+    depths, found = split.block_sums(texts)
+    triples = split.parse_pieces(split.cut_documents(texts, depths, found), *base)
+    others = found.where("NOT (splittable AND whole)").select("file")
+    names = [r["file"] for r in others.limit(NAMES + 1).collect()]
+    if not names:
+        return triples
+    if len(names) <= NAMES:
+        rest = files.where(F.col("path").isin(names))
+    else:
+        rest = files.join(others, F.col("path") == F.col("file"), "left_semi")
+    return triples.unionByName(ingest(rest, *base, lines=False))
 
 
 def load(spark: SparkSession, spec: dict) -> tuple[DataFrame, int, int] | None:
     """The stored quad set of a job with its file and quad counts; None if there are no files.
 
-    Plain N-Triples and N-Quads files are read as text, so that many tasks share a large one; with ``split`` so are RDF/XML
-    files, whose root must then be ``rdf:RDF``.  Only their names come to the driver.  All other files are parsed whole, once:
-    their number is observed before the parser, the distinct quads while they are written.
+    Plain N-Triples and N-Quads files are read as text, so that many tasks share a large one, and so are RDF/XML files of
+    ``split_bytes`` or more (None: none are).  All other files are parsed whole, once: their number is observed before the parser, the distinct quads
+    while they are written.  Which reader takes a file is a filter on its name and size, so no list of files is made.
     """
     sources, processors = spec.get("sources", []), spec.get("processors", [])
     query = spec.get("query", {})
     base = query.get("base_iri", BASE_IRI), query.get("base_mode", "per_file")
-    lines = query.get("lines", True)
-    readers = {"ntriples": ingest_ntriples, "nquads": ingest_nquads} if lines else {}
-    if query.get("split", False):
-        readers["rdfxml"] = lambda spark, paths: ingest_rdfxml_split(spark, paths, *base)
+    lines, least = query.get("lines", True), query.get("split_bytes", SPLIT_BYTES)
+    readers = {fmt: (LINES, _divisible(processors, fmt)) for fmt in LINE_FORMATS if lines}
+    if least is not None:
+        readers["rdfxml"] = split.RECORDS, _divisible(processors, "rdfxml") & (F.col("size") >= least)
     names = [step for step in processors if step["type"] != "unzip"]  # an unzip step passes plain files on
     unzips = len(names) < len(processors)
     divided = 0
@@ -74,25 +92,26 @@ def load(spark: SparkSession, spec: dict) -> tuple[DataFrame, int, int] | None:
         by_graph.setdefault(s.get("graph", ""), []).append(s)
     parts, counters = [], []
     for graph, members in by_graph.items():
-        whole, paths = empty_files(spark), {f: [] for f in readers}
-        for s in members:
-            files = union_sources(spark, _loader(spark, s))
-            if readers:
-                pick = _divisible(processors, list(readers))
-                root = store_root(s["type"], **{k: v for k, v in s.items() if k != "type"})
-                for path, fmt in _process(files.where(pick), names).select("path", detect_format(F.col("filename"))).collect():
-                    paths[fmt].append(literal_path(path if not root or "://" in path else f"{root}/{path}"))
-                files = files.where(~pick)
-            whole = whole.unionByName(files)
-        members_of = _process(whole, processors)
+        files = union_sources(spark, *[_loader(spark, s, SIZED) for s in members], form=SIZED)
+        taken = reduce(Column.__or__, [pick for _, pick in readers.values()], F.lit(False))
+        members_of = _process(files.where(~taken).drop("size"), processors)
         whole, seen = counted(members_of)
         counters.append((seen, members_of))
         # line formats can only come out of archives now
         found = [ingest(whole, *base, lines=lines and unzips).select(*QUAD)]
-        for fmt, of in paths.items():
-            if of:
-                divided += len(of)
-                found.append(readers[fmt](spark, sorted(set(of))).select(*QUAD))
+        for fmt, (form, pick) in readers.items():
+            # the files themselves are counted, without a look at their content; a reader without files is left out
+            mine = _process(files.where(pick), names)
+            n = mine.count()
+            divided += n
+            if not n:
+                continue
+            texts = _process(union_sources(spark, *[_loader(spark, s, form) for s in members], form=form).where(pick), names)
+            if fmt == "rdfxml":
+                triples = _large_documents(mine, texts, base)
+            else:
+                triples = ingest_lines(texts.select(F.col("text").cast("string").alias("line"), F.col("path").alias("file")), fmt == "nquads")
+            found.append(triples.select(*QUAD))
         triples = reduce(DataFrame.unionByName, found)
         parts.append(assign_graph(triples, graph) if graph else triples)
     if not parts:
@@ -109,7 +128,7 @@ def run_job(spark: SparkSession, spec: dict, query: Callable[[DataFrame], DataFr
     """Run a job given as a dict and return its one-row run metadata.
 
     ``spec`` holds ``pipeline: {name}``, ``sources: [{type, graph?, ...}]``, ``processors: [{type, ...}]``,
-    ``query: {base_iri, base_mode, lines, split}`` and ``output: {dir, formats, metadata, prefix, document}``; the options of
+    ``query: {base_iri, base_mode, lines, split_bytes}`` and ``output: {dir, formats, metadata, prefix, document}``; the options of
     sources and processors are the arguments of the functions they name.  ``query`` maps the triples to the result.
     ``document`` makes JSON one document instead of lines.
     No files is a success without output.  A sink that fails is warned about.

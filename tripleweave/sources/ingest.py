@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import sys
+import uuid
 from collections.abc import Iterator, Sequence
 from xml.parsers.expat import ExpatError
 
@@ -17,7 +18,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.terms import LANG_STRING, RDF, STRING, XSD, make
+from ..functions.terms import LANG_STRING, RDF, STRING, TERM_DDL, XSD, make
+from ..operators.graph import StoredGraph, subject_key
 from ..session import bound_batches
 from . import rdfxml, turtle
 from .rdfxml import RdfError
@@ -222,7 +224,9 @@ def line_fields(cut: Column, scope: Column, quads: bool = True) -> dict[str, Col
 
 
 def ingest_lines(lines: DataFrame, quads: bool, mode: str = "failfast") -> DataFrame:
-    """Triples of a DataFrame ``line, file`` of N-Triples (or N-Quads) lines; pure Catalyst, so any split works."""
+    """Triples of a DataFrame ``line, file`` of N-Triples (or N-Quads) lines; pure Catalyst, so any split works.
+
+    The reader of lines may be :data:`.files.LINES` of any scan."""
     line = F.col("line")
     # Spark's text reader hands on bytes as they are
     error = F.when(~F.is_valid_utf8(line) | ~line_ok(line, quads), F.concat(F.lit("bad line: "), F.make_valid_utf8(line)))
@@ -287,3 +291,26 @@ def store_triples(triples: DataFrame, path: str) -> DataFrame:
 
 def by_predicate(triples: DataFrame) -> DataFrame:
     return triples.hint("rebalance", "p")
+
+
+def store_by_subject(triples: DataFrame, path: str, buckets: int | None = None) -> StoredGraph:
+    """Write triples as a table partitioned by predicate and bucketed by subject, and return it as a graph.
+
+    Joins on subjects then need no shuffle.  Each bucket of a predicate is written by one task as one file, so ``buckets`` (the
+    session's shuffle partitions by default) should grow with the data; ``rdf:type`` is divided like any other predicate."""
+    spark = triples.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = triples.select(*QUAD, subject_key(F.col("s")).alias("k"))
+    dealt = rows.repartition("p", F.expr(f"pmod(hash(k), {n})"))  # as the buckets are dealt
+    name = f"tripleweave_{uuid.uuid4().hex}"
+    dealt.write.format("parquet").partitionBy("p").bucketBy(n, "k").sortBy("k").option("path", path).saveAsTable(name)
+    return StoredGraph(spark.table(name))
+
+
+def open_by_subject(spark: SparkSession, path: str, buckets: int) -> StoredGraph:
+    """A graph that :func:`store_by_subject` wrote, in another session."""
+    name = f"tripleweave_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} (s {TERM_DDL}, o {TERM_DDL}, g STRING, k STRING, p STRING) USING parquet PARTITIONED BY (p) "
+              f"CLUSTERED BY (k) SORTED BY (k) INTO {int(buckets)} BUCKETS LOCATION '{path}'")
+    spark.catalog.recoverPartitions(name)
+    return StoredGraph(spark.table(name))
