@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.terms import Term, native_term, same_term
 from ..session import counted, rows_seen, scratch_path, stored
-from .components import strong_components
+from .components import kept, strong_components
 from .graph import Graph, as_graph
 from .patterns import Solutions, _constant, _equals, _is_var, var
 
@@ -258,13 +258,19 @@ def closure_of(edges: DataFrame) -> DataFrame:
 
     Strongly connected components are found first, on the edges; the closure is that of the graph of components, which has no
     cycle; its pairs become pairs of nodes in the last step, which is not stored.  Pairs inside a component arise there only."""
-    keys = stored(edges.select(_node_key(F.col("s")).alias("a"), _node_key(F.col("o")).alias("b")).distinct(), "edges")
-    member = stored(strong_components(keys), "members")
+    keys, (_, size) = kept(edges.select(_node_key(F.col("s")).alias("a"), _node_key(F.col("o")).alias("b")).distinct(), "edges",
+                           F.col("a") != F.col("b"))
+    found = strong_components(keys, size)
+    if found is None:
+        return closure(edges)
+    member = stored(found, "members")
     of = lambda at, to: member.select(F.col("node").alias(at), F.col("component").alias(to))
     whole = keys.join(of("x", "ca"), F.col("a") == F.col("x"), "left").join(of("y", "cb"), F.col("b") == F.col("y"), "left")
     whole = whole.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
-    known = closure(whole.select(_node_of(F.col("a")).alias("s"), _node_of(F.col("b")).alias("o")))
-    between = known.select(_node_key(F.col("s")).alias("a"), _node_key(F.col("o")).alias("b"))
+    between, (n,) = kept(whole, "condensed")
+    if n:
+        known = closure(between.select(_node_of(F.col("a")).alias("s"), _node_of(F.col("b")).alias("o")))
+        between = known.select(_node_key(F.col("s")).alias("a"), _node_key(F.col("o")).alias("b"))
     inside = member.select(F.col("component").alias("a"), F.col("component").alias("b")).distinct()
     alone = keys.where("a = b").join(of("x", "c"), F.col("a") == F.col("x"), "left_anti")  # a loop at a node of no component
     pairs = between.unionByName(inside)

@@ -28,17 +28,22 @@ def number(a: Solutions, x: str | Column) -> Column:
     return F.unix_micros(c.cast("timestamp")) / 1e6 if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)) else c.cast("double")
 
 
+def _array(values: list[float]) -> str:
+    """SQL of an array of doubles: one expression, where a column for each number would take as many calls."""
+    return "array(" + ", ".join("double('Infinity')" if v == float("inf") else "double('-Infinity')" if v == float("-inf") else f"{v!r}D" for v in values) + ")"
+
+
 def _bounds(df: DataFrame, column: str, buckets: int) -> list[float]:
     """Up to buckets - 1 values that divide a column into parts of about equal counts; found by a distributed sketch."""
-    shares = [i / buckets for i in range(1, buckets)]
-    found = df.agg(F.percentile_approx(column, shares, 4 * buckets)).first()[0]
+    shares = _array([i / buckets for i in range(1, buckets)])
+    found = df.agg(F.expr(f"percentile_approx({column}, {shares}, {4 * buckets})")).first()[0] if buckets > 1 else None
     return sorted(set(found or []))
 
 
 def _bucket(value: Column, bounds: list[float]) -> Column:
     """Number of bounds at or below a value, by binary search."""
     steps = max(1, len(bounds)).bit_length()
-    table = F.array(*[F.lit(b) for b in bounds], *[F.lit(float("inf"))] * ((1 << steps) - 1 - len(bounds)))
+    table = F.expr(_array([*bounds, *[float("inf")] * ((1 << steps) - 1 - len(bounds))]))
     found = F.aggregate(F.array(*[F.lit(1 << i) for i in reversed(range(steps))]), F.lit(0), lambda at, step: at + F.when(
         F.get(table, at + step - 1) <= value, step).otherwise(0))
     return F.least(found, F.lit(len(bounds)))  # infinity passes the filling of the table too

@@ -193,7 +193,7 @@ def _(t: Tables):
     lines = bgp(g, ("?l", P["shipdate"], "?shipped"), ("?l", P["returnflag"], "?flag"))
     orders = bgp(g, ("?o", P["date"], "?date"), ("?o", P["priority"], "?priority"))
     orders = bind(orders, "until", instant("?date") + F.expr("INTERVAL 1 DAY"))
-    a = range_join(lines, orders, "?shipped", "?date", "?until", on=X.lt("?shipped", "?until"))
+    a = range_join(lines, orders, "?shipped", "?date", "?until", on=instant("?shipped") < F.col("until"))
     a = agg.group(a, ["priority", "flag"], n=agg.count_star())
     return a.df.select(lex(F.col("priority")).alias("priority"), lex(F.col("flag")).alias("flag"), "n")
 
