@@ -124,12 +124,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     component_id is the smallest doc_id reachable over fingerprints that differ in at most ``radius`` bits.  Null, empty
     and blank texts have fingerprint zero and are linked like any other; equal texts and repeated rows share a component;
-    rows with a null doc_id keep their fingerprint and get the component of their fingerprint's group, null if that group
-    has no id at all; an empty table gives an empty one."""
+    rows with a null doc_id link others like any row and get their group's component, null if the group has no id at all; an
+    empty table gives an empty one."""
     prints = stored(with_fingerprints(docs, doc_id, text, width, seed), "fingerprints")
-    groups = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "groups")
-    joined = components(fingerprint_links(groups.where("node is not null"), radius))
-    groups = groups.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    # nodes are the fingerprints themselves, so that rows without an id link groups too
+    groups = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "groups")
+    joined = components(fingerprint_links(groups.select(F.col("fp").alias("node"), "fp"), radius))
+    groups = groups.join(joined, groups["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    least = groups.groupBy("component").agg(F.min("least").alias("component_id"))
+    groups = groups.join(least, "component").select("fp", "component_id")
     return prints.join(groups, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
