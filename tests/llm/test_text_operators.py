@@ -179,6 +179,16 @@ def test_simhash(docs, texts, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_simhash_links_through_rows_without_an_id(spark, monkeypatch):
+    """Prints 7, 63 and 511 are three bits apart each; the middle row has no id.  A group without any id has no component."""
+    prints = spark.createDataFrame([(5, 7), (None, 63), (9, 511), (None, 1 << 40), (4, 7)], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "with_fingerprints", lambda *_, **__: prints)
+    got = simhash.near_duplicates(prints).collect()
+    assert sorted((r["fingerprint"][-3:], r["component_id"]) for r in got if r["fingerprint"][5] == "0") == [
+        ("007", 4), ("007", 4), ("03f", 4), ("1ff", 4)]
+    assert [r["component_id"] for r in got if r["fingerprint"][5] != "0"] == [None]
+
+
 def test_simhash_keeps_one_row_of_each_group(spark):
     a, b, c = "alpha beta gamma delta", "one two three four five", "red green blue"
     rows = [(3, a, "x"), (5, a, "x"), (5, b, "x"), (None, c, "x"), (None, c, "x"), (None, a, "x"), (7, "only here", "x"), (7, "only here", "y")]
@@ -229,6 +239,26 @@ def test_embeddings(spark):
     assert embeddings.near_vectors(df.where("false")).count() == 0
 
 
+def test_embeddings_of_any_magnitude(spark):
+    rows = [(1, [1e-200, 0.0]), (2, [1.0, 1.0]), (3, [1e200, 1e200]), (4, [2e200, 2e200]), (5, [3e-310, 3e-310]), (6, [1e308, -1e308])]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_vectors(df, recall=0.9999).collect()}
+    assert got == {1: (0, 1), 2: (3, 2), 3: (3, 2), 4: (3, 2), 5: (3, 2), 6: (0, 6)}
+
+
+def test_embeddings_recall_of_planted_pairs(spark):
+    """10,000 vectors of two labels with a partner at cosine 0.935 each: as many pairs are found as the index promises."""
+    rng = np.random.default_rng(5)
+    x, y = rng.standard_normal((2, 5000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    near = 0.935 * x + math.sqrt(1 - 0.935 ** 2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    rows = [(2 * i + side, v.tolist(), i % 2) for i in range(5000) for side, v in ((0, x[i]), (1, near[i]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = {r["vec_id"]: r["component_id"] for r in embeddings.near_vectors(df).collect()}
+    assert sum(found[2 * i] == found[2 * i + 1] for i in range(5000)) >= 0.96 * 5000
+
+
 # --- byte-level BPE ------------------------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")

@@ -56,6 +56,7 @@ def _compare(batches, threshold: float) -> Iterator[pa.RecordBatch]:
         part, node, size = (rows[c].to_numpy() for c in ("part", "node", "copies"))
         number = int(rows["number"][0].as_py())
         vectors, marks = _matrix(rows["vector"]).astype(np.float64), _matrix(rows["marks"])
+        vectors /= np.abs(vectors).max(axis=1, keepdims=True)  # squares of very large or small parts would be lost
         norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
         first, second = np.flatnonzero(part == 0), np.flatnonzero(part == 1)
         own = not len(second) and bool(rows["own"][0].as_py())
