@@ -14,6 +14,7 @@ from tripleweave.operators.modifiers import order_by
 from tripleweave.operators.patterns import bgp, values
 from tripleweave.plans import job
 from tripleweave.plans.sinks import sink_csv, sink_json, sink_tsv
+from tripleweave.session import scratch_root
 from tripleweave.sources.ingest import ingest_ntriples
 
 AT = datetime(2026, 3, 4, 12, 0, 1, tzinfo=timezone.utc)
@@ -170,6 +171,15 @@ def test_job_reads_large_documents_in_pieces(spark, tmp_path, rows, monkeypatch)
         job.load(spark, spec | {"query": {"split_bytes": 0}})
 
 
+def test_job_leaves_no_scratch_tables(spark, tmp_path):
+    (tmp_path / "m.xml").write_bytes(MODEL)
+    folder = Path(scratch_root(spark).removeprefix("file:")) / "tripleweave"
+    before = set(folder.iterdir()) if folder.is_dir() else set()
+    spec = {"sources": [{"type": "local", "path": str(tmp_path)}], "query": {"split_bytes": 0}, "output": {"dir": str(tmp_path / "out")}}
+    assert job.run_job(spark, spec, names).first()["result_count"] == 3
+    assert set(folder.iterdir()) == before
+
+
 def test_job_fails_on_bad_data(spark, tmp_path):
     (tmp_path / "bad.xml").write_text("not xml at all")
     with pytest.raises(Exception, match="bad.xml"):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.diff import assign_graph
 from ..operators.forms import default_query
-from ..session import counted, in_order, rows_seen, scratch_path, tune
+from ..session import counted, in_order, rows_seen, scratch_path, scratch_scope, tune
 from ..sources import archives, split
 from ..sources.files import LINES, SIZED, Form, any_glob, filter_files, scan_azure, scan_files, scan_gcs, scan_s3, union_sources
 from ..sources.ingest import BASE_IRI, LINE_FORMATS, QUAD, detect_format, ingest, ingest_lines, store_triples
@@ -131,10 +131,14 @@ def run_job(spark: SparkSession, spec: dict, query: Callable[[DataFrame], DataFr
     ``query: {base_iri, base_mode, lines, split_bytes}`` and ``output: {dir, formats, metadata, prefix, document}``; the options of
     sources and processors are the arguments of the functions they name.  ``query`` maps the triples to the result.
     ``document`` makes JSON one document instead of lines.
-    No files is a success without output.  A sink that fails is warned about.
+    No files is a success without output.  A sink that fails is warned about.  Scratch tables are deleted at the end.
     """
+    with scratch_scope(tune(spark)):
+        return _run(spark, spec, query)
+
+
+def _run(spark: SparkSession, spec: dict, query: Callable[[DataFrame], DataFrame]) -> DataFrame:
     name, out, at = spec.get("pipeline", {}).get("name", "default"), spec.get("output", {}), datetime.now(timezone.utc)
-    tune(spark)
     start = time.monotonic()
     loaded = load(spark, spec)
     load_ms = int((time.monotonic() - start) * 1000)

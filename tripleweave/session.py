@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -41,9 +43,32 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+#: Scratch folders of the work that is to clear them away, innermost last.
+_SCOPES: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder name below the scratch root."""
-    return f"{scratch_root(spark)}/tripleweave/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/tripleweave/{label}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes the scratch tables made inside when it ends: for work whose result does not read them any more.
+
+    Checkpoints are Spark's own to clean (``spark.cleaner.referenceTracking.cleanCheckpoints``)."""
+    mine: list[str] = []
+    _SCOPES.append(mine)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(mine)
+        for path in mine:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
