@@ -144,7 +144,7 @@ def graph_of(seed):
     return sorted(set(pairs))
 
 
-@pytest.mark.parametrize("seed", range(8))
+@pytest.mark.parametrize("seed", range(4))
 def test_strong_components(spark, seed):
     pairs = graph_of(seed)
     found = {}
@@ -155,20 +155,20 @@ def test_strong_components(spark, seed):
     assert all(c in g for c, g in found.items())
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_closures_of_mixed_graphs(spark, rows, seed):
     pairs = graph_of(seed)
     assert rows(select_form(path(edges(spark, *pairs), "?x", Plus("e"), "?y"), "x", "y")) == reach(pairs)
 
 
 def test_no_pair_inside_a_component_is_stored(spark, rows, monkeypatch):
-    ring = [(f"r{i:03}", f"r{(i + 1) % 150:03}") for i in range(150)] + [("r000", "out")]
+    ring = [(f"r{i:03}", f"r{(i + 1) % 60:03}") for i in range(60)] + [("r000", "out")]
     stored_rows = []
     append, keep = paths._Table.append, paths.stored
     monkeypatch.setattr(paths._Table, "append", lambda self, df: stored_rows.append(append(self, df)) or stored_rows[-1])
     monkeypatch.setattr(paths, "stored", lambda df, label: [stored_rows.append((t := keep(df, label)).count()), t][1])
-    assert path(edges(spark, *ring), "?x", Plus("e"), "?y").df.count() == 150 * 151
-    assert max(stored_rows) <= 151
+    assert path(edges(spark, *ring), "?x", Plus("e"), "?y").df.count() == 60 * 61
+    assert max(stored_rows) <= 61
 
 
 def test_both_ends_bound_read_a_neighbourhood(spark, monkeypatch):
