@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.terms import Term, native_term, same_term
 from ..session import counted, rows_seen, scratch_path, stored
@@ -187,7 +188,12 @@ def _compose(a: DataFrame, b: DataFrame) -> DataFrame:
     """Pairs over a shared middle node; multiplicities are kept.  A literal has no outgoing edges."""
     left = a.select("s", F.col("o").alias("m"))
     right = b.select(F.col("s").alias("m2"), "o")
-    return left.join(right, same_term(F.col("m"), F.col("m2")), "inner").select("s", "o")
+    return left.join(right, _same_node(a, "m", "m2"), "inner").select("s", "o")
+
+
+def _same_node(pairs: DataFrame, x: str, y: str) -> Column:
+    """Equality of two nodes of pairs, which are terms or, in closures, strings."""
+    return same_term(F.col(x), F.col(y)) if isinstance(pairs.schema["s"].dataType, T.StructType) else F.col(x) == F.col(y)
 
 
 def _negated(graph: Graph, members: Sequence, g: str) -> DataFrame:
@@ -240,7 +246,7 @@ class _Table:
 
 def _new_pairs(found: DataFrame, known: DataFrame) -> DataFrame:
     k = known.select(F.col("s").alias("ks"), F.col("o").alias("ko"))
-    return found.distinct().join(k, same_term(F.col("s"), F.col("ks")) & same_term(F.col("o"), F.col("ko")), "left_anti")
+    return found.distinct().join(k, _same_node(found, "s", "ks") & _same_node(found, "o", "ko"), "left_anti")
 
 
 def _node_key(c: Column) -> Column:
@@ -257,26 +263,26 @@ def closure_of(edges: DataFrame) -> DataFrame:
     """Distinct pairs joined by one or more edges, for all nodes.
 
     Strongly connected components are found first, on the edges; the closure is that of the graph of components, which has no
-    cycle; its pairs become pairs of nodes in the last step, which is not stored.  Pairs inside a component arise there only."""
+    cycle; its pairs become pairs of nodes in the last step, which is not stored.  Pairs inside a component arise there only.
+    Nodes are single strings on the way, which join faster than terms."""
     keys, (_, size) = kept(edges.select(_node_key(F.col("s")).alias("a"), _node_key(F.col("o")).alias("b")).distinct(), "edges",
                            F.col("a") != F.col("b"))
+    loops = keys.where("a = b")
     found = strong_components(keys, size)
     if found is None:
-        return closure(edges)
-    member = stored(found, "members")
-    of = lambda at, to: member.select(F.col("node").alias(at), F.col("component").alias(to))
-    whole = keys.join(of("x", "ca"), F.col("a") == F.col("x"), "left").join(of("y", "cb"), F.col("b") == F.col("y"), "left")
-    whole = whole.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
-    between, (n,) = kept(whole, "condensed")
-    if n:
-        known = closure(between.select(_node_of(F.col("a")).alias("s"), _node_of(F.col("b")).alias("o")))
-        between = known.select(_node_key(F.col("s")).alias("a"), _node_key(F.col("o")).alias("b"))
-    inside = member.select(F.col("component").alias("a"), F.col("component").alias("b")).distinct()
-    alone = keys.where("a = b").join(of("x", "c"), F.col("a") == F.col("x"), "left_anti")  # a loop at a node of no component
-    pairs = between.unionByName(inside)
-    pairs = pairs.join(of("x", "c"), F.col("a") == F.col("c"), "left").select(F.coalesce("x", "a").alias("a"), "b")
-    pairs = pairs.join(of("y", "d"), F.col("b") == F.col("d"), "left").select("a", F.coalesce("y", "b").alias("b"))
-    return pairs.unionByName(alone.select("a", "b")).select(_node_of(F.col("a")).alias("s"), _node_of(F.col("b")).alias("o"))
+        pairs = closure(keys.where("a <> b").toDF("s", "o")).toDF("a", "b") if size else loops.limit(0)
+    else:
+        member = stored(found, "members")
+        of = lambda at, to: member.select(F.col("node").alias(at), F.col("component").alias(to))
+        whole = keys.join(of("x", "ca"), F.col("a") == F.col("x"), "left").join(of("y", "cb"), F.col("b") == F.col("y"), "left")
+        whole = whole.select(F.coalesce("ca", "a").alias("s"), F.coalesce("cb", "b").alias("o")).where("s <> o").distinct()
+        between, (n,) = kept(whole, "condensed")
+        pairs = (closure(between) if n else between).toDF("a", "b")
+        pairs = pairs.unionByName(member.select(F.col("component").alias("a"), F.col("component").alias("b")).distinct())
+        pairs = pairs.join(of("x", "c"), F.col("a") == F.col("c"), "left").select(F.coalesce("x", "a").alias("a"), "b")
+        pairs = pairs.join(of("y", "d"), F.col("b") == F.col("d"), "left").select("a", F.coalesce("y", "b").alias("b"))
+        loops = loops.join(of("x", "c"), F.col("a") == F.col("x"), "left_anti")  # at nodes of no component
+    return pairs.unionByName(loops.select("a", "b")).select(_node_of(F.col("a")).alias("s"), _node_of(F.col("b")).alias("o"))
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -288,8 +294,8 @@ def closure(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     jumps, known = _Table(spark, "jumps"), _Table(spark, "closure")
-    jumps.append(edges.select("s", "o").distinct())
-    size = known.append(jumps.read())
+    size = jumps.append(edges.select("s", "o").distinct())
+    known.parts, known.schema = list(jumps.parts), jumps.schema
     step = _compose(jumps.read(), jumps.read()).distinct()
     while size:
         if not jumps.append(step):
