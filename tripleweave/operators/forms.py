@@ -90,6 +90,8 @@ def describe_triples(graph: Graph | DataFrame, resources: Solutions | Sequence[T
         seen = known.read()
         blank = (known.read(last=True).where(F.col("o.kind") == "bnode").select(F.col("o").alias("n")).distinct()
                  .join(seen.select(F.col("s").alias("done")), same_term(F.col("n"), F.col("done"), node=True), "left_anti"))
+        if blank.isEmpty():  # known from what was found, without another look at the graph
+            break
         size = known.append(rows.join(blank, same_term(F.col("s"), F.col("n"), node=True), "left_semi"))
     return known.read()
 
