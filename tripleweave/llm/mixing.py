@@ -27,10 +27,16 @@ GENERAL = "general"
 NAMES = ("source", "lang", "topic")
 
 
-def topic_of(text: Column, topics: Sequence[tuple[str, str]] = TOPICS) -> Column:
-    out = F.lit(GENERAL)
+def topic_of(text: Column, targets: Mapping[str, float], topics: Sequence[tuple[str, str]] = TOPICS) -> Column:
+    """The first topic whose pattern matches, by the name that the targets know it by.
+
+    Names are settled while the plan is built: a test of the finished column would run all patterns a second time."""
+    def known(name: str) -> Column:
+        return F.lit(name if name in targets else OTHER)
+
+    out = known(GENERAL)
     for name, pattern in reversed(topics):
-        out = F.when(text.rlike(pattern), F.lit(name)).otherwise(out)
+        out = F.when(text.rlike(pattern), known(name)).otherwise(out)
     return out
 
 
@@ -107,7 +113,7 @@ def _marks(targets: Mapping[str, Mapping[str, float]], seed: int, topics: Sequen
     text = F.coalesce(text.cast("string"), F.lit(""))
     turn = F.conv(F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.md5(text)), F.lit(f":{seed}"))), 1, 8), 16, 10)
     return {"source": named(source, targets["source"]), "lang": named(lang, targets["lang"]),
-            "topic": named(topic_of(text, topics), targets["topic"]),
+            "topic": topic_of(text, targets["topic"], topics),
             "n_tokens": F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), "turn": turn.cast("double") / 4294967296.0}
 
 
