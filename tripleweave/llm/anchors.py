@@ -24,6 +24,8 @@ from .common import picked, runs_of, stored, text_column
 U = np.uint64
 #: Distinct forms that one shard compares at most; anchors with more are divided by window hash.
 HOT_FORMS = 2048
+#: Rows of one batch that a task hands back, about; a very long text has a larger one.
+OUT_ROWS = 1 << 16
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -93,6 +95,23 @@ def _hash128(data: bytes) -> tuple[int, int]:
     return (value >> 64) - (1 << 63), (value & ((1 << 64) - 1)) - (1 << 63)
 
 
+def _marks(pieces: Iterator[bytes]) -> np.ndarray:
+    """128-bit hash of each piece, as two columns."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, pieces)), ">i8").astype(np.int64).reshape(-1, 2)
+
+
+def _rows_of(found: list[tuple]) -> pa.RecordBatch:
+    """One batch of the anchors of several texts: (key, doc_id, hashes, marks, starts, windows) each."""
+    keys, ids, hashes, marks, starts, counts = zip(*found)
+    text = np.repeat(np.arange(len(found)), [len(h) for h in hashes])
+    both = np.concatenate(marks)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(keys, pa.int64()).take(pa.array(text)), pa.array(ids, pa.int64()).take(pa.array(text)),
+         pa.array(np.concatenate(hashes).view(np.int64)), pa.array(both[:, 0]), pa.array(both[:, 1]),
+         pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(counts).astype(np.int32))],
+        names=["key", "doc_id", "h", "f1", "f2", "start", "n"])
+
+
 def _occurrences(rows: DataFrame, kind: Kind, forms: bool) -> DataFrame:
     """Anchors of all texts: (key, doc_id, h, f1, f2, start, n), or (h, n) counted by batch."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,16 +122,20 @@ def _occurrences(rows: DataFrame, kind: Kind, forms: bool) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found, held = [], 0
             for key, doc_id, text in zip(batch["key"].to_pylist(), batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
                 units, piece = kind.read(text)
                 h, start, n = anchors(units, kind.length, kind.k)
                 if not len(h):
                     continue
-                marks = np.array([_hash128(piece(a, a + m - 1 + kind.length)) for a, m in zip(start.tolist(), n.tolist())], np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(h), key)), pa.array([doc_id] * len(h), pa.int64()), pa.array(h.view(np.int64)),
-                     pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
-                    names=["key", "doc_id", "h", "f1", "f2", "start", "n"])
+                marks = _marks(map(piece, start.tolist(), (start + n - 1 + kind.length).tolist()))
+                found.append((key, doc_id, h, marks, start, n))
+                held += len(h)
+                if held >= OUT_ROWS:
+                    yield _rows_of(found)
+                    found, held = [], 0
+            if found:
+                yield _rows_of(found)
 
     if forms:
         return rows.mapInArrow(each, "key long, doc_id long, h long, f1 long, f2 long, start int, n int")

@@ -31,8 +31,8 @@ WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 def _read(text: str):
     words = text.encode("utf-8", "surrogatepass").split()
-    digest = xxhash.xxh3_64_intdigest
-    return np.array([digest(w) for w in words], np.uint64), lambda a, b: b" ".join(words[a:b])
+    units = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
+    return units, lambda a, b: b" ".join(words[a:b])
 
 
 def later_windows(forms: list[tuple[tuple, tuple, int, bytes]], length: int) -> dict[tuple, np.ndarray]:
