@@ -9,6 +9,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers as tokenizers
 import pytest
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tripleweave.llm import bpe, embeddings, fingerprints, html_text, licenses, mixing, passages, simhash, suffix, toxicity
 from tripleweave.llm.common import components
-from tripleweave.llm.queries_sql import TARGETS
+from tripleweave.llm.queries_sql import MIXING_SQL, TARGETS
 
 RANDOM = random.Random(5)
 VOCABULARY = [f"w{i}" for i in range(400)]
@@ -357,6 +358,27 @@ def test_html(spark):
     assert got == sorted(want, key=repr)
 
 
+LONG = "Running text that goes on for quite a while without any tags in it. " * 5
+LINKS = "<div><a href='1'>One link</a> <a href='2'>Another link</a></div>"
+
+
+@pytest.mark.parametrize("page, want", [
+    # without an article: headings, short ends, cells and short sections beside content stay, lists of links go
+    (f"<body><h1>Head</h1><div><p>{LONG}</div><p>End.</p>{LINKS}</body>", ["Head", LONG.strip(), "End."]),
+    (f"<div>{''.join(f'<section><h2>{h}</h2><p>{t}</p></section>' for h, t in (('A', LONG), ('B', 'Short.'), ('C', LONG)))}</div>",
+     ["A", LONG.strip(), "B", "Short.", "C", LONG.strip()]),
+    (f"<div><p>{LONG}</p><table><tr><td>x<td>1<tr><td>y<td>2</table></div>", [LONG.strip(), "x", "1", "y", "2"]),
+    # inside an article the ratios judge its containers too
+    (f"<article><h1>Head</h1><p>{LONG}</p>{LINKS}<div><p>Be.</p></div><div class='teaser'>More</div></article>", ["Head", LONG.strip(), "Be."]),
+    # an article without content does not stand for the page, one that is a comment is none
+    (f"<article>{'<i class=x></i>' * 9}{'<p></p>' * 9}</article><div><p>{LONG}</p></div>", [LONG.strip()]),
+    (f"<article class='comment'><p>{LONG}</p></article><main><p>Body of the page.</p></main>", ["Body of the page."]),
+    (f"<a name='top'><div><p>{LONG}</p><div>Short.</div></div>", [LONG.strip(), "Short."]),
+])
+def test_html_regions(page, want):
+    assert html_text.main_text(page).split("\n") == want
+
+
 def test_html_on_tables(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     for r, (raw,) in zip(html_text.extract_main_text(pages).orderBy("page_id").collect(), pages.orderBy("page_id").select("html").collect()):
@@ -419,8 +441,9 @@ def test_mixing(spark, empty):
         for k, share in want.items():
             assert abs(sum(r["n_tokens"] * r["weight"] for r in got if r[name] == k) / tokens - share) < 1e-6
     assert abs(sum(r["n_tokens"] * r["probability"] for r in got) / tokens - 0.4) < 1e-6
-    kept = mixing.keep_mixed(df, targets, 0.4).collect()
-    assert sorted(r["doc_id"] for r in kept) == sorted(r["doc_id"] for r in got if r["selected"] and r["doc_id"] is not None)
+    kept = mixing.keep_mixed(df, targets, 0.4).collect()  # shares are those of the rows with an id
+    with_id = mixing.mix(df.where("doc_id is not null"), targets, keep=0.4).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(r["doc_id"] for r in with_id if r["selected"])
     assert mixing.mix(empty, TARGETS).count() == 0
 
 
@@ -438,6 +461,22 @@ def test_mixing_of_languages_without_a_target(spark):
     assert {r["probability"] for r in mixing.mix(unnamed, {**targets, "lang": {"en": 1.0, "other": 0.0}}).collect()} == {0.0}
 
 
+def test_mixing_sql_of_languages_without_a_target(spark, tmp_path):
+    rows = [(i, words(20 + i % 7), ("en", "de", "es", "fr", "it", None)[i % 6], f"src{i % 3}") for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in mixing.mix(docs, TARGETS).collect()}
+    with duckdb.connect() as con:
+        con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+        want = con.sql(MIXING_SQL)
+        want = [dict(zip(want.columns, r)) for r in want.fetchall()]
+    assert len(want) == len(got) == 300
+    for r in want:
+        mine = got[r["doc_id"]]
+        assert all(mine[c] == r[c] for c in ("source", "lang", "topic", "n_tokens", "selected"))
+        assert all(math.isclose(mine[c], r[c], rel_tol=1e-9) for c in ("weight", "probability"))
+
+
 def test_mixed_rows_without_an_id(spark):
     rows = [(None if i % 2 else 1, words(20), "en", "src0") for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")

@@ -1,16 +1,21 @@
 """Main text of web pages: streamed parser events, text-to-tag ratios, Gaussian smoothing, threshold clustering.
 
 The standard library's parser streams a page as events.  Every block becomes a line with its text length and number of
-tags.  Lines outside marked boilerplate belong to a region: the ``article`` or ``main`` element where a page has one,
-else the nearest container.  The ratios of text to tags of all lines, boilerplate too, are smoothed with a Gaussian, and
-lines at or above one standard deviation are content (Weninger et al., CETR).  Regions that hold a content line are kept
-whole, so a short paragraph of an article stays; if no line passes, the region with the largest smoothed ratio stays.
+tags; lines belong to the nearest container, and containers form a tree.  The ratios of text to tags of all lines,
+boilerplate too, are smoothed with a Gaussian, and lines outside marked boilerplate at or above one standard deviation are
+content (Weninger et al., CETR).  Inside ``article`` or ``main`` half of that is enough, and if one holds content the rest of
+the page does not count; if none does, the whole page is judged.  Content lines cluster in the smallest container around
+them, widened to its parent if it is only a ``div``, ``section``, ``table`` or cell.  Containers in there are kept whole,
+headings, short paragraphs and cells too, unless at least half of their text is links (smoothing lets links beside long
+text pass); if that leaves none, those with content lines stay.  If no line passes, the one with the largest smoothed ratio stands for them.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -37,19 +42,23 @@ NAMES = re.compile(
     r"(?:ads?|adverts?|advertisement|adsense|advertising|sponsor(?:ed|s)?|promo(?:tion|s)?|banner|cookies?|consent|gdpr|notices?|"
     r"newsletter|subscribe|subscription|signup|login|popup|modal|overlay|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|"
     r"rail|footer|comments?|commentlist|discussion|replies|disqus|related|recommended|share|sharing|social|widgets?|toolbar|"
-    r"pagination|pager|skip|masthead)(?:[-_]?(?:\d+|box|bar|list|area|section|wrap|wrapper|container|links?|block|slot|unit|"
+    r"pagination|pager|skip|masthead|teasers?|cta|author[-_]?bio)(?:[-_]?(?:\d+|box|bar|list|area|section|wrap|wrapper|container|links?|block|slot|unit|"
     r"form|thread|item|body|inner|outer|top|bottom|left|right|main|text|banner|notice))*", re.I)
+#: Of the limit for content, what suffices inside ``article`` and ``main``.
+PRIOR = 0.5
 HEADER = re.compile(r"(?:site|page|main|top|global)?[-_]?header(?:[-_]?(?:bar|wrap|wrapper|container|inner|top|main))*", re.I)
 
 
 class Lines(HTMLParser):
-    """Collects the lines of one page: (text, tags, region, boilerplate)."""
+    """Collects the lines of one page: (text, tags, region, boilerplate, code points in links)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int, bool, int]] = []
         self.open: list[tuple[str, bool, int]] = []  # name, boilerplate, region
         self.kinds = {0: "page"}
+        self.paths: dict[int, tuple[int, ...]] = {0: (0,)}  # from the page down to the region
+        self.link, self.linked = False, 0
         self.text: list[str] = []
         self.tags = 0
 
@@ -57,13 +66,13 @@ class Lines(HTMLParser):
         text = " ".join("".join(self.text).split())
         if text or self.tags:
             _, skipped, region = self.open[-1] if self.open else ("", False, 0)
-            self.lines.append((text, self.tags, region, skipped))
-        self.text, self.tags = [], 0
+            self.lines.append((text, self.tags, region, skipped, self.linked))
+        self.text, self.tags, self.linked = [], 0, 0
 
     def _boilerplate(self, tag: str, attrs: dict[str, str | None]) -> bool:
         if tag in SKIPPED:
             return True
-        if tag in ("article", "main", "body", "html"):
+        if tag in ("main", "body", "html"):
             return False
         inside = any(name in ("article", "main") for name, _, _ in self.open)
         if tag == "header" and not inside:
@@ -84,6 +93,8 @@ class Lines(HTMLParser):
             while self.open and self.open[-1][0] in closes:
                 self.open.pop()
         self.tags += 1
+        if tag == "a":
+            self.link = any(name == "href" for name, _ in attrs)
         if tag in VOID or tag not in BLOCKS and tag not in SKIPPED and not attrs:
             return
         _, skipped, region = self.open[-1] if self.open else ("", False, 0)
@@ -92,14 +103,15 @@ class Lines(HTMLParser):
             return
         if tag not in BLOCKS and boilerplate:
             self.flush()
-        fixed = self.kinds[region] in ("article", "main")
-        if tag == "article" and self.kinds[region] != "article" or tag in CONTAINERS and not fixed:
-            region = len(self.kinds)
+        if tag in CONTAINERS:
+            above, region = region, len(self.kinds)
             self.kinds[region] = tag
+            self.paths[region] = (*self.paths[above], region)
         self.open.append((tag, skipped or boilerplate, region))
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
+        self.link = self.link and tag != "a"
         if not any(name == tag for name, _, _ in self.open):
             if tag in BLOCKS:
                 self.flush()
@@ -115,6 +127,7 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         self.text.append(data)
+        self.linked += len(data.strip()) if self.link else 0
 
 
 def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
@@ -132,19 +145,35 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    lines, kinds = parser.lines, parser.kinds
-    usable = [i for i, (text, _, _, skipped) in enumerate(lines) if text and not skipped]
-    for kind in ("article", "main"):
-        inside = [i for i in usable if kinds[lines[i][2]] == kind]
-        if inside:
-            usable = inside
-            break
+    lines, kinds, paths = parser.lines, parser.kinds, parser.paths
+    usable = [i for i, (text, _, _, skipped, _) in enumerate(lines) if text and not skipped]
     if not usable:
         return ""
-    ratio = smoothed(np.array([len(text) / max(1, tags) for text, tags, _, _ in lines]), sigma)
-    passing = [i for i in usable if ratio[i] >= ratio.std()] or [max(usable, key=lambda i: ratio[i])]
-    regions = {lines[i][2] for i in passing}
-    return "\n".join(lines[i][0] for i in usable if lines[i][2] in regions)
+    ratio = smoothed(np.array([len(text) / max(1, tags) for text, tags, *_ in lines]), sigma)
+    limit = ratio.std()
+    for kind, share in (("article", PRIOR), ("main", PRIOR), ("", 1.0)):
+        around = {r for r, path in paths.items() if not kind or any(kinds[x] == kind for x in path)}
+        passing = [i for i in usable if lines[i][2] in around and ratio[i] >= share * limit]
+        if passing:
+            break
+    passing = passing or [max(usable, key=lambda i: ratio[i])]
+    return "\n".join(lines[i][0] for i in _cluster(lines, kinds, paths, [i for i in usable if lines[i][2] in around], passing))
+
+
+def _cluster(lines: list, kinds: dict, paths: dict, usable: list[int], passing: list[int]) -> list[int]:
+    """The usable lines of the containers that the content lines are in or beside, without lists of links."""
+    content = {lines[i][2] for i in passing}
+    shared = paths[lines[passing[0]][2]]
+    for region in content:
+        shared = shared[:sum(1 for _ in itertools.takewhile(lambda ab: ab[0] == ab[1], zip(shared, paths[region])))]
+    if kinds[shared[-1]] not in ("article", "main", "body", "page"):
+        shared = shared[:-1]
+    size, linked = Counter(), Counter()
+    for i in usable:
+        size[lines[i][2]] += len(lines[i][0])
+        linked[lines[i][2]] += lines[i][4]
+    whole = {r for r in size if shared[-1] in paths[r] and 2 * linked[r] < size[r]} or content
+    return [i for i in usable if lines[i][2] in whole]
 
 
 def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html",

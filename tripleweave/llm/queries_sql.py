@@ -26,6 +26,16 @@ def _want(name: str) -> str:
     return f"CAST(CASE {name} {cases} ELSE 0 END AS DOUBLE)"
 
 
+def _margin(name: str, share: str) -> str:
+    """Wanted share of a category: ``other`` without a target keeps its natural one, and the named share the rest."""
+    named = f"(SELECT sum(x) FROM (SELECT DISTINCT {name}, {share} AS x FROM counted))"
+    if mixing.OTHER in TARGETS[name]:
+        return f"CASE WHEN {named} > 0 THEN {share} / {named} ELSE 0 END"
+    natural = f"(SELECT coalesce(sum(tokens) FILTER ({name} = 'other'), 0) / CAST(sum(tokens) AS DOUBLE) FROM counted)"
+    return (f"CASE WHEN {name} = 'other' THEN CASE WHEN {named} > 0 THEN {natural} ELSE 1 END "
+            f"WHEN {named} > 0 THEN {share} * (1 - {natural}) / {named} ELSE 0 END")
+
+
 def _step(name: str, weight: str) -> str:
     return f"CASE WHEN sum({weight}) OVER (PARTITION BY {name}) > 0 THEN {weight} * want_{name} / sum({weight}) OVER (PARTITION BY {name}) ELSE 0 END"
 
@@ -45,10 +55,8 @@ counted AS (
   SELECT source, lang, topic, sum(n_tokens) AS tokens, {_want('source')} AS s0, {_want('lang')} AS l0, {_want('topic')} AS t0
   FROM marked GROUP BY ALL HAVING sum(n_tokens) > 0),
 base AS (
-  SELECT source, lang, topic, tokens,
-         s0 / (SELECT sum(x) FROM (SELECT DISTINCT source, s0 AS x FROM counted)) AS want_source,
-         l0 / (SELECT sum(x) FROM (SELECT DISTINCT lang, l0 AS x FROM counted)) AS want_lang,
-         t0 / (SELECT sum(x) FROM (SELECT DISTINCT topic, t0 AS x FROM counted)) AS want_topic
+  SELECT source, lang, topic, tokens, {_margin('source', 's0')} AS want_source, {_margin('lang', 'l0')} AS want_lang,
+         {_margin('topic', 't0')} AS want_topic
   FROM counted),
 raked AS (
   SELECT *, CAST(tokens AS DOUBLE) / sum(tokens) OVER () AS weight, 0 AS i FROM base
