@@ -477,6 +477,13 @@ def test_mixing_sql_of_languages_without_a_target(spark, tmp_path):
         assert all(math.isclose(mine[c], r[c], rel_tol=1e-9) for c in ("weight", "probability"))
 
 
+def test_margins_that_contradict_each_other(spark):
+    cells = spark.createDataFrame([("a", "en", 50), ("b", "de", 50)], "source string, lang string, tokens long")
+    with pytest.warns(UserWarning, match="meet all margins"):
+        got = mixing.rake(cells, {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.9, "de": 0.1}}, rounds=2).collect()
+    assert {r["lang"]: round(r["weight"], 9) for r in got} == {"en": 0.9, "de": 0.1}
+
+
 def test_mixed_rows_without_an_id(spark):
     rows = [(None if i % 2 else 1, words(20), "en", "src0") for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")

@@ -9,6 +9,7 @@ Everything is DataFrame expressions; the cells alone sit in one partition.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -70,7 +71,8 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], tolerance
 
     Targets of categories without tokens are shared out among the present ones; categories without a target (all are one,
     ``other``) keep their natural share of the margin.  If all that is present has target 0, all weights are 0.  Each step is a window over the bounded
-    table of cells; every ``rounds`` rounds it is stored and the largest change tested."""
+    table of cells; every ``rounds`` rounds it is stored and the largest change tested.  Margins that contradict each other are
+    never all met: that is warned about, and the last margin holds."""
     cells = cells.where("tokens > 0").coalesce(1)
     for name, wanted in targets.items():
         cells = _margin(cells, name, wanted, list(targets))
@@ -83,9 +85,13 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], tolerance
                 now = F.sum("weight").over(Window.partitionBy(name))
                 cells = cells.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"want_{name}") / now).otherwise(0.0))
         cells = stored(cells, "cells").coalesce(1)
-        change = cells.agg(F.max(F.abs(F.col("weight") - F.col("before")))).first()[0]
+        misses = [F.abs(F.sum("weight").over(Window.partitionBy(name)) - F.col(f"want_{name}")) for name in targets]
+        change, miss = cells.select(F.abs(F.col("weight") - F.col("before")).alias("change"), F.greatest(F.lit(0.0), *misses).alias("miss")).agg(
+            F.max("change"), F.max("miss")).first()
         if change is None or change <= tolerance:
             break
+    if miss and miss > 1e-6:
+        warnings.warn(f"no weights found that meet all margins; one share is off by {miss}")
     total = F.sum("weight").over(whole)
     return cells.select(*targets, "tokens", F.when(total > 0, F.col("weight") / total).otherwise(0.0).alias("weight"))
 
