@@ -118,6 +118,30 @@ def test_many_unsure_variables(spark, seed):
         assert pt.exists_value(x, y, "hit").df.where("hit").count() == len(brute(left, right, "semi", k=6))
 
 
+def six_unsure(spark):
+    """One row of ``a`` and eight of ``b`` for each of 40 keys; every one of 64 signatures occurs on either side."""
+    cell = lambda x, i: F.when(F.shiftright(x, i) % 2 == 1, F.struct(F.lit("lit").alias("kind"), F.lit("x").alias("value"), F.lit("").alias("dt"), F.lit("").alias("lang")))
+    side = lambda n, k: pt.Solutions(spark.range(n).select(k(F.col("id")).alias("k"), *[cell(F.col("id"), i).alias(f"v{i}") for i in range(6)], F.col("id").alias(f"id{n}")),
+                                     frozenset(["k", f"id{n}"]))
+    return side(40 * 64, lambda x: x), side(40 * 64 * 8, lambda x: F.floor(x / 8))
+
+
+def test_signatures_count_by_sure_values(spark):
+    """Rows were repeated for each of the 64 signatures of the other side, whatever their key."""
+    a, b = six_unsure(spark)
+    by = pt._Compat(a, b, tuple(pt._shared(a, b)))
+    assert by.keyed(b, b.df, "_key").count() == b.df.count()
+    assert by.keyed(a, a.df, "_key").count() <= 8 * a.df.count()
+
+
+def test_compat_join_by_sure_values(spark):
+    a, b = six_unsure(spark)
+    by = pt._Compat(a, b, tuple(pt._shared(a, b)))
+    row = by.keyed(b, b.df, "_key").schema["_key"].dataType
+    assert all(f.dataType.typeName() == "long" for f in row.fields)  # keys held a copy of every value
+    assert join(a, b).df.count() == b.df.count() and minus(a, b).df.isEmpty()
+
+
 def test_join_is_one_equi_join(spark):
     a = values(spark, ["k", "v"], [(1, None), (2, "x")])
     b = values(spark, ["k", "v"], [(1, "p"), (2, None)])

@@ -229,7 +229,9 @@ class _Compat:
 
     A row's signature says which of these variables it binds.  Two rows are compared on the variables that both signatures
     hold, so every row is repeated once for each signature that occurs on the other side, and rows are joined on (signature of
-    ``a``, signature of ``b``, values bound on both sides): one equi-join, however many variables there are.
+    ``a``, signature of ``b``, values bound on both sides): one equi-join, however many variables there are.  If some variables are
+    always bound, only signatures that occur with the row's own values of these count: rows without a partner are not repeated at all,
+    others seldom.  Keys hold a hash of the values, and what the hashes find is compared in full.
     """
 
     a: Solutions
@@ -262,13 +264,23 @@ class _Compat:
         always = sum(1 << i for i, v in enumerate(self.unsure) if v in side.certain)
         return F.array(*[F.lit(x).cast("bigint") for x in {always, always + sum(1 << self.unsure.index(v) for v in free)}])
 
+    def with_signatures(self, side: Solutions, rows: DataFrame) -> DataFrame:
+        """``rows`` with their own signature and the array ``_all`` of those on the other side that they are to meet."""
+        other = self.b if side is self.a else self.a
+        rows, free = rows.withColumn("_own", self.signature(side)), self.free(other)
+        if not self.sure or len(free) < 2 or _few(other, 1 << len(free)):
+            return rows.withColumn("_all", self.occurring(other))
+        certain = [v for v in self.shared if v not in self.unsure]
+        met = other.df.groupBy(*[F.col(v).alias(f"_s_{v}") for v in certain]).agg(F.collect_set(self.signature(other)).alias("_all"))
+        cond = reduce(lambda x, y: x & y, [F.col(v).eqNullSafe(F.col(f"_s_{v}")) for v in certain])
+        return rows.join(met, cond, "inner").drop(*[f"_s_{v}" for v in certain])
+
     def keyed(self, side: Solutions, rows: DataFrame, name: str, salts: str = "", allow_empty: bool = True) -> DataFrame:
         """``rows``, which have the shared variables of a side, repeated with the key that they must agree on.
 
         Pairs of signatures without a common variable (and no variable that is sure) make all their rows compatible: with
         ``salts`` such a product is dealt out, each row ``"drawn"`` to one salt or sent to ``"all"``; ``allow_empty=False`` leaves it out."""
-        other = self.b if side is self.a else self.a
-        rows = rows.withColumns({"_own": self.signature(side), "_all": self.occurring(other)}).withColumn("_other", F.explode("_all"))
+        rows = self.with_signatures(side, rows).withColumn("_other", F.explode("_all"))
         common = F.col("_own").bitwiseAND(F.col("_other"))
         first, second = ("_own", "_other") if side is self.a else ("_other", "_own")
         cells = [F.col(first).alias("_a"), F.col(second).alias("_b")]
@@ -281,16 +293,23 @@ class _Compat:
             rows = rows.withColumn("_salt", F.when(common == 0, F.pmod(F.xxhash64(*side.vars, F.lit(3)), F.lit(SALTS))).otherwise(0).cast("bigint"))
         if "_salt" in rows.columns:
             cells.append(F.col("_salt").alias("_c"))
-        for v in self.shared:
-            held = common.bitwiseAND(F.lit(1 << self.unsure.index(v)).cast("bigint")) != 0 if v in self.unsure else F.lit(True)
-            cells.append(F.when(held, F.col(v)).alias(f"_k_{v}"))
+        cells.append(F.xxhash64(*[F.when(self._held(v, common), F.col(v)) for v in self.shared]).alias("_h"))
         return rows.withColumn(name, F.struct(*cells)).drop("_own", "_all", "_other", "_salt")
 
+    def _held(self, v: str, common: Column) -> Column:
+        return common.bitwiseAND(F.lit(1 << self.unsure.index(v)).cast("bigint")) != 0 if v in self.unsure else F.lit(True)
+
+    def compared(self, key: str) -> list[Column]:
+        """The shared variables by their names on the right; null where the key leaves them out."""
+        common = F.col(f"{key}._a").bitwiseAND(F.col(f"{key}._b"))
+        return [F.when(self._held(v, common), F.col(v)).alias(_right(v)) for v in self.shared]
+
     def equal(self, left: DataFrame, x: str, y: str) -> Column:
-        """Equality of two keys, field by field; values are null where they are not compared."""
-        fields = [f.name for f in left.schema[x].dataType.fields]
-        return reduce(lambda p, q: p & q, [F.col(f"{x}.{f}").eqNullSafe(F.col(f"{y}.{f}")) if f.startswith("_k_")
-                                           else F.col(f"{x}.{f}") == F.col(f"{y}.{f}") for f in fields])
+        """Equality of two keys, field by field, and of the values that both rows bind."""
+        fields = [F.col(f"{x}.{f.name}") == F.col(f"{y}.{f.name}") for f in left.schema[x].dataType.fields]
+        values = [(F.col(v).isNull() | F.col(_right(v)).isNull() if v in self.unsure else F.lit(False)) | F.col(v).eqNullSafe(F.col(_right(v)))
+                  for v in self.shared]
+        return reduce(lambda p, q: p & q, fields + values)
 
 
 def _few(side: Solutions, copies: int) -> bool:
@@ -380,7 +399,9 @@ def _compat_found(a: Solutions, b: Solutions, shared: Sequence[str], allow_empty
     """The distinct values of the shared variables in ``a`` for which ``b`` has a compatible row, under other names."""
     by = _Compat(a, b, tuple(shared))
     wanted = by.keyed(a, a.df.select(*shared).distinct(), "_key", allow_empty=allow_empty)
-    keys = by.keyed(b, b.df.select(*shared).distinct(), "_key_r", allow_empty=allow_empty).select("_key_r").distinct()
+    keys = by.keyed(b, b.df.select(*shared).distinct(), "_key_r", allow_empty=allow_empty).select("_key_r", *by.compared("_key_r"))
+    if not by.sure:  # very many rows may be left with one key
+        keys = keys.distinct()
     found = wanted.join(keys, by.equal(wanted, "_key", "_key_r"), "left_semi")
     return found.select(*[F.col(v).alias(_right(v)) for v in shared]).distinct()
 
