@@ -15,6 +15,8 @@ from tripleweave.operators.modifiers import order_by, project, slice_
 from tripleweave.operators.patterns import bgp, bind, join, minus, not_exists, optional, triple_pattern, union, values
 from tripleweave.operators.paths import Inv, Seq
 from tripleweave.operators.ranges import range_join
+from tripleweave.plans import catalog_patterns
+from tripleweave.plans.registry import QUERIES
 from tripleweave.sources.ingest import open_by_subject, store_by_subject
 
 
@@ -172,6 +174,37 @@ def test_range_join(spark, buckets):
         range_join(a, b, "?x")
 
 
+@pytest.fixture
+def sides(monkeypatch):
+    """The two sides of every range join of the checked queries."""
+    seen = []
+    monkeypatch.setattr(catalog_patterns, "range_join", lambda a, b, *args, **options: (seen.append((a, b)), range_join(a, b, *args, **options))[1])
+    return seen
+
+
+def test_range_join_reads_numbers_once_a_row(spark, tmp_path, sides):
+    """Terms were read as numbers once for every pair."""
+    spark.sql("SELECT id AS c_custkey, 'n' AS c_name, 10.0D * id AS c_acctbal, 's' AS c_mktsegment, 1L AS c_nationkey FROM range(3)").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.sql("SELECT id AS o_orderkey, 0L AS o_custkey, 'O' AS o_orderstatus, cast(id AS double) AS o_totalprice, timestamp_ntz'2000-01-01' AS o_orderdate, 'p' AS o_orderpriority FROM range(1000)").write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted(tuple(r) for r in QUERIES["range_join"](spark, str(tmp_path)).collect())
+    assert got == [("urn:customer/0", 500, 1.0, 500.0), ("urn:customer/1", 500, 201.0, 700.0), ("urn:customer/2", 500, 401.0, 900.0)]
+    (a, b), = sides
+    assert {a.types["amount"].typeName(), b.types["from"].typeName(), b.types["to"].typeName()} == {"decimal"}
+    pairs = range_join(a, b, "?amount", "?from", "?to").df._jdf.queryExecution().optimizedPlan().toString()
+    assert pairs.count("RepartitionByExpression") == 2  # coalescing by bytes left all pairs to few tasks
+
+
+def test_range_join_dates_meets_groups(spark, tmp_path, sides):
+    """Every line item met every order of its day."""
+    day = "timestamp_ntz'2000-01-01' + make_dt_interval(cast(id % 2 AS int))"
+    spark.sql(f"SELECT id AS o_orderkey, 0L AS o_custkey, 'O' AS o_orderstatus, 1.0D AS o_totalprice, {day} AS o_orderdate, concat('p', id % 3) AS o_orderpriority FROM range(60)").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql(f"SELECT id AS l_orderkey, 1L AS l_partkey, 1L AS l_suppkey, 1 AS l_linenumber, 1.0D AS l_quantity, 1.0D AS l_extendedprice, 0.0D AS l_discount, 0.0D AS l_tax, 'R' AS l_returnflag, 'O' AS l_linestatus, {day} + make_dt_interval(0, 5) AS l_shipdate FROM range(100)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted(tuple(r) for r in QUERIES["range_join_dates"](spark, str(tmp_path)).collect())
+    assert got == [(f"p{i}", "R", 1000) for i in range(3)]
+    (a, b), = sides
+    assert (a.df.count(), b.df.count()) == (2, 6)
+
+
 def test_stored_star_has_no_exchange(spark, tmp_path, rows):
     t = triples(spark, *[(f"s{i}", p, Lit(f"{p}{i % 7}")) for i in range(40) for p in ("a", "b", "c") if (i + len(p)) % 5],
                 *[(f"s{i}", "next", f"s{i + 1}") for i in range(40)], ("s3", "a", Lit("second")), ("s3", "a", Lit("other"), "g"))

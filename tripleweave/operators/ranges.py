@@ -16,6 +16,7 @@ from ..session import stored
 from .patterns import Solutions, _hint, _shared, var
 
 BUCKETS = 1024  # at least; four per shuffle partition on larger clusters
+TASKS = 64  # at least, that share the buckets
 
 
 def number(a: Solutions, x: str | Column) -> Column:
@@ -84,6 +85,9 @@ def range_join(a: Solutions, b: Solutions, x: str | Column, low: str | Column |
         cond = cond & (F.col("_x") <= F.col("_high"))
     if on is not None:
         cond = cond & on
+    # few bytes make very many pairs: the buckets are dealt out by number, as coalescing by bytes would leave them to few tasks
+    tasks = max(TASKS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    left, right = left.repartition(tasks, "_bucket"), right.repartition(tasks, "_bucket_r")
     df = left.join(_hint(b, right), cond, "inner").select(*a.vars, *b.vars)
     return Solutions(df, a.certain | b.certain, a.nodes | b.nodes)
 

@@ -179,9 +179,12 @@ def _(t: Tables):
     orders, customers = bgp(g, ("?o", P["total"], "?total")), bgp(g, ("?c", P["acctbal"], "?bal"), ("?c", RDF_TYPE, C["customer"]))
     low = X.multiply("?bal", 20)
     customers = bind(bind(customers, "low", low), "high", X.add("?low", 500))
-    a = range_join(orders, customers, "?total", "?low", "?high", on=X.gt("?total", "?low") & X.le("?total", "?high"))
-    a = agg.group(a, ["c"], n=agg.count_star(), low=agg.min_("total"), high=agg.max_("total"))
-    return a.df.select(lex(F.col("c")).alias("c"), "n", num("?low").alias("low"), num("?high").alias("high"))
+    # numbers are read out of their terms once a row, not once a pair
+    orders = project(bind(orders, "amount", X.xsd_decimal("?total")), "amount")
+    customers = project(bind(bind(customers, "from", X.xsd_decimal("?low")), "to", X.xsd_decimal("?high")), "c", "from", "to")
+    a = range_join(orders, customers, "?amount", "?from", "?to", on=(F.col("amount") > F.col("from")) & (F.col("amount") <= F.col("to")))
+    a = agg.group(a, ["c"], n=agg.count_star(), low=agg.min_("amount"), high=agg.max_("amount"))
+    return a.df.select(lex(F.col("c")).alias("c"), "n", F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"))
 
 
 @query("range_join_dates", """
@@ -193,9 +196,13 @@ def _(t: Tables):
     lines = bgp(g, ("?l", P["shipdate"], "?shipped"), ("?l", P["returnflag"], "?flag"))
     orders = bgp(g, ("?o", P["date"], "?date"), ("?o", P["priority"], "?priority"))
     orders = bind(orders, "until", instant("?date") + F.expr("INTERVAL 1 DAY"))
+    # rows that no later step can tell apart meet as one: pairs grow with the dates and groups, and counts are multiplied
+    lines = agg.group(lines, ["shipped", "flag"], lines=agg.count_star())
+    orders = agg.group(orders, ["date", "until", "priority"], orders=agg.count_star())
     a = range_join(lines, orders, "?shipped", "?date", "?until", on=instant("?shipped") < F.col("until"))
-    a = agg.group(a, ["priority", "flag"], n=agg.count_star())
-    return a.df.select(lex(F.col("priority")).alias("priority"), lex(F.col("flag")).alias("flag"), "n")
+    a = bind(a, "pairs", F.col("lines").cast("decimal(38,0)") * F.col("orders"))
+    a = agg.group(a, ["priority", "flag"], n=agg.sum_("pairs"))
+    return a.df.select(lex(F.col("priority")).alias("priority"), lex(F.col("flag")).alias("flag"), F.col("n").cast("bigint").alias("n"))
 
 
 @query("star_stored", """
