@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tripleweave.functions import scalars as X
@@ -10,16 +11,19 @@ from tripleweave.operators import modifiers
 from tripleweave.operators import patterns as pt
 from tripleweave.operators.diff import assign_graph, diff_added, diff_changed, diff_removed, graph_stats, merge_tagged
 from tripleweave.operators.forms import ask_form, construct_form, construct_triples, describe_form, select_form
-from tripleweave.operators.graph import FunctionalGraph, TableMap
+from tripleweave.operators.graph import FunctionalGraph, TableGraph, TableMap
 from tripleweave.operators.modifiers import order_by, project, slice_
 from tripleweave.operators.patterns import bgp, bind, join, minus, not_exists, optional, triple_pattern, union, values
 from tripleweave.operators.paths import Inv, Seq
 from tripleweave.operators.ranges import range_join
-from tripleweave.plans import catalog_patterns
+from tripleweave.plans import catalog, catalog_patterns
 from tripleweave.plans.registry import QUERIES
 from tripleweave.sources.ingest import open_by_subject, store_by_subject
 
 
+assert catalog.LOADED
+
+
 def triples(spark, *rows):
     cells = [(IRI(s).row, p, (o if isinstance(o, Term) else IRI(o)).row, g) for s, p, o, g in ((*r, "")[:4] for r in rows)]
     return spark.createDataFrame(cells, f"s {TERM_DDL}, p string, o {TERM_DDL}, g string")
@@ -345,6 +349,51 @@ def test_describe_follows_blank_nodes(spark, rows):
     assert [r[1] for r in rows(describe_form(t.unionByName(extra), [IRI("a")]))] == ["q", "r", "p"]
 
 
+def test_describe_reads_tables_of_its_nodes(spark, rows):
+    """Every predicate of every table was scanned, whatever the resources were."""
+    read = []
+    table = lambda name, cells: lambda: (read.append(name), spark.sql(cells))[1]
+    g = TableGraph([TableMap(table("a", "SELECT id, if(id = 1, NULL, 'x') AS t, id AS r FROM range(4)"), "a", "id", {"t": ("t", "xsd:string")}, {"r": ("r", "b")}),
+                    TableMap(table("b", "SELECT id FROM range(2)"), "b", "id")])
+    read.clear()
+    found = rows(describe_form(g, [IRI("urn:a/1"), IRI("urn:a/2"), IRI("urn:c/1"), IRI("urn:a/9")]))
+    assert found == sorted([("urn:a/1", RDF_TYPE, "urn:class/a"), ("urn:a/1", "r", "urn:b/1"), ("urn:a/2", RDF_TYPE, "urn:class/a"),
+                            ("urn:a/2", "r", "urn:b/2"), ("urn:a/2", "t", "x")], key=repr)
+    assert "b" not in read[1:]  # the first table opened tells the session
+    assert rows(describe_form(g, [IRI("urn:c/1")])) == []
+
+
+def test_fresh_nodes_need_no_shuffle_and_many_tasks(spark):
+    """One task made all the nodes of a frequent solution, and a shuffle told them apart."""
+    a = pt.Solutions(spark.sql("SELECT named_struct('kind', 'iri', 'value', 'x', 'dt', '', 'lang', '') AS v FROM range(100000)"), frozenset(["v"]), frozenset(["v"]))
+    q = construct_triples(a, [("_:n", "p", "?v"), ("_:n", "p", IRI("x")), ("?v", "q", "_:n")])
+    assert q.count() == q.distinct().count() == 200000  # the first two are one triple
+    assert q.rdd.getNumPartitions() >= 64
+    plan = q._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1
+    mixed = construct_triples(a, [("_:n", "p", "?v"), ("?v", "q", IRI("x"))])
+    assert mixed.count() == 100001
+
+
+def test_fresh_terms_are_dealt_out(spark, tmp_path):
+    """One scan task held three keys for every row of a small file."""
+    spark.sql("SELECT id AS p_partkey, 'n' AS p_name, 'b' AS p_brand, 't' AS p_type, 1 AS p_size, 1.0D AS p_retailprice FROM range(50)").write.parquet(f"{tmp_path}/part.parquet")
+    df = QUERIES["fn_fresh_terms"](spark, str(tmp_path))
+    assert "RepartitionByExpression" in df._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in df.collect()] == [(50, 50, 50, 50, True, True)]
+
+
+@pytest.mark.parametrize("name", ["store_triples", "optional"])
+def test_queries_bound_the_memory_of_a_task(spark, name):
+    """Tasks took 64 MB of a shuffle, which can be more than a GB of terms."""
+    held = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+    for key in held:
+        spark.conf.unset(key)
+    with pytest.raises(AnalysisException):
+        QUERIES[name](spark, "/none").count()
+    assert [spark.conf.get(key, None) for key in held] == [str(16 << 20), "200"]
+
+
 def test_versions(spark, rows):
     base = [("s1", RDF_TYPE, "S"), ("s1", "name", Lit("one")), ("s1", "kv", Lit("220", "xsd:integer"))]
     old = triples(spark, *base, ("s2", RDF_TYPE, "S"), ("s2", "name", Lit("two")), ("s3", RDF_TYPE, "S"), ("s3", "name", Lit("three")), ("s3", "kv", Lit(1)))

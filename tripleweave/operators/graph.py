@@ -12,7 +12,7 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.terms import RDF_TYPE, Term
+from ..functions.terms import RDF_TYPE, Term, same_term
 
 TRIPLE_COLUMNS = ["s", "p", "o", "g"]
 
@@ -31,6 +31,10 @@ class Graph:
         """All triples, or those of one predicate.  Known ends may narrow what is read; the caller still filters."""
         return self.triples if p is None else self.triples.where(F.col("p") == p)
 
+    def about(self, nodes: DataFrame) -> DataFrame:
+        """All triples whose subject is a node ``n`` of a DataFrame."""
+        return self.scan().join(nodes.select("n"), same_term(F.col("s"), F.col("n"), node=True), "left_semi")
+
     def in_star(self, p: str) -> bool:
         """Whether patterns with predicate ``p`` may be answered by :meth:`star`."""
         return False
@@ -150,6 +154,13 @@ class TableMap:
         present, obj = self.objects[p]
         return self.df.where(present).selectExpr(f"{self.subject} AS s", f"{_text(p)} AS p", f"{obj} AS o", "'' AS g")
 
+    def about(self, nodes: DataFrame) -> DataFrame:
+        """All triples of the given subjects: rows are found by subject first, in one pass for all predicates."""
+        cells = [f"CASE WHEN {present} THEN named_struct('p', {_text(p)}, 'o', {obj}) END" for p, (present, obj) in self.objects.items()]
+        rows = self.df.withColumn("_s", F.expr(self.subject)).join(nodes.select("n"), same_term(F.col("_s"), F.col("n"), node=True), "left_semi")
+        held = rows.select(F.col("_s").alias("s"), F.explode(F.expr(f"array({', '.join(cells)})")).alias("t")).where("t IS NOT NULL")
+        return held.select("s", "t.p", "t.o", F.lit("").alias("g"))
+
     def star(self, names: Sequence[str]) -> DataFrame:
         present = " AND ".join(f"({self.objects[p][0]})" for p in names)
         return self.df.where(present).selectExpr(
@@ -180,6 +191,13 @@ class TableGraph(Graph):
             return self.maps[0].triples(RDF_TYPE).where(F.lit(False))
         return reduce(DataFrame.unionByName, parts)
 
+    def about(self, nodes):
+        # a subject names its class: only tables that some node can come from are read, one answer per class
+        of = F.coalesce(*[F.when(F.col("n.value").startswith(f"urn:{c}/"), c) for c in sorted({m.cls for m in self.maps}, key=lambda c: -len(c))])
+        wanted = {r["c"] for r in nodes.where(F.col("n.kind") == "iri").select(of.alias("c")).distinct().collect()}
+        parts = [m.about(nodes) for m in self.maps if m.cls in wanted]
+        return reduce(DataFrame.unionByName, parts) if parts else self.scan(RDF_TYPE).where(F.lit(False))
+
     def in_star(self, p: str) -> bool:
         return len({m.cls for m in self.maps}) == len(self.maps)  # a subject lives in one table
 
