@@ -145,7 +145,9 @@ def _(t: Tables):
 
 @query("fn_fresh_terms", "SELECT count(*) AS n, count(*) AS nodes, count(*) AS uuids, count(*) AS struuids, true AS shaped, true AS unit FROM part")
 def _(t: Tables):
-    a = parts(t).df.select(X.bnode().alias("b"), X.uuid().alias("u"), X.struuid().alias("s"), X.rand().alias("r"))
+    # every row makes three new keys: dealt out first, as one scan task may hold very many rows of a small file
+    rows = parts(t).df.select("part").repartition(max(64, int(t.spark.conf.get("spark.sql.shuffle.partitions"))), "part")
+    a = rows.select(X.bnode().alias("b"), X.uuid().alias("u"), X.struuid().alias("s"), X.rand().alias("r"))
     shape = F.col("u.value").rlike("^urn:uuid:[0-9a-f-]{36}$") & F.col("s.value").rlike("^[0-9a-f-]{36}$")
     return a.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("b").alias("nodes"), F.countDistinct("u").alias("uuids"),
                  F.countDistinct("s").alias("struuids"), F.min(shape).alias("shaped"), F.min((F.col("r") >= 0) & (F.col("r") < 1)).alias("unit"))
