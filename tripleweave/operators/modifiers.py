@@ -12,7 +12,7 @@ from ..session import in_order
 from .patterns import Solutions, var, with_terms
 
 
-SHORT = 10_000  # rows up to the end of a slice that Spark may take in one task
+SHORT = 50_000  # rows up to the end of a slice that Spark may take in one task
 
 
 def project(a: Solutions, *names: str, **exprs) -> Solutions:
