@@ -74,8 +74,8 @@ def _listing_filter(patterns: Sequence[str]) -> str | None:
 # --- scans --------------------------------------------------------------------------------------------
 
 def _plain(uri: Column) -> Column:
-    """A path or name as Spark's file metadata gives it, without its escapes."""
-    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+    """A path or name as Spark's file metadata gives it, without its escapes; cheap for one without any, as records repeat it."""
+    return F.when(uri.contains("%"), F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))).otherwise(uri)
 
 
 @dataclass(frozen=True)
