@@ -2,11 +2,16 @@ import gzip
 import os
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tripleweave.plans.catalog_files import _zip_documents
+from tripleweave.plans.job import load
+from tripleweave.sources import archives
 from tripleweave.sources import files as fs
 from tripleweave.sources.archives import accepted, expand_archives, rejects
+from tripleweave.sources.files import FILES_DDL
 
 XML = b"<rdf:RDF>hello world</rdf:RDF>"
 
@@ -169,3 +174,39 @@ def test_archives(spark, tmp_path):
         ("p/x.zip:bad.xml.gz", "bad.xml.gz"), ("p/x.zip:d.xml.gz:decompressed", "d.xml")]
     everything = accepted(expand_archives(df.where("filename = 'x.zip'"), patterns=[]))
     assert everything.count() == 5
+
+
+def line_gz(spark, text: bytes, cut: int | None = None):
+    return spark.createDataFrame([("mem:/a.nt.gz", "a.nt.gz", gzip.compress(text)[:cut], "t")], FILES_DDL)
+
+
+def test_line_texts_come_in_pieces(spark):
+    """An inflated text of lines was one value, however long."""
+    text = b"".join(b"<s%d> <p> <o%d> .\n" % (i, i * i) for i in range(450_000))
+    found = archives.expand_archives(line_gz(spark, text), patterns=["*.nt"], lines=(".nt",))
+    rows = found.withColumns({"whole": archives.whole_path(F.col("path")), "first": archives.is_first(F.col("path"))}).collect()
+    rows.sort(key=lambda r: int(r["path"].partition(archives.PIECE)[2] or 0))
+    assert len(rows) > 2 and max(len(r["content"]) for r in rows) <= archives.PIECE_BYTES + (1 << 20)
+    assert b"".join(r["content"] for r in rows) == text and all(r["content"].endswith(b"\n") for r in rows)
+    assert {(r["whole"], r["filename"]) for r in rows} == {("mem:/a.nt.gz:decompressed", "a.nt")} and sum(r["first"] for r in rows) == 1
+    whole = archives.expand_archives(line_gz(spark, text), patterns=["*.nt"]).collect()
+    assert [(r["path"], bytes(r["content"])) for r in whole] == [("mem:/a.nt.gz:decompressed", text)]
+    broken = archives.expand_archives(line_gz(spark, text, -9), patterns=["*.nt"], lines=(".nt",)).collect()
+    assert [(r["path"], r["content"]) for r in broken] == [("mem:/a.nt.gz", None)] and broken[0]["error"].startswith("gzip: ")
+
+
+def test_job_counts_files_not_pieces(spark, tmp_path):
+    lines = b"".join(b"<urn:s%d> <urn:p> <urn:o%d> .\n" % (i, i * i) for i in range(300_000))
+    (tmp_path / "a.nt.gz").write_bytes(gzip.compress(lines + b"_:x <urn:p> _:x ."))
+    (tmp_path / "b.nt.gz").write_bytes(gzip.compress(b""))
+    spec = {"sources": [{"type": "local", "path": str(tmp_path), "patterns": ["*.gz"]}], "processors": [{"type": "unzip", "patterns": ["*.nt"]}]}
+    stored, files, triples = load(spark, spec)
+    assert (files, triples, stored.count()) == (2, 300_001, 300_001)
+
+
+def test_documents_are_packed_a_few_at_a_time():
+    """All documents of a batch were in memory with all their archives."""
+    rows = [{"path": f"mem:/{i}.xml", "filename": f"{i}.xml", "content": b"x", "source": "t"} for i in range(1200)]
+    packed = list(_zip_documents(iter([pa.RecordBatch.from_pylist(rows)])))
+    assert [b.num_rows for b in packed] == [500, 500, 200]
+    assert [r for b in packed for r in b["path"].to_pylist()] == [f"mem:/{i}.zip" for i in range(1200)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from datetime import datetime, timezone
 from functools import partial, reduce
 
@@ -25,11 +25,13 @@ NAMES = 10_000  # files that turn out not to be divisible and are then read by n
 SINKS = {"csv": sink_csv, "json": sink_json, "tsv": sink_tsv, "terminal": sink_tsv}
 
 
-def _process(files: DataFrame, processors: list[dict]) -> DataFrame:
-    for step in processors:
+def _process(files: DataFrame, processors: list[dict], lines: Sequence[str] = ()) -> DataFrame:
+    for i, step in enumerate(processors):
         options = {k: v for k, v in step.items() if k != "type"}
         if step["type"] == "unzip":
-            files = archives.accepted(archives.expand_archives(files, **options))
+            # no later step takes an inflated text apart as an archive, so one of lines may come in pieces
+            last = not any(later["type"] == "unzip" for later in processors[i + 1:])
+            files = archives.accepted(archives.expand_archives(files, **options, lines=lines if last else ()))
         elif step["type"] == "filter":
             files = filter_files(files, **options)
         else:
@@ -94,9 +96,10 @@ def load(spark: SparkSession, spec: dict) -> tuple[DataFrame, int, int] | None:
     for graph, members in by_graph.items():
         files = union_sources(spark, *[_loader(spark, s, SIZED) for s in members], form=SIZED)
         taken = reduce(Column.__or__, [pick for _, pick in readers.values()], F.lit(False))
-        members_of = _process(files.where(~taken).drop("size"), processors)
-        whole, seen = counted(members_of)
-        counters.append((seen, members_of))
+        members_of = _process(files.where(~taken).drop("size"), processors, (".nt", ".nq") if lines else ())
+        whole, seen = counted(members_of, archives.is_first(F.col("path")))
+        whole = whole.withColumn("path", archives.whole_path(F.col("path")))
+        counters.append((seen, members_of.where(archives.is_first(F.col("path")))))
         # line formats can only come out of archives now
         found = [ingest(whole, *base, lines=lines and unzips).select(*QUAD)]
         for fmt, (form, pick) in readers.items():

@@ -12,7 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import bound_batches
@@ -23,7 +23,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no
 EXPANDED_DDL = FILES_DDL + ", error string"
 ARROW_SCHEMA = pa.schema([("path", pa.string()), ("filename", pa.string()), ("content", pa.binary()),
                           ("source", pa.string()), ("error", pa.string())])
-BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+PIECE_BYTES = 4 << 20  # of a text that is handed on in pieces
+PIECE = "\u0000"  # no path holds it
 READ_ERRORS = (zipfile.BadZipFile, zlib.error, OSError, EOFError, RuntimeError, NotImplementedError, ValueError)
 
 
@@ -53,7 +55,25 @@ def _zip_members(path: str, data: bytes, wanted, is_gzip) -> Iterator[tuple[str,
             yield at, name, content
 
 
-def _expander(archives: Sequence[str], gzips: Sequence[str], wanted: Sequence[str]):
+def _gzip_pieces(data: bytes) -> Iterator[bytes]:
+    """Inflated text in pieces of whole lines; all is read through once first, as a bad end rejects the file."""
+    with gzip.GzipFile(fileobj=io.BytesIO(data)) as f:
+        while f.read(1 << 20):
+            pass
+    held: list[bytes] = []
+    size = 0
+    with gzip.GzipFile(fileobj=io.BytesIO(data)) as f:
+        while block := f.read(1 << 20):
+            cut = block.rfind(b"\n") + 1
+            if cut and size + cut >= PIECE_BYTES:
+                yield b"".join([*held, block[:cut]])
+                held, size, block = [], 0, block[cut:]
+            held.append(block)
+            size += len(block)
+    yield b"".join(held)
+
+
+def _expander(archives: Sequence[str], gzips: Sequence[str], wanted: Sequence[str], lines: Sequence[str] = ()):
     """Task function; patterns arrive as regexes.  An archive that cannot be read gives one row with ``error``."""
     def matcher(regexes):
         compiled = [re.compile(r) for r in regexes]
@@ -64,8 +84,9 @@ def _expander(archives: Sequence[str], gzips: Sequence[str], wanted: Sequence[st
         is_gzip = lambda name: in_gzips(name) or name.endswith((".gz", ".gzip"))
         rows, held = [], 0
         for batch in batches:
-            for path, name, content, source in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-                for row in _expand_one(path, name, content, source, is_zip, is_gzip, keep):
+            for cells in zip(*[batch.column(i) for i in range(4)]):  # one file at a time out of Arrow's memory
+                path, name, content, source = [c.as_py() for c in cells]
+                for row in _expand_one(path, name, content, source, is_zip, is_gzip, keep, tuple(lines)):
                     rows.append(row)
                     held += len(row[2] or b"")
                     if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
@@ -82,7 +103,7 @@ def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, schema=ARROW_SCHEMA)
 
 
-def _expand_one(path, name, content, source, is_zip, is_gzip, keep) -> Iterator[tuple]:
+def _expand_one(path, name, content, source, is_zip, is_gzip, keep, lines=()) -> Iterator[tuple]:
     """Rows of one file; what cannot be read is one row with an error."""
     if is_zip(name):
         try:
@@ -92,6 +113,10 @@ def _expand_one(path, name, content, source, is_zip, is_gzip, keep) -> Iterator[
             yield path, name, None, source, f"zip: {e}"
     elif is_gzip(name):
         try:
+            if lines and _inflated_name(name).endswith(lines) and keep(_inflated_name(name)):
+                for i, piece in enumerate(_gzip_pieces(content)):
+                    yield f"{path}:decompressed{PIECE}{i}" if i else f"{path}:decompressed", _inflated_name(name), piece, source, None
+                return
             data = gzip.decompress(content)
         except READ_ERRORS as e:
             yield path, name, None, source, f"gzip: {e}"
@@ -104,21 +129,33 @@ def _expand_one(path, name, content, source, is_zip, is_gzip, keep) -> Iterator[
 
 def expand_archives(files: DataFrame, archive_patterns: Sequence[str] = ("*.zip",),
                     gzip_patterns: Sequence[str] = ("*.gz", "*.gzip"),
-                    patterns: Sequence[str] = DEFAULT_PATTERNS, rebalance: bool = True) -> DataFrame:
+                    patterns: Sequence[str] = DEFAULT_PATTERNS, rebalance: bool = True, lines: Sequence[str] = ()) -> DataFrame:
     """Zip members, inflated gzip files and all other files, with an ``error`` column.
 
     ``patterns`` choose zip members and inflated names; an empty list takes all.  Gzip is also recognised by
     suffix.  A corrupt archive is one row with ``error`` and no content: see :func:`accepted` and :func:`rejects`.
     ``rebalance`` spreads the members of large archives over the cluster before they are parsed.
+    ``lines`` are suffixes of inflated names whose text may come in rows of whole lines: with the same name, the first row with the
+    path of the text, the others with a number after it (see :func:`whole_path`), so that no task holds such a text as a whole.
     """
     bound_batches(files.sparkSession)
     regexes = lambda globs: [r for r in map(glob_regex, globs) if r]
     wanted = regexes(patterns) if patterns else ["(?s)^.*$"]
     rows = files.select("path", "filename", "content", "source").mapInArrow(
-        _expander(regexes(archive_patterns), regexes(gzip_patterns), wanted), EXPANDED_DDL)
+        _expander(regexes(archive_patterns), regexes(gzip_patterns), wanted, tuple(lines)), EXPANDED_DDL)
     return rows.repartition("path") if rebalance else rows
 
 
+def whole_path(path: Column) -> Column:
+    """The path of a text, of any of its pieces."""
+    return F.substring_index(path, PIECE, 1)
+
+
+def is_first(path: Column) -> Column:
+    """Whether a row is a whole file or the first piece of one."""
+    return ~path.contains(PIECE)
+
+
 def accepted(expanded: DataFrame) -> DataFrame:
     return expanded.where(F.col("error").isNull()).drop("error")
 
