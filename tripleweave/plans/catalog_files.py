@@ -210,9 +210,16 @@ def _(t: Tables):
 
 # --- archives -----------------------------------------------------------------------------------------
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of few documents, as all of a batch are in memory with what is made of them."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def _zip_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pack every document into a zip of its own, with members that the default patterns take or leave."""
-    for batch in batches:
+    for batch in _parts(batches):
         rows = batch.to_pylist()
         for r in rows:
             packed, data = io.BytesIO(), r["content"]
@@ -227,7 +234,7 @@ def _zip_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _gzip_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _parts(batches):
         rows = batch.to_pylist()
         for r in rows:
             r.update(path=r["path"] + ".gz", filename=r["filename"] + ".gz", content=gzip.compress(r["content"]))
