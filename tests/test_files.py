@@ -210,3 +210,10 @@ def test_documents_are_packed_a_few_at_a_time():
     packed = list(_zip_documents(iter([pa.RecordBatch.from_pylist(rows)])))
     assert [b.num_rows for b in packed] == [500, 500, 200]
     assert [r for b in packed for r in b["path"].to_pylist()] == [f"mem:/{i}.zip" for i in range(1200)]
+
+
+def test_plain_names_are_not_decoded(spark, tmp_path):
+    """Every record decoded the path of its file."""
+    df = spark.createDataFrame([("file:/a+b/c.xml",), ("file:/a%20b+c%2Bd/%C3%A9.xml",)], "uri string").select(fs._plain(F.col("uri")).alias("path"))
+    assert [r["path"] for r in df.collect()] == ["file:/a+b/c.xml", "file:/a b+c+d/\u00e9.xml"]
+    assert "CASE WHEN" in df._jdf.queryExecution().optimizedPlan().toString()

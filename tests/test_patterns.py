@@ -241,6 +241,15 @@ def test_slices(spark):
         modifiers.SHORT = modifiers_short
 
 
+def test_long_slices_are_top_rows(spark):
+    """A slice of 30,000 rows sorted and kept all rows."""
+    a = pt.Solutions(spark.range(0, 60000, 1, 7).selectExpr("cast(id * 7919 % 60000 AS int) AS x"), frozenset(["x"]))
+    cut = slice_(order_by(a, "x"), limit=30_000, offset=450).df
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan
+    assert [r["x"] for r in cut.collect()] == list(range(450, 30_450))
+
+
 def test_group_concat_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(agg, "BLOCK_BITS", 3)
     rnd = random.Random(8)
