@@ -148,6 +148,29 @@ def test_compat_join_by_sure_values(spark):
     assert join(a, b).df.count() == b.df.count() and minus(a, b).df.isEmpty()
 
 
+def test_compat_join_shuffles_each_row_once(spark):
+    """Every row was shuffled to learn the signatures it is to meet, and again once for each of them."""
+    a, b = six_unsure(spark)
+    plan = join(a, b).df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2 and "explode" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("pairs", [0, 2, 1024])
+def test_compat_join_of_crowded_values(spark, monkeypatch, pairs):
+    """One sure value on very many rows of both sides is joined by signatures, the others by comparison; nulls and copies of rows stay."""
+    monkeypatch.setattr(pt, "PAIRS", pairs)
+    rnd, names = random.Random(pairs), ["k", "v0", "v1", "v2"]
+    row = lambda key: (key, *(rnd.choice(["x", "y", None]) for _ in range(3)))
+    left = [row(k) + (f"l{i}",) for i, k in enumerate(["hot"] * 12 + ["a", "b", "c", "c", "d"])] * 2
+    right = [row(k) + (f"r{i}",) for i, k in enumerate(["hot"] * 15 + ["a", "a", "b", "c", "e"])]
+    a, b = values(spark, [*names, "l"], left), values(spark, [*names, "r"], right)
+    a, b = (pt.Solutions(s.df, s.certain) for s in (a, b))  # without the bound of VALUES
+    plan = join(a, b).df._jdf.queryExecution().executedPlan().toString()
+    assert ("explode" in plan) == (pairs < 1024)
+    got = sorted((tuple(None if c is None else c["value"] for c in r) for r in join(a, b).df.select(*names, "l", "r").collect()), key=repr)
+    assert got == brute(left, right, "inner", k=4)
+
+
 def test_join_is_one_equi_join(spark):
     a = values(spark, ["k", "v"], [(1, None), (2, "x")])
     b = values(spark, ["k", "v"], [(1, "p"), (2, None)])

@@ -20,6 +20,8 @@ from .graph import Graph, as_graph
 
 BROADCAST_ROWS = 10_000
 SALTS = 64  # tasks that share a product without a small side
+BUCKETS = 1 << 16  # in which rows are counted by their sure values before a join
+PAIRS = 1024  # rows of the other side that a row is compared with at most, on average over its bucket, without regard to signatures
 
 
 @dataclass(frozen=True)
@@ -275,6 +277,20 @@ class _Compat:
         cond = reduce(lambda x, y: x & y, [F.col(v).eqNullSafe(F.col(f"_s_{v}")) for v in certain])
         return rows.join(met, cond, "inner").drop(*[f"_s_{v}" for v in certain])
 
+    def bucket(self, side: Solutions) -> Column:
+        return F.pmod(F.xxhash64(*[F.col(v) for v in self.shared if v not in self.unsure]), F.lit(BUCKETS)).alias("_bucket")
+
+    def crowded(self) -> DataFrame | None:
+        """The buckets of sure values whose pairs are too many to compare them all: at most ``BUCKETS`` numbers, counted now; none: None."""
+        n, m = (side.df.groupBy(self.bucket(side)).agg(F.count(F.lit(1)).cast("double").alias(c)) for side, c in ((self.a, "n"), (self.b, "m")))
+        found = n.join(m, "_bucket").where(F.col("n") * F.col("m") > PAIRS * (F.col("n") + F.col("m"))).select("_bucket").collect()
+        return self.a.df.sparkSession.createDataFrame([tuple(r) for r in found], "_bucket long") if found else None
+
+    def within(self, side: Solutions, buckets: DataFrame, how: str) -> Solutions:
+        """The rows of a side whose bucket is (``left_semi``) or is not (``left_anti``) among the given ones."""
+        held = side.df.withColumn("_in", self.bucket(side)).join(F.broadcast(buckets), F.col("_in") == F.col("_bucket"), how)
+        return side.with_df(held.drop("_in"))
+
     def keyed(self, side: Solutions, rows: DataFrame, name: str, salts: str = "", allow_empty: bool = True) -> DataFrame:
         """``rows``, which have the shared variables of a side, repeated with the key that they must agree on.
 
@@ -307,9 +323,12 @@ class _Compat:
     def equal(self, left: DataFrame, x: str, y: str) -> Column:
         """Equality of two keys, field by field, and of the values that both rows bind."""
         fields = [F.col(f"{x}.{f.name}") == F.col(f"{y}.{f.name}") for f in left.schema[x].dataType.fields]
-        values = [(F.col(v).isNull() | F.col(_right(v)).isNull() if v in self.unsure else F.lit(False)) | F.col(v).eqNullSafe(F.col(_right(v)))
-                  for v in self.shared]
-        return reduce(lambda p, q: p & q, fields + values)
+        return reduce(lambda p, q: p & q, fields + self.agree())
+
+    def agree(self) -> list[Column]:
+        """Equality of the values that both rows bind."""
+        return [(F.col(v).isNull() | F.col(_right(v)).isNull() if v in self.unsure else F.lit(False)) | F.col(v).eqNullSafe(F.col(_right(v)))
+                for v in self.shared]
 
 
 def _few(side: Solutions, copies: int) -> bool:
@@ -317,9 +336,30 @@ def _few(side: Solutions, copies: int) -> bool:
 
 
 def _compat_inner(a: Solutions, b: Solutions, shared: Sequence[str]) -> DataFrame:
-    """Inner join of compatible rows."""
+    """Inner join of compatible rows.
+
+    Rows with the same sure values are joined by these and compared, so each is shuffled once; only where they are too many for
+    that, see :meth:`_Compat.crowded`, they are repeated by signatures."""
     by = _Compat(a, b, tuple(shared))
     few_a, few_b = _few(a, 1 << len(by.free(b))), _few(b, 1 << len(by.free(a)))
+    if not by.sure or few_a or few_b or max(len(by.free(a)), len(by.free(b))) < 2:
+        return _compat_signed(by, few_a, few_b)
+    crowded = by.crowded()
+    if crowded is None:
+        return _compat_compared(by)
+    rest, dense = ([by.within(side, crowded, how) for side in (a, b)] for how in ("left_anti", "left_semi"))
+    return _compat_compared(replace(by, a=rest[0], b=rest[1])).unionByName(_compat_signed(replace(by, a=dense[0], b=dense[1])))
+
+
+def _compat_compared(by: _Compat) -> DataFrame:
+    """All pairs of rows with the same sure values, those kept that agree."""
+    cond = reduce(lambda p, q: p & q, by.agree())
+    return by.a.df.join(_renamed(by.b, by.shared), cond, "inner").select(*_out(by.a, by.b, by.shared, True))
+
+
+def _compat_signed(by: _Compat, few_a: bool = False, few_b: bool = False) -> DataFrame:
+    """Rows repeated by the signatures they are to meet, joined by key."""
+    a, b, shared = by.a, by.b, by.shared
     salts = ("", "") if few_a or few_b else ("drawn", "all")
     left = by.keyed(a, a.df, "_key", salts[0])
     right = by.keyed(b, b.df, "_key_r", salts[1])
