@@ -12,12 +12,13 @@ from tripleweave.operators import patterns as pt
 from tripleweave.operators.diff import assign_graph, diff_added, diff_changed, diff_removed, graph_stats, merge_tagged
 from tripleweave.operators.forms import ask_form, construct_form, construct_triples, describe_form, select_form
 from tripleweave.operators.graph import FunctionalGraph, TableGraph, TableMap
-from tripleweave.operators.modifiers import order_by, project, slice_
+from tripleweave.operators.modifiers import desc, order_by, project, slice_
 from tripleweave.operators.patterns import bgp, bind, join, minus, not_exists, optional, triple_pattern, union, values
 from tripleweave.operators.paths import Inv, Seq
 from tripleweave.operators.ranges import range_join
 from tripleweave.plans import catalog, catalog_patterns
-from tripleweave.plans.registry import QUERIES
+from tripleweave.plans.catalog_results import _lines_in_order
+from tripleweave.plans.registry import QUERIES, Tables
 from tripleweave.sources.ingest import open_by_subject, store_by_subject
 
 
@@ -248,6 +249,31 @@ def test_stored_star_has_no_exchange(spark, tmp_path, rows):
         assert rows(select_form(triple_pattern(graph, "?s", "a", "?x", "g"))) == [("s3", "other")]
 
 
+def test_sort_carries_what_is_selected(spark, tmp_path):
+    """Digests of subjects, keys of other types and constant fields of terms went through the sort, whoever asked for them."""
+    spark.sql("SELECT id AS l_orderkey, 1L AS l_partkey, 1L AS l_suppkey, 1 AS l_linenumber, 1.0D AS l_quantity, 1.0D AS l_extendedprice, 0.0D AS l_discount, 0.0D AS l_tax, 'R' AS l_returnflag, 'O' AS l_linestatus, timestamp_ntz'2000-01-01' AS l_shipdate FROM range(9)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    plan = _lines_in_order(Tables(spark, str(tmp_path))).df._jdf.queryExecution().executedPlan().toString()
+    assert "md5" not in plan
+    keys = next(line for line in plan.splitlines() if "rangepartitioning" in line)
+    assert keys.count("ASC NULLS FIRST") == 9  # instant and text, order, number as double, decimal and text, part, supplier, tie
+
+
+def test_order_by_mixed_terms(spark):
+    """Unbound variables, nodes, numbers and text in one column, ties, expressions of terms, native columns and a selection."""
+    xs = ["10", "9", "x", "", None]
+    a = values(spark, ["x", "y", "z"], [(x if i % 2 or x in ("x", "", None) else int(x), y, f"z{i}{j}") for i, x in enumerate(xs) for j, y in enumerate(["b", None, "a"])] * 2)
+    back = lambda s: [tuple(None if c is None else (c["value"], c["dt"]) for c in r) for r in s.df.collect()]
+    got = back(order_by(a, "x", desc("y"), X.str_("?z")))
+    assert sorted(got, key=repr) == sorted(back(a), key=repr)
+    assert [r[0] and r[0][0] for r in got[::6]] == [None, "", "9", "x", "10"]
+    for block in (got[i:i + 6] for i in range(0, 30, 6)):
+        assert len({r[0] for r in block}) == 1 and [r[1] and r[1][0] for r in block] == ["b", "b", "a", "a", None, None]
+    some = order_by(a, "x", desc("y"), X.str_("?z"), keep=["y"])
+    assert some.vars == ["y"] and [r[0] for r in back(some)] == [r[1] for r in got]
+    native = a.with_df(a.df.withColumn("n", F.length(F.col("z.value")) + F.coalesce(F.length("y.value"), F.lit(0))))
+    assert [r["n"] for r in order_by(native, "n", "z", keep=["n", "z"]).df.collect()] == [3] * 10 + [4] * 20
+
+
 def test_slices(spark):
     rng = spark.range(0, 5000, 1, 7).selectExpr("cast(id * 7919 % 5000 AS int) AS x", "id % 3 AS y")
     ordered = order_by(pt.Solutions(rng, frozenset(["x", "y"])), "x")

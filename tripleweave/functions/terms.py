@@ -364,7 +364,8 @@ def instant(x) -> Column:
 
 
 def parse_instant(v: Column) -> Column:
-    zoned = F.concat(v, F.when(v.rlike(RX_OFFSET), "").otherwise(F.lit("Z")))
+    # an offset and the line end that a pattern may leave out are in the last eight characters
+    zoned = F.concat(v, F.when(F.substring(v, -8, 8).rlike(RX_OFFSET), "").otherwise(F.lit("Z")))
     return F.when(v.rlike(RX_DATETIME), zoned.try_cast("timestamp"))
 
 

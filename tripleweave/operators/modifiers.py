@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.terms import TERM_TYPE, sort_keys
 from ..session import in_order
@@ -53,27 +55,39 @@ def desc(key) -> Desc:
     return Desc(key)
 
 
-def order_by(a: Solutions, *keys) -> Solutions:
-    """ORDER BY variables, expressions, or ``desc(...)`` of either.
+def order_by(a: Solutions, *keys, keep: Sequence[str] | None = None) -> Solutions:
+    """ORDER BY variables, expressions, or ``desc(...)`` of either.  ``keep`` names the variables that are selected: the others,
+    unless they are keys, are not computed, and no row carries them through the sort.
 
-    Keys are computed once per row, in columns of their own, not at every comparison.  Rows with equal keys are
+    Keys are computed once per row, in columns of their own, not at every comparison.  Terms are taken apart before and put together
+    after the sort: fields that are constant then drop out of the keys and are not shuffled.  Rows with equal keys are
     ordered by a hash of the row: the sort's range partitioning can then divide a value that very many rows share,
     and a following LIMIT always returns the same rows.
     """
+    kept = a.vars if keep is None else [var(v) for v in keep]
+    terms = [v for v, t in a.types.items() if isinstance(t, T.StructType) and t.fieldNames() == TERM_TYPE.fieldNames()]
+    apart = {v: [f"_{f}_of_{v}" for f in TERM_TYPE.fieldNames()] if v in terms else [v] for v in a.vars}
+    together = {v: F.struct(*[F.col(c).alias(f) for c, f in zip(apart[v], TERM_TYPE.fieldNames())]) for v in terms}
+    fields = a.df.select(*[F.col(v)[f].alias(c) if v in together else F.col(v) for v in a.vars for c, f in zip(apart[v], TERM_TYPE.fieldNames())])
+    whole = fields.withColumns({v: F.when(F.col(apart[v][0]).isNotNull(), t) for v, t in together.items()})  # for keys that are expressions
     cells, order = {}, []
     for key in keys:
         down, k = (True, key.key) if isinstance(key, Desc) else (False, key)
-        if isinstance(k, str):
-            parts = sort_keys(F.col(var(k)), a.types[var(k)])
-        else:
+        if not isinstance(k, str):
             parts = sort_keys(k, a.df.select(k.alias("k")).schema["k"].dataType)
+        elif (v := var(k)) in together:
+            parts = [*sort_keys(together[v], TERM_TYPE)[:-3], *apart[v][1:]]  # value, datatype and language are there
+        else:
+            parts = sort_keys(F.col(v), a.types[v])
         for part in parts:
-            name = f"_order{len(cells)}"
-            cells[name] = part
+            name = part if isinstance(part, str) else f"_order{len(cells)}"
+            if name is not part:
+                cells[name] = part
             order.append(F.col(name).desc_nulls_last() if down else F.col(name).asc_nulls_first())
-    cells["_tie"] = F.xxhash64(*[F.col(v) for v in a.vars])
-    keyed = a.df.withColumns(cells).orderBy(*order, "_tie")
-    return a.with_df(keyed.select(*a.vars))
+    cells["_tie"] = F.xxhash64(*[F.col(c) for v in kept for c in apart[v]])
+    keyed = whole.withColumns(cells).select(*fields.columns, *cells).orderBy(*order, "_tie")
+    cells = [F.when(F.col(apart[v][0]).isNotNull(), together[v]).alias(v) if v in together else F.col(v) for v in kept]
+    return project(a.with_df(keyed.select(*cells)), *kept)
 
 
 def slice_(a: Solutions, limit: int | None = None, offset: int = 0) -> Solutions:
