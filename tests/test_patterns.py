@@ -1,4 +1,6 @@
+import operator
 import random
+from decimal import Decimal as D
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -13,7 +15,7 @@ from tripleweave.operators.diff import assign_graph, diff_added, diff_changed, d
 from tripleweave.operators.forms import ask_form, construct_form, construct_triples, describe_form, select_form
 from tripleweave.operators.graph import FunctionalGraph, TableGraph, TableMap
 from tripleweave.operators.modifiers import desc, order_by, project, slice_
-from tripleweave.operators.patterns import bgp, bind, join, minus, not_exists, optional, triple_pattern, union, values
+from tripleweave.operators.patterns import bgp, bind, filter_, join, minus, not_exists, optional, triple_pattern, union, values
 from tripleweave.operators.paths import Inv, Seq
 from tripleweave.operators.ranges import range_join
 from tripleweave.plans import catalog, catalog_patterns
@@ -222,6 +224,54 @@ def test_range_join_reads_numbers_once_a_row(spark, tmp_path, sides):
     assert pairs.count("RepartitionByExpression") == 2  # coalescing by bytes left all pairs to few tasks
 
 
+@pytest.mark.parametrize("on, buckets", [((">", "<="), None), ((">=", "<"), 3), ((">=", "<="), None), ((">", "<"), 3)])
+def test_range_groups_make_no_pairs(spark, on, buckets):
+    """Counts, least and greatest numbers of ranges come from the sorted numbers: ties, nulls, repeated and empty ranges, ends beyond all numbers."""
+    rnd = random.Random(8)
+    num = lambda: D(rnd.choice([rnd.randrange(-300, 300), rnd.randrange(-20, 20), 7])) / 10
+    left = [(num(), i) for i in range(150)] + [(None, 998)]
+    ranges = [(x := num(), x + rnd.choice([-1, 0, 0, 1, 30])) for _ in range(40)]
+    right = [(*r, i % 30) for i, r in enumerate(ranges + ranges[:9])] + [(None, D(1), 90), (D(0), None, 91), (D(-99), D(99), 92), (D(50), D(99), 93), (D(3), D(4), None)]
+    a = pt.Solutions(spark.createDataFrame(left, "x decimal(38,18), l int"), frozenset(["l"]))
+    b = pt.Solutions(spark.createDataFrame(right, "low decimal(38,18), high decimal(38,18), r int"))
+    ops = {">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le}
+    held = {}
+    for lo, hi, r in right:
+        if lo is not None and hi is not None:
+            held.setdefault(r, []).extend(x for x, _ in left if x is not None and ops[on[0]](x, lo) and ops[on[1]](x, hi))
+    want = sorted(((r, len(xs), min(xs), max(xs)) for r, xs in held.items() if xs), key=repr)
+    asked = dict(n=agg.count_star(), least=agg.min_("x"), most=agg.max_("?x"))
+    made = lambda a, b, by=("r",), **aggs: (both := range_join(a, b, "?x", "?low", "?high", on=on, buckets=buckets), agg.group(both, by, **aggs or asked))
+    both, got = made(a, b)
+    assert sorted((tuple(r) for r in got.df.collect()), key=repr) == want and "df" not in vars(both)
+    total = (sum(w[1] for w in want), min(w[2] for w in want), max(w[3] for w in want))
+    assert tuple(made(a, b, ())[1].df.first()) == total
+    assert both.df.count() == total[0]  # the pairs themselves, when they are asked for
+    none = lambda s: pt.Solutions(s.df.where("false"), s.certain)
+    for x, y in ((none(a), b), (a, none(b))):
+        assert made(x, y)[1].df.isEmpty() and tuple(made(x, y, ())[1].df.first()) == (0, None, None)
+    # what the order of the numbers does not tell is taken from the pairs
+    spread = made(a, b, lines=agg.count_distinct("l"), n=agg.count_star())[1].df
+    assert {(r["r"], r["n"]) for r in spread.collect()} == {w[:2] for w in want}
+    assert sum(r["n"] for r in made(a, b, ("r", "l"))[1].df.collect()) == total[0]
+    assert tuple(r["n"] for r in agg.group(filter_(both, F.col("x") == 7), [], n=agg.count_star()).df.collect()) == (
+        both.df.where("x = 7").count(),)
+    with pytest.raises(ValueError):
+        range_join(a, b, "?x", "?low", "?high", on=("<", "<="))
+    with pytest.raises(ValueError):
+        range_join(values(spark, ["x"], [(1,)]), b, "?x", "?low", "?high", on=on)
+
+
+def test_range_join_query_makes_no_pairs(spark, tmp_path):
+    """Every order within a customer's band was made a row: the pairs grew with the square of the tables."""
+    spark.sql("SELECT id AS c_custkey, 'n' AS c_name, 10.0D * (id % 2) AS c_acctbal, 's' AS c_mktsegment, 1L AS c_nationkey FROM range(4)").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.sql("SELECT id AS o_orderkey, 0L AS o_custkey, 'O' AS o_orderstatus, cast(id % 1000 AS double) AS o_totalprice, timestamp_ntz'2000-01-01' AS o_orderdate, 'p' AS o_orderpriority FROM range(3000)").write.parquet(f"{tmp_path}/orders.parquet")
+    df = QUERIES["range_join"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "_bucket_r" not in plan and "explode" not in plan.lower()
+    assert sorted(tuple(r) for r in df.collect()) == [(f"urn:customer/{i}", 1500, 1.0 + 200 * (i % 2), 500.0 + 200 * (i % 2)) for i in range(4)]
+
+
 def test_range_join_dates_meets_groups(spark, tmp_path, sides):
     """Every line item met every order of its day."""
     day = "timestamp_ntz'2000-01-01' + make_dt_interval(cast(id % 2 AS int))"

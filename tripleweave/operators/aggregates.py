@@ -20,6 +20,7 @@ from ..functions.terms import (
     numeric_rank, rank_dt, sort_keys, term,
 )
 from .patterns import Solutions, var, with_terms
+from .ranges import RangePairs
 
 
 BLOCK_BITS = 12  # a block of GROUP_CONCAT holds up to 4,096 distinct members
@@ -81,6 +82,8 @@ def group(a: Solutions, by=(), having: Column | None = None, strict_errors: bool
             names.append(key[0])
         else:
             names.append(var(key))
+    if isinstance(a, RangePairs) and not strict_errors:
+        a, aggs = _of_ranges(a, names, aggs)
     apart = {name: agg for name, agg in aggs.items() if _own_pass(a, agg)}
     parts = [_concatenated(a, names, name, agg) if agg.kind == "group_concat" else _by_term(a, names, name, agg, strict_errors)
              for name, agg in apart.items()]
@@ -98,6 +101,18 @@ def group(a: Solutions, by=(), having: Column | None = None, strict_errors: bool
     return Solutions(df, (a.certain & set(names)) | sure, a.nodes & set(names), None if names else 1)
 
 
+def _of_ranges(a: RangePairs, names: list[str], aggs: dict[str, Agg]) -> tuple[Solutions, dict[str, Agg]]:
+    """The ranges with what they hold in place of their pairs, and the same aggregates over these, if that can tell them."""
+    if not a.sortable or not set(names) <= set(a.b.vars):
+        return a, aggs
+    told = {("count_star", None): sum_("_n"), ("min", var(a.x)): min_("_first"), ("max", var(a.x)): max_("_last")}
+    keys = {name: (g.kind, var(g.arg) if isinstance(g.arg, str) else g.arg) for name, g in aggs.items()}
+    if any(aggs[name].distinct or not isinstance(key[1], str | None) or key not in told for name, key in keys.items()):
+        return a, aggs
+    found = {name: told[key] for name, key in keys.items()}
+    return a.with_df(a.places()), found
+
+
 def _side_by_side(x: DataFrame, y: DataFrame, names: list[str]) -> DataFrame:
     """Aggregates of the same groups in one row; without groups both have one row."""
     if not names:

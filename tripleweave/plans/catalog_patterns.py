@@ -182,7 +182,7 @@ def _(t: Tables):
     # numbers are read out of their terms once a row, not once a pair
     orders = project(bind(orders, "amount", X.xsd_decimal("?total")), "amount")
     customers = project(bind(bind(customers, "from", X.xsd_decimal("?low")), "to", X.xsd_decimal("?high")), "c", "from", "to")
-    a = range_join(orders, customers, "?amount", "?from", "?to", on=(F.col("amount") > F.col("from")) & (F.col("amount") <= F.col("to")))
+    a = range_join(orders, customers, "?amount", "?from", "?to", on=(">", "<="))
     a = agg.group(a, ["c"], n=agg.count_star(), low=agg.min_("amount"), high=agg.max_("amount"))
     return a.df.select(lex(F.col("c")).alias("c"), "n", F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"))
 
