@@ -1,6 +1,7 @@
 """Quality rules, manifest and periodic runs against brute force, on small fixtures with nulls, ties, repeated rows and long texts."""
 
 import collections
+import dataclasses
 import hashlib
 import itertools
 import math
@@ -113,6 +114,27 @@ def test_quality(spark, texts, rows, rules):
     assert quality.judge_documents(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("held", [256, 3])
+def test_quality_of_many_languages(spark, rows, monkeypatch, held):
+    """Languages with less than 1/256 of all words had no reference, so their texts were judged by the base rules alone."""
+    monkeypatch.setattr(quality, "HELD", held)
+    monkeypatch.setattr(quality, "BINS", 500)
+    names = [f"x{k:03d}" if k else None for k in range(290)]
+    texts = [(i, prose(("en", "de")[i % 2], 60 + i % 30), names[i // 2]) for i in range(580)]
+    texts += [(1000 + i, prose("en", 300), "main") for i in range(8)]
+    texts += [(2000, prose("en", 150).upper(), "x007"), (2001, prose("en", 200).upper(), None), (2002, "a " * 70, "x008"), (2003, None, "x009"),
+              (2004, "", "none"), (None, prose("de", 70), "x010"), (None, prose("de", 70), "x010"), (3, texts[3][1], names[1]), (2005, prose("de", 70), "few")]
+    rules = quality.Rules(common=8, reference_words=100, word_guard=0.4, char_guard=0.4)
+    got = quality.judge_documents(frame(spark, [(i, t, lang, "s", len(t or "")) for i, t, lang in texts]), rules)
+    assert rows(got.drop("char_distance", "word_distance")) == judged(texts, dataclasses.replace(rules, languages=1 << 40))
+    alone = {r["doc_id"] for r in got.where("char_distance IS NULL").collect()}
+    assert alone == {2002, 2003, 2004, 2005}  # those that fail the base rules, and a language of less than 100 words
+    assert {r["doc_id"] for r in got.where("NOT base_failed AND NOT kept").collect()} >= {2000, 2001}
+    known, others = quality.references(frame(spark, [(i, t or "", lang, "s", 0) for i, t, lang in texts]), rules)
+    brought = {r["lang"] for r in others.select("lang").collect()}
+    assert "x289" in brought and (None in brought) == (held == 3) and len(known) <= held and len(known) + len(brought) == 291
+
+
 def test_repeated_words_of_many():
     words = [b"%d" % (i % 1_100_000) for i in range(2_200_000)]
     assert quality.repeated_words(words) == len(words)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from . import quality
 from .quality import Rules
 
-_RULES = Rules()
+_RULES = Rules(languages=256)
 
 # --- quality rules: base rules, references summed over all documents that pass them, Jensen-Shannon distances
 
